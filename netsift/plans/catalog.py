@@ -74,8 +74,43 @@ def detector_queries() -> dict[str, Query]:
     return q
 
 
+def domain_queries() -> dict[str, Query]:
+    from netsift.functions import domain as dom
+
+    def names(t: Tables) -> DataFrame:
+        return fl.distinct_names(t.flows).select(F.col("requested_server_name").alias("domain"))
+
+    q: dict[str, Query] = {}
+    q["domain_features"] = _q(lambda t: names(t).select("domain", dom.features("domain").alias("f"))
+                              .select("domain", "f.*"))
+    q["domain_rule_score"] = _q(lambda t: names(t).select(
+        "domain", dom.rule_score("domain").alias("rule_score"), dom.rule_suspicious("domain").alias("is_suspicious")))
+    return q
+
+
+def anomaly_queries() -> dict[str, Query]:
+    from netsift.operators import anomaly as an
+
+    def scored(t: Tables) -> DataFrame:
+        return an.score_flows(t.flows)
+
+    q: dict[str, Query] = {}
+    q["anomaly_scores"] = _q(lambda t: scored(t).select(
+        "src_ip", "dst_ip", "dst_port", "bidirectional_bytes", "anomaly_score", "is_anomaly"))
+    q["anomaly_summary"] = _q(lambda t: an.anomaly_summary(scored(t))["summary"])
+    q["anomaly_top"] = _q(lambda t: an.anomaly_summary(scored(t))["top_anomalies"])
+
+    def scaled(t: Tables) -> DataFrame:
+        df, _ = an.standard_scale(t.flows, keep=["src_ip", "dst_ip"])
+        return df.select("src_ip", "dst_ip", *[F.round(c, 4).alias(c) for c in an.ML_FEATURES])
+    q["standard_scaled_features"] = _q(scaled)
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(flow_queries())
     q.update(detector_queries())
+    q.update(domain_queries())
+    q.update(anomaly_queries())
     return q

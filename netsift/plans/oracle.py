@@ -211,4 +211,103 @@ def oracle_sql() -> dict[str, str]:
         f"s AS (SELECT src_ip, string_agg(CAST(dst_port AS VARCHAR), ',' ORDER BY dst_port) AS sample_ports FROM ("
         f"SELECT src_ip, dst_port, row_number() OVER (PARTITION BY src_ip ORDER BY dst_port) AS rn FROM p) "
         f"WHERE rn <= {det.PLUGIN_SCAN_SAMPLE} GROUP BY src_ip)")
+    q["domain_features"] = domain_feature_sql()
+    q["domain_rule_score"] = rule_score_sql()
+    q.update(anomaly_sql())
+    return q
+
+
+# --- domain features and rule score (F1-F8, M6, M7) ------------------------------
+
+def _names_features_ctes() -> str:
+    nd = norm_full_sql("domain")
+    return (
+        "names AS (SELECT DISTINCT requested_server_name AS domain FROM flows WHERE requested_server_name IS NOT NULL), "
+        f"nn0 AS (SELECT domain, {nd} AS d FROM names), "
+        f"nn AS (SELECT domain, d, {sld_sql('d')} AS sld, {tld_sql('d')} AS tld, len(string_split(d, '.')) AS nparts FROM nn0), "
+        + entropy_cte("fe", "nn", "domain", "sld") + ", "
+        "pos AS (SELECT domain, i, substr(sld, CAST(i AS INTEGER), 1) AS ch FROM "
+        "(SELECT domain, sld, unnest(range(1, length(sld) + 1)) AS i FROM nn)), "
+        "lagged AS (SELECT domain, i, ch, lag(ch) OVER (PARTITION BY domain ORDER BY i) AS prev FROM pos), "
+        "runs AS (SELECT domain, sum(CASE WHEN prev IS NULL OR prev <> ch THEN 1 ELSE 0 END) "
+        "OVER (PARTITION BY domain ORDER BY i) AS rid FROM lagged), "
+        "mr AS (SELECT domain, max(cnt) AS mc FROM (SELECT domain, rid, count(*) AS cnt FROM runs GROUP BY domain, rid) "
+        "GROUP BY domain), "
+        "tr AS (SELECT domain, sum(CASE WHEN (regexp_full_match(ch, '\\p{Nd}') AND regexp_full_match(prev, '\\p{L}')) "
+        "OR (regexp_full_match(ch, '\\p{L}') AND regexp_full_match(prev, '\\p{Nd}')) THEN 1 ELSE 0 END) AS tn "
+        "FROM lagged WHERE prev IS NOT NULL GROUP BY domain)")
+
+
+def _cnt(x: str, cls: str) -> str:
+    return f"(length({x}) - length(regexp_replace({x}, '{cls}', '', 'g')))"
+
+
+def _ratio(num: str, den: str) -> str:
+    return f"(CASE WHEN length({den}) > 0 THEN {num} / length({den}) ELSE 0.0 END)"
+
+
+def domain_feature_sql() -> str:
+    feats = (
+        "CAST(length(d) AS INTEGER) AS domain_length, CAST(length(sld) AS INTEGER) AS sld_length, "
+        "CAST(length(tld) AS INTEGER) AS tld_length, CAST(greatest(nparts - 2, 0) AS INTEGER) AS subdomain_count, "
+        f"CASE WHEN tld IN {_in(dom.COMMON_TLDS)} THEN 1 ELSE 0 END AS tld_is_common, "
+        "round(coalesce(fe.entropy, 0.0), 6) AS sld_entropy, "
+        f"round({_ratio(_cnt('sld', chr(92) + 'p{Nd}'), 'sld')}, 6) AS digit_ratio, "
+        f"round({_ratio(_cnt('sld', chr(92) + 'p{L}'), 'sld')}, 6) AS alpha_ratio, "
+        f"CAST({_cnt('sld', '-')} AS INTEGER) AS hyphen_count, "
+        f"CASE WHEN {_cnt('sld', chr(92) + 'p{Nd}')} > 0 THEN 1 ELSE 0 END AS has_digit, "
+        "CAST(coalesce(mr.mc, 1) AS INTEGER) AS max_consecutive, "
+        f"round({_ratio(_cnt('d', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{Nd}.' + chr(92) + '-]'), 'd')}, 6) AS special_char_ratio, "
+        f"round({_ratio('coalesce(tr.tn, 0)', 'sld')}, 6) AS transition_ratio, "
+        f"round({_ratio(_cnt('sld', '[aeiou]'), 'sld')}, 6) AS vowel_ratio, "
+        f"CASE WHEN regexp_full_match(d, '{chr(92)}d{{1,3}}({chr(92)}.{chr(92)}d{{1,3}}){{3}}') THEN 1 ELSE 0 END AS is_ip")
+    return with_flows(
+        f"SELECT nn.domain, {feats} FROM nn LEFT JOIN fe USING (domain) LEFT JOIN mr USING (domain) "
+        f"LEFT JOIN tr USING (domain)", _names_features_ctes())
+
+
+def rule_score_sql() -> str:
+    t = rule_tenths_sql("nn.d", "nn.sld", "fe.entropy")
+    return with_flows(
+        f"SELECT nn.domain, round(least({t} / 10.0, 1.0), 6) AS rule_score, "
+        f"{t} >= {dom.RULE_SUSPICIOUS_TENTHS} AS is_suspicious FROM nn LEFT JOIN fe USING (domain)",
+        _names_features_ctes())
+
+
+# --- anomaly (P13, M1, M2, M3, A13) ----------------------------------------------
+
+def _scored_ctes() -> str:
+    cols = {"b": "bidirectional_bytes", "p": "bidirectional_packets", "d": "bidirectional_duration_ms"}
+    x = {k: f"coalesce(CAST({c} AS DOUBLE), 0.0)" for k, c in cols.items()}
+    med = ", ".join(f"quantile_cont({x[k]}, 0.5) AS m{k}" for k in cols)
+    mad = ", ".join(f"quantile_cont(abs({x[k]} - m{k}), 0.5) AS a{k}" for k in cols)
+    raw = " + ".join(f"(CASE WHEN a{k} > 0 THEN abs(({x[k]} - m{k}) / a{k}) ELSE 0.0 END)" for k in cols)
+    return (f"med AS (SELECT {med} FROM flows), mad AS (SELECT {mad} FROM flows, med), "
+            f"raw AS (SELECT f.*, 0.0 + {raw} AS raw FROM flows f, med, mad), "
+            "mx AS (SELECT max(raw) AS mx FROM raw), "
+            "scored AS (SELECT raw.*, CASE WHEN mx > 0 THEN raw / mx ELSE raw END AS anomaly_score FROM raw, mx), "
+            "thr AS (SELECT quantile_cont(anomaly_score, 0.95) AS thr FROM scored), "
+            "flagged AS (SELECT scored.*, anomaly_score >= thr AS is_anomaly FROM scored, thr)")
+
+
+def anomaly_sql() -> dict[str, str]:
+    from netsift.operators import anomaly as an
+    q = {}
+    q["anomaly_scores"] = with_flows(
+        "SELECT src_ip, dst_ip, dst_port, bidirectional_bytes, round(anomaly_score, 6) AS anomaly_score, is_anomaly "
+        "FROM flagged", _scored_ctes())
+    q["anomaly_summary"] = with_flows(
+        "SELECT count(*) AS total_flows, count(*) FILTER (WHERE is_anomaly) AS anomaly_count, "
+        "round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE is_anomaly) * 100.0 / count(*) ELSE 0.0 END, 6) "
+        "AS anomaly_rate FROM flagged", _scored_ctes())
+    q["anomaly_top"] = with_flows(
+        "SELECT src_ip, dst_ip, dst_port, bidirectional_bytes, round(anomaly_score, 6) AS anomaly_score FROM flagged "
+        "WHERE is_anomaly ORDER BY anomaly_score DESC, bidirectional_bytes DESC, src_ip, dst_ip, dst_port LIMIT 20",
+        _scored_ctes())
+    x = {c: f"coalesce(CAST({c} AS DOUBLE), 0.0)" for c in an.ML_FEATURES}
+    st = ", ".join(f"avg({x[c]}) AS m_{c}, stddev_pop({x[c]}) AS s_{c}" for c in an.ML_FEATURES)
+    sc = ", ".join(f"round(({x[c]} - m_{c}) / (CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END), 4) AS {c}"
+                   for c in an.ML_FEATURES)
+    q["standard_scaled_features"] = with_flows(
+        f"SELECT src_ip, dst_ip, {sc} FROM flows, st", f"st AS (SELECT {st} FROM flows)")
     return q
