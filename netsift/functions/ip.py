@@ -57,6 +57,17 @@ def ipv4_to_long(c) -> Column:
     return F.when(c.rlike(IPV4_STRICT), val)
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``fn(x)`` with ``x`` bound to ``value`` once.
+
+    Range predicates test the parsed address many times; written inline,
+    Catalyst copies the whole parse into every test (and pushes it through
+    projections), which can exceed the JVM method-size limit of generated
+    code. Binding it through a one-element ``transform`` keeps a single copy.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def in_ranges(v: Column, ranges: list[tuple[int, int]]) -> Column:
     if not ranges:
         return F.lit(False)
@@ -80,44 +91,59 @@ def is_private_pattern(c) -> Column:
     return F.coalesce(_col(c).rlike(PRIVATE_IP_PATTERN), F.lit(False))
 
 
-def is_external_ip(c) -> Column:
+def with_ipv4(df, col: str, name: str | None = None):
+    """Add the BIGINT form of an address column once (``_<col>_v4``), so range
+    predicates test a column reference instead of re-parsing the text."""
+    name = name or f"_{col}_v4"
+    return df.withColumn(name, ipv4_to_long(col)), F.col(name)
+
+
+def is_external_ip(c, v: Column | None = None) -> Column:
     """Parses as an address and is not private, loopback or link-local.
 
-    Unparsable values (and NULL) are false, i.e. dropped by a filter.
+    Unparsable values (and NULL) are false, i.e. dropped by a filter. Pass
+    ``v`` (from ``with_ipv4``) to avoid re-parsing the text per range test.
     """
     c = _col(c)
-    v = ipv4_to_long(c)
-    v4 = (v.isNotNull()
-          & ~((in_ranges(v, V4_PRIVATE) & ~in_ranges(v, V4_PRIVATE_EXCEPT))
-              | in_ranges(v, V4_LOOPBACK) | in_ranges(v, V4_LINK_LOCAL)))
-    v6 = v.isNull() & is_ipv6_text(c) & ~_v6_private(c)
-    return F.coalesce(v4 | v6, F.lit(False))
+
+    def pred(x: Column) -> Column:
+        v4 = (x.isNotNull()
+              & ~((in_ranges(x, V4_PRIVATE) & ~in_ranges(x, V4_PRIVATE_EXCEPT))
+                  | in_ranges(x, V4_LOOPBACK) | in_ranges(x, V4_LINK_LOCAL)))
+        v6 = x.isNull() & is_ipv6_text(c) & ~_v6_private(c)
+        return F.coalesce(v4 | v6, F.lit(False))
+
+    return let(ipv4_to_long(c) if v is None else v, pred)
 
 
-def is_ip_private(c) -> Column:
+def is_ip_private(c, v: Column | None = None) -> Column:
     """Python ``ip_address(x).is_private`` for IPv4 (NULL when unparsable)."""
-    v = ipv4_to_long(c)
-    return F.when(v.isNotNull(), in_ranges(v, V4_PRIVATE) & ~in_ranges(v, V4_PRIVATE_EXCEPT)) \
-        .when(is_ipv6_text(c), _v6_private(_col(c)))
+    def pred(x: Column) -> Column:
+        return F.when(x.isNotNull(), in_ranges(x, V4_PRIVATE) & ~in_ranges(x, V4_PRIVATE_EXCEPT)) \
+            .when(is_ipv6_text(c), _v6_private(_col(c)))
 
+    return let(ipv4_to_long(c) if v is None else v, pred)
 
-def is_graph_valid_ip(c) -> Column:
-    """Endpoint kept in the communication graph."""
+
+def is_graph_valid_ip(c, v: Column | None = None) -> Column:
+    """Endpoint kept in the communication graph (``v``: BIGINT of the trimmed text)."""
     c = _col(c)
     s = F.trim(c)
-    v = ipv4_to_long(s)
-    v4_ok = v.isNotNull() & ~(in_ranges(v, V4_MULTICAST) | in_ranges(v, V4_LINK_LOCAL)
-                              | in_ranges(v, V4_RESERVED) | (v == 0))
-    v6_ok = v.isNull() & is_ipv6_text(s) & ~(F.lower(s).startswith("ff") | F.lower(s).rlike("^fe[89ab]")
-                                             | (F.lower(s) == "::"))
-    ok = (s != "") & ~s.isin(*GRAPH_DROP) & ~s.endswith(".255") & (v4_ok | v6_ok)
-    return F.coalesce(ok, F.lit(False))
+    def pred(x: Column) -> Column:
+        v4_ok = x.isNotNull() & ~(in_ranges(x, V4_MULTICAST) | in_ranges(x, V4_LINK_LOCAL)
+                                  | in_ranges(x, V4_RESERVED) | (x == 0))
+        v6_ok = x.isNull() & is_ipv6_text(s) & ~(F.lower(s).startswith("ff") | F.lower(s).rlike("^fe[89ab]")
+                                                 | (F.lower(s) == "::"))
+        ok = (s != "") & ~s.isin(*GRAPH_DROP) & ~s.endswith(".255") & (v4_ok | v6_ok)
+        return F.coalesce(ok, F.lit(False))
+
+    return let(ipv4_to_long(s) if v is None else v, pred)
 
 
-def ip_category(c) -> Column:
+def ip_category(c, v: Column | None = None) -> Column:
     """Gateway/Router, Internal Host, Public DNS or External Server."""
     c = _col(c)
-    priv = F.coalesce(is_ip_private(c), F.lit(False))
+    priv = F.coalesce(is_ip_private(c, v), F.lit(False))
     return (F.when(priv & (c.endswith(".1") | c.endswith(".254")), "Gateway/Router")
             .when(priv, "Internal Host")
             .when(c.isin(*PUBLIC_DNS), "Public DNS")

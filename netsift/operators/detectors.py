@@ -130,23 +130,27 @@ def threat_domains_alerts(flows: DataFrame, indicators: DataFrame) -> DataFrame:
 
 # --- D2: unknown domains (model or rule branch) --------------------------------
 
-def unknown_domains(flows: DataFrame, scores: DataFrame | None = None,
-                    threshold: float = ML_DOMAIN_THRESHOLD) -> DataFrame:
-    """D2 findings: domain, ml_score, severity, query_count, source_ips.
+def unknown_domain_names(flows: DataFrame, scores: DataFrame | None = None,
+                         threshold: float = ML_DOMAIN_THRESHOLD) -> DataFrame:
+    """D2 flagged set ``(domain, ml_score)`` without per-name statistics.
 
     With ``scores(domain, probability)`` from a trained model (M10) a name is
     flagged at probability >= threshold. Without a model the rule check (M7)
     decides and the score is 0.0, as in the reference.
     """
-    dns = dns_flows(flows)
-    names = dns.where(F.col("requested_server_name").isNotNull()) \
+    names = dns_flows(flows).where(F.col("requested_server_name").isNotNull()) \
         .select(F.col("requested_server_name").alias("domain")).distinct()
     if scores is None:
-        flagged = names.where(dom.rule_suspicious("domain")).select("domain", F.lit(0.0).alias("ml_score"))
-    else:
-        flagged = (names.join(scores.select("domain", F.col("probability").alias("ml_score")), "domain")
-                   .where(F.col("ml_score") >= threshold))
-    stats = domain_query_stats(dns, flagged)
+        return names.where(dom.rule_suspicious("domain")).select("domain", F.lit(0.0).alias("ml_score"))
+    return (names.join(scores.select("domain", F.col("probability").alias("ml_score")), "domain")
+            .where(F.col("ml_score") >= threshold))
+
+
+def unknown_domains(flows: DataFrame, scores: DataFrame | None = None,
+                    threshold: float = ML_DOMAIN_THRESHOLD) -> DataFrame:
+    """D2 findings: domain, ml_score, severity, query_count, source_ips."""
+    flagged = unknown_domain_names(flows, scores, threshold)
+    stats = domain_query_stats(dns_flows(flows), flagged)
     return (flagged.join(stats, "domain")
             .select("domain", "ml_score",
                     F.when(F.col("ml_score") > ML_HIGH_SEVERITY, "HIGH").otherwise("MEDIUM").alias("severity"),

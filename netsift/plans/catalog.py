@@ -107,10 +107,41 @@ def anomaly_queries() -> dict[str, Query]:
     return q
 
 
+def reputation_queries() -> dict[str, Query]:
+    from netsift.operators import reputation as rp
+
+    def cache(t: Tables) -> DataFrame:
+        return rp.cache_from_snapshot(t.ip_reputation)
+
+    q: dict[str, Query] = {}
+    q["ip_reputation_tiers"] = _q(lambda t: rp.ip_tiers(t.flows, cache(t)).select("ip", "tier", "abuse_score", "age_days"))
+    q["ip_pending_lookups"] = _q(lambda t: rp.pending_ips(t.flows, cache(t)))
+    q["detect_malicious_ips"] = _q(lambda t: rp.malicious_ips(t.flows, cache(t), t.ip_reputation))
+    q["malicious_ip_listing"] = _q(lambda t: rp.malicious_ip_listing(t.flows, cache(t), t.ip_reputation))
+    q["reputation_cache_get"] = _q(lambda t: rp.cache_get(
+        cache(t), t.flows.select(F.col("dst_ip").alias("key"))).select("key", "level", "age_days"))
+    q["reputation_cache_upsert"] = _q(lambda t: rp.cache_upsert(
+        cache(t), rp.new_cache_entries(t.flows, cache(t), t.ip_reputation)).select("key", "level", "age_days", "abuse_score"))
+    q["reputation_cache_expire"] = _q(lambda t: rp.cache_expire(cache(t))[1])
+    q["reputation_cache_stats"] = _q(lambda t: rp.cache_stats(cache(t), t.flows.select(F.col("dst_ip").alias("key"))))
+    q["ip_cache_hours_live"] = _q(lambda t: rp.hour_cache_live(cache(t), F.col("age_days") * 24).select("key", "level"))
+    q["safe_list_days_left"] = _q(lambda t: rp.safe_days_left(cache(t)))
+    q["reputation_lookup_stats"] = _q(lambda t: rp.lookup_stats(t.flows, cache(t), t.ip_reputation))
+    q["domain_candidates"] = _q(lambda t: rp.candidate_domains(t.flows, det.unknown_domain_names(t.flows)))
+    q["domain_gate"] = _q(lambda t: rp.gate_domains(rp.candidate_domains(t.flows, det.unknown_domain_names(t.flows))))
+    q["domain_triage"] = _q(lambda t: rp.triage_domains(t.flows, t.domain_reputation,
+                                                        flagged=det.unknown_domain_names(t.flows))
+                            .select("domain", "severity", "judgment", "outcome"))
+    q["detect_domain_threats"] = _q(lambda t: rp.domain_threats(t.flows, t.domain_reputation,
+                                                                flagged=det.unknown_domain_names(t.flows)))
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(flow_queries())
     q.update(detector_queries())
     q.update(domain_queries())
     q.update(anomaly_queries())
+    q.update(reputation_queries())
     return q

@@ -214,6 +214,7 @@ def oracle_sql() -> dict[str, str]:
     q["domain_features"] = domain_feature_sql()
     q["domain_rule_score"] = rule_score_sql()
     q.update(anomaly_sql())
+    q.update(reputation_sql())
     return q
 
 
@@ -311,3 +312,122 @@ def anomaly_sql() -> dict[str, str]:
     q["standard_scaled_features"] = with_flows(
         f"SELECT src_ip, dst_ip, {sc} FROM flows, st", f"st AS (SELECT {st} FROM flows)")
     return q
+
+
+# --- reputation (C1-C8, J6-J9, D16-D18) -------------------------------------------
+
+def ipv4_long_sql(x: str) -> str:
+    p = lambda i: f"CAST(string_split({x}, '.')[{i}] AS BIGINT)"
+    return (f"(CASE WHEN regexp_full_match({x}, {_q(ipf.IPV4_STRICT[1:-1])}) THEN "
+            f"{p(1)} * 16777216 + {p(2)} * 65536 + {p(3)} * 256 + {p(4)} END)")
+
+
+def _ranges_sql(v: str, ranges) -> str:
+    return "(" + " OR ".join(f"{v} BETWEEN {lo} AND {hi}" for lo, hi in ranges) + ")" if ranges else "false"
+
+
+def external_sql(x: str) -> str:
+    v = ipv4_long_sql(x)
+    priv = f"({_ranges_sql(v, ipf.V4_PRIVATE)} AND NOT {_ranges_sql(v, ipf.V4_PRIVATE_EXCEPT)})"
+    return (f"coalesce({v} IS NOT NULL AND NOT ({priv} OR {_ranges_sql(v, ipf.V4_LOOPBACK)} "
+            f"OR {_ranges_sql(v, ipf.V4_LINK_LOCAL)}), false)")
+
+
+def level_sql(score: str, isp: str) -> str:
+    from netsift.operators import reputation as rp
+    cloud = " OR ".join(f"contains(coalesce({isp}, ''), {_q(c)})" for c in rp.KNOWN_CLOUD_PROVIDERS)
+    return (f"(CASE WHEN {score} < {rp.SAFE_BELOW} AND {score} = {rp.WHITELIST_SCORE} AND ({cloud}) THEN 'whitelist' "
+            f"WHEN {score} < {rp.SAFE_BELOW} THEN 'safe' WHEN {score} >= {rp.THREAT_AT} THEN 'malicious' END)")
+
+
+def live_sql(level: str, age: str) -> str:
+    from netsift.operators import reputation as rp
+    parts = " ".join(f"WHEN {_q(l)} THEN {'true' if t is None else f'{age} < {t}'}" for l, t in rp.TTL_DAYS.items())
+    return f"(CASE {level} {parts} ELSE false END)"
+
+
+def _order_sql(level: str, order) -> str:
+    return "(CASE " + " ".join(f"WHEN {level} = {_q(l)} THEN {i}" for i, l in enumerate(order)) + f" ELSE {len(order)} END)"
+
+
+def reputation_sql() -> dict[str, str]:
+    from netsift.operators import reputation as rp
+    base = (f"rep AS ({fx.ip_reputation_sql('duckdb')}), "
+            f"cache AS (SELECT ip AS key, {level_sql('abuse_score', 'isp')} AS level, age_days, abuse_score, isp FROM rep), "
+            f"live AS (SELECT * FROM cache WHERE {live_sql('level', 'age_days')}), "
+            f"ext AS (SELECT DISTINCT dst_ip AS key FROM flows WHERE dst_ip IS NOT NULL AND {external_sql('dst_ip')}), "
+            f"tiers AS (SELECT key AS ip, level AS tier, abuse_score, isp, age_days FROM (SELECT l.*, row_number() OVER "
+            f"(PARTITION BY key ORDER BY {_order_sql('level', rp.TIER_ORDER)}, age_days) AS rn FROM live l "
+            f"WHERE key IN (SELECT key FROM ext)) WHERE rn = 1), "
+            f"pending AS (SELECT key AS ip FROM ext WHERE key NOT IN (SELECT key FROM live)), "
+            f"lookup AS (SELECT p.ip, r.abuse_score, r.isp, {level_sql('r.abuse_score', 'r.isp')} AS level "
+            f"FROM pending p JOIN rep r ON p.ip = r.ip), "
+            f"mal AS (SELECT ip, abuse_score, isp, CASE WHEN abuse_score >= {rp.HIGH_AT} THEN 'HIGH' ELSE 'MEDIUM' END "
+            f"AS severity, CASE WHEN abuse_score >= {rp.HIGH_AT} THEN 0.95 ELSE 0.7 END AS confidence "
+            f"FROM lookup WHERE level = 'malicious')")
+    q = {}
+    q["ip_reputation_tiers"] = with_flows("SELECT ip, tier, abuse_score, age_days FROM tiers", base)
+    q["ip_pending_lookups"] = with_flows("SELECT ip FROM pending", base)
+    q["detect_malicious_ips"] = with_flows(
+        "SELECT ip, abuse_score, isp, severity, CAST(confidence AS DOUBLE) AS confidence FROM mal", base)
+    q["malicious_ip_listing"] = with_flows(
+        "SELECT ip, abuse_score, 'cache' AS origin FROM tiers WHERE tier = 'malicious' "
+        "UNION ALL SELECT ip, abuse_score, 'lookup' FROM mal", base)
+    q["reputation_cache_get"] = with_flows(
+        f"SELECT key, level, age_days FROM (SELECT l.*, row_number() OVER (PARTITION BY key ORDER BY "
+        f"{_order_sql('level', rp.GET_ORDER)}, age_days) AS rn FROM live l WHERE key IN "
+        f"(SELECT dst_ip FROM flows)) WHERE rn = 1", base)
+    q["reputation_cache_upsert"] = with_flows(
+        "SELECT key, level, age_days, abuse_score FROM (SELECT *, row_number() OVER (PARTITION BY key, level "
+        "ORDER BY src DESC, age_days) AS rn FROM (SELECT key, level, age_days, abuse_score, 0 AS src FROM cache "
+        "UNION ALL SELECT ip, level, 0, abuse_score, 1 FROM lookup)) WHERE rn = 1", base)
+    q["reputation_cache_expire"] = with_flows(
+        f"SELECT level, count(*) FILTER (WHERE NOT {live_sql('level', 'age_days')}) AS removed FROM cache GROUP BY level",
+        base)
+    q["reputation_cache_stats"] = with_flows(
+        "SELECT hits, misses, whitelist_size, safe_size, malicious_size, "
+        "round(CASE WHEN hits + misses > 0 THEN hits / (hits + misses) ELSE 0.0 END, 6) AS hit_rate FROM ("
+        "SELECT count(*) FILTER (WHERE h.key IS NOT NULL) AS hits, count(*) FILTER (WHERE h.key IS NULL) AS misses, "
+        "(SELECT count(*) FROM cache WHERE level = 'whitelist') AS whitelist_size, "
+        "(SELECT count(*) FROM cache WHERE level = 'safe') AS safe_size, "
+        "(SELECT count(*) FROM cache WHERE level = 'malicious') AS malicious_size "
+        "FROM flows f LEFT JOIN (SELECT DISTINCT key FROM live) h ON f.dst_ip = h.key)", base)
+    q["ip_cache_hours_live"] = with_flows(
+        f"SELECT key, level FROM cache WHERE age_days * 24 <= {rp.IP_CACHE_TTL_HOURS}", base)
+    q["safe_list_days_left"] = with_flows(
+        f"SELECT key, {rp.SAFE_DOMAIN_TTL_DAYS} - age_days AS days_left FROM cache WHERE level = 'safe' "
+        f"AND {rp.SAFE_DOMAIN_TTL_DAYS} - age_days > 0", base)
+    q["reputation_lookup_stats"] = with_flows(
+        "SELECT (SELECT count(*) FROM cache WHERE level = 'whitelist') AS whitelist_size, "
+        "(SELECT count(*) FROM cache WHERE level = 'safe') AS safe_size, "
+        "(SELECT count(*) FROM cache WHERE level = 'malicious') AS malicious_size, "
+        "(SELECT count(*) FROM lookup) AS api_queries, (SELECT count(*) FROM tiers) AS cache_hits", base)
+    # domain triage
+    nd = "rtrim(lower(requested_server_name), '.')"
+    safe = fx.values_sql(rp.SAFE_DOMAIN_KEYWORDS, "s")
+    nf = norm_full_sql("domain")
+    dbase = (f"cand AS (SELECT DISTINCT {nd} AS domain FROM flows WHERE application_name = 'DNS' "
+             f"AND requested_server_name IS NOT NULL), "
+             f"cand2 AS (SELECT domain, {nf} AS d FROM cand WHERE NOT EXISTS (SELECT 1 FROM ({safe}) sk "
+             f"WHERE cand.domain = sk.s OR ends_with(cand.domain, '.' || sk.s))), "
+             f"cand3 AS (SELECT domain, d, {sld_sql('d')} AS sld FROM cand2), "
+             + entropy_cte("ge", "cand3", "domain", "sld") + ", "
+             f"gated AS (SELECT cand3.domain FROM cand3 LEFT JOIN ge USING (domain) "
+             f"WHERE {rule_tenths_sql('cand3.d', 'cand3.sld', 'ge.entropy')} >= {dom.RULE_SUSPICIOUS_TENTHS}), "
+             f"drep AS (SELECT rtrim(lower(domain), '.') AS domain, severity, judgment, is_malicious FROM "
+             f"({fx.domain_reputation_sql('duckdb')})), "
+             f"tri AS (SELECT g.domain, r.severity, r.judgment, r.is_malicious, r.severity = 'suspicious' AS is_suspicious, "
+             f"CASE WHEN r.judgment = 'Whitelist' THEN 'whitelist' WHEN NOT r.is_malicious AND NOT (r.severity = 'suspicious') "
+             f"THEN 'safe' ELSE 'threat' END AS outcome FROM gated g JOIN drep r USING (domain)), "
+             f"dnsn AS (SELECT {nd} AS nname, * FROM flows WHERE application_name = 'DNS'), "
+             f"thr AS (SELECT domain FROM tri WHERE outcome = 'threat'), "
+             + domain_stats_cte("dst", "dnsn", "thr", key="nname"))
+    q["domain_candidates"] = with_flows("SELECT domain FROM cand", dbase)
+    q["domain_gate"] = with_flows("SELECT domain FROM gated", dbase)
+    q["domain_triage"] = with_flows("SELECT domain, severity, judgment, outcome FROM tri", dbase)
+    q["detect_domain_threats"] = with_flows(
+        "SELECT t.domain, t.severity, t.judgment, CASE WHEN t.is_malicious THEN 'HIGH' ELSE 'MEDIUM' END AS alert_severity, "
+        "CAST(CASE WHEN t.is_malicious THEN 0.95 ELSE 0.7 END AS DOUBLE) AS confidence, coalesce(s.query_count, 0) AS query_count, "
+        "coalesce(s.source_ips, '') AS source_ips FROM tri t LEFT JOIN dst s USING (domain) WHERE t.outcome = 'threat'",
+        dbase)
+    return q
