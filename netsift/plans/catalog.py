@@ -137,6 +137,35 @@ def reputation_queries() -> dict[str, Query]:
     return q
 
 
+def graph_queries() -> dict[str, Query]:
+    from netsift.operators import graph as gr
+    from netsift.operators import reputation as rp
+    from netsift.operators.alerts import union_alerts
+
+    def threat_sets(t: Tables):
+        rep = rp.cache_from_snapshot(t.ip_reputation)
+        ips = rep.where((F.col("level") == "malicious") & (F.col("abuse_score") >= rp.HIGH_AT)) \
+            .select(F.col("key").alias("value"))
+        return ips, t.threat_domains
+
+    def threat_graph(t: Tables):
+        ips, doms = threat_sets(t)
+        return gr.build_graph(t.flows, min_bytes=0, highlight_ips=ips, highlight_domains=doms)
+
+    def some_alerts(t: Tables) -> DataFrame:
+        return union_alerts([det.threat_domains_alerts(t.flows, t.threat_domains),
+                             det.dns_tunnel_alerts(t.flows), det.port_scan_alerts(t.flows)])
+
+    q: dict[str, Query] = {}
+    q["graph_edges_full"] = _q(lambda t: gr.build_graph(t.flows)["edges"])
+    q["graph_nodes_full"] = _q(lambda t: gr.build_graph(t.flows)["nodes"])
+    q["graph_edges_threat"] = _q(lambda t: threat_graph(t)["edges"])
+    q["graph_nodes_threat"] = _q(lambda t: threat_graph(t)["nodes"])
+    q["alert_ioc_ips"] = _q(lambda t: gr.alert_iocs(some_alerts(t))["ips"])
+    q["alert_ioc_domains"] = _q(lambda t: gr.alert_iocs(some_alerts(t))["domains"])
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(flow_queries())
@@ -144,4 +173,5 @@ def queries() -> dict[str, Query]:
     q.update(domain_queries())
     q.update(anomaly_queries())
     q.update(reputation_queries())
+    q.update(graph_queries())
     return q

@@ -215,6 +215,7 @@ def oracle_sql() -> dict[str, str]:
     q["domain_rule_score"] = rule_score_sql()
     q.update(anomaly_sql())
     q.update(reputation_sql())
+    q.update(graph_sql())
     return q
 
 
@@ -431,3 +432,125 @@ def reputation_sql() -> dict[str, str]:
         "coalesce(s.source_ips, '') AS source_ips FROM tri t LEFT JOIN dst s USING (domain) WHERE t.outcome = 'threat'",
         dbase)
     return q
+
+
+# --- graph (P7, P8, A14, J10, J11, G1-G5) ----------------------------------------
+
+def graph_valid_sql(x: str) -> str:
+    s = f"trim({x})"
+    v = ipv4_long_sql(s)
+    bad = (f"({_ranges_sql(v, ipf.V4_MULTICAST)} OR {_ranges_sql(v, ipf.V4_LINK_LOCAL)} "
+           f"OR {_ranges_sql(v, ipf.V4_RESERVED)} OR {v} = 0)")
+    return (f"coalesce({s} <> '' AND {s} NOT IN {_in(ipf.GRAPH_DROP)} AND NOT ends_with({s}, '.255') "
+            f"AND {v} IS NOT NULL AND NOT {bad}, false)")
+
+
+def category_sql(x: str) -> str:
+    v = ipv4_long_sql(x)
+    priv = f"coalesce({v} IS NOT NULL AND {_ranges_sql(v, ipf.V4_PRIVATE)} AND NOT {_ranges_sql(v, ipf.V4_PRIVATE_EXCEPT)}, false)"
+    return (f"(CASE WHEN {priv} AND (ends_with({x}, '.1') OR ends_with({x}, '.254')) THEN 'Gateway/Router' "
+            f"WHEN {priv} THEN 'Internal Host' WHEN {x} IN {_in(ipf.PUBLIC_DNS)} THEN 'Public DNS' "
+            f"ELSE 'External Server' END)")
+
+
+def _graph_base() -> str:
+    return (f"clean AS (SELECT * FROM flows WHERE {graph_valid_sql('src_ip')} AND {graph_valid_sql('dst_ip')}), "
+            "edges AS (SELECT src_ip AS source, dst_ip AS target, CAST(coalesce(sum(bidirectional_bytes), 0) AS BIGINT) AS value, "
+            "substr(coalesce(array_to_string(list_sort(list_distinct(list(application_name) FILTER "
+            "(WHERE application_name IS NOT NULL AND application_name <> ''))), ', '), ''), 1, 30) AS label "
+            "FROM clean GROUP BY src_ip, dst_ip), "
+            "st AS (SELECT src_ip AS id, sum(bidirectional_bytes) AS b FROM clean GROUP BY src_ip), "
+            "dt AS (SELECT dst_ip AS id, sum(bidirectional_bytes) AS b FROM clean GROUP BY dst_ip), "
+            "traffic AS (SELECT coalesce(st.id, dt.id) AS id, CAST(greatest(coalesce(st.b, 0), coalesce(dt.b, 0)) AS BIGINT) "
+            "AS traffic FROM st FULL JOIN dt ON st.id = dt.id)")
+
+
+def _ip_nodes_sql(edges: str, bad: str | None) -> str:
+    badj = f"LEFT JOIN (SELECT DISTINCT id FROM {bad}) bad ON bad.id = ids.id" if bad else ""
+    isbad = "bad.id IS NOT NULL" if bad else "false"
+    return (f"SELECT ids.id, 'ip' AS type, CASE WHEN {isbad} THEN 'Threat Node' ELSE {category_sql('ids.id')} END "
+            f"AS category, coalesce(t.traffic, 0) AS value, "
+            f"round(least(greatest(pow(CAST(coalesce(t.traffic, 0) AS DOUBLE), 0.35), 15.0), 70.0), 6) AS size, "
+            f"(coalesce(t.traffic, 0) > 100000 OR {isbad}) AS show_label, {isbad} AS is_bad_actor "
+            f"FROM (SELECT source AS id FROM {edges} UNION SELECT target FROM {edges}) ids "
+            f"LEFT JOIN traffic t ON t.id = ids.id {badj}")
+
+
+def graph_sql() -> dict[str, str]:
+    from netsift.operators import graph as gr
+    q = {}
+    base = _graph_base()
+    full = f"kept AS (SELECT * FROM edges WHERE value >= {gr.DEFAULT_MIN_BYTES})"
+    q["graph_edges_full"] = with_flows(
+        "SELECT source, target, value, label, false AS is_highlighted, 'ip' AS kind, "
+        "round(least(value / 1e6 + 1.0, 6.0), 6) AS width FROM kept", base + ", " + full)
+    q["graph_nodes_full"] = with_flows(_ip_nodes_sql("kept", None), base + ", " + full)
+    from netsift.operators import reputation as rp
+    thr = (f"rep AS ({fx.ip_reputation_sql('duckdb')}), "
+           f"hip AS (SELECT DISTINCT ip AS value FROM rep WHERE {level_sql('abuse_score', 'isp')} = 'malicious' "
+           f"AND abuse_score >= {rp.HIGH_AT}), "
+           f"hd AS (SELECT DISTINCT lower(value) AS domain FROM ({fx.values_sql(fx.THREAT_DOMAINS, 'value')}) "
+           f"WHERE lower(value) <> ''), "
+           "names AS (SELECT DISTINCT src_ip AS source, dst_ip AS target, lower(requested_server_name) AS sni FROM clean "
+           "WHERE requested_server_name IS NOT NULL AND requested_server_name <> ''), "
+           "nm AS (SELECT n.source, n.target, n.sni, arg_max(hd.domain, length(hd.domain)) AS domain FROM names n "
+           "JOIN hd ON n.sni = hd.domain OR ends_with(n.sni, '.' || hd.domain) GROUP BY n.source, n.target, n.sni), "
+           "matches AS (SELECT DISTINCT source, target, domain FROM nm), "
+           "ipe AS (SELECT e.* FROM edges e WHERE e.source IN (SELECT value FROM hip) OR e.target IN (SELECT value FROM hip) "
+           "OR EXISTS (SELECT 1 FROM matches m WHERE m.source = e.source AND m.target = e.target)), "
+           "de AS (SELECT DISTINCT m.source, m.domain AS target, e.value FROM matches m JOIN edges e "
+           "ON m.source = e.source AND m.target = e.target), "
+           "badset AS (SELECT source AS id FROM de UNION SELECT value FROM hip)")
+    q["graph_edges_threat"] = with_flows(
+        "SELECT source, target, value, label, true AS is_highlighted, 'ip' AS kind, "
+        "round(least(value / 1e6 + 1.0, 6.0), 6) AS width FROM ipe UNION ALL "
+        f"SELECT source, target, value, '{gr.DOMAIN_EDGE_LABEL}', true, 'domain', 3.0 FROM de", base + ", " + thr)
+    q["graph_nodes_threat"] = with_flows(
+        _ip_nodes_sql("ipe", "badset") + " UNION ALL SELECT DISTINCT target, 'domain', 'Domain', CAST(0 AS BIGINT), "
+        f"{float(gr.DOMAIN_NODE_SIZE)}, true, false FROM de", base + ", " + thr)
+    # G5 over the alerts of D1, D3 and D14
+    d1 = ("SELECT [domain, matched_threat_domain, CAST(query_count AS VARCHAR), source_ips] AS ev, "
+          "printf('Access to threat domain %s (matches %s)', domain, matched_threat_domain) AS descr, "
+          "domain AS evdom, [domain, matched_threat_domain] AS ioc FROM d1")
+    d3 = ("SELECT [dst_ip, CAST(packet_count AS VARCHAR)], printf('Possible DNS tunnel via %s (%d packets)', dst_ip, "
+          "packet_count), NULL, [dst_ip] FROM d3")
+    d14 = ("SELECT [src_ip, CAST(ports AS VARCHAR), CAST(targets AS VARCHAR)], "
+           "printf('Port scan: %s probed %d ports on %d targets', src_ip, ports, targets), NULL, [src_ip] FROM d14")
+    src = oracle_sql_parts()
+    al = (src + f", alerts AS ({d1} UNION ALL {d3} UNION ALL {d14}), "
+          "texts AS (SELECT unnest(list_append(ev, descr)) AS t FROM alerts), "
+          "iocs AS (SELECT unnest(ioc) AS v FROM alerts)")
+    ipre = gr.IP_TEXT_PATTERN
+    dre = gr.DOMAIN_TEXT_PATTERN
+    looks_ip = lambda x: (f"(regexp_matches({x}, '^(?:\\d{{1,3}}\\.){{3}}\\d{{1,3}}\\b') AND "
+                          f"length({x}) - length(replace({x}, '.', '')) = 3)")
+    valid = lambda x: (f"(trim(lower({x})) <> '' AND contains(trim(lower({x})), '.') AND NOT ends_with(trim(lower({x})), '.') "
+                       f"AND NOT {looks_ip(f'trim(lower({x}))')})")
+    q["alert_ioc_ips"] = with_flows(
+        f"SELECT DISTINCT value FROM (SELECT unnest(regexp_extract_all(t, {_q(ipre)})) AS value FROM texts "
+        f"WHERE t IS NOT NULL UNION ALL SELECT v FROM iocs WHERE v IS NOT NULL AND {looks_ip('v')})", al)
+    q["alert_ioc_domains"] = with_flows(
+        f"SELECT DISTINCT value FROM (SELECT lower(d) AS value FROM (SELECT unnest(regexp_extract_all(t, {_q(dre)})) AS d "
+        f"FROM texts WHERE t IS NOT NULL) WHERE {valid('d')} "
+        f"UNION ALL SELECT evdom FROM alerts WHERE evdom IS NOT NULL AND {valid('evdom')} "
+        f"UNION ALL SELECT lower(v) FROM iocs WHERE v IS NOT NULL AND NOT {looks_ip('v')} AND {valid('v')})", al)
+    return q
+
+
+def oracle_sql_parts() -> str:
+    """CTEs d1, d3, d14: the findings of three detectors (for G5)."""
+    dns = "dns AS (SELECT * FROM flows WHERE application_name = 'DNS')"
+    names = "names AS (SELECT DISTINCT requested_server_name AS domain FROM dns WHERE requested_server_name IS NOT NULL)"
+    ind = (f"ind AS (SELECT DISTINCT rtrim(lower(value), '.') AS matched FROM ({fx.values_sql(fx.THREAT_DOMAINS, 'value')}) "
+           f"WHERE rtrim(lower(value), '.') <> '')")
+    return (f"{dns}, {names}, {ind}, m AS (SELECT n.domain, arg_max(i.matched, length(i.matched)) AS matched_threat_domain "
+            f"FROM names n JOIN ind i ON rtrim(lower(n.domain), '.') = i.matched "
+            f"OR ends_with(rtrim(lower(n.domain), '.'), '.' || i.matched) GROUP BY n.domain), "
+            + domain_stats_cte("st", "dns", "m")
+            + ", d1 AS (SELECT m.domain, m.matched_threat_domain, s.query_count, s.source_ips FROM m JOIN st s USING (domain)), "
+            f"d3 AS (SELECT dst_ip, CAST(sum(bidirectional_packets) AS BIGINT) AS packet_count FROM flows "
+            f"WHERE application_name = 'DNS' AND dst_ip IS NOT NULL GROUP BY dst_ip "
+            f"HAVING sum(bidirectional_packets) > {det.DNS_TUNNEL_PACKETS}), "
+            f"d14 AS (SELECT src_ip, count(DISTINCT dst_port) AS ports, count(DISTINCT dst_ip) AS targets FROM flows "
+            f"WHERE src_ip IS NOT NULL GROUP BY src_ip HAVING count(DISTINCT dst_port) > {det.SCAN_MIN_PORTS} "
+            f"AND count(DISTINCT dst_ip) < {det.SCAN_MAX_TARGETS})")
