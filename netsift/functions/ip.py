@@ -162,6 +162,6 @@ def cidr_bounds(c) -> tuple[Column, Column, Column]:
     addr = F.split(c, "/").getItem(0)
     plen = F.coalesce(F.split(c, "/").getItem(1).cast("int"), F.lit(32))
     base = ipv4_to_long(addr)
-    size = F.shiftleft(F.lit(1).cast("bigint"), 32 - plen)
+    size = F.pow(F.lit(2.0), 32 - plen).cast("bigint")  # exact below 2^53
     start = base - F.pmod(base, size)
     return start, start + size - 1, plen

@@ -59,10 +59,11 @@ def contains_any_join(values: DataFrame, value_col: str, items: DataFrame, item_
                         lambda p: F.instr(low, p) > 0)
         return values.withColumn("matched", hits).where(F.size("matched") > 0)
     lengths = [r["L"] for r in low_items.select(F.length("item").alias("L")).distinct().collect()]
-    keyed = values.withColumn("_rid", F.monotonically_increasing_id())
-    subs = keyed.select("_rid", F.explode(substrings_of_lengths(F.lower(F.col(value_col)), lengths)).alias("item"))
-    hit = subs.join(low_items, "item").groupBy("_rid").agg(F.array_sort(F.collect_set("item")).alias("matched"))
-    return keyed.join(hit, "_rid").drop("_rid")
+    d = values.select(F.col(value_col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    subs = d.select("_v", F.explode(substrings_of_lengths(F.lower(F.col("_v")), lengths)).alias("item"))
+    hit = (subs.join(low_items, "item").groupBy("_v")
+           .agg(F.array_sort(F.collect_set("item")).alias("matched")).withColumnRenamed("_v", value_col))
+    return values.join(hit, value_col)
 
 
 def cidr_table(cidrs: DataFrame, value_col: str = "value", bucket_bits: int = 16) -> DataFrame:
@@ -79,7 +80,7 @@ def match_cidr(df: DataFrame, ip_col: str, cidrs: DataFrame, bucket_bits: int =
     """J12 building block: rows of ``df`` with an IPv4 ``ip_col`` inside a CIDR.
 
     Range join as equi-join on the /16 bucket plus a range predicate; adds
-    ``cidr`` (the most specific matching block).
+    ``cidr`` (one row per matching block).
     """
     ranges = cidr_table(cidrs, bucket_bits=bucket_bits)
     v = ipf.ipv4_to_long(ip_col)

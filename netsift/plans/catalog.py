@@ -166,6 +166,143 @@ def graph_queries() -> dict[str, Query]:
     return q
 
 
+# --- indicators and feeds -------------------------------------------------------------
+
+NOW_EPOCH = 1767225600  # fixed "now" of the indicator queries (2026-01-01T00:00:00Z)
+
+
+def _stamp(hours) -> F.Column:
+    return F.timestamp_seconds(F.lit(NOW_EPOCH) - hours.cast("bigint") * 3600)
+
+
+def _page_hosts(t: Tables) -> DataFrame:
+    h = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return t.urls.select(h.alias("value")).where(F.col("value") != "").distinct()
+
+
+def _flow_names(t: Tables) -> DataFrame:
+    return fl.distinct_names(t.flows).select(F.col("requested_server_name").alias("value"))
+
+
+def base_indicators(t: Tables) -> DataFrame:
+    from netsift.sources.builtin import builtin_indicators
+    rep = (t.ip_reputation.where(F.col("abuse_score") >= 10)
+           .select(F.lit("reputation_feed").alias("source"), F.lit("threat_ips").alias("category"),
+                   F.col("ip").alias("value"), _stamp(F.col("age_days") * 24).alias("added_at")))
+    names = _flow_names(t).select(F.lit("domain_feed").alias("source"), F.lit("threat_domains").alias("category"),
+                                  "value", _stamp(F.length("value") % 48).alias("added_at"))
+    urls = t.threat_urls.distinct().select(F.lit("url_feed").alias("source"), F.lit("threat_urls").alias("category"),
+                                           "value", _stamp(F.length("value") % 72).alias("added_at"))
+    built = builtin_indicators(t.spark).withColumn("added_at", _stamp(F.lit(0)))
+    return rep.unionByName(names).unionByName(urls).unionByName(built)
+
+
+def base_feeds(t: Tables) -> DataFrame:
+    from netsift.operators.indicators import FEED_SCHEMA
+    from netsift.sources.builtin import BUILTIN_SOURCES
+    rows = [("reputation_feed", "threat_ips", "remote_url", True, "healthy", 0),
+            ("domain_feed", "threat_domains", "remote_url", True, "healthy", 24),
+            ("url_feed", "threat_urls", "remote_url", False, "degraded", 168)]
+    rows += [(src, cat, "generated", True, "healthy", 0) for src, cat, _ in BUILTIN_SOURCES]
+    return t.spark.createDataFrame(rows, FEED_SCHEMA)
+
+
+def _out(ind: DataFrame) -> DataFrame:
+    return ind.select("source", "category", "value", F.unix_seconds("added_at").alias("added_epoch"))
+
+
+def indicator_queries() -> dict[str, Query]:
+    from netsift.operators import indicators as ind
+    from netsift.session import scratch_dir
+    from netsift.sources import feeds as fd
+    from netsift.sources import fixtures as fx
+    from netsift.sources import sinks
+    from netsift.sources.builtin import BUILTIN_PHISHING_KEYWORDS, BUILTIN_SAFE_DOMAINS, BUILTIN_SUSPICIOUS_UA
+
+    now = F.timestamp_seconds(F.lit(NOW_EPOCH))
+
+    def header(t: Tables) -> DataFrame:
+        return t.spark.createDataFrame([("# indicator feed",), ("",), ("   ",)], "line string")
+
+    def text_feed(t: Tables, compression=None) -> DataFrame:
+        lines = _flow_names(t).select(F.concat(F.lit("  "), "value", F.lit(" ")).alias("line"))
+        path = sinks.write_lines(header(t).unionByName(lines), scratch_dir(t.spark, "feeds", "text"), compression)
+        return fd.read_text_feed(t.spark, path)
+
+    def hosts_feed(t: Tables) -> DataFrame:
+        pairs = t.flows.where(F.col("requested_server_name").isNotNull()).select("dst_ip", "requested_server_name") \
+            .distinct()
+        lines = pairs.select(F.concat("dst_ip", F.lit("\t"), F.upper("requested_server_name"), F.lit(" #seen"))
+                             .alias("line"))
+        path = sinks.write_lines(header(t).unionByName(lines), scratch_dir(t.spark, "feeds", "hosts"))
+        return fd.read_hosts_feed(t.spark, path)
+
+    def csv_feed(t: Tables) -> DataFrame:
+        rows = t.urls.select(F.col("page_id").alias("id"), "url", F.lit("online").alias("status"))
+        path = sinks.write_csv(rows, scratch_dir(t.spark, "feeds", "csv"))
+        return fd.read_csv_feed(t.spark, path, column=1, skip_header=True)
+
+    def json_feed(t: Tables) -> DataFrame:
+        path = sinks.write_json_documents(_flow_names(t), scratch_dir(t.spark, "feeds", "json"))
+        return fd.read_json_feed(t.spark, path)
+
+    def safe_items(t: Tables) -> DataFrame:
+        parents = _page_hosts(t).where(F.size(F.split("value", r"\.")) >= 3) \
+            .select(F.regexp_replace("value", r"^[^.]*\.", "").alias("value"))
+        wl = t.domain_reputation.where(F.col("judgment") == "Whitelist").select(F.col("domain").alias("value"))
+        built = t.literal(BUILTIN_SAFE_DOMAINS, "value")
+        return built.unionByName(wl).unionByName(parents).distinct()
+
+    def diff_ops(t: Tables) -> DataFrame:
+        names = _flow_names(t)
+        ops = (_page_hosts(t).select(F.concat(F.lit("+"), "value").alias("value"))
+               .unionByName(names.where(F.col("value").endswith(".org")).select(F.concat(F.lit("-"), "value").alias("value")))
+               .unionByName(names.where(F.col("value").endswith(".xyz")))
+               .unionByName(t.literal(fx.FEED_OPS, "value")))
+        return ops
+
+    q: dict[str, Query] = {}
+    q["feed_text_items"] = _q(lambda t: text_feed(t))
+    q["feed_gzip_items"] = _q(lambda t: text_feed(t, "gzip"))
+    q["feed_hosts_items"] = _q(hosts_feed)
+    q["feed_csv_items"] = _q(csv_feed)
+    q["feed_json_items"] = _q(json_feed)
+    q["safe_domain_lookup"] = _q(lambda t: ind.safe_domain_lookup(
+        _flow_names(t).unionByName(_page_hosts(t)).distinct(), "value", safe_items(t)))
+    q["whitelist_ip_prefix_lookup"] = _q(lambda t: ind.prefix_lookup(
+        t.flows.select(F.col("src_ip").alias("value")).distinct(), "value", t.literal(WHITELIST_IP_PREFIXES, "value")))
+    q["ua_keyword_lookup"] = _q(lambda t: ind.substring_lookup(
+        t.flows.where(F.col("user_agent").isNotNull()).select(F.col("user_agent").alias("value"))
+        .unionByName(t.urls.select(F.col("url").alias("value"))).distinct(), "value",
+        t.literal(BUILTIN_SUSPICIOUS_UA + BUILTIN_PHISHING_KEYWORDS, "value"))
+        .select("value", F.array_join("matched", ",").alias("matched")))
+    q["exact_indicator_lookup"] = _q(lambda t: ind.exact_lookup(
+        t.flows, "dst_ip", ind.category_view(base_indicators(t), base_feeds(t), "threat_ips"))
+        .groupBy("dst_ip").agg(F.count(F.lit(1)).alias("flows")))
+    q["indicator_snapshot_replace"] = _q(lambda t: _out(ind.snapshot_replace(
+        base_indicators(t), "domain_feed", "threat_domains",
+        det.dns_flows(t.flows).where(F.col("requested_server_name").isNotNull())
+        .select(F.lower("requested_server_name").alias("value")), now)))
+    q["indicator_additive_merge"] = _q(lambda t: _out(ind.additive_merge(
+        base_indicators(t), "domain_feed", "threat_domains", _page_hosts(t).unionByName(_flow_names(t)), now)))
+    q["indicator_differential_merge"] = _q(lambda t: _out(ind.differential_merge(
+        base_indicators(t), "domain_feed", "threat_domains", diff_ops(t), now)))
+    q["indicator_expiry"] = _q(lambda t: _out(ind.expire(base_indicators(t), "domain_feed", 24, now)))
+    q["indicator_category_view"] = _q(lambda t: ind.category_view(base_indicators(t), base_feeds(t)))
+    q["indicator_category_view_toggled"] = _q(lambda t: ind.category_view(
+        base_indicators(t), ind.set_enabled(ind.set_enabled(base_feeds(t), "url_feed", True),
+                                            "reputation_feed", False)))
+    q["indicator_category_counts"] = _q(lambda t: ind.category_counts(base_indicators(t), base_feeds(t)))
+    q["indicator_set_version"] = _q(lambda t: ind.set_version(base_indicators(t), by=["source"]))
+    q["threat_cidr_matches"] = _q(lambda t: ind.threat_ip_matches(t.flows, t.threat_cidrs))
+    q["threat_url_matches"] = _q(lambda t: ind.threat_url_matches(t.urls, t.threat_urls))
+    return q
+
+
+# --- fixed values: IP prefixes of the whitelist lookup query ---------------------------
+WHITELIST_IP_PREFIXES = ["10.0.0.1", "172.16.", "203.0.113.", "10.66."]
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(flow_queries())
@@ -174,4 +311,5 @@ def queries() -> dict[str, Query]:
     q.update(anomaly_queries())
     q.update(reputation_queries())
     q.update(graph_queries())
+    q.update(indicator_queries())
     return q

@@ -216,6 +216,7 @@ def oracle_sql() -> dict[str, str]:
     q.update(anomaly_sql())
     q.update(reputation_sql())
     q.update(graph_sql())
+    q.update(indicator_sql())
     return q
 
 
@@ -554,3 +555,102 @@ def oracle_sql_parts() -> str:
             f"d14 AS (SELECT src_ip, count(DISTINCT dst_port) AS ports, count(DISTINCT dst_ip) AS targets FROM flows "
             f"WHERE src_ip IS NOT NULL GROUP BY src_ip HAVING count(DISTINCT dst_port) > {det.SCAN_MIN_PORTS} "
             f"AND count(DISTINCT dst_ip) < {det.SCAN_MAX_TARGETS})")
+
+
+# --- indicators and feeds (S4-S10, I1-I6, A15, F11, J2-J5, J12, J13) ----------------
+
+def indicator_sql() -> dict[str, str]:
+    from netsift.plans.catalog import NOW_EPOCH, WHITELIST_IP_PREFIXES
+    from netsift.sources.builtin import (BUILTIN_PHISHING_KEYWORDS, BUILTIN_SAFE_DOMAINS, BUILTIN_SOURCES,
+                                         BUILTIN_SUSPICIOUS_UA)
+    N = NOW_EPOCH
+    names = "names AS (SELECT DISTINCT requested_server_name AS value FROM flows WHERE requested_server_name IS NOT NULL)"
+    hosts = ("hosts AS (SELECT DISTINCT value FROM (SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) "
+             "AS value FROM pages) WHERE value <> '')")
+    built = " UNION ALL ".join(
+        f"SELECT {_q(src)} AS source, {_q(cat)} AS category, v AS value, {N} AS added_epoch FROM "
+        f"({fx.values_sql(items, 'v')})" for src, cat, items in BUILTIN_SOURCES)
+    base = (f"{names}, {hosts}, rep AS ({fx.ip_reputation_sql('duckdb')}), "
+            f"base AS (SELECT 'reputation_feed' AS source, 'threat_ips' AS category, ip AS value, "
+            f"CAST({N} - age_days * 24 * 3600 AS BIGINT) AS added_epoch FROM rep WHERE abuse_score >= 10 "
+            f"UNION ALL SELECT 'domain_feed', 'threat_domains', value, CAST({N} - (length(value) % 48) * 3600 AS BIGINT) "
+            f"FROM names UNION ALL SELECT 'url_feed', 'threat_urls', value, CAST({N} - (length(value) % 72) * 3600 AS BIGINT) "
+            f"FROM (SELECT DISTINCT url AS value FROM pages WHERE {fx.THREAT_URL_RULE}) UNION ALL {built}), "
+            "feeds AS (SELECT * FROM (VALUES ('reputation_feed', true), ('domain_feed', true), ('url_feed', false)"
+            + "".join(f", ({_q(src)}, true)" for src, _, _ in BUILTIN_SOURCES) + ") f(source, enabled))")
+    q = {}
+    q["feed_text_items"] = with_flows("SELECT value FROM names", names)
+    q["feed_gzip_items"] = with_flows("SELECT value FROM names", names)
+    q["feed_hosts_items"] = with_flows(
+        "SELECT DISTINCT lower(requested_server_name) AS value FROM flows WHERE requested_server_name IS NOT NULL")
+    q["feed_csv_items"] = with_flows(
+        "SELECT DISTINCT trim(url) AS value FROM pages WHERE trim(url) <> '' AND NOT starts_with(trim(url), '#')")
+    q["feed_json_items"] = with_flows("SELECT value FROM names", names)
+    safe = (f"vals AS (SELECT value FROM names UNION SELECT value FROM hosts), "
+            f"items AS (SELECT v AS i FROM ({fx.values_sql(BUILTIN_SAFE_DOMAINS, 'v')}) UNION "
+            f"SELECT domain FROM ({fx.domain_reputation_sql('duckdb')}) WHERE judgment = 'Whitelist' UNION "
+            f"SELECT regexp_replace(value, '^[^.]*\\.', '') FROM hosts WHERE len(string_split(value, '.')) >= 3)")
+    q["safe_domain_lookup"] = with_flows(
+        "SELECT value FROM vals WHERE EXISTS (SELECT 1 FROM items WHERE vals.value = items.i "
+        "OR lower(vals.value) = items.i OR ends_with(lower(vals.value), '.' || items.i))", f"{names}, {hosts}, {safe}")
+    q["whitelist_ip_prefix_lookup"] = with_flows(
+        f"SELECT DISTINCT src_ip AS value FROM flows WHERE src_ip IS NOT NULL AND EXISTS (SELECT 1 FROM "
+        f"({fx.values_sql(WHITELIST_IP_PREFIXES, 'p')}) pp WHERE pp.p <> '' AND starts_with(flows.src_ip, pp.p))")
+    q["ua_keyword_lookup"] = with_flows(
+        "SELECT v.value, string_agg(i.item, ',' ORDER BY i.item) AS matched FROM "
+        "(SELECT user_agent AS value FROM flows WHERE user_agent IS NOT NULL UNION SELECT url FROM pages) v "
+        f"JOIN (SELECT DISTINCT lower(x) AS item FROM ({fx.values_sql(BUILTIN_SUSPICIOUS_UA + BUILTIN_PHISHING_KEYWORDS, 'x')}) "
+        "WHERE lower(x) <> '') i ON contains(lower(v.value), i.item) GROUP BY v.value")
+    q["exact_indicator_lookup"] = with_flows(
+        "SELECT dst_ip, count(*) AS flows FROM flows WHERE dst_ip IN (SELECT b.value FROM base b JOIN feeds f "
+        "USING (source) WHERE f.enabled AND b.category = 'threat_ips') GROUP BY dst_ip", base)
+    q["indicator_snapshot_replace"] = with_flows(
+        "SELECT * FROM base WHERE source <> 'domain_feed' UNION ALL SELECT 'domain_feed', 'threat_domains', value, "
+        f"CAST({N} AS BIGINT) FROM (SELECT DISTINCT lower(requested_server_name) AS value FROM flows "
+        "WHERE application_name = 'DNS' AND requested_server_name IS NOT NULL)", base)
+    q["indicator_additive_merge"] = with_flows(
+        f"SELECT * FROM base UNION ALL SELECT 'domain_feed', 'threat_domains', value, CAST({N} AS BIGINT) FROM "
+        "(SELECT value FROM hosts UNION SELECT value FROM names) n WHERE value NOT IN "
+        "(SELECT value FROM base WHERE source = 'domain_feed')", base)
+    ops = (f"ops AS (SELECT '+' || value AS op FROM hosts UNION ALL SELECT '-' || value FROM names WHERE ends_with(value, '.org') "
+           f"UNION ALL SELECT value FROM names WHERE ends_with(value, '.xyz') UNION ALL SELECT v FROM ({fx.values_sql(fx.FEED_OPS, 'v')})), "
+           "adds AS (SELECT DISTINCT substr(op, 2) AS value FROM ops WHERE starts_with(op, '+')), "
+           "rems AS (SELECT DISTINCT substr(op, 2) AS value FROM ops WHERE starts_with(op, '-')), "
+           "adds2 AS (SELECT value FROM adds WHERE value NOT IN (SELECT value FROM rems))")
+    q["indicator_differential_merge"] = with_flows(
+        "SELECT * FROM base WHERE source <> 'domain_feed' UNION ALL SELECT * FROM base WHERE source = 'domain_feed' "
+        "AND value NOT IN (SELECT value FROM rems UNION SELECT value FROM adds2) UNION ALL "
+        f"SELECT 'domain_feed', 'threat_domains', value, CAST({N} AS BIGINT) FROM adds2", base + ", " + ops)
+    q["indicator_expiry"] = with_flows(
+        f"SELECT * FROM base WHERE NOT (source = 'domain_feed' AND added_epoch < {N} - 24 * 3600)", base)
+    q["indicator_category_view"] = with_flows(
+        "SELECT DISTINCT b.category, b.value FROM base b JOIN feeds f USING (source) WHERE f.enabled", base)
+    q["indicator_category_view_toggled"] = with_flows(
+        "SELECT DISTINCT b.category, b.value FROM base b JOIN feeds f USING (source) WHERE "
+        "(CASE WHEN source = 'url_feed' THEN true WHEN source = 'reputation_feed' THEN false ELSE f.enabled END)", base)
+    q["indicator_category_counts"] = with_flows(
+        "SELECT category, count(*) AS items FROM (SELECT DISTINCT b.category, b.value FROM base b JOIN feeds f "
+        "USING (source) WHERE f.enabled) GROUP BY category", base)
+    q["indicator_set_version"] = with_flows(
+        "SELECT source, count(*) AS n, '1.' || CAST(count(*) AS VARCHAR) || '.' || substr(md5(string_agg(value, '|' "
+        "ORDER BY value)), 1, 6) AS version, substr(md5(string_agg(value, '|' ORDER BY value)), 1, 8) AS hash "
+        "FROM base GROUP BY source", base)
+    cidr = (f"c AS (SELECT value AS cidr, trim(string_split(value, ';')[1]) AS t FROM ({fx.values_sql(fx.THREAT_CIDRS, 'value')})), "
+            f"c2 AS (SELECT cidr, {ipv4_long_sql(chr(115) + 'plit_part(t, ' + chr(39) + '/' + chr(39) + ', 1)')} AS base, "
+            "coalesce(TRY_CAST(NULLIF(split_part(t, '/', 2), '') AS INTEGER), 32) AS plen FROM c), "
+            "c3 AS (SELECT cidr, base - (base % (CAST(1 AS BIGINT) << (32 - plen))) AS lo, "
+            "base - (base % (CAST(1 AS BIGINT) << (32 - plen))) + (CAST(1 AS BIGINT) << (32 - plen)) - 1 AS hi "
+            "FROM c2 WHERE base IS NOT NULL), "
+            f"ends AS (SELECT 'src' AS role, src_ip AS ip FROM flows UNION ALL SELECT 'dst', dst_ip FROM flows), "
+            f"ev AS (SELECT role, ip, {ipv4_long_sql('ip')} AS v FROM ends)")
+    q["threat_cidr_matches"] = with_flows(
+        "SELECT role, ip, cidr, count(*) AS flows FROM ev JOIN c3 ON ev.v BETWEEN c3.lo AND c3.hi "
+        "GROUP BY role, ip, cidr", cidr)
+
+    def norm(x: str) -> str:
+        c = f"regexp_replace(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '#.*$', '')"
+        sh = f"regexp_extract({c}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)"
+        return f"regexp_replace(lower({sh}) || substr({c}, length({sh}) + 1), '/+$', '')"
+    q["threat_url_matches"] = with_flows(
+        f"SELECT page_id, url FROM pages WHERE {norm('url')} IN (SELECT {norm('url')} FROM pages WHERE {fx.THREAT_URL_RULE})")
+    return q
