@@ -64,15 +64,24 @@ def counts_by(alerts: DataFrame, col: str) -> DataFrame:
     return alerts.groupBy(key.alias(col)).agg(F.count(F.lit(1)).alias("alert_count"))
 
 
-def alert_bundle(alerts: DataFrame) -> DataFrame:
-    """Per threat type, the list of {severity, description, evidence, ioc}.
-
-    The list per type is collected after a per-type count check is possible;
-    the flat form (one row per alert) is what report writers stream instead.
+def alert_bundle(alerts: DataFrame, max_per_type: int | None = 100) -> DataFrame:
+    """Per threat type, the alert count and the list of {severity,
+    description, evidence, ioc}.
+
+    The count covers every alert. The list is the report's bundle: with
+    ``max_per_type`` it holds the first N alerts of the type under a total
+    order (taken with a partial WindowGroupLimit, so a type with millions of
+    alerts never lands in one task); ``None`` keeps all of them, for small runs.
     """
-    return (alerts.groupBy("threat_type")
-            .agg(F.count(F.lit(1)).alias("alert_count"),
-                 F.collect_list(F.struct("severity", "description", "evidence", "ioc")).alias("alerts")))
+    counts = alerts.groupBy("threat_type").agg(F.count(F.lit(1)).alias("alert_count"))
+    item = F.struct("severity", "description", "evidence", "ioc")
+    if max_per_type is None:
+        lists = alerts.groupBy("threat_type").agg(F.collect_list(item).alias("alerts"))
+    else:
+        w = Window.partitionBy("threat_type").orderBy("severity", "description", F.array_join("ioc", ","))
+        lists = (alerts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_per_type)
+                 .groupBy("threat_type").agg(F.collect_list(item).alias("alerts")))
+    return counts.join(lists, "threat_type")
 
 
 def select_alerts(alerts: DataFrame, severity: str | None = None, threat_type: str | None = None) -> DataFrame:
@@ -98,9 +107,10 @@ def ioc_string(alerts: DataFrame) -> DataFrame:
         F.round("confidence", 6).alias("confidence"),
         F.array_join(F.col("ioc"), ",").alias("ioc"),
         "mitre_technique",
+        *[c for c in ("priority",) if c in alerts.columns],
     )
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Add a 1-based rank to an already-limited (bounded) top-k frame."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))

@@ -124,7 +124,7 @@ def ip_profile(flows: DataFrame, ip: str, k: int = 5) -> dict[str, DataFrame]:
              .groupBy("x.role", "x.peer_ip").agg(F.sum("x.b").cast("bigint").alias("total_bytes")))
     from pyspark.sql import Window
     w = Window.partitionBy("role").orderBy(F.desc("total_bytes"), F.asc("peer_ip"))
-    top = peers.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = peers.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     return {"summary": summary, "top_peers": top}
 
 

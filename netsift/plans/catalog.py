@@ -303,6 +303,33 @@ def indicator_queries() -> dict[str, Query]:
 WHITELIST_IP_PREFIXES = ["10.0.0.1", "172.16.", "203.0.113.", "10.66."]
 
 
+# --- alert tables (U1, A10-A12, X3) ------------------------------------------------------
+
+def alert_queries() -> dict[str, Query]:
+    from netsift.operators import alerts as al
+    from netsift.operators import fused
+    from netsift.plans.registry import Context, default_registry
+
+    def all_alerts(t: Tables, fused_scan: bool = False) -> DataFrame:
+        ctx = Context(t.spark, threat_domains=t.threat_domains)
+        alerts, _ = default_registry(fused_scan=fused_scan).run_all(t.flows, ctx)
+        return alerts
+
+    def flat(a: DataFrame) -> DataFrame:
+        return al.ioc_string(a)
+
+    q: dict[str, Query] = {}
+    q["alerts_all_detectors"] = _q(lambda t: flat(all_alerts(t)))
+    q["alerts_fused_scan"] = _q(lambda t: flat(all_alerts(t, fused_scan=True)).drop("priority"))
+    q["alerts_per_flow_fused"] = _q(lambda t: flat(fused.per_flow_alerts(t.flows)))
+    q["alert_severity_counts"] = _q(lambda t: al.severity_counts(all_alerts(t)))
+    q["alert_counts_by_type"] = _q(lambda t: al.counts_by(all_alerts(t), "threat_type"))
+    q["alert_counts_by_engine"] = _q(lambda t: al.counts_by(all_alerts(t), "engine_name"))
+    q["alert_bundle_by_type"] = _q(lambda t: al.alert_bundle(all_alerts(t)).select(
+        "threat_type", "alert_count", F.size("alerts").alias("bundled")))
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(flow_queries())
@@ -312,4 +339,5 @@ def queries() -> dict[str, Query]:
     q.update(reputation_queries())
     q.update(graph_queries())
     q.update(indicator_queries())
+    q.update(alert_queries())
     return q

@@ -217,6 +217,7 @@ def oracle_sql() -> dict[str, str]:
     q.update(reputation_sql())
     q.update(graph_sql())
     q.update(indicator_sql())
+    q.update(alert_sql(q))
     return q
 
 
@@ -654,3 +655,58 @@ def indicator_sql() -> dict[str, str]:
     q["threat_url_matches"] = with_flows(
         f"SELECT page_id, url FROM pages WHERE {norm('url')} IN (SELECT {norm('url')} FROM pages WHERE {fx.THREAT_URL_RULE})")
     return q
+
+
+# --- alert tables (U1, A10-A12) -------------------------------------------------------
+
+def _alert_rows(q: dict[str, str]) -> list[tuple[str, str, int]]:
+    """(engine, SQL of flat alert rows, priority) per detector, from the detector oracles."""
+    def sel(engine, ttype, sev, conf, ioc, mitre, src):
+        m = f"'{mitre}'" if mitre else "CAST(NULL AS VARCHAR)"
+        return (f"SELECT '{engine}' AS engine_name, {ttype} AS threat_type, {sev} AS severity, "
+                f"round(CAST({conf} AS DOUBLE), 6) AS confidence, {ioc} AS ioc, {m} AS mitre_technique "
+                f"FROM ({q[src]})")
+    dns, http, cov, beh = det.DNS_ENGINE, det.HTTP_ENGINE, det.COVERT_ENGINE, det.BEHAVIOR_ENGINE
+    L = lambda s: f"'{s}'"
+    ioc = "coalesce(dst_ip, '')"
+    return [
+        (dns, sel(dns, L("PHISHING"), L("HIGH"), 0.9, "domain || ',' || matched_threat_domain", None,
+                  "detect_threat_domains"), 10),
+        (dns, sel(dns, L("UNKNOWN_DOMAIN"), "severity", "ml_score", "domain", None, "detect_unknown_domains"), 10),
+        (dns, sel(dns, L("DNS_TUNNEL"), L("HIGH"), 0.75, ioc, "T1071.004", "detect_dns_tunnel"), 10),
+        (dns, sel(dns, L("DGA_DOMAIN"), L("HIGH"), 0.8, "domain", "T1583.001", "detect_dga_domains"), 10),
+        (http, sel(http, L("HTTP_EXFILTRATION"), L("MEDIUM"), 0.5, ioc, None, "detect_http_exfiltration"), 20),
+        (http, sel(http, L("UNCOMMON_PORT"), L("MEDIUM"), 0.6, "''", None, "detect_uncommon_ports"), 20),
+        (http, sel(http, L("SUSPICIOUS_USER_AGENT"), L("MEDIUM"), 0.65, "''", None, "detect_suspicious_user_agents"), 20),
+        (cov, sel(cov, L("ICMP_TUNNEL"), L("HIGH"), 0.7, ioc, None, "detect_icmp_tunnel"), 30),
+        (cov, sel(cov, L("DNS_EXFILTRATION"), L("HIGH"), 0.65, ioc, None, "detect_dns_exfiltration"), 30),
+        (cov, sel(cov, L("UNKNOWN_TLS"), L("MEDIUM"), 0.5, ioc, None, "detect_unknown_tls"), 30),
+        (cov, sel(cov, L("C2_DATA_EXFIL"), L("HIGH"), 0.7, ioc, None, "detect_one_way_transfer"), 30),
+        (beh, sel(beh, L("LARGE_DATA_TRANSFER"), L("MEDIUM"), 0.5, ioc, None, "detect_large_transfers"), 40),
+        (beh, sel(beh, L("SUSPICIOUS_COMMUNICATION"), L("MEDIUM"), 0.55, ioc, None, "detect_suspicious_communication"), 40),
+        (beh, sel(beh, L("PORT_SCAN"), L("HIGH"), 0.8, "coalesce(src_ip, '')", "T1046", "detect_port_scan"), 40),
+    ]
+
+
+PER_FLOW = {"HTTP_EXFILTRATION", "SUSPICIOUS_USER_AGENT", "ICMP_TUNNEL", "DNS_EXFILTRATION", "C2_DATA_EXFIL",
+            "LARGE_DATA_TRANSFER", "SUSPICIOUS_COMMUNICATION"}
+
+
+def alert_sql(q: dict[str, str]) -> dict[str, str]:
+    rows = _alert_rows(q)
+    union = " UNION ALL ".join(f"SELECT *, {p} AS priority FROM ({s})" for _, s, p in rows)
+    per_flow = " UNION ALL ".join(f"SELECT * FROM ({s})" for _, s, p in rows if any(f"'{t}'" in s for t in PER_FLOW))
+    grouped_first = " UNION ALL ".join(f"SELECT * FROM ({s})" for _, s, p in rows)
+    out = {}
+    out["alerts_all_detectors"] = f"SELECT * FROM ({union})"
+    out["alerts_per_flow_fused"] = f"SELECT * FROM ({per_flow})"
+    out["alerts_fused_scan"] = f"SELECT * FROM ({grouped_first})"
+    out["alert_severity_counts"] = (f"SELECT count(*) FILTER (WHERE severity = 'HIGH') AS high_count, "
+                                    f"count(*) FILTER (WHERE severity = 'MEDIUM') AS medium_count, "
+                                    f"count(*) FILTER (WHERE severity = 'LOW') AS low_count FROM ({union})")
+    out["alert_counts_by_type"] = f"SELECT threat_type, count(*) AS alert_count FROM ({union}) GROUP BY threat_type"
+    out["alert_counts_by_engine"] = (f"SELECT coalesce(engine_name, 'unknown') AS engine_name, count(*) AS alert_count "
+                                     f"FROM ({union}) GROUP BY 1")
+    out["alert_bundle_by_type"] = (f"SELECT threat_type, count(*) AS alert_count, CAST(least(count(*), 100) AS INTEGER) "
+                                   f"AS bundled FROM ({union}) GROUP BY threat_type")
+    return out
