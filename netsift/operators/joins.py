@@ -34,10 +34,14 @@ def prefixes(c: Column, max_len: int = 45) -> Column:
 def substrings_of_lengths(c: Column, lengths: list[int]) -> Column:
     """Every substring of ``c`` whose length is in ``lengths``."""
     n = F.length(c)
+
+    def take(length: int):
+        return lambda i: c.substr(i, F.lit(length))  # one-argument lambda: i is the element
+
     parts = []
     for L in sorted(set(lengths)):
-        parts.append(F.when(n >= L, F.transform(F.sequence(F.lit(1), n - L + 1),
-                                               lambda i, L=L: c.substr(i, F.lit(L)))).otherwise(F.array()))
+        parts.append(F.when(n >= L, F.transform(F.sequence(F.lit(1), n - L + 1), take(L)))
+                     .otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.flatten(F.array(*parts))) if parts else F.array().cast("array<string>")
 
 

@@ -32,6 +32,8 @@ def _stack(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
 def exact_quantiles(df: DataFrame, cols: dict[str, Column], q: float,
                     partitions: int | None = None) -> dict[str, float | None]:
     """Linear-interpolation quantile ``q`` of each column in ``cols`` (NULL/NaN skipped)."""
+    if not cols:
+        return {}
     spark = df.sparkSession
     hist = _stack(df, cols).groupBy("name", "value").agg(F.count(F.lit(1)).alias("cnt"))
     hist = hist.persist()
@@ -101,6 +103,8 @@ def exact_quantiles(df: DataFrame, cols: dict[str, Column], q: float,
 
 def approx_quantiles(df: DataFrame, cols: dict[str, Column], q: float,
                      accuracy: int = 10000) -> dict[str, float | None]:
+    if not cols:
+        return {}
     row = df.agg(*[F.percentile_approx(c.cast("double"), q, accuracy).alias(n) for n, c in cols.items()]).first()
     return {n: (None if row[n] is None else float(row[n])) for n in cols}
 
