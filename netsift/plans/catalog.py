@@ -330,6 +330,20 @@ def alert_queries() -> dict[str, Query]:
     return q
 
 
+# --- flow metering (S2) -------------------------------------------------------------------
+
+def metering_queries() -> dict[str, Query]:
+    from netsift.operators import metering as mt
+    from netsift.plans.oracle import METER_ACTIVE_MS, METER_IDLE_MS
+
+    q: dict[str, Query] = {}
+    q["flow_metering"] = _q(lambda t: mt.meter(t.packets, METER_IDLE_MS, METER_ACTIVE_MS)
+                            .select(*mt.METERED_COLUMNS))
+    q["flow_metering_fine_buckets"] = _q(lambda t: mt.meter(t.packets, METER_IDLE_MS, METER_ACTIVE_MS,
+                                                            bucket_ms=600_000).select(*mt.METERED_COLUMNS))
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(flow_queries())
@@ -340,4 +354,5 @@ def queries() -> dict[str, Query]:
     q.update(graph_queries())
     q.update(indicator_queries())
     q.update(alert_queries())
+    q.update(metering_queries())
     return q

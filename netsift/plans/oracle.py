@@ -218,6 +218,8 @@ def oracle_sql() -> dict[str, str]:
     q.update(graph_sql())
     q.update(indicator_sql())
     q.update(alert_sql(q))
+    q["flow_metering"] = metering_sql()
+    q["flow_metering_fine_buckets"] = metering_sql()
     return q
 
 
@@ -710,3 +712,41 @@ def alert_sql(q: dict[str, str]) -> dict[str, str]:
     out["alert_bundle_by_type"] = (f"SELECT threat_type, count(*) AS alert_count, CAST(least(count(*), 100) AS INTEGER) "
                                    f"AS bundled FROM ({union}) GROUP BY threat_type")
     return out
+
+
+# --- flow metering (S2) ----------------------------------------------------------------
+
+METER_IDLE_MS = 6 * 3600 * 1000
+METER_ACTIVE_MS = 24 * 3600 * 1000
+
+
+def metering_sql(idle: int = METER_IDLE_MS, active: int = METER_ACTIVE_MS) -> str:
+    key = "a_ip, a_port, b_ip, b_port, protocol"
+    sfirst = "(src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port))"
+    return (
+        f"WITH p0 AS ({fx.packets_sql('duckdb')}), "
+        f"p AS (SELECT *, {sfirst} AS a_to_b, CASE WHEN {sfirst} THEN src_ip ELSE dst_ip END AS a_ip, "
+        f"CASE WHEN {sfirst} THEN src_port ELSE dst_port END AS a_port, CASE WHEN {sfirst} THEN dst_ip ELSE src_ip END AS b_ip, "
+        f"CASE WHEN {sfirst} THEN dst_port ELSE src_port END AS b_port FROM p0 WHERE ts_ms IS NOT NULL), "
+        f"q AS (SELECT *, lag(ts_ms) OVER (PARTITION BY {key} ORDER BY ts_ms, packet_id) AS prev_ts FROM p), "
+        f"r AS (SELECT *, (prev_ts IS NULL OR ts_ms - prev_ts >= {idle}) AS is_start FROM q), "
+        f"s AS (SELECT *, max(CASE WHEN is_start THEN ts_ms END) OVER (PARTITION BY {key} ORDER BY ts_ms, packet_id "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS flow_start FROM r), "
+        f"t AS (SELECT *, CAST(floor((ts_ms - flow_start) / {active}) AS BIGINT) AS piece, "
+        f"floor((prev_ts - flow_start) / {active}) AS prev_piece FROM s), "
+        f"u AS (SELECT *, CASE WHEN NOT is_start AND prev_piece = piece THEN ts_ms - prev_ts END AS piat FROM t), "
+        f"g AS (SELECT {key}, flow_start, piece, first(a_to_b ORDER BY ts_ms, packet_id) AS ia, count(*) AS n, "
+        f"sum(len) AS bytes, count(*) FILTER (WHERE a_to_b) AS ab_n, coalesce(sum(len) FILTER (WHERE a_to_b), 0) AS ab_b, "
+        f"count(*) FILTER (WHERE NOT a_to_b) AS ba_n, coalesce(sum(len) FILTER (WHERE NOT a_to_b), 0) AS ba_b, "
+        f"min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, avg(len) AS mean_ps, stddev_samp(len) AS std_ps, "
+        f"avg(piat) AS mean_piat, stddev_samp(piat) AS std_piat FROM u GROUP BY {key}, flow_start, piece) "
+        "SELECT CASE WHEN ia THEN a_ip ELSE b_ip END AS src_ip, CASE WHEN ia THEN b_ip ELSE a_ip END AS dst_ip, "
+        "CASE WHEN ia THEN a_port ELSE b_port END AS src_port, CASE WHEN ia THEN b_port ELSE a_port END AS dst_port, "
+        "protocol, n AS bidirectional_packets, CASE WHEN ia THEN ab_n ELSE ba_n END AS src2dst_packets, "
+        "CASE WHEN ia THEN ba_n ELSE ab_n END AS dst2src_packets, CAST(bytes AS BIGINT) AS bidirectional_bytes, "
+        "CAST(CASE WHEN ia THEN ab_b ELSE ba_b END AS BIGINT) AS src2dst_bytes, "
+        "CAST(CASE WHEN ia THEN ba_b ELSE ab_b END AS BIGINT) AS dst2src_bytes, first_ms AS bidirectional_first_seen_ms, "
+        "last_ms AS bidirectional_last_seen_ms, CAST(last_ms - first_ms AS DOUBLE) AS bidirectional_duration_ms, "
+        "round(mean_ps, 6) AS bidirectional_mean_ps, round(coalesce(std_ps, 0.0), 6) AS bidirectional_stddev_ps, "
+        "round(coalesce(mean_piat, 0.0), 6) AS bidirectional_mean_piat_ms, "
+        "round(coalesce(std_piat, 0.0), 6) AS bidirectional_stddev_piat_ms FROM g")
