@@ -344,6 +344,41 @@ def metering_queries() -> dict[str, Query]:
     return q
 
 
+# --- learned operators (M4/M5, M8-M10) — rows-only checks -----------------------------------
+
+_MODELS: dict = {}
+
+
+def _memo(kind: str, t: Tables, build):
+    key = (kind, t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = build()
+    return _MODELS[key]
+
+
+def ml_queries() -> dict[str, Query]:
+    from netsift.operators import domain_model as dm
+    from netsift.operators import iforest as ifo
+
+    def forest(t: Tables):
+        return _memo("iforest", t, lambda: ifo.fit(t.flows))
+
+    def gbt(t: Tables):
+        def build():
+            train, test = dm.split(dm.labelled_domains(t.flows))
+            return dm.train(train), test
+        return _memo("gbt", t, build)
+
+    q: dict[str, Query] = {}
+    q["isolation_forest_scores"] = _q(lambda t: ifo.predict(t.flows, forest(t)).select(
+        "src_ip", "dst_ip", "dst_port", "bidirectional_bytes", "anomaly_score", "is_anomaly"))
+    q["domain_model_scores"] = _q(lambda t: dm.score(gbt(t)[0], dm.labelled_domains(t.flows)))
+    q["domain_model_confusion"] = _q(lambda t: dm.evaluate(*gbt(t)).confusion)
+    q["detect_unknown_domains_model"] = _q(lambda t: det.unknown_domains(
+        t.flows, dm.score(gbt(t)[0], dm.labelled_domains(t.flows))))
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(flow_queries())
@@ -355,4 +390,5 @@ def queries() -> dict[str, Query]:
     q.update(indicator_queries())
     q.update(alert_queries())
     q.update(metering_queries())
+    q.update(ml_queries())
     return q
