@@ -379,6 +379,80 @@ def ml_queries() -> dict[str, Query]:
     return q
 
 
+# --- streaming (S3, T1-T6): drained with availableNow, compared with the batch result ------
+
+def streaming_queries() -> dict[str, Query]:
+    from netsift.operators import alerts as al
+    from netsift.operators import metering as mt
+    from netsift.session import scratch_dir
+    from netsift.sources.flows import read_flow_stream
+    from netsift.streaming import detectors as sd
+
+    def land(t: Tables, df: DataFrame, name: str) -> str:
+        path = scratch_dir(t.spark, "stream", name)
+        df.write.mode("overwrite").parquet(path)
+        return path
+
+    def flow_stream(t: Tables) -> DataFrame:
+        return read_flow_stream(t.spark, land(t, t.flows, "flows_in"))
+
+    def dirs(t: Tables, name: str) -> tuple[str, str]:
+        base = scratch_dir(t.spark, "stream", name)
+        return f"{base}/out", f"{base}/checkpoint"
+
+    def per_flow(t: Tables) -> DataFrame:
+        out, ck = dirs(t, "t1")
+        sd.run_append(sd.stateless_alerts(flow_stream(t)), out, ck)
+        return al.ioc_string(t.spark.read.parquet(out))
+
+    def upsert(t: Tables, name: str, build, key: list[str], schema: str) -> DataFrame:
+        out, ck = dirs(t, name)
+        sd.run_upsert(build(flow_stream(t)), out, ck)
+        return sd.read_latest(t.spark, out, key, schema)
+
+    def sessions(t: Tables) -> DataFrame:
+        from netsift.schema import PACKET_SCHEMA
+        path = land(t, t.packets, "packets_in")
+        out, ck = dirs(t, "t4")
+        gap_ms, wm_ms = METER_IDLE_S * 1000, 3600 * 1000
+
+        def drain():
+            s = t.spark.readStream.schema(PACKET_SCHEMA).parquet(path)
+            sd.run_append(sd.packet_sessions(s, gap=f"{METER_IDLE_S} seconds", watermark="1 hour"), out, ck)
+        drain()
+        max_ts = t.spark.read.parquet(path).agg(F.max("ts_ms")).first()[0] or 0
+        sd.flush_sessions(t.spark, path, max_ts, gap_ms, wm_ms)
+        drain()
+        return t.spark.read.parquet(out).where(F.col("a_ip") != sd.HEARTBEAT_IP)
+
+    def threat_hits(t: Tables) -> DataFrame:
+        out, ck = dirs(t, "t6")
+        doms = t.threat_domains
+        sd.static_join_each_batch(flow_stream(t), lambda s: doms, sd.threat_domain_hits, out, ck)
+        return t.spark.read.parquet(out).select("domain", "matched_threat_domain").distinct()
+
+    q: dict[str, Query] = {}
+    q["stream_per_flow_alerts"] = _q(per_flow)
+    q["stream_dns_tunnel_windows"] = _q(lambda t: upsert(
+        t, "t2a", sd.tumbling_dns_tunnel, ["window_start_ms", "dst_ip"],
+        "window_start_ms long, dst_ip string, packet_count long"))
+    q["stream_uncommon_port_windows"] = _q(lambda t: upsert(
+        t, "t2b", sd.tumbling_uncommon_ports, ["window_start_ms", "port"],
+        "window_start_ms long, port int, count long"))
+    q["stream_unknown_tls_windows"] = _q(lambda t: upsert(
+        t, "t2c", sd.tumbling_unknown_tls, ["window_start_ms", "dst_ip"],
+        "window_start_ms long, dst_ip string, flows long"))
+    q["stream_port_scan_sliding"] = _q(lambda t: upsert(
+        t, "t3", sd.sliding_port_scan, ["window_start_ms", "src_ip"],
+        "window_start_ms long, src_ip string, ports long, targets long, packets long"))
+    q["stream_packet_sessions"] = _q(sessions)
+    q["stream_threat_domains"] = _q(threat_hits)
+    return q
+
+
+METER_IDLE_S = 6 * 3600
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(flow_queries())
@@ -391,4 +465,5 @@ def queries() -> dict[str, Query]:
     q.update(alert_queries())
     q.update(metering_queries())
     q.update(ml_queries())
+    q.update(streaming_queries())
     return q

@@ -220,6 +220,7 @@ def oracle_sql() -> dict[str, str]:
     q.update(alert_sql(q))
     q["flow_metering"] = metering_sql()
     q["flow_metering_fine_buckets"] = metering_sql()
+    q.update(streaming_sql(q))
     return q
 
 
@@ -750,3 +751,43 @@ def metering_sql(idle: int = METER_IDLE_MS, active: int = METER_ACTIVE_MS) -> st
         "round(mean_ps, 6) AS bidirectional_mean_ps, round(coalesce(std_ps, 0.0), 6) AS bidirectional_stddev_ps, "
         "round(coalesce(mean_piat, 0.0), 6) AS bidirectional_mean_piat_ms, "
         "round(coalesce(std_piat, 0.0), 6) AS bidirectional_stddev_piat_ms FROM g")
+
+
+# --- streaming twins (T1, T2, T4, T6): the batch result of the same definition -----------
+
+def streaming_sql(q: dict[str, str]) -> dict[str, str]:
+    out = {}
+    out["stream_per_flow_alerts"] = q["alerts_per_flow_fused"]
+    ws = "CAST(floor(bidirectional_first_seen_ms / 300000) * 300000 AS BIGINT)"
+    out["stream_dns_tunnel_windows"] = with_flows(
+        f"SELECT {ws} AS window_start_ms, dst_ip, CAST(sum(bidirectional_packets) AS BIGINT) AS packet_count FROM flows "
+        f"WHERE application_name = 'DNS' AND dst_ip IS NOT NULL GROUP BY 1, 2 "
+        f"HAVING sum(bidirectional_packets) > {det.DNS_TUNNEL_PACKETS}")
+    out["stream_uncommon_port_windows"] = with_flows(
+        f"SELECT {ws} AS window_start_ms, dst_port AS port, count(*) AS count FROM flows WHERE dst_port IS NOT NULL "
+        f"AND dst_port NOT IN {_in(det.COMMON_PORTS)} GROUP BY 1, 2 HAVING count(*) > {det.UNCOMMON_PORT_FLOWS}")
+    out["stream_unknown_tls_windows"] = with_flows(
+        f"SELECT {ws} AS window_start_ms, dst_ip, count(*) AS flows FROM flows WHERE application_name = 'TLS' "
+        f"AND application_confidence < {det.TLS_CONFIDENCE} AND dst_ip IS NOT NULL GROUP BY 1, 2 "
+        f"HAVING count(*) >= {det.TLS_MIN_FLOWS}")
+    key = "a_ip, a_port, b_ip, b_port, protocol"
+    sfirst = "(src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port))"
+    out["stream_packet_sessions"] = (
+        f"WITH p0 AS ({fx.packets_sql('duckdb')}), "
+        f"p AS (SELECT *, CASE WHEN {sfirst} THEN src_ip ELSE dst_ip END AS a_ip, "
+        f"CASE WHEN {sfirst} THEN src_port ELSE dst_port END AS a_port, CASE WHEN {sfirst} THEN dst_ip ELSE src_ip END AS b_ip, "
+        f"CASE WHEN {sfirst} THEN dst_port ELSE src_port END AS b_port FROM p0 WHERE ts_ms IS NOT NULL), "
+        f"q AS (SELECT *, lag(ts_ms) OVER (PARTITION BY {key} ORDER BY ts_ms, packet_id) AS prev_ts FROM p), "
+        f"r AS (SELECT *, sum(CASE WHEN prev_ts IS NULL OR ts_ms - prev_ts >= {METER_IDLE_MS} THEN 1 ELSE 0 END) OVER "
+        f"(PARTITION BY {key} ORDER BY ts_ms, packet_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM q) "
+        f"SELECT {key}, count(*) AS packets, CAST(sum(len) AS BIGINT) AS bytes, min(ts_ms) AS first_seen_ms, "
+        f"max(ts_ms) AS last_seen_ms FROM r GROUP BY {key}, sid")
+    out["stream_threat_domains"] = with_flows(
+        "SELECT domain, matched_threat_domain FROM m",
+        "dns AS (SELECT * FROM flows WHERE application_name = 'DNS'), "
+        "names AS (SELECT DISTINCT requested_server_name AS domain FROM dns WHERE requested_server_name IS NOT NULL), "
+        f"ind AS (SELECT DISTINCT rtrim(lower(value), '.') AS matched FROM ({fx.values_sql(fx.THREAT_DOMAINS, 'value')}) "
+        "WHERE rtrim(lower(value), '.') <> ''), m AS (SELECT n.domain, arg_max(i.matched, length(i.matched)) AS "
+        "matched_threat_domain FROM names n JOIN ind i ON rtrim(lower(n.domain), '.') = i.matched "
+        "OR ends_with(rtrim(lower(n.domain), '.'), '.' || i.matched) GROUP BY n.domain)")
+    return out
