@@ -1,10 +1,11 @@
 """IP-address column functions.
 
-IPv4 text is turned into a BIGINT with ``split`` and arithmetic, then tested
-against constant ranges, so every predicate stays inside whole-stage codegen.
-The special-purpose ranges come from Python's standard ``ipaddress`` tables
-(the IANA special registries), which is what the reference consults.
-IPv6 is handled by textual prefix rules on the lower-cased address.
+Range predicates use one regex per special-range table, derived from the CIDR
+tables of Python's standard ``ipaddress`` module (the IANA special
+registries, which the reference consults): a handful of codegen'd regex
+matches per row, no parsing, no higher-order functions. ``ipv4_to_long`` is
+kept for range joins (CIDR matching). IPv6 is handled by textual prefix rules
+on the lower-cased address.
 """
 
 from __future__ import annotations
@@ -44,6 +45,37 @@ V4_MULTICAST = _v4_ranges([_C4._multicast_network])
 V4_RESERVED = _v4_ranges([_C4._reserved_network])
 
 
+def _octet_alternation(lo: int, hi: int) -> str:
+    return "(" + "|".join(str(v) for v in range(lo, hi + 1)) + ")"
+
+
+def cidr_regex(net) -> str:
+    """A regex matching exactly the dotted-quad addresses of an IPv4 network
+    (strict addresses only; combine with IPV4_STRICT)."""
+    octets = str(net.network_address).split(".")
+    full, rem = divmod(net.prefixlen, 8)
+    parts = [octets[i] for i in range(full)]
+    if rem:
+        base = int(octets[full])
+        parts.append(_octet_alternation(base, base + (1 << (8 - rem)) - 1))
+    n = len(parts)
+    if n == 0:
+        return "^"
+    body = r"\.".join(parts)
+    return "^" + body + (r"\." if n < 4 else "$")
+
+
+def networks_regex(nets) -> str:
+    return "|".join(f"(?:{cidr_regex(n)})" for n in nets) or "(?!)"
+
+
+# One regex per special-range table: a single codegen'd match per row.
+RX_PRIVATE = networks_regex(_C4._private_networks)
+RX_PRIVATE_EXCEPT = networks_regex(getattr(_C4, "_private_networks_exceptions", []))
+RX_LOOPBACK_OR_LINK_LOCAL = networks_regex([_C4._loopback_network, _C4._linklocal_network])
+RX_GRAPH_EXCLUDED = networks_regex([_C4._multicast_network, _C4._linklocal_network, _C4._reserved_network])
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -57,17 +89,6 @@ def ipv4_to_long(c) -> Column:
     return F.when(c.rlike(IPV4_STRICT), val)
 
 
-def let(value: Column, fn) -> Column:
-    """Evaluate ``fn(x)`` with ``x`` bound to ``value`` once.
-
-    Range predicates test the parsed address many times; written inline,
-    Catalyst copies the whole parse into every test (and pushes it through
-    projections), which can exceed the JVM method-size limit of generated
-    code. Binding it through a one-element ``transform`` keeps a single copy.
-    """
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def in_ranges(v: Column, ranges: list[tuple[int, int]]) -> Column:
     if not ranges:
         return F.lit(False)
@@ -91,59 +112,41 @@ def is_private_pattern(c) -> Column:
     return F.coalesce(_col(c).rlike(PRIVATE_IP_PATTERN), F.lit(False))
 
 
-def with_ipv4(df, col: str, name: str | None = None):
-    """Add the BIGINT form of an address column once (``_<col>_v4``), so range
-    predicates test a column reference instead of re-parsing the text."""
-    name = name or f"_{col}_v4"
-    return df.withColumn(name, ipv4_to_long(col)), F.col(name)
-
-
-def is_external_ip(c, v: Column | None = None) -> Column:
+def is_external_ip(c) -> Column:
     """Parses as an address and is not private, loopback or link-local.
 
-    Unparsable values (and NULL) are false, i.e. dropped by a filter. Pass
-    ``v`` (from ``with_ipv4``) to avoid re-parsing the text per range test.
+    Unparsable values (and NULL) are false, i.e. dropped by a filter. IPv4
+    ranges are tested with regexes derived from the CIDR tables, so the
+    predicate is a few codegen'd regex matches per row.
     """
     c = _col(c)
+    v4 = (c.rlike(IPV4_STRICT) & ~(c.rlike(RX_PRIVATE) & ~c.rlike(RX_PRIVATE_EXCEPT))
+          & ~c.rlike(RX_LOOPBACK_OR_LINK_LOCAL))
+    v6 = ~c.rlike(IPV4_STRICT) & is_ipv6_text(c) & ~_v6_private(c)
+    return F.coalesce(v4 | v6, F.lit(False))
 
-    def pred(x: Column) -> Column:
-        v4 = (x.isNotNull()
-              & ~((in_ranges(x, V4_PRIVATE) & ~in_ranges(x, V4_PRIVATE_EXCEPT))
-                  | in_ranges(x, V4_LOOPBACK) | in_ranges(x, V4_LINK_LOCAL)))
-        v6 = x.isNull() & is_ipv6_text(c) & ~_v6_private(c)
-        return F.coalesce(v4 | v6, F.lit(False))
-
-    return let(ipv4_to_long(c) if v is None else v, pred)
 
-
-def is_ip_private(c, v: Column | None = None) -> Column:
-    """Python ``ip_address(x).is_private`` for IPv4 (NULL when unparsable)."""
-    def pred(x: Column) -> Column:
-        return F.when(x.isNotNull(), in_ranges(x, V4_PRIVATE) & ~in_ranges(x, V4_PRIVATE_EXCEPT)) \
-            .when(is_ipv6_text(c), _v6_private(_col(c)))
-
-    return let(ipv4_to_long(c) if v is None else v, pred)
-
-
-def is_graph_valid_ip(c, v: Column | None = None) -> Column:
-    """Endpoint kept in the communication graph (``v``: BIGINT of the trimmed text)."""
+def is_ip_private(c) -> Column:
+    """Python ``ip_address(x).is_private`` (NULL when unparsable)."""
     c = _col(c)
-    s = F.trim(c)
-    def pred(x: Column) -> Column:
-        v4_ok = x.isNotNull() & ~(in_ranges(x, V4_MULTICAST) | in_ranges(x, V4_LINK_LOCAL)
-                                  | in_ranges(x, V4_RESERVED) | (x == 0))
-        v6_ok = x.isNull() & is_ipv6_text(s) & ~(F.lower(s).startswith("ff") | F.lower(s).rlike("^fe[89ab]")
-                                                 | (F.lower(s) == "::"))
-        ok = (s != "") & ~s.isin(*GRAPH_DROP) & ~s.endswith(".255") & (v4_ok | v6_ok)
-        return F.coalesce(ok, F.lit(False))
+    return (F.when(c.rlike(IPV4_STRICT), c.rlike(RX_PRIVATE) & ~c.rlike(RX_PRIVATE_EXCEPT))
+            .when(is_ipv6_text(c), _v6_private(c)))
+
 
-    return let(ipv4_to_long(s) if v is None else v, pred)
+def is_graph_valid_ip(c) -> Column:
+    """Endpoint kept in the communication graph."""
+    s = F.trim(_col(c))
+    v4_ok = s.rlike(IPV4_STRICT) & ~s.rlike(RX_GRAPH_EXCLUDED) & (s != "0.0.0.0")
+    v6_ok = ~s.rlike(IPV4_STRICT) & is_ipv6_text(s) & ~(F.lower(s).startswith("ff") | F.lower(s).rlike("^fe[89ab]")
+                                                         | (F.lower(s) == "::"))
+    ok = (s != "") & ~s.isin(*GRAPH_DROP) & ~s.endswith(".255") & (v4_ok | v6_ok)
+    return F.coalesce(ok, F.lit(False))
 
 
-def ip_category(c, v: Column | None = None) -> Column:
+def ip_category(c) -> Column:
     """Gateway/Router, Internal Host, Public DNS or External Server."""
     c = _col(c)
-    priv = F.coalesce(is_ip_private(c, v), F.lit(False))
+    priv = F.coalesce(is_ip_private(c), F.lit(False))
     return (F.when(priv & (c.endswith(".1") | c.endswith(".254")), "Gateway/Router")
             .when(priv, "Internal Host")
             .when(c.isin(*PUBLIC_DNS), "Public DNS")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from netsift.functions import domain as dom
 from netsift.functions import ip as ipf
 from netsift.operators.alerts import to_alerts
+from netsift.operators.flows import distinct_values
 from netsift.operators.joins import broadcast_if_small
 
 # --- fixed values -------------------------------------------------------------
@@ -138,8 +139,7 @@ def unknown_domain_names(flows: DataFrame, scores: DataFrame | None = None,
     flagged at probability >= threshold. Without a model the rule check (M7)
     decides and the score is 0.0, as in the reference.
     """
-    names = dns_flows(flows).where(F.col("requested_server_name").isNotNull()) \
-        .select(F.col("requested_server_name").alias("domain")).distinct()
+    names = distinct_values(dns_flows(flows), "requested_server_name", "domain")
     if scores is None:
         return names.where(dom.rule_suspicious("domain")).select("domain", F.lit(0.0).alias("ml_score"))
     return (names.join(scores.select("domain", F.col("probability").alias("ml_score")), "domain")
@@ -192,8 +192,7 @@ def dns_tunnel_alerts(flows: DataFrame, threshold: int = DNS_TUNNEL_PACKETS) ->
 def dga_domains(flows: DataFrame, min_length: int = DGA_MIN_LENGTH,
                 threshold: float = DGA_ENTROPY) -> DataFrame:
     """D4 findings: domain, entropy. The label is taken from the raw-case name."""
-    names = dns_flows(flows).where(F.col("requested_server_name").isNotNull()) \
-        .select(F.col("requested_server_name").alias("domain")).distinct()
+    names = distinct_values(dns_flows(flows), "requested_server_name", "domain")
     sld = dom.sld_strict("domain")
     return (names.select("domain", sld.alias("sld"))
             .where(F.length("sld") > min_length)

@@ -46,6 +46,24 @@ def distinct_names(flows: DataFrame, col: str = "requested_server_name") -> Data
     return flows.where(F.col(col).isNotNull()).select(col).distinct()
 
 
+def distinct_values(df: DataFrame, col, name: str) -> DataFrame:
+    """Distinct non-null values of ``col`` as column ``name``, tied to an
+    aggregate *output*.
+
+    Catalyst pushes filters on grouping keys below an aggregate, all the way
+    to the scan. For costly per-value predicates (entropy, rule scores)
+    that means one evaluation per input row instead of one per distinct
+    value. Emitting the value as ``when(count > 0, key)`` makes every
+    predicate on it reference the aggregate's count, so it stays above the
+    shuffle and runs once per distinct value (the aggregate stays a
+    HashAggregate: the buffer is a fixed-width count).
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    return (df.select(c.alias("_k")).where(F.col("_k").isNotNull())
+            .groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+            .select(F.when(F.col("_n") > 0, F.col("_k")).alias(name)))
+
+
 def traffic_summary(flows: DataFrame) -> DataFrame:
     """A1 + A2: totals, distinct endpoints / protocols and the time range (one row)."""
     return flows.agg(

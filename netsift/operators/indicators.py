@@ -195,11 +195,19 @@ def lookup(values: DataFrame, col: str, category: str, items: DataFrame) -> Data
 
 
 def threat_ip_matches(flows: DataFrame, cidrs: DataFrame) -> DataFrame:
-    """J12 [EXT]: flows whose source or destination lies in a threat CIDR
-    (bucketed range join); ``(role, ip, cidr, flows)``."""
-    src = jn.match_cidr(flows.select(F.col("src_ip").alias("ip")), "ip", cidrs).select(F.lit("src").alias("role"), "ip", "cidr")
-    dst = jn.match_cidr(flows.select(F.col("dst_ip").alias("ip")), "ip", cidrs).select(F.lit("dst").alias("role"), "ip", "cidr")
-    return src.unionByName(dst).groupBy("role", "ip", "cidr").agg(F.count(F.lit(1)).alias("flows"))
+    """J12 [EXT]: flows whose source or destination lies in a threat CIDR;
+    ``(role, ip, cidr, flows)``.
+
+    One scan explodes both endpoints, flows are pre-aggregated per
+    (role, ip) before the range join (bucketed equi-join + range predicate),
+    so only distinct endpoints meet the CIDR table.
+    """
+    ends = flows.select(F.explode(F.array(
+        F.struct(F.lit("src").alias("role"), F.col("src_ip").alias("ip")),
+        F.struct(F.lit("dst").alias("role"), F.col("dst_ip").alias("ip")))).alias("e")).select("e.role", "e.ip")
+    per_ip = ends.where(F.col("ip").isNotNull()).groupBy("role", "ip").agg(F.count(F.lit(1)).alias("flows"))
+    return (jn.match_cidr(per_ip, "ip", cidrs).groupBy("role", "ip", "cidr")
+            .agg(F.sum("flows").alias("flows")))
 
 
 def normalize_url(c: Column) -> Column:

@@ -19,6 +19,7 @@ from netsift.functions import domain as dom
 from netsift.functions import ip as ipf
 from netsift.operators import detectors as det
 from netsift.operators.alerts import to_alerts
+from netsift.operators.flows import distinct_values
 from netsift.operators.joins import broadcast_if_small
 
 # --- fixed values -------------------------------------------------------------
@@ -43,8 +44,8 @@ SAFE_DOMAIN_KEYWORDS = [
     "netease.com", "sina.com.cn", "sohu.com", "jd.com",
     "huawei.com", "xiaomi.com", "bilibili.com", "douyin.com",
 ]
-IP_ENGINE = "abuseipdb_smart_detector"
-DOMAIN_ENGINE = "smart_threat_detector"
+IP_ENGINE = "ip_reputation_detector"
+DOMAIN_ENGINE = "domain_reputation_detector"
 # ------------------------------------------------------------------------------
 
 
@@ -159,8 +160,7 @@ def safe_days_left(cache: DataFrame, ttl_days: int = SAFE_DOMAIN_TTL_DAYS) -> Da
 
 def external_destinations(flows: DataFrame) -> DataFrame:
     """Distinct external destination IPs."""
-    return (flows.where(F.col("dst_ip").isNotNull()).select(F.col("dst_ip").alias("key")).distinct()
-            .where(ipf.is_external_ip("key")))
+    return distinct_values(flows, "dst_ip", "key").where(ipf.is_external_ip("key"))
 
 
 def ip_tiers(flows: DataFrame, cache: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def candidate_domains(flows: DataFrame, flagged: DataFrame | None = None) -> Dat
         .select(dom.normalize("requested_server_name").alias("domain"))
     if flagged is not None:
         names = names.unionByName(flagged.select(dom.normalize("domain").alias("domain")))
-    return names.distinct()
+    return distinct_values(names, "domain", "domain")
 
 
 def gate_domains(candidates: DataFrame, whitelist: DataFrame | None = None,
