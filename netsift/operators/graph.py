@@ -42,27 +42,38 @@ def clean_flows(flows: DataFrame) -> DataFrame:
     return flows.where(ipf.is_graph_valid_ip("src_ip") & ipf.is_graph_valid_ip("dst_ip"))
 
 
-def edge_table(clean: DataFrame) -> DataFrame:
-    """Per (src, dst): summed bytes and the sorted distinct application
-    names joined with ', ' and cut to 30 characters."""
+def edge_table(flows: DataFrame) -> DataFrame:
+    """A14 + P7: per (src, dst): summed bytes and the sorted distinct
+    application names joined with ', ' and cut to 30 characters; only edges
+    whose two endpoints pass P7.
+
+    P7 depends on the endpoints only, so "filter flows, then aggregate"
+    equals "aggregate, then filter edges": the predicate runs once per
+    distinct edge, after the partial/final aggregate. It is tied to the
+    aggregate's count so Catalyst cannot push it back below the shuffle.
+    """
     app = F.col("application_name")
-    return clean.groupBy(F.col("src_ip").alias("source"), F.col("dst_ip").alias("target")).agg(
+    agg = flows.groupBy(F.col("src_ip").alias("source"), F.col("dst_ip").alias("target")).agg(
+        F.count(F.lit(1)).alias("_n"),
         F.coalesce(F.sum("bidirectional_bytes"), F.lit(0)).cast("bigint").alias("value"),
         F.substring(F.array_join(F.array_sort(F.collect_set(F.when(app != "", app))), ", "), 1, LABEL_CHARS)
         .alias("label"))
+    valid = F.when(F.col("_n") > 0, ipf.is_graph_valid_ip("source") & ipf.is_graph_valid_ip("target")) \
+        .otherwise(F.lit(False))
+    return agg.where(valid).drop("_n")
 
 
-def edge_names(clean: DataFrame) -> DataFrame:
-    """Distinct lower-cased server names per edge."""
+def edge_names(flows: DataFrame) -> DataFrame:
+    """Distinct lower-cased server names per edge (joined with valid edges later)."""
     n = F.lower(F.col("requested_server_name"))
-    return (clean.where(F.col("requested_server_name").isNotNull() & (F.col("requested_server_name") != ""))
+    return (flows.where(F.col("requested_server_name").isNotNull() & (F.col("requested_server_name") != ""))
             .select(F.col("src_ip").alias("source"), F.col("dst_ip").alias("target"), n.alias("sni")).distinct())
 
 
-def _domain_matches(clean: DataFrame, domains: DataFrame) -> DataFrame:
+def _domain_matches(flows: DataFrame, domains: DataFrame) -> DataFrame:
     """(source, target, domain): an edge name equals the domain or ends with '.' + domain."""
     d = domains.select(F.lower(F.col("value")).alias("domain")).where(F.col("domain") != "").distinct()
-    names = edge_names(clean)
+    names = edge_names(flows)
     sfx = names.select("source", "target", "sni", F.explode(dom.suffixes("sni")).alias("domain"))
     hit = sfx.join(broadcast_if_small(d), "domain")
     longest = hit.groupBy("source", "target", "sni").agg(F.max_by("domain", F.length("domain")).alias("domain"))
@@ -79,8 +90,8 @@ def build_graph(flows: DataFrame, min_bytes: int = DEFAULT_MIN_BYTES, highlight_
     IP → domain edge (G3); bad actors become "Threat Node"s (G4).
     ``highlight_*`` are one-column DataFrames ``value``.
     """
-    clean = clean_flows(flows)
-    edges = edge_table(clean)
+    valid_edges = edge_table(flows)
+    edges = valid_edges
     highlighted = highlight_ips is not None or highlight_domains is not None
     if not highlighted:
         if min_bytes > 0:
@@ -98,7 +109,7 @@ def build_graph(flows: DataFrame, min_bytes: int = DEFAULT_MIN_BYTES, highlight_
             flag = flag | F.coalesce(F.col("_s"), F.lit(False)) | F.coalesce(F.col("_t"), F.lit(False))
         matches = None
         if highlight_domains is not None:
-            matches = _domain_matches(clean, highlight_domains)
+            matches = _domain_matches(flows, highlight_domains)
             hit_edges = matches.select("source", "target").distinct().withColumn("_d", F.lit(True))
             e = e.join(hit_edges, ["source", "target"], "left")
             flag = flag | F.coalesce(F.col("_d"), F.lit(False))
@@ -120,25 +131,26 @@ def build_graph(flows: DataFrame, min_bytes: int = DEFAULT_MIN_BYTES, highlight_
         all_edges = all_edges.unionByName(dom_edges.withColumn("kind", F.lit("domain")))
     all_edges = all_edges.withColumn("width", F.when(F.col("kind") == "ip", link_width(F.col("value")))
                                      .otherwise(F.lit(3.0)))
-    nodes = build_nodes(clean, ip_edges, dom_edges, bad)
+    nodes = build_nodes(valid_edges, ip_edges, dom_edges, bad)
     return {"edges": all_edges, "nodes": nodes}
 
 
-def node_traffic(clean: DataFrame) -> DataFrame:
-    """Bytes as source, bytes as destination, traffic = max of the two."""
-    s = clean.groupBy(F.col("src_ip").alias("id")).agg(F.sum("bidirectional_bytes").alias("as_src"))
-    d = clean.groupBy(F.col("dst_ip").alias("id")).agg(F.sum("bidirectional_bytes").alias("as_dst"))
+def node_traffic(edges: DataFrame) -> DataFrame:
+    """Bytes as source, bytes as destination (over P7-valid flows, i.e.
+    valid edges), traffic = max of the two; missing side → 0."""
+    s = edges.groupBy(F.col("source").alias("id")).agg(F.sum("value").alias("as_src"))
+    d = edges.groupBy(F.col("target").alias("id")).agg(F.sum("value").alias("as_dst"))
     return (s.join(d, "id", "full")
             .select("id", F.greatest(F.coalesce("as_src", F.lit(0)), F.coalesce("as_dst", F.lit(0)))
                     .cast("bigint").alias("traffic")))
 
 
-def build_nodes(clean: DataFrame, ip_edges: DataFrame, dom_edges: DataFrame | None,
+def build_nodes(edges: DataFrame, ip_edges: DataFrame, dom_edges: DataFrame | None,
                 bad: DataFrame | None) -> DataFrame:
     """IP nodes (traffic, P8 category, threat flag, size, label) and domain nodes."""
     ids = ip_edges.select(F.col("source").alias("id")).unionByName(ip_edges.select(F.col("target").alias("id"))) \
         .distinct()
-    n = ids.join(node_traffic(clean), "id", "left").withColumn("traffic", F.coalesce("traffic", F.lit(0)))
+    n = ids.join(node_traffic(edges), "id", "left").withColumn("traffic", F.coalesce("traffic", F.lit(0)))
     if bad is not None:
         n = n.join(bad.withColumn("_bad", F.lit(True)), "id", "left")
         is_bad = F.coalesce(F.col("_bad"), F.lit(False))
