@@ -219,7 +219,8 @@ def indicator_queries() -> dict[str, Query]:
     from netsift.sources import sinks
     from netsift.sources.builtin import BUILTIN_PHISHING_KEYWORDS, BUILTIN_SAFE_DOMAINS, BUILTIN_SUSPICIOUS_UA
 
-    now = F.timestamp_seconds(F.lit(NOW_EPOCH))
+    def now():
+        return F.timestamp_seconds(F.lit(NOW_EPOCH))
 
     def header(t: Tables) -> DataFrame:
         return t.spark.createDataFrame([("# indicator feed",), ("",), ("   ",)], "line string")
@@ -282,12 +283,12 @@ def indicator_queries() -> dict[str, Query]:
     q["indicator_snapshot_replace"] = _q(lambda t: _out(ind.snapshot_replace(
         base_indicators(t), "domain_feed", "threat_domains",
         det.dns_flows(t.flows).where(F.col("requested_server_name").isNotNull())
-        .select(F.lower("requested_server_name").alias("value")), now)))
+        .select(F.lower("requested_server_name").alias("value")), now())))
     q["indicator_additive_merge"] = _q(lambda t: _out(ind.additive_merge(
-        base_indicators(t), "domain_feed", "threat_domains", _page_hosts(t).unionByName(_flow_names(t)), now)))
+        base_indicators(t), "domain_feed", "threat_domains", _page_hosts(t).unionByName(_flow_names(t)), now())))
     q["indicator_differential_merge"] = _q(lambda t: _out(ind.differential_merge(
-        base_indicators(t), "domain_feed", "threat_domains", diff_ops(t), now)))
-    q["indicator_expiry"] = _q(lambda t: _out(ind.expire(base_indicators(t), "domain_feed", 24, now)))
+        base_indicators(t), "domain_feed", "threat_domains", diff_ops(t), now())))
+    q["indicator_expiry"] = _q(lambda t: _out(ind.expire(base_indicators(t), "domain_feed", 24, now())))
     q["indicator_category_view"] = _q(lambda t: ind.category_view(base_indicators(t), base_feeds(t)))
     q["indicator_category_view_toggled"] = _q(lambda t: ind.category_view(
         base_indicators(t), ind.set_enabled(ind.set_enabled(base_feeds(t), "url_feed", True),
@@ -453,6 +454,50 @@ def streaming_queries() -> dict[str, Query]:
 METER_IDLE_S = 6 * 3600
 
 
+# --- remaining surface: P2/P3, P12, W5, S11, S12, X6 --------------------------------------
+
+def surface_queries() -> dict[str, Query]:
+    from netsift.operators import alerts as al
+    from netsift.operators import reputation as rp
+    from netsift.plans.analysis import analyze
+    from netsift.plans.registry import Context, default_registry
+    from netsift.session import scratch_dir
+    from netsift.sources import sinks
+
+    def all_alerts(t: Tables) -> DataFrame:
+        alerts, _ = default_registry().run_all(t.flows, Context(t.spark, threat_domains=t.threat_domains))
+        return alerts
+
+    def report(t: Tables) -> DataFrame:
+        path = scratch_dir(t.spark, "report")
+        summary = fl.traffic_summary(t.flows)
+        cache = rp.cache_from_snapshot(t.ip_reputation)
+        sinks.write_result_json(path, summary, all_alerts(t), rp.malicious_ip_listing(t.flows, cache, t.ip_reputation))
+        return t.spark.read.json(f"{path}/findings").select("type", "severity", "description")
+
+    def snapshot(t: Tables) -> DataFrame:
+        path = scratch_dir(t.spark, "indicators")
+        sinks.write_indicators(base_indicators(t), path)
+        return _out(sinks.read_indicators(t.spark, path, ["domain_feed", "reputation_feed"]))
+
+    def analysis(t: Tables) -> DataFrame:
+        res = analyze(t.flows, Context(t.spark, threat_domains=t.threat_domains),
+                      domain_reputation=t.domain_reputation, ip_cache=rp.cache_from_snapshot(t.ip_reputation),
+                      ip_service=t.ip_reputation)
+        return res["type_counts"]
+
+    first_order = ["priority", "engine_name", "threat_type", "severity", "confidence", "ioc"]
+    q: dict[str, Query] = {}
+    q["dns_server_names"] = _q(lambda t: fl.distinct_names(fl.application_subset(t.flows, ["DNS"]))
+                               .select(F.col("requested_server_name").alias("domain")))
+    q["alerts_high_severity"] = _q(lambda t: al.ioc_string(al.select_alerts(all_alerts(t), severity="HIGH")))
+    q["alerts_first_100"] = _q(lambda t: al.ioc_string(all_alerts(t)).orderBy(*first_order).limit(100))
+    q["report_findings"] = _q(report)
+    q["indicator_snapshot_roundtrip"] = _q(snapshot)
+    q["analysis_counts_by_type"] = _q(analysis)
+    return q
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q.update(flow_queries())
@@ -466,4 +511,5 @@ def queries() -> dict[str, Query]:
     q.update(metering_queries())
     q.update(ml_queries())
     q.update(streaming_queries())
+    q.update(surface_queries())
     return q

@@ -221,6 +221,7 @@ def oracle_sql() -> dict[str, str]:
     q["flow_metering"] = metering_sql()
     q["flow_metering_fine_buckets"] = metering_sql()
     q.update(streaming_sql(q))
+    q.update(surface_sql(q))
     return q
 
 
@@ -791,3 +792,25 @@ def streaming_sql(q: dict[str, str]) -> dict[str, str]:
         "matched_threat_domain FROM names n JOIN ind i ON rtrim(lower(n.domain), '.') = i.matched "
         "OR ends_with(rtrim(lower(n.domain), '.'), '.' || i.matched) GROUP BY n.domain)")
     return out
+
+
+def surface_sql(q: dict[str, str]) -> dict[str, str]:
+    rows = _alert_rows(q)
+    union = " UNION ALL ".join(f"SELECT *, {p} AS priority FROM ({s})" for _, s, p in rows)
+    out = {}
+    out["dns_server_names"] = with_flows(
+        "SELECT DISTINCT requested_server_name AS domain FROM flows WHERE application_name = 'DNS' "
+        "AND requested_server_name IS NOT NULL")
+    out["alerts_high_severity"] = f"SELECT * FROM ({union}) WHERE severity = 'HIGH'"
+    out["alerts_first_100"] = (f"SELECT * FROM ({union}) ORDER BY priority, engine_name, threat_type, severity, "
+                               f"confidence, ioc LIMIT 100")
+    base = q["indicator_set_version"]
+    out["indicator_snapshot_roundtrip"] = base.replace(
+        "SELECT source, count(*) AS n, '1.' || CAST(count(*) AS VARCHAR) || '.' || substr(md5(string_agg(value, '|' "
+        "ORDER BY value)), 1, 6) AS version, substr(md5(string_agg(value, '|' ORDER BY value)), 1, 8) AS hash "
+        "FROM base GROUP BY source",
+        "SELECT * FROM base WHERE source IN ('domain_feed', 'reputation_feed')")
+    types = (f"SELECT threat_type FROM ({union}) UNION ALL SELECT 'PHISHING' FROM ({q['detect_domain_threats']}) "
+             f"UNION ALL SELECT 'MALICIOUS_IP' FROM ({q['detect_malicious_ips']})")
+    out["analysis_counts_by_type"] = f"SELECT threat_type, count(*) AS alert_count FROM ({types}) GROUP BY threat_type"
+    return out
