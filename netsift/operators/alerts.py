@@ -14,6 +14,16 @@ def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+def ioc_array(*cols: Column) -> Column:
+    """Array of the non-NULL values as strings (concat of one-element arrays:
+    code-generated, no higher-order function on the row path)."""
+    empty = F.array().cast("array<string>")
+    if not cols:
+        return empty
+    parts = [F.when(c.isNotNull(), F.array(c.cast("string"))).otherwise(empty) for c in cols]
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
+
+
 def to_alerts(findings: DataFrame, *, engine: str, threat_type, severity, confidence,
               description: Column, evidence: dict[str, Column], ioc: list[Column],
               mitre=None, action: str | None = None) -> DataFrame:
@@ -23,8 +33,7 @@ def to_alerts(findings: DataFrame, *, engine: str, threat_type, severity, confid
     dict); NULL IOC entries are dropped.
     """
     ev = F.create_map(*[x for k, v in evidence.items() for x in (F.lit(k), _lit(v).cast("string"))])
-    iocs = F.filter(F.array(*[_lit(c).cast("string") for c in ioc]), lambda x: x.isNotNull()) \
-        if ioc else F.array().cast("array<string>")
+    iocs = ioc_array(*[_lit(c) for c in ioc])
     return findings.select(
         F.lit(engine).alias("engine_name"),
         _lit(threat_type).cast("string").alias("threat_type"),
@@ -70,17 +79,20 @@ def alert_bundle(alerts: DataFrame, max_per_type: int | None = 100) -> DataFrame
 
     The count covers every alert. The list is the report's bundle: with
     ``max_per_type`` it holds the first N alerts of the type under a total
-    order (taken with a partial WindowGroupLimit, so a type with millions of
-    alerts never lands in one task); ``None`` keeps all of them, for small runs.
+    order (salted two-level top-k, so a type with millions of alerts never
+    lands in one task); ``None`` keeps all of them, for small runs.
     """
     counts = alerts.groupBy("threat_type").agg(F.count(F.lit(1)).alias("alert_count"))
     item = F.struct("severity", "description", "evidence", "ioc")
     if max_per_type is None:
         lists = alerts.groupBy("threat_type").agg(F.collect_list(item).alias("alerts"))
     else:
-        w = Window.partitionBy("threat_type").orderBy("severity", "description", F.array_join("ioc", ","))
-        lists = (alerts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_per_type)
-                 .groupBy("threat_type").agg(F.collect_list(item).alias("alerts")))
+        from netsift.operators.topk import top_k_per_group
+        flat = alerts.select("threat_type", "severity", "description", "evidence", "ioc",
+                             F.array_join("ioc", ",").alias("_ioc"))
+        cut = top_k_per_group(flat, ["threat_type"], [F.col("severity"), F.col("description"), F.col("_ioc")],
+                              max_per_type, salt_cols=["severity", "description", "_ioc"])
+        lists = cut.groupBy("threat_type").agg(F.collect_list(item).alias("alerts"))
     return counts.join(lists, "threat_type")
 
 

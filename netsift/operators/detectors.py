@@ -7,9 +7,9 @@ typed findings (one row per alert; what the SQL oracle checks) and
 Per-flow detectors are single narrow filters. Grouped detectors aggregate with
 partial (map-side) aggregation before the shuffle, so a hot key (one resolver
 or one scanner holding a third of all flows) becomes one pre-aggregated row
-per task instead of a hot partition. Per-name statistics cap the sample of
-source IPs with ``row_number() <= k``, which Spark plans as a partial
-WindowGroupLimit below the shuffle, so no unbounded list is ever collected.
+per task instead of a hot partition. Per-name samples (first source IPs,
+sample ports) use the salted two-level top-k of ``topk.py``, so no unbounded
+list is collected and no hot name lands in one task.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from netsift.functions import ip as ipf
 from netsift.operators.alerts import to_alerts
 from netsift.operators.flows import distinct_values
 from netsift.operators.joins import broadcast_if_small
+from netsift.operators.topk import top_k_per_group
 
 # --- fixed values -------------------------------------------------------------
 DNS_TUNNEL_PACKETS = 20           # D3: packets per resolver over DNS flows
@@ -84,8 +85,7 @@ def domain_query_stats(dns: DataFrame, domains: DataFrame, key: Column | None =
             .join(domains.select("domain").distinct(), "domain", "left_semi"))
     counts = base.groupBy("domain").agg(F.count(F.lit(1)).alias("query_count"))
     pairs = base.where(F.col("src_ip").isNotNull()).select("domain", "src_ip").distinct()
-    w = Window.partitionBy("domain").orderBy("src_ip")
-    sample = (pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    sample = (top_k_per_group(pairs, ["domain"], [F.col("src_ip")], k)
               .groupBy("domain")
               .agg(F.array_join(F.array_sort(F.collect_list("src_ip")), ",").alias("source_ips")))
     return counts.join(sample, "domain", "left").select(
@@ -249,9 +249,11 @@ def uncommon_ports_alerts(flows: DataFrame) -> DataFrame:
 # --- D7: suspicious user agents (P11) ------------------------------------------
 
 def ua_hits(ua: Column, patterns: list[str] = SUSPICIOUS_UA) -> Column:
-    """The patterns contained in the lower-cased user agent, in list order."""
+    """The patterns contained in the lower-cased user agent, in list order
+    (concat of one-element arrays: code-generated, no higher-order function)."""
     low = F.lower(ua)
-    return F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.instr(low, p) > 0)
+    empty = F.array().cast("array<string>")
+    return F.concat(*[F.when(F.instr(low, p) > 0, F.array(F.lit(p))).otherwise(empty) for p in patterns])
 
 
 def suspicious_user_agents(flows: DataFrame, patterns: list[str] = SUSPICIOUS_UA) -> DataFrame:
@@ -418,9 +420,8 @@ def plugin_port_scan(flows: DataFrame, threshold: int = PLUGIN_SCAN_THRESHOLD,
              .select("src_ip", "dst_port").distinct())
     counts = pairs.groupBy("src_ip").agg(F.count(F.lit(1)).alias("port_count")) \
         .where(F.col("port_count") >= threshold)
-    w = Window.partitionBy("src_ip").orderBy("dst_port")
-    samples = (pairs.join(counts.select("src_ip"), "src_ip", "left_semi")
-               .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample)
+    samples = (top_k_per_group(pairs.join(counts.select("src_ip"), "src_ip", "left_semi"), ["src_ip"],
+                               [F.col("dst_port")], sample)
                .groupBy("src_ip")
                .agg(F.array_join(F.array_sort(F.collect_list("dst_port")), ",").alias("sample_ports")))
     return (counts.join(samples, "src_ip")

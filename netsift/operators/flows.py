@@ -140,9 +140,8 @@ def ip_profile(flows: DataFrame, ip: str, k: int = 5) -> dict[str, DataFrame]:
                                         F.col("bidirectional_bytes").alias("b"))))).alias("x"))
              .where(F.col("x").isNotNull() & F.col("x.peer_ip").isNotNull())
              .groupBy("x.role", "x.peer_ip").agg(F.sum("x.b").cast("bigint").alias("total_bytes")))
-    from pyspark.sql import Window
-    w = Window.partitionBy("role").orderBy(F.desc("total_bytes"), F.asc("peer_ip"))
-    top = peers.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    from netsift.operators.topk import top_k_per_group
+    top = top_k_per_group(peers, ["role"], [F.desc("total_bytes"), F.asc("peer_ip")], k, rank_col="rank")
     return {"summary": summary, "top_peers": top}
 
 

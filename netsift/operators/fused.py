@@ -15,20 +15,12 @@ from pyspark.sql import functions as F
 
 from netsift.functions import ip as ipf
 from netsift.operators import detectors as det
+from netsift.operators.alerts import ioc_array
 
 _FIELDS = ["engine_name", "threat_type", "severity", "description", "evidence", "confidence", "ioc",
            "mitre_technique", "recommended_action"]
 
 
-def _ioc(*cols: Column) -> Column:
-    """IOC array without NULL entries (concat of one-element arrays)."""
-    if not cols:
-        return F.array().cast("array<string>")
-    parts = [F.when(c.isNotNull(), F.array(c.cast("string"))).otherwise(F.array().cast("array<string>"))
-             for c in cols]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
 def _evidence(ev: dict[str, Column]) -> Column:
     return F.create_map(*[x for k, v in ev.items() for x in (F.lit(k), v.cast("string"))])
 
@@ -99,7 +91,7 @@ def per_flow_alerts(flows: DataFrame) -> DataFrame:
         _case(r, [sp["description"].cast("string") for sp in specs]).alias("description"),
         _case(r, [_evidence(sp["evidence"]) for sp in specs]).alias("evidence"),
         _case(r, [F.lit(sp["confidence"]).cast("double") for sp in specs]).alias("confidence"),
-        _case(r, [_ioc(*sp["ioc"]) for sp in specs]).alias("ioc"),
+        _case(r, [ioc_array(*sp["ioc"]) for sp in specs]).alias("ioc"),
         F.lit(None).cast("string").alias("mitre_technique"),
         _case(r, [F.lit(sp["action"]) for sp in specs]).alias("recommended_action"),
     )

@@ -116,3 +116,13 @@ def test_fused_equals_union(spark):
     assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
     assert b.select(*cols).exceptAll(a.select(*cols)).count() == 0
     assert fused.per_flow_alerts(t.flows).count() > 0
+
+
+def test_top_k_per_group_is_exact_under_a_hot_group(spark):
+    from netsift.operators.topk import top_k_per_group
+    rows = [("hot", i) for i in range(5000)] + [("cold", i) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    got = top_k_per_group(df, ["g"], [F.desc("v")], 7, salts=16, rank_col="rank")
+    res = {(r.g, r.rank): r.v for r in got.collect()}
+    assert [res[("hot", i)] for i in range(1, 8)] == list(range(4999, 4992, -1))
+    assert [res[("cold", i)] for i in range(1, 4)] == [2, 1, 0]
