@@ -314,8 +314,8 @@ def anomaly_sql() -> dict[str, str]:
         _scored_ctes())
     x = {c: f"coalesce(CAST({c} AS DOUBLE), 0.0)" for c in an.ML_FEATURES}
     st = ", ".join(f"avg({x[c]}) AS m_{c}, stddev_pop({x[c]}) AS s_{c}" for c in an.ML_FEATURES)
-    sc = ", ".join(f"round(({x[c]} - m_{c}) / (CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END), 4) AS {c}"
-                   for c in an.ML_FEATURES)
+    sc = ", ".join(f"round(({x[c]} - m_{c}) / (CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1.0 END), 4) + 0.0 AS {c}"
+                   for c in an.ML_FEATURES)  # + 0.0 turns a rounded -0.0 into 0.0, as Spark's round does
     q["standard_scaled_features"] = with_flows(
         f"SELECT src_ip, dst_ip, {sc} FROM flows, st", f"st AS (SELECT {st} FROM flows)")
     return q
