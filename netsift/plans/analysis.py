@@ -35,7 +35,7 @@ def analyze(flows: DataFrame, ctx: Context, registry: Registry | None = None,
     ``spark.checkpoint.dir``) so the several reports built on it do not
     re-run the detectors, and executor loss cannot lose it.
     """
-    registry = registry or default_registry()
+    registry = registry or default_registry(fused_scan=True)
     scored = an.score_flows(flows, contamination, quantile_method)
     alerts, reports = registry.run_all(flows, ctx)
     extra = []

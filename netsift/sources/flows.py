@@ -37,10 +37,11 @@ def read_flows(spark: SparkSession, path: str, fmt: str = "parquet",
     reader = spark.read.options(**(options or {}))
     if fmt == "parquet":
         return conform(reader.parquet(path))
-    if fmt in ("csv", "json"):
-        if fmt == "csv":
-            reader = reader.option("header", "true")
-        return conform(reader.schema(FLOW_SCHEMA).format(fmt).load(path))
+    if fmt == "csv":
+        # header names, not positions, decide the columns: read as text, cast by name
+        return conform(reader.option("header", "true").option("inferSchema", "false").csv(path))
+    if fmt == "json":
+        return conform(reader.schema(FLOW_SCHEMA).json(path))
     return conform(reader.format(fmt).load(path))
 
 
