@@ -16,7 +16,7 @@ from netsift.operators import anomaly as an
 from netsift.operators import detectors as det
 from netsift.operators import flows as fl
 from netsift.operators import reputation as rp
-from netsift.operators.alerts import counts_by, severity_counts, union_alerts
+from netsift.operators.alerts import counts_by, severity_counts
 from netsift.plans.registry import Context, Registry, default_registry
 from netsift.schema import ALERT_COLUMNS
 from netsift.session import cut_lineage
@@ -72,4 +72,4 @@ def analyze(flows: DataFrame, ctx: Context, registry: Registry | None = None,
     }
 
 
-__all__ = ["analyze", "Context", "union_alerts"]
+__all__ = ["analyze", "Context"]
