@@ -162,8 +162,10 @@ def has_safe_prefix(c) -> Column:
 def cidr_bounds(c) -> tuple[Column, Column, Column]:
     """``a.b.c.d/len`` (or a bare address) → (start, end, prefix length) as BIGINT."""
     c = F.trim(F.split(_col(c), ";").getItem(0))
-    addr = F.split(c, "/").getItem(0)
-    plen = F.coalesce(F.split(c, "/").getItem(1).cast("int"), F.lit(32))
+    parts = F.split(c, "/")
+    addr = parts.getItem(0)
+    plen_txt = F.try_element_at(parts, F.lit(2))
+    plen = F.coalesce(F.when(plen_txt.rlike(r"^(3[0-2]|[12]?[0-9])$"), plen_txt.cast("int")), F.lit(32))
     base = ipv4_to_long(addr)
     size = F.pow(F.lit(2.0), 32 - plen).cast("bigint")  # exact below 2^53
     start = base - F.pmod(base, size)

@@ -143,7 +143,7 @@ def fit(flows: DataFrame, n_estimators: int = 100, max_samples: int = 256, conta
     row_hash = F.xxhash64(*[F.col(f"_z{i}") for i in range(len(feats))], F.lit(seed))
 
     def member(t):
-        u = (F.abs(F.xxhash64(row_hash, t)) % F.lit(1_000_000)) / 1_000_000.0
+        u = F.pmod(F.xxhash64(row_hash, t), F.lit(1_000_000)) / 1_000_000.0
         return u < F.lit(p)
 
     assigned = pre.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_estimators - 1)), member))

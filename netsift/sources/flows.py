@@ -21,7 +21,8 @@ def conform(df: DataFrame, schema=FLOW_SCHEMA) -> DataFrame:
     cols = []
     for f in schema.fields:
         if f.name in present:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+            same = df.schema[f.name].dataType == f.dataType
+            cols.append((F.col(f.name) if same else F.col(f.name).try_cast(f.dataType)).alias(f.name))
         else:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     return df.select(*cols)
