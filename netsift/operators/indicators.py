@@ -81,7 +81,7 @@ def expire(indicators: DataFrame, source: str, expiry_hours: int, now=None) -> D
 def category_view(indicators: DataFrame, feeds: DataFrame, category: str | None = None) -> DataFrame:
     """Distinct ``(category, value)`` over the enabled sources."""
     enabled = feeds.where(F.col("enabled")).select("source")
-    v = indicators.join(F.broadcast(enabled), "source", "left_semi")
+    v = indicators.join(jn.broadcast_if_small(enabled, 100_000), "source", "left_semi")
     if category:
         v = v.where(F.col("category") == category)
     return v.select("category", "value").distinct()

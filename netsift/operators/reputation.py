@@ -247,7 +247,7 @@ def gate_domains(candidates: DataFrame, whitelist: DataFrame | None = None,
     spark = candidates.sparkSession
     safe = spark.createDataFrame([(d,) for d in SAFE_DOMAIN_KEYWORDS], "matched string")
     sfx = candidates.select("domain", F.explode(dom.suffixes("domain")).alias("matched"))
-    under_safe = sfx.join(F.broadcast(safe), "matched").select("domain")
+    under_safe = sfx.join(F.broadcast(safe), "matched").select("domain")  # 18 fixed literals
     g = candidates.join(under_safe, "domain", "left_anti")
     if whitelist is not None:
         g = g.join(whitelist.select(F.col("key").alias("domain")), "domain", "left_anti")

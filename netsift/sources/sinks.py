@@ -26,9 +26,13 @@ def write_csv(rows: DataFrame, path: str, header: bool = True) -> str:
     return path
 
 
-def write_json_documents(values: DataFrame, path: str, key: str = "domains", buckets: int = 4) -> str:
+def write_json_documents(values: DataFrame, path: str, key: str = "domains",
+                         max_items_per_document: int = 50_000) -> str:
     """Land ``values(value)`` as JSON feed documents ``{"<key>": [...]}``, one
-    document per file (hash buckets keep each document bounded)."""
+    document per file; the number of hash buckets grows with the item count so
+    each document (and the task that builds it) stays bounded."""
+    n = values.count()
+    buckets = max(1, -(-n // max_items_per_document) * 2)
     b = F.pmod(F.xxhash64("value"), F.lit(buckets)).alias("bucket")
     docs = (values.select(b, "value").groupBy("bucket")
             .agg(F.to_json(F.struct(F.array_sort(F.collect_list("value")).alias(key))).alias("value")))
