@@ -432,8 +432,36 @@ def streaming_queries() -> dict[str, Query]:
         sd.static_join_each_batch(flow_stream(t), lambda s: doms, sd.threat_domain_hits, out, ck)
         return t.spark.read.parquet(out).select("domain", "matched_threat_domain").distinct()
 
+    def stateful_metering(t: Tables) -> DataFrame:
+        import time as _time
+
+        from netsift.schema import PACKET_SCHEMA
+        from netsift.plans.oracle import METER_ACTIVE_MS, METER_IDLE_MS
+        landing = scratch_dir(t.spark, "stream", "packets_ordered")
+        pk = t.packets
+        lo, hi = pk.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+        chunks = 4
+        step = (hi - lo) // chunks + 1 if lo is not None else 1
+        for i in range(chunks if lo is not None else 0):   # land in time order, one file per chunk
+            (pk.where((F.col("ts_ms") >= lo + i * step) & (F.col("ts_ms") < lo + (i + 1) * step))
+             .coalesce(1).write.mode("append").parquet(landing))
+            _time.sleep(1.1)
+        out, ck = dirs(t, "t4b")
+
+        def drain():
+            s = t.spark.readStream.schema(PACKET_SCHEMA).option("maxFilesPerTrigger", 1).parquet(landing)
+            sd.run_append(sd.stateful_metering(s, METER_IDLE_MS, METER_ACTIVE_MS), out, ck)
+        drain()
+        sd.flush_sessions(t.spark, landing, hi or 0, METER_IDLE_MS, 3600 * 1000)
+        drain()
+        res = t.spark.read.parquet(out).where(F.col("src_ip") != sd.HEARTBEAT_IP)
+        stats = ["bidirectional_mean_ps", "bidirectional_stddev_ps", "bidirectional_mean_piat_ms",
+                 "bidirectional_stddev_piat_ms"]
+        return res.select(*[F.round(c, 1).alias(c) if c in stats else F.col(c) for c in res.columns])
+
     q: dict[str, Query] = {}
     q["stream_per_flow_alerts"] = _q(per_flow)
+    q["stream_flow_metering"] = _q(stateful_metering)
     q["stream_dns_tunnel_windows"] = _q(lambda t: upsert(
         t, "t2a", sd.tumbling_dns_tunnel, ["window_start_ms", "dst_ip"],
         "window_start_ms long, dst_ip string, packet_count long"))

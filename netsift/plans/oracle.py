@@ -222,6 +222,7 @@ def oracle_sql() -> dict[str, str]:
     q["flow_metering_fine_buckets"] = metering_sql()
     q.update(streaming_sql(q))
     q.update(surface_sql(q))
+    q["stream_flow_metering"] = metering_sql(places=1)
     return q
 
 
@@ -722,7 +723,7 @@ METER_IDLE_MS = 6 * 3600 * 1000
 METER_ACTIVE_MS = 24 * 3600 * 1000
 
 
-def metering_sql(idle: int = METER_IDLE_MS, active: int = METER_ACTIVE_MS) -> str:
+def metering_sql(idle: int = METER_IDLE_MS, active: int = METER_ACTIVE_MS, places: int = 6) -> str:
     key = "a_ip, a_port, b_ip, b_port, protocol"
     sfirst = "(src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port))"
     return (
@@ -749,9 +750,9 @@ def metering_sql(idle: int = METER_IDLE_MS, active: int = METER_ACTIVE_MS) -> st
         "CAST(CASE WHEN ia THEN ab_b ELSE ba_b END AS BIGINT) AS src2dst_bytes, "
         "CAST(CASE WHEN ia THEN ba_b ELSE ab_b END AS BIGINT) AS dst2src_bytes, first_ms AS bidirectional_first_seen_ms, "
         "last_ms AS bidirectional_last_seen_ms, CAST(last_ms - first_ms AS DOUBLE) AS bidirectional_duration_ms, "
-        "round(mean_ps, 6) AS bidirectional_mean_ps, round(coalesce(std_ps, 0.0), 6) AS bidirectional_stddev_ps, "
-        "round(coalesce(mean_piat, 0.0), 6) AS bidirectional_mean_piat_ms, "
-        "round(coalesce(std_piat, 0.0), 6) AS bidirectional_stddev_piat_ms FROM g")
+        f"round(mean_ps, {places}) AS bidirectional_mean_ps, round(coalesce(std_ps, 0.0), {places}) AS bidirectional_stddev_ps, "
+        f"round(coalesce(mean_piat, 0.0), {places}) AS bidirectional_mean_piat_ms, "
+        f"round(coalesce(std_piat, 0.0), {places}) AS bidirectional_stddev_piat_ms FROM g")
 
 
 # --- streaming twins (T1, T2, T4, T6): the batch result of the same definition -----------

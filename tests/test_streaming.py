@@ -50,3 +50,33 @@ def test_static_join_each_batch(spark):
     got = {(r.domain, r.matched_threat_domain) for r in spark.read.parquet(out).collect()}
     exp = {(r.domain, r.matched_threat_domain) for r in det.threat_domains(t.flows, doms).collect()}
     assert got == exp and got
+
+
+def test_stateful_metering_equals_batch(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from netsift.operators import metering as mt
+    from netsift.schema import PACKET_SCHEMA
+    A, B = ("10.0.0.1", 5000), ("8.8.8.8", 53)
+    rows = [(B, A, 0, 10), (A, B, 50, 20), (B, A, 100, 30), (A, B, 200, 40), (A, B, 260, 50),
+            (A, B, 330, 60), (B, A, 340, 70), (A, B, 1000, 5)]
+    data = [(i, s[0], d[0], s[1], d[1], 17, ts, ln) for i, (s, d, ts, ln) in enumerate(rows)]
+    src, out, ck = _dirs()
+    for part in (data[:4], data[4:]):                      # two files, in time order
+        spark.createDataFrame(part, PACKET_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+
+    def drain():
+        s = spark.readStream.schema(PACKET_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+        sd.run_append(sd.stateful_metering(s, idle_ms=100, active_ms=120, watermark="0 seconds"), out, ck)
+    drain()
+    sd.flush_sessions(spark, src, 1000, 100, 0)
+    drain()
+    got = spark.read.parquet(out).where(F.col("src_ip") != sd.HEARTBEAT_IP)
+    exp = mt.meter(spark.createDataFrame(data, PACKET_SCHEMA), 100, 120).select(*got.columns)
+    key = ["bidirectional_first_seen_ms", "bidirectional_packets", "bidirectional_bytes", "src_ip",
+           "src2dst_bytes", "dst2src_bytes", "bidirectional_mean_piat_ms"]
+    assert sorted(tuple(r) for r in got.select(*key).collect()) == sorted(tuple(r) for r in exp.select(*key).collect())
+    assert got.count() == 4
