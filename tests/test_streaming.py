@@ -62,7 +62,8 @@ def test_stateful_metering_equals_batch(spark):
     A, B = ("10.0.0.1", 5000), ("8.8.8.8", 53)
     rows = [(B, A, 0, 10), (A, B, 50, 20), (B, A, 100, 30), (A, B, 200, 40), (A, B, 260, 50),
             (A, B, 330, 60), (B, A, 340, 70), (A, B, 1000, 5)]
-    data = [(i, s[0], d[0], s[1], d[1], 17, ts, ln) for i, (s, d, ts, ln) in enumerate(rows)]
+    base = 1_700_000_000_000  # event times at epoch 0 would sit on Spark's initial watermark
+    data = [(i, s[0], d[0], s[1], d[1], 17, base + ts, ln) for i, (s, d, ts, ln) in enumerate(rows)]
     src, out, ck = _dirs()
     for part in (data[:4], data[4:]):                      # two files, in time order
         spark.createDataFrame(part, PACKET_SCHEMA).coalesce(1).write.mode("append").parquet(src)
@@ -72,7 +73,7 @@ def test_stateful_metering_equals_batch(spark):
         s = spark.readStream.schema(PACKET_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
         sd.run_append(sd.stateful_metering(s, idle_ms=100, active_ms=120, watermark="0 seconds"), out, ck)
     drain()
-    sd.flush_sessions(spark, src, 1000, 100, 0)
+    sd.flush_sessions(spark, src, base + 1000, 100, 0)
     drain()
     got = spark.read.parquet(out).where(F.col("src_ip") != sd.HEARTBEAT_IP)
     exp = mt.meter(spark.createDataFrame(data, PACKET_SCHEMA), 100, 120).select(*got.columns)
