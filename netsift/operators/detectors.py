@@ -65,6 +65,16 @@ def dns_flows(flows: DataFrame) -> DataFrame:
     return flows.where(F.col("application_name") == "DNS")
 
 
+def suppress_safe(names: DataFrame, safe_domains: DataFrame | None, col: str = "domain") -> DataFrame:
+    """Optional suppression of names under a safe domain (exact, or lower-cased
+    equal / '.'-suffix match). The reference stores the safe list in the DNS
+    detector but never applies it, so detectors take it only when asked."""
+    if safe_domains is None:
+        return names
+    from netsift.operators.indicators import safe_domain_lookup
+    return safe_domain_lookup(names, col, safe_domains, anti=True)
+
+
 # --- A9: per-domain statistics -------------------------------------------------
 
 def domain_query_stats(dns: DataFrame, domains: DataFrame, key: Column | None = None,
@@ -104,18 +114,19 @@ def match_domain_suffix(names: DataFrame, indicators: DataFrame, name_col: str =
     return hit.groupBy(name_col).agg(F.max_by("matched", F.length("matched")).alias("matched"))
 
 
-def threat_domains(flows: DataFrame, indicators: DataFrame) -> DataFrame:
+def threat_domains(flows: DataFrame, indicators: DataFrame, safe_domains: DataFrame | None = None) -> DataFrame:
     """D1 findings: domain, matched_threat_domain, query_count, source_ips."""
     dns = dns_flows(flows)
-    names = dns.where(F.col("requested_server_name").isNotNull()) \
-        .select(F.col("requested_server_name").alias("domain")).distinct()
+    names = suppress_safe(dns.where(F.col("requested_server_name").isNotNull())
+                          .select(F.col("requested_server_name").alias("domain")).distinct(), safe_domains)
     matched = match_domain_suffix(names, indicators).withColumnRenamed("matched", "matched_threat_domain")
     stats = domain_query_stats(dns, matched)
     return matched.join(stats, "domain").select("domain", "matched_threat_domain", "query_count", "source_ips")
 
 
-def threat_domains_alerts(flows: DataFrame, indicators: DataFrame) -> DataFrame:
-    f = threat_domains(flows, indicators)
+def threat_domains_alerts(flows: DataFrame, indicators: DataFrame,
+                          safe_domains: DataFrame | None = None) -> DataFrame:
+    f = threat_domains(flows, indicators, safe_domains)
     return to_alerts(
         f, engine=DNS_ENGINE, threat_type="PHISHING", severity="HIGH", confidence=0.9,
         description=F.format_string("Access to threat domain %s (matches %s)", "domain", "matched_threat_domain"),
@@ -128,14 +139,14 @@ def threat_domains_alerts(flows: DataFrame, indicators: DataFrame) -> DataFrame:
 # --- D2: unknown domains (model or rule branch) --------------------------------
 
 def unknown_domain_names(flows: DataFrame, scores: DataFrame | None = None,
-                         threshold: float = ML_DOMAIN_THRESHOLD) -> DataFrame:
+                         threshold: float = ML_DOMAIN_THRESHOLD, safe_domains: DataFrame | None = None) -> DataFrame:
     """D2 flagged set ``(domain, ml_score)`` without per-name statistics.
 
     With ``scores(domain, probability)`` from a trained model (M10) a name is
     flagged at probability >= threshold. Without a model the rule check (M7)
     decides and the score is 0.0, as in the reference.
     """
-    names = distinct_values(dns_flows(flows), "requested_server_name", "domain")
+    names = suppress_safe(distinct_values(dns_flows(flows), "requested_server_name", "domain"), safe_domains)
     if scores is None:
         return names.where(dom.rule_suspicious("domain")).select("domain", F.lit(0.0).alias("ml_score"))
     return (names.join(scores.select("domain", F.col("probability").alias("ml_score")), "domain")
@@ -143,9 +154,9 @@ def unknown_domain_names(flows: DataFrame, scores: DataFrame | None = None,
 
 
 def unknown_domains(flows: DataFrame, scores: DataFrame | None = None,
-                    threshold: float = ML_DOMAIN_THRESHOLD) -> DataFrame:
+                    threshold: float = ML_DOMAIN_THRESHOLD, safe_domains: DataFrame | None = None) -> DataFrame:
     """D2 findings: domain, ml_score, severity, query_count, source_ips."""
-    flagged = unknown_domain_names(flows, scores, threshold)
+    flagged = unknown_domain_names(flows, scores, threshold, safe_domains)
     stats = domain_query_stats(dns_flows(flows), flagged)
     return (flagged.join(stats, "domain")
             .select("domain", "ml_score",
@@ -153,8 +164,9 @@ def unknown_domains(flows: DataFrame, scores: DataFrame | None = None,
                     "query_count", "source_ips"))
 
 
-def unknown_domains_alerts(flows: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    f = unknown_domains(flows, scores)
+def unknown_domains_alerts(flows: DataFrame, scores: DataFrame | None = None,
+                           safe_domains: DataFrame | None = None) -> DataFrame:
+    f = unknown_domains(flows, scores, safe_domains=safe_domains)
     return to_alerts(
         f, engine=DNS_ENGINE, threat_type="UNKNOWN_DOMAIN", severity=F.col("severity"),
         confidence=F.col("ml_score"),
@@ -186,9 +198,9 @@ def dns_tunnel_alerts(flows: DataFrame, threshold: int = DNS_TUNNEL_PACKETS) ->
 # --- D4: DGA domains -----------------------------------------------------------
 
 def dga_domains(flows: DataFrame, min_length: int = DGA_MIN_LENGTH,
-                threshold: float = DGA_ENTROPY) -> DataFrame:
+                threshold: float = DGA_ENTROPY, safe_domains: DataFrame | None = None) -> DataFrame:
     """D4 findings: domain, entropy. The label is taken from the raw-case name."""
-    names = distinct_values(dns_flows(flows), "requested_server_name", "domain")
+    names = suppress_safe(distinct_values(dns_flows(flows), "requested_server_name", "domain"), safe_domains)
     sld = dom.sld_strict("domain")
     return (names.select("domain", sld.alias("sld"))
             .where(F.length("sld") > min_length)
@@ -196,8 +208,8 @@ def dga_domains(flows: DataFrame, min_length: int = DGA_MIN_LENGTH,
             .where(F.col("entropy") > threshold))
 
 
-def dga_domains_alerts(flows: DataFrame) -> DataFrame:
-    f = dga_domains(flows)
+def dga_domains_alerts(flows: DataFrame, safe_domains: DataFrame | None = None) -> DataFrame:
+    f = dga_domains(flows, safe_domains=safe_domains)
     return to_alerts(
         f, engine=DNS_ENGINE, threat_type="DGA_DOMAIN", severity="HIGH", confidence=0.8,
         description=F.format_string("Possible generated domain %s (entropy %.2f)", F.col("domain"), F.col("entropy")),

@@ -146,13 +146,19 @@ def detections_by_engine(alerts: DataFrame) -> DataFrame:
 
 # --- the built-in engines -------------------------------------------------------
 
+def _safe(ctx: Context, cfg: dict):
+    """Safe-domain suppression is off unless ``suppress_safe_domains`` is set."""
+    return ctx.safe_domains if cfg.get("suppress_safe_domains") else None
+
+
 def _dns_engine(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
     parts = []
+    safe = _safe(ctx, cfg)
     if ctx.threat_domains is not None:
-        parts.append(det.threat_domains_alerts(flows, ctx.threat_domains))
-    parts.append(det.unknown_domains_alerts(flows, ctx.domain_scores))
+        parts.append(det.threat_domains_alerts(flows, ctx.threat_domains, safe))
+    parts.append(det.unknown_domains_alerts(flows, ctx.domain_scores, safe))
     parts.append(det.dns_tunnel_alerts(flows, cfg.get("dns_tunnel_threshold", det.DNS_TUNNEL_PACKETS)))
-    parts.append(det.dga_domains_alerts(flows))
+    parts.append(det.dga_domains_alerts(flows, safe))
     return union_alerts(parts)
 
 
@@ -174,11 +180,12 @@ def _behavior_engine(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
 def _grouped_engine(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
     """Fused layout: every grouped / per-name detector (per-flow ones are in ``_per_flow_engine``)."""
     parts = []
+    safe = _safe(ctx, cfg)
     if ctx.threat_domains is not None:
-        parts.append(det.threat_domains_alerts(flows, ctx.threat_domains))
-    parts += [det.unknown_domains_alerts(flows, ctx.domain_scores),
+        parts.append(det.threat_domains_alerts(flows, ctx.threat_domains, safe))
+    parts += [det.unknown_domains_alerts(flows, ctx.domain_scores, safe),
               det.dns_tunnel_alerts(flows, cfg.get("dns_tunnel_threshold", det.DNS_TUNNEL_PACKETS)),
-              det.dga_domains_alerts(flows), det.uncommon_ports_alerts(flows), det.unknown_tls_alerts(flows),
+              det.dga_domains_alerts(flows, safe), det.uncommon_ports_alerts(flows), det.unknown_tls_alerts(flows),
               det.port_scan_alerts(flows)]
     return union_alerts(parts)
 
@@ -200,7 +207,8 @@ def default_registry(fused_scan: bool = False, with_plugin: bool = False) -> Reg
         r.register(Detector("per_flow_detectors", _per_flow_engine, priority=20, version="1.0.0"))
     else:
         r.register(Detector(det.DNS_ENGINE, _dns_engine, priority=10, version="3.0.0",
-                            config={"dns_tunnel_threshold": det.DNS_TUNNEL_PACKETS}))
+                            config={"dns_tunnel_threshold": det.DNS_TUNNEL_PACKETS,
+                                    "suppress_safe_domains": False}))
         r.register(Detector(det.HTTP_ENGINE, _http_engine, priority=20, version="2.0.0"))
         r.register(Detector(det.COVERT_ENGINE, _covert_engine, priority=30, version="2.0.0"))
         r.register(Detector(det.BEHAVIOR_ENGINE, _behavior_engine, priority=40, version="2.0.0"))

@@ -132,3 +132,15 @@ def test_unknown_domains_rule_branch(spark):
             dict(application_name="DNS", requested_server_name="www.google.com", src_ip="1.1.1.1")]
     got = det.unknown_domains(flows_df(spark, rows)).collect()
     assert [(r.domain, r.ml_score, r.severity) for r in got] == [("x7k2m9q4p8w3z6.tk", 0.0, "MEDIUM")]
+
+
+def test_safe_domain_suppression_is_optional(spark):
+    rows = [dict(application_name="DNS", requested_server_name="abc1def2ghi3jkl.evil.com", src_ip="10.0.0.1"),
+            dict(application_name="DNS", requested_server_name="q9w8e7r6t5y4u3.top", src_ip="10.0.0.1")]
+    df = flows_df(spark, rows)
+    safe = spark.createDataFrame([("evil.com",)], "value string")
+    ind = spark.createDataFrame([("evil.com",)], "value string")
+    assert det.threat_domains(df, ind).count() == 1
+    assert det.threat_domains(df, ind, safe_domains=safe).count() == 0
+    assert {r.domain for r in det.dga_domains(df, min_length=5, safe_domains=safe).collect()} == {"q9w8e7r6t5y4u3.top"}
+    assert det.unknown_domain_names(df, safe_domains=safe).count() == det.unknown_domain_names(df).count()
