@@ -56,7 +56,9 @@ def is_cloud_isp(isp) -> Column:
 
 
 def reputation_level(score: Column, isp) -> Column:
-    """D16 tiers: permanent whitelist (score 0 and a cloud ISP), safe (< 10), malicious (>= 10)."""
+    """D16 tiers: permanent whitelist (score 0 and a cloud ISP), safe (< 10), malicious (>= 10).
+    A missing score counts as 0, as in the reference."""
+    score = F.coalesce(score, F.lit(0))
     return (F.when((score < SAFE_BELOW) & (score == WHITELIST_SCORE) & is_cloud_isp(isp), "whitelist")
             .when(score < SAFE_BELOW, "safe")
             .when(score >= THREAT_AT, "malicious"))

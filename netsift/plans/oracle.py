@@ -344,6 +344,7 @@ def external_sql(x: str) -> str:
 def level_sql(score: str, isp: str) -> str:
     from netsift.operators import reputation as rp
     cloud = " OR ".join(f"contains(coalesce({isp}, ''), {_q(c)})" for c in rp.KNOWN_CLOUD_PROVIDERS)
+    score = f"coalesce({score}, 0)"
     return (f"(CASE WHEN {score} < {rp.SAFE_BELOW} AND {score} = {rp.WHITELIST_SCORE} AND ({cloud}) THEN 'whitelist' "
             f"WHEN {score} < {rp.SAFE_BELOW} THEN 'safe' WHEN {score} >= {rp.THREAT_AT} THEN 'malicious' END)")
 
