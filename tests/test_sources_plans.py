@@ -104,3 +104,11 @@ def test_catalog_builds_without_spark():
             % os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
+
+
+def test_kafka_reader_needs_the_connector(spark):
+    import pytest
+
+    from netsift.sources.flows import read_flow_stream_kafka
+    with pytest.raises(Exception):
+        read_flow_stream_kafka(spark, "localhost:9", "flows")  # connector absent here: fails before any I/O
