@@ -159,3 +159,12 @@ def test_cidr_and_url_matches(spark):
     urls = spark.createDataFrame([(1, "HTTP://Evil.COM/a/#frag"), (2, "http://ok.com/")], "page_id long, url string")
     t = spark.createDataFrame([("http://evil.com/a",)], "value string")
     assert [r.page_id for r in ind.threat_url_matches(urls, t).collect()] == [1]
+
+
+def test_set_version_non_ascii_matches_python(spark):
+    from netsift.sources.builtin import BUILTIN_PHISHING_KEYWORDS
+    df = builtin_indicators(spark).where("category = 'phishing_keywords'").select("value")
+    got = ind.set_version(df).collect()[0]
+    items = sorted(set(BUILTIN_PHISHING_KEYWORDS))
+    h = hashlib.md5("|".join(items).encode()).hexdigest()
+    assert (got.version, got.hash) == (f"1.{len(items)}.{h[:6]}", h[:8])
