@@ -149,7 +149,7 @@ def oracle_sql() -> dict[str, str]:
         + domain_stats_cte("st", "dns", "m"))
     nd = norm_full_sql("domain")
     q["detect_unknown_domains"] = with_flows(
-        "SELECT f.domain, 0.0 AS ml_score, 'MEDIUM' AS severity, s.query_count, s.source_ips "
+        "SELECT f.domain, CAST(0.0 AS DOUBLE) AS ml_score, 'MEDIUM' AS severity, s.query_count, s.source_ips "
         "FROM flagged f JOIN st s USING (domain)",
         f"{dns}, {names}, nn AS (SELECT domain, {nd} AS d, {sld_sql(nd)} AS sld FROM names), "
         + entropy_cte("ne", "nn", "domain", "sld")
