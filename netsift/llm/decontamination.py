@@ -67,13 +67,13 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     of_item = F.when(n >= SPAN, F.transform(from_one_to(n - (SPAN - 1)),
                                             lambda s: F.array_join(F.slice(F.col("words"), s, SPAN), " "))) \
         .otherwise(F.array(F.array_join("words", " ")))
-    return benchmark.filter(n > 0).select("item_id", n.alias("n"), F.explode(of_item).alias("window")).distinct()
+    return benchmark.filter(n > 0).select("item_id", n.alias("n"), F.explode_outer(of_item).alias("window")).distinct()
 
 
 def benchmark_spans(docs: DataFrame, named: DataFrame, benchmark: DataFrame, short: list[int]) -> tuple[DataFrame, DataFrame]:
     """Spans (doc_id, digest, start, length, window), starts counted in words from 1, and item windows (item_id, window)."""
     items = benchmark.withColumn("words", words_of(F.col("text"))).select("item_id", "words")
-    marks = with_fingerprints(items.filter(F.size("words") >= SPAN), []).select(F.explode("fingerprints").alias("mark"))
+    marks = with_fingerprints(items.filter(F.size("words") >= SPAN), []).select(F.explode_outer("fingerprints").alias("mark"))
     for size in short:
         whole = items.filter(F.size("words") == size).select(F.xxhash64("words", F.lit(size)).alias("mark"))
         marks = marks.unionAll(whole)
@@ -95,7 +95,8 @@ def benchmark_spans(docs: DataFrame, named: DataFrame, benchmark: DataFrame, sho
             F.col("marks"), F.xxhash64(F.slice("words", i, k), F.lit(k))))
         found = found.withColumn("short_at", here).withColumn("found", F.concat("found", windows(F.col("words"), F.col("short_at"), size)))
     windows_of_items = item_windows(items).select("item_id", "window")
-    spans = found.select("doc_id", "digest", F.explode("found").alias("f")).select("doc_id", "digest", "f.*") \
+    # The outer form: a filter inferred for explode() would be pushed below and repeat all the expressions above.
+    spans = found.select("doc_id", "digest", F.explode_outer("found").alias("f")).select("doc_id", "digest", "f.*") \
         .join(windows_of_items.select("window").distinct(), "window", "left_semi")
     return spans, windows_of_items
 
