@@ -24,3 +24,41 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
+
+
+def op5() -> str:
+    """The sentence and rule tables spelled out as SQL values; the steps are SQL's own."""
+    from netsift.llm.licenses import CUES, RULES, SENTENCES
+    number = {name: i for i, name in enumerate(SENTENCES)}
+    known = ", ".join(f"('{t}', {number[name]})" for name, texts in SENTENCES.items() for t in texts)
+    cued = " OR ".join(f"contains(t, '{c}')" for c in CUES)
+    steps, last = [], "sequences"
+    for i, (_, _, names) in enumerate(RULES):
+        pattern = "(?:,[0-9]+;)*?".join(f",{number[n]};" for n in names)
+        steps.append(f"r{i} AS (SELECT doc_id, cut, n, CASE WHEN regexp_matches(ids, '{pattern}') THEN list_append(hit, {i}) ELSE hit END AS hit, "
+                     f"regexp_replace(ids, '{pattern}', '', 'g') AS ids FROM {last})")
+        last = f"r{i}"
+    rules = ", ".join(f"({i}, '{name}', '{kind}')" for i, (name, kind, _) in enumerate(RULES))
+    return rf"""
+WITH known(sentence, number) AS (VALUES {known}),
+rules(i, license, kind) AS (VALUES {rules}),
+d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+c AS (SELECT * FROM d WHERE {cued}),
+cuts AS (
+  SELECT doc_id, 'lines' AS cut, regexp_replace(t, '[.!?;:]*\s*(?:\n\s*|$)|[.!?;:]+\s+', '|', 'g') AS t FROM c
+  UNION ALL SELECT doc_id, 'joined', regexp_replace(t, '[.!?;:]+(?:\s+|$)', '|', 'g') FROM c),
+parts AS (
+  SELECT doc_id, cut, unnest(string_split(regexp_replace(t, '[^a-z0-9|]+', ' ', 'g'), '|')) AS s,
+         generate_subscripts(string_split(regexp_replace(t, '[^a-z0-9|]+', ' ', 'g'), '|'), 1) AS pos FROM cuts),
+sequences AS (
+  SELECT doc_id, cut, count(*) AS n, CAST([] AS INTEGER[]) AS hit, string_agg(',' || number || ';', '' ORDER BY pos) AS ids
+  FROM parts JOIN known ON trim(s) = sentence GROUP BY doc_id, cut),
+{", ".join(steps)},
+found AS (
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds,
+         count(DISTINCT license) AS n FROM (SELECT doc_id, unnest(hit) AS i FROM {last}) JOIN rules USING (i) GROUP BY doc_id),
+counted AS (SELECT doc_id, max(n) AS n FROM sequences GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(counted.n, 0) AS BIGINT) AS n_sentences, coalesce(licenses, '') AS licenses, coalesce(kinds, '') AS kinds,
+  CAST(coalesce(found.n, 0) AS BIGINT) AS n_licenses
+FROM d LEFT JOIN counted USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netsift.llm import bpe, decontamination, language, ngram_join, oracle, quality, token_counts
+from netsift.llm import bpe, decontamination, language, licenses, ngram_join, oracle, quality, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -38,9 +42,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_language_id, op4_quality_rules, op6_ngram_jaccard,
-                                    op9_bpe_round_trip, op10_decontamination)}
+    return {f.__name__: f for f in (op2_token_counts, op3_language_id, op4_quality_rules, op5_license_scan,
+                                    op6_ngram_jaccard, op9_bpe_round_trip, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": oracle.OP10}
+    return {"op5_license_scan": oracle.op5(), "op10_decontamination": oracle.OP10}
