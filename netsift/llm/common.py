@@ -50,9 +50,14 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The step's shuffle files are then of no use; Spark deletes them once the
+    driver's JVM has collected what refers to them, so that is asked for here.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/netsift-llm/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.schema(schema).parquet(path)

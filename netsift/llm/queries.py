@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netsift.llm import bpe, decontamination, language, licenses, ngram_join, oracle, quality, token_counts
+from netsift.llm import bpe, decontamination, language, licenses, ngram_join, oracle, quality, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), bpe.default_path())
 
@@ -43,7 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op2_token_counts, op3_language_id, op4_quality_rules, op5_license_scan,
-                                    op6_ngram_jaccard, op9_bpe_round_trip, op10_decontamination)}
+                                    op6_ngram_jaccard, op7_suffix_dedup, op9_bpe_round_trip, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
