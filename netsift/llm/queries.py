@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netsift.llm import bpe, decontamination, language, licenses, ngram_join, oracle, quality, suffix_dedup, token_counts
+from netsift.llm import bpe, decontamination, html_text, language, licenses, ngram_join, oracle, quality, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), bpe.default_path())
 
@@ -47,7 +51,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op2_token_counts, op3_language_id, op4_quality_rules, op5_license_scan,
-                                    op6_ngram_jaccard, op7_suffix_dedup, op9_bpe_round_trip, op10_decontamination)}
+                                    op6_ngram_jaccard, op7_suffix_dedup, op8_html_text, op9_bpe_round_trip,
+                                    op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
