@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netsift.llm import bpe, decontamination, html_text, language, licenses, ngram_join, oracle, quality, suffix_dedup, token_counts
+from netsift.llm import bpe, decontamination, html_text, language, licenses, ngram_join, oracle, quality, suffix_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), bpe.default_path())
 
@@ -50,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_language_id, op4_quality_rules, op5_license_scan,
+    return {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_language_id, op4_quality_rules, op5_license_scan,
                                     op6_ngram_jaccard, op7_suffix_dedup, op8_html_text, op9_bpe_round_trip,
                                     op10_decontamination)}
 
