@@ -20,7 +20,7 @@ from netsift.llm.bpe import loaded
 from netsift.llm.common import column_index, narrow, with_plain_names
 
 #: Lengths per block of the suffix sums.
-BLOCK = 1024
+BLOCK = 64
 
 
 def token_lengths(docs: DataFrame, path: str, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
