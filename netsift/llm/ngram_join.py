@@ -142,6 +142,19 @@ def reachable(n1, p1, n2, p2):
     return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * F.least(n1 - p1, n2 - p2) >= 4 * total)
 
 
+def with_mates(entries: DataFrame) -> DataFrame:
+    """Entries whose column holds a row of a size that fits: the next smaller or larger one decides.
+
+    A row at least as large needs ``9 (n - p) >= 8 n``; the prefix itself allows every smaller one of fitting size.
+    """
+    by_size = Window.partitionBy("token").orderBy("n", "key")
+    e = entries.withColumn("under", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
+    smaller = 5 * F.col("under") >= 4 * F.col("n")
+    larger = (5 * F.col("n") >= 4 * F.col("above")) & (9 * (F.col("n") - F.col("p")) >= 4 * (F.col("n") + F.col("above")))
+    e = e.filter(F.coalesce(smaller, F.lit(False)) | F.coalesce(larger, F.lit(False)))
+    return e.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1").select("token", "key", "n", "p")
+
+
 def pivot_pairs(entries: DataFrame, round_no: int) -> DataFrame:
     """Each row of a column with the column's pivot: the row with the fewest rarer shingles, later rows by turn."""
     by_turn = F.col("p") / F.col("n") if round_no == 0 else F.xxhash64("key", F.lit(round_no))
@@ -172,7 +185,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(key, tokens) of the wanted sets, read again from one document of each."""
+    """(key, tokens) of the wanted sets, read again from one document of each (repeated rows of it may repeat a set)."""
     reps = rows.groupBy("key").agg(F.min("doc_id").alias("rep")).join(wanted, "key", "left_semi")
     found = docs.join(reps, docs["doc_id"].eqNullSafe(reps["rep"])).select("key", "text")
 
@@ -182,15 +195,14 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) ->
                    if len(s := shingle_set(t, words)) and set_key(s) == key]
             yield pd.DataFrame(out, columns=["key", "tokens"])
 
-    return found.mapInPandas(run, "key bigint, tokens array<bigint>").dropDuplicates(["key"])
+    return found.mapInPandas(run, "key bigint, tokens array<bigint>")
 
 
 def similarity_links(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """(node, root): the components of the linked sets (``rows`` as stored from set_rows)."""
     entries = prefix_entries(docs, hashed_counts(rows), words).repartition("token") \
-        .groupBy("token", "key").agg(F.min("n").alias("n"), F.min("p").alias("p")) \
-        .withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1") \
-        .select("token", "key", "n", "p", F.col("key").alias("label"))
+        .groupBy("token", "key").agg(F.min("n").alias("n"), F.min("p").alias("p"))
+    entries = with_mates(entries).withColumn("label", F.col("key"))
     entries = stored(entries, "entries")
     size = entries.count()
     sets = stored(sets_of(docs, rows, entries.select("key").distinct(), words), "sets")
