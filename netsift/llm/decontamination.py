@@ -18,7 +18,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsift.llm.common import narrow, stored
+from netsift.llm.common import column_index, narrow, stored, with_plain_names
 
 GRAM = 5
 SPAN = 10
@@ -113,24 +113,31 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), zero, add, lambda acc: acc["n"].cast("bigint"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs``."""
-    docs = narrow(docs, doc_id=(doc_id, "bigint"), text=(text, "string"))
-    benchmark = narrow(benchmark, item_id=("item_id", "string"), text=("text", "string"))
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their word counts, spans, item windows) of documents (doc_id, text) and items (item_id, text)."""
     lengths = benchmark.select(F.size(words_of(F.col("text"))).alias("n")).filter(f"n between 1 and {SPAN - 1}").distinct()
     short = sorted(r["n"] for r in lengths.collect())  # at most SPAN - 1 numbers
     named = docs.select("doc_id", F.xxhash64("text").alias("digest"), words_of(F.col("text")).alias("words"))
     named = with_fingerprints(named, short).select("doc_id", "digest", F.size("words").cast("bigint").alias("n_words"), "fingerprints")
     named = stored(named, "fingerprints")
     spans, of_items = benchmark_spans(docs, named, benchmark, short)
-    spans = stored(spans, "benchmark-spans")
+    return named.select("doc_id", "digest", "n_words"), stored(spans, "benchmark-spans"), of_items
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    return narrow(benchmark, item_id=("item_id", "string"), text=("text", "string"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs``."""
+    docs = narrow(docs, doc_id=(doc_id, "bigint"), text=(text, "string"))
+    rows, spans, of_items = benchmark_hits(docs, items_of(benchmark))
     hit = spans.groupBy("doc_id", "digest").agg(covered(F.collect_set(F.struct("start", "length"))).alias("n_hit"))
     listed = spans.select("doc_id", "digest", "window").distinct().join(of_items, "window") \
         .groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     found = same_row(hit, listed).select(hit["doc_id"].alias("hit_id"), hit["digest"].alias("hit_digest"), "n_hit", "items")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
-    rows = named.select("doc_id", "digest", "n_words")
     return rows.join(found, rows["doc_id"].eqNullSafe(found["hit_id"]) & (rows["digest"] == found["hit_digest"]), "left") \
         .select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
                 F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
@@ -138,3 +145,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
 
 def same_row(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, left["doc_id"].eqNullSafe(right["doc_id"]) & (left["digest"] == right["digest"]))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that hold no span of the benchmark, with all their columns."""
+    _, spans, _ = benchmark_hits(narrow(docs, doc_id=(doc_id, "bigint"), text=(text, "string")), items_of(benchmark))
+    hit = spans.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")).distinct()
+    plain, names = with_plain_names(docs)
+    t, i = f"c{column_index(docs, text)}", f"c{column_index(docs, doc_id)}"
+    same = F.col(i).cast("bigint").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.col(t).cast("string")) == F.col("hit_digest"))
+    return plain.join(hit, same, "left_anti").toDF(*names)

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsift.llm.common import narrow, stored
+from netsift.llm.common import column_index, narrow, stored, with_plain_names
 from netsift.llm.components import components
 
 WORDS = 5
@@ -72,7 +72,7 @@ def set_key(shingles: np.ndarray) -> int:
 
 
 def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """Per document (doc_id, n, key); per task also its share of the hashed counts, in blocks (slot_block, counts, salt)."""
+    """Per document (doc_id, digest, n, key); per task also its share of the hashed counts, in blocks (slot_block, counts, salt)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(SLOTS, np.int64)
@@ -83,15 +83,15 @@ def set_rows(docs: DataFrame, words: int) -> DataFrame:
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 np.add.at(counts, (s & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n": n, "key": pd.array(keys, "Int64"),
+            yield pd.DataFrame({"doc_id": f["doc_id"], "digest": f["digest"], "n": n, "key": pd.array(keys, "Int64"),
                                 "slot_block": None, "counts": None, "salt": None})
         if counts.any():
             blocks = counts.reshape(-1, BLOCK)
-            yield pd.DataFrame({"doc_id": None, "n": None, "key": None, "slot_block": range(len(blocks)),
+            yield pd.DataFrame({"doc_id": None, "digest": None, "n": None, "key": None, "slot_block": range(len(blocks)),
                                 "counts": [b.astype("<i8").tobytes() for b in blocks],
                                 "salt": TaskContext.get().partitionId() % 64})
 
-    return docs.mapInPandas(run, "doc_id bigint, n bigint, key bigint, slot_block int, counts binary, salt int")
+    return docs.mapInPandas(run, "doc_id bigint, digest bigint, n bigint, key bigint, slot_block int, counts binary, salt int")
 
 
 def hashed_counts(rows: DataFrame) -> np.ndarray:
@@ -224,17 +224,34 @@ def similarity_links(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return roots
 
 
+def grouped_rows(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, digest, n, key, component) for each row of (doc_id, text); no component without shingles."""
+    docs = docs.withColumn("digest", F.xxhash64("text"))
+    everything = stored(set_rows(docs, words), "sets-named")
+    roots = similarity_links(docs, everything, words).toDF("key", "component")
+    return everything.filter("slot_block is null").select("doc_id", "digest", "n", "key") \
+        .join(roots, "key", "left").withColumn("component", F.coalesce("component", "key"))
+
+
 def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: the smallest id reachable over links of similarity >= 0.8."""
-    docs = narrow(docs, doc_id=(doc_id, "bigint"), text=(text, "string"))
-    everything = stored(set_rows(docs, words), "sets-named")
-    rows = everything.filter("slot_block is null").select("doc_id", "n", "key")
-    roots = similarity_links(docs, everything, words)
-    sets = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = sets.join(roots.withColumnRenamed("node", "key"), "key", "left") \
-        .select("key", "least", F.coalesce("root", "key").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(named.join(least, "root").select("key", "component_id"), "components")
-    return rows.join(named, "key", "left") \
+    rows = stored(grouped_rows(narrow(docs, doc_id=(doc_id, "bigint"), text=(text, "string")), words), "grouped")
+    least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "component", "left") \
         .select("doc_id", F.col("n").alias("n_shingles"),
-                F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+                F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
+    """One row of ``docs`` per component, of the smallest id (null ids last), and all rows without shingles; all columns stay."""
+    rows = stored(grouped_rows(narrow(docs, doc_id=(doc_id, "bigint"), text=(text, "string")), words), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("v")
+    kept = rows.filter("component is not null").groupBy("component").agg(first) \
+        .select(F.col("v.doc_id").alias("kept_id"), F.col("v.digest").alias("kept_digest"), F.lit(True).alias("once"))
+    kept = kept.unionAll(rows.filter("component is null").select("doc_id", "digest", F.lit(False)).distinct())
+    plain, names = with_plain_names(docs)
+    t, i = f"c{column_index(docs, text)}", f"c{column_index(docs, doc_id)}"
+    same = F.col(i).cast("bigint").eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.col(t).cast("string")) == F.col("kept_digest"))
+    found = plain.join(kept, same)
+    nth = F.row_number().over(Window.partitionBy("kept_id", "kept_digest").orderBy("kept_id"))
+    return found.withColumn("nth", nth).filter("nth = 1 or not once").select(*plain.columns).toDF(*names)

@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -329,24 +330,24 @@ def repeat_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the repeated bytes cut from the text; a character cut in part goes whole. Other columns stay."""
-    rows = narrowed(docs, text, doc_id)
-    marks = repeat_marks(rows)
+    marks = repeat_marks(narrowed(docs, text, doc_id))
+    lists = marks.groupBy(F.col("doc_id").alias("m_id"), F.col("digest").alias("m_digest")).agg(F.collect_list("marks").alias("lists"))
     plain, names = with_plain_names(docs)
     t, i = f"c{column_index(docs, text)}", f"c{column_index(docs, doc_id)}"
-    full = plain.withColumn("whole", F.struct(*plain.columns)) \
-        .select("whole", F.col(i).cast("bigint").alias("doc_id"), F.xxhash64(F.col(t).cast("string")).alias("digest"),
-                F.col(t).cast("string").alias("text"))
+    plain = plain.withColumn(t, F.col(t).cast("string"))
+    same = (F.coalesce(F.col(i).cast("bigint"), F.lit(int(NO_ID))) == F.col("m_id")) & (F.xxhash64(t) == F.col("m_digest"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    columns = plain.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             texts = []
-            for value, lists in zip(f["text"], f["lists"]):
-                if value is not None and lists is not None and len(lists):
+            for value, marks_of in zip(batch.column(t).to_pylist(), batch.column("lists").to_pylist()):
+                if value is not None and marks_of:
                     raw = np.frombuffer(value.encode(), np.uint8)
-                    value = raw[~removed_mask(len(raw), lists)].tobytes().decode("utf-8", "ignore")
+                    value = raw[~removed_mask(len(raw), marks_of)].tobytes().decode("utf-8", "ignore")
                 texts.append(value)
-            rest = pd.DataFrame(f["whole"].tolist()) if isinstance(f["whole"], pd.Series) else f["whole"]
-            rest[t] = texts
-            yield rest
+            out = [batch.column(c) if c != t else pa.array(texts, batch.column(c).type) for c in columns]
+            yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    return with_lists(full, marks, "left").select("whole", "text", "lists").mapInPandas(run, plain.schema).toDF(*names)
+    return plain.join(lists, same, "left").select(*columns, "lists").mapInArrow(run, plain.schema).toDF(*names)

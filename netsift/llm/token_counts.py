@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.llm.bpe import loaded
-from netsift.llm.common import column_index, narrow, with_plain_names
+from netsift.llm.common import column_index, narrow, stored, with_plain_names
 
 #: Lengths per block of the suffix sums.
 BLOCK = 64
@@ -94,6 +94,6 @@ SUM_COLUMNS = ("n_tokens", "n_docs", "docs_at_least", "tokens_at_least", "total_
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """Histogram with suffix sums per group of the ``by`` columns, under their names."""
-    out = suffix_sums(length_histogram(token_lengths(docs, path, text, by)))
+    out = suffix_sums(stored(length_histogram(token_lengths(docs, path, text, by)), "lengths"))
     _, names = with_plain_names(docs)
     return out.toDF(*[names[column_index(docs, c)] for c in by], *out.columns[len(by):])

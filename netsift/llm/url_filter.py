@@ -46,6 +46,8 @@ class TemplateParams:
     #: A level is variable with this many names of which this share are different.
     min_names: int = 20
     variable_share: float = 0.3
+    #: A name with this share of its level stays a name.
+    own_share: float = 0.1
     #: Siblings merge unless their labelled shares differ by this many standard errors.
     z: float = 1.64
     #: Purity: (blocked + weight * prior) / (labelled + weight); the prior is the host's own smoothed share.
@@ -99,15 +101,15 @@ def replaced(rows: DataFrame, level: int, change: Column, mark: str) -> DataFram
 
 
 def generalise(rows: DataFrame, level: int, params: TemplateParams) -> DataFrame:
-    """A level of a host below one parent with very many different names becomes ``*``."""
+    """Below a parent with very many different names the rare ones become ``*``; names with a real share of it stay."""
     at = with_level(rows, level)
-    names = at.filter("name is not null and name not like '{%'").groupBy("host", "up", "name").agg(F.sum("n").alias("n")) \
-        .groupBy("host", "up").agg(F.count(F.lit(1)).alias("names"), F.sum("n").alias("n")) \
-        .filter((F.col("names") >= params.min_names) & (F.col("names") >= params.variable_share * F.col("n"))) \
-        .select("host", "up", F.lit(True).alias("variable"))
-    at = at.join(names, ["host", "up"], "left")
-    change = F.coalesce("variable", F.lit(False)) & ~F.startswith(F.coalesce("name", F.lit("{")), F.lit("{"))
-    return replaced(at, level, change, "*").select("host", "shape", "t", "n", "labelled", "blocked")
+    names = at.filter("name is not null and name not like '{%'").groupBy("host", "up", "name").agg(F.sum("n").alias("own"))
+    levels = names.groupBy("host", "up").agg(F.count(F.lit(1)).alias("names"), F.sum("own").alias("all")) \
+        .filter((F.col("names") >= params.min_names) & (F.col("names") >= params.variable_share * F.col("all")))
+    rare = names.join(levels, ["host", "up"]).filter(F.col("own") < params.own_share * F.col("all")) \
+        .select("host", "up", "name", F.lit(True).alias("variable"))
+    at = at.join(rare, ["host", "up", "name"], "left")
+    return replaced(at, level, F.coalesce("variable", F.lit(False)), "*").select("host", "shape", "t", "n", "labelled", "blocked")
 
 
 def merge_siblings(rows: DataFrame, level: int, params: TemplateParams) -> DataFrame:
