@@ -73,27 +73,12 @@ def counts_by(alerts: DataFrame, col: str) -> DataFrame:
     return alerts.groupBy(key.alias(col)).agg(F.count(F.lit(1)).alias("alert_count"))
 
 
-def alert_bundle(alerts: DataFrame, max_per_type: int | None = 100) -> DataFrame:
-    """Per threat type, the alert count and the list of {severity,
-    description, evidence, ioc}.
-
-    The count covers every alert. The list is the report's bundle: with
-    ``max_per_type`` it holds the first N alerts of the type under a total
-    order (salted two-level top-k, so a type with millions of alerts never
-    lands in one task); ``None`` keeps all of them, for small runs.
-    """
-    counts = alerts.groupBy("threat_type").agg(F.count(F.lit(1)).alias("alert_count"))
-    item = F.struct("severity", "description", "evidence", "ioc")
-    if max_per_type is None:
-        lists = alerts.groupBy("threat_type").agg(F.collect_list(item).alias("alerts"))
-    else:
-        from netsift.operators.topk import top_k_per_group
-        flat = alerts.select("threat_type", "severity", "description", "evidence", "ioc",
-                             F.array_join("ioc", ",").alias("_ioc"))
-        cut = top_k_per_group(flat, ["threat_type"], [F.col("severity"), F.col("description"), F.col("_ioc")],
-                              max_per_type, salt_cols=["severity", "description", "_ioc"])
-        lists = cut.groupBy("threat_type").agg(F.collect_list(item).alias("alerts"))
-    return counts.join(lists, "threat_type")
+def alert_bundle(alerts: DataFrame) -> DataFrame:
+    """The report's bundle, one row per alert: (threat_type, severity,
+    description, evidence, ioc). Every alert is in it; a writer partitions the
+    rows by ``threat_type`` (``write.partitionBy``), so no type is gathered
+    into one list or task."""
+    return alerts.select("threat_type", "severity", "description", "evidence", "ioc")
 
 
 def select_alerts(alerts: DataFrame, severity: str | None = None, threat_type: str | None = None) -> DataFrame:

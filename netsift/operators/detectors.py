@@ -21,7 +21,6 @@ from netsift.functions import domain as dom
 from netsift.functions import ip as ipf
 from netsift.operators.alerts import to_alerts
 from netsift.operators.flows import distinct_values
-from netsift.operators.joins import broadcast_if_small
 from netsift.operators.topk import top_k_per_group
 
 # --- fixed values -------------------------------------------------------------
@@ -101,7 +100,7 @@ def domain_query_stats(dns: DataFrame, domains: DataFrame, key: Column | None =
 # --- D1: threat-domain suffix match (J1 + A9) ----------------------------------
 
 def match_domain_suffix(names: DataFrame, indicators: DataFrame, name_col: str = "domain",
-                        value_col: str = "value", max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                        value_col: str = "value") -> DataFrame:
     """Names that equal an indicator or end with '.' + indicator.
 
     Both sides are normalised (lower, trailing dots stripped). Each name is
@@ -110,7 +109,7 @@ def match_domain_suffix(names: DataFrame, indicators: DataFrame, name_col: str =
     """
     ind = indicators.select(dom.normalize(value_col).alias("matched")).where(F.col("matched") != "").distinct()
     sfx = names.select(F.col(name_col), F.explode(dom.suffixes(dom.normalize(name_col))).alias("matched"))
-    hit = sfx.join(broadcast_if_small(ind, max_broadcast_rows), "matched")
+    hit = sfx.join(ind, "matched")
     return hit.groupBy(name_col).agg(F.max_by("matched", F.length("matched")).alias("matched"))
 
 
@@ -328,8 +327,8 @@ def unknown_tls(flows: DataFrame, require_confidence: bool = True) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("flows")).where(F.col("flows") >= TLS_MIN_FLOWS))
 
 
-def unknown_tls_alerts(flows: DataFrame) -> DataFrame:
-    f = unknown_tls(flows)
+def unknown_tls_alerts(flows: DataFrame, require_confidence: bool = True) -> DataFrame:
+    f = unknown_tls(flows, require_confidence)
     return to_alerts(
         f, engine=COVERT_ENGINE, threat_type="UNKNOWN_TLS", severity="MEDIUM", confidence=0.5,
         description=F.format_string("Unidentified TLS traffic: %d flows to %s", F.col("flows"), F.col("dst_ip")),

@@ -9,12 +9,13 @@ millions of names is still spread over many tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsift.functions import domain as dom
 from netsift.functions import ip as ipf
-from netsift.operators.joins import broadcast_if_small
 
 # --- fixed values -------------------------------------------------------------
 DEFAULT_MIN_BYTES = 1000
@@ -75,9 +76,9 @@ def _domain_matches(flows: DataFrame, domains: DataFrame) -> DataFrame:
     d = domains.select(F.lower(F.col("value")).alias("domain")).where(F.col("domain") != "").distinct()
     names = edge_names(flows)
     sfx = names.select("source", "target", "sni", F.explode(dom.suffixes("sni")).alias("domain"))
-    hit = sfx.join(broadcast_if_small(d), "domain")
+    hit = sfx.join(d, "domain")
     longest = hit.groupBy("source", "target", "sni").agg(F.max_by("domain", F.length("domain")).alias("domain"))
-    return longest.select("source", "target", "domain").distinct()
+    return longest.select("source", "target", "domain")  # one row per matched name of the edge
 
 
 def build_graph(flows: DataFrame, min_bytes: int = DEFAULT_MIN_BYTES, highlight_ips: DataFrame | None = None,
@@ -86,7 +87,8 @@ def build_graph(flows: DataFrame, min_bytes: int = DEFAULT_MIN_BYTES, highlight_
 
     Without highlight sets: every edge with value >= ``min_bytes`` (G1).
     With them (G2): only edges touching a highlighted IP or carrying a name
-    under a highlighted domain, no byte floor; matched names add an
+    under a highlighted domain, no byte floor (two empty sets give every
+    valid edge); matched names add an
     IP → domain edge (G3); bad actors become "Threat Node"s (G4).
     ``highlight_*`` are one-column DataFrames ``value``.
     """
@@ -103,7 +105,7 @@ def build_graph(flows: DataFrame, min_bytes: int = DEFAULT_MIN_BYTES, highlight_
         flag = F.lit(False)
         e = edges
         if highlight_ips is not None:
-            ips = broadcast_if_small(highlight_ips.select(F.col("value").alias("ip")).distinct())
+            ips = highlight_ips.select(F.col("value").alias("ip")).distinct()
             e = (e.join(ips.withColumnRenamed("ip", "source").withColumn("_s", F.lit(True)), "source", "left")
                  .join(ips.withColumnRenamed("ip", "target").withColumn("_t", F.lit(True)), "target", "left"))
             flag = flag | F.coalesce(F.col("_s"), F.lit(False)) | F.coalesce(F.col("_t"), F.lit(False))
@@ -113,15 +115,16 @@ def build_graph(flows: DataFrame, min_bytes: int = DEFAULT_MIN_BYTES, highlight_
             hit_edges = matches.select("source", "target").distinct().withColumn("_d", F.lit(True))
             e = e.join(hit_edges, ["source", "target"], "left")
             flag = flag | F.coalesce(F.col("_d"), F.lit(False))
-        e = e.withColumn("is_highlighted", flag).where(F.col("is_highlighted"))
+        given = [h.select(F.col("value").cast("string").alias("value")) for h in (highlight_ips, highlight_domains) if h is not None]
+        none_given = reduce(DataFrame.unionAll, given).agg(F.count(F.lit(1)) == 0).scalar()
+        e = e.withColumn("is_highlighted", flag).where(F.col("is_highlighted") | none_given)
         ip_edges = e.select("source", "target", "value", "label", "is_highlighted")
         dom_edges = None
         bad = None
         if matches is not None:
             dom_edges = (matches.join(edges.select("source", "target", "value"), ["source", "target"])
                          .select("source", F.col("domain").alias("target"), "value",
-                                 F.lit(DOMAIN_EDGE_LABEL).alias("label"), F.lit(True).alias("is_highlighted"))
-                         .distinct())
+                                 F.lit(DOMAIN_EDGE_LABEL).alias("label"), F.lit(True).alias("is_highlighted")))
             bad = dom_edges.select(F.col("source").alias("id")).distinct()
         if highlight_ips is not None:
             b = highlight_ips.select(F.col("value").alias("id")).distinct()

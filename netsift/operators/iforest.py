@@ -136,11 +136,12 @@ def fit(flows: DataFrame, n_estimators: int = 100, max_samples: int = 256, conta
     means = [float(stats[f"m{i}"] or 0.0) for i in range(len(feats))]
     stds = [float(stats[f"s{i}"] or 0.0) for i in range(len(feats))]
     psi = int(min(max_samples, n))
-    z = _scaled(flows, feats, means, stds).select(*[f"_z{i}" for i in range(len(feats))])
+    z = _scaled(flows, feats, means, stds).select(*[f"_z{i}" for i in range(len(feats))],
+                                                  F.monotonically_increasing_id().alias("_row"))
     frac = min(1.0, oversample * n_estimators * psi / n)
     pre = z.sample(fraction=frac, seed=seed) if frac < 1.0 else z
     p = min(1.0, oversample * psi / max(1.0, frac * n))
-    row_hash = F.xxhash64(*[F.col(f"_z{i}") for i in range(len(feats))], F.lit(seed))
+    row_hash = F.xxhash64("_row", F.lit(seed))  # of the row, not its values: equal rows go to trees independently
 
     def member(t):
         u = F.pmod(F.xxhash64(row_hash, t), F.lit(1_000_000)) / 1_000_000.0
@@ -161,6 +162,8 @@ def fit(flows: DataFrame, n_estimators: int = 100, max_samples: int = 256, conta
                             columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
 
     nodes = picked.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
+    if nodes["tree"].nunique() != n_estimators:
+        raise ValueError(f"{nodes['tree'].nunique()} of {n_estimators} trees got rows")
     model = IsolationForestModel(feats, means, stds, nodes, psi, 0.0, contamination)
     train = _score_samples(flows, model)
     off = quantiles(train, {"s": F.col("_score_samples")}, contamination, quantile_method)["s"]

@@ -81,7 +81,7 @@ def expire(indicators: DataFrame, source: str, expiry_hours: int, now=None) -> D
 def category_view(indicators: DataFrame, feeds: DataFrame, category: str | None = None) -> DataFrame:
     """Distinct ``(category, value)`` over the enabled sources."""
     enabled = feeds.where(F.col("enabled")).select("source")
-    v = indicators.join(jn.broadcast_if_small(enabled, 100_000), "source", "left_semi")
+    v = indicators.join(enabled, "source", "left_semi")
     if category:
         v = v.where(F.col("category") == category)
     return v.select("category", "value").distinct()
@@ -126,21 +126,21 @@ def set_fingerprint(values: DataFrame, by: list[str] | None = None) -> DataFrame
     return g.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("value")).alias("fingerprint"))
 
 
-def set_version(values: DataFrame, by: list[str] | None = None, max_items: int = 1_000_000) -> DataFrame:
-    """F11 exact: version ``1.<n>.<md5[:6]>`` and hash ``md5[:8]`` of the sorted
-    items joined by '|'. The joined text needs the whole set in one group, so
-    it is only built below ``max_items`` items per group (the documented
-    per-source limit); use ``set_fingerprint`` beyond."""
+def set_version(values: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """version ``1.<n>.<6 hex>`` and an 8-digit change hash of a set.
+
+    The hash is the XOR of the first 60 bits of each distinct item's md5, as
+    15 hex digits: it merges across partitions, so a set of any size is
+    combined on the map side and never gathered into one task. (The md5 of the
+    sorted, joined items would need exactly that.)
+    """
     by = by or []
-    sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    big = sizes.where(F.col("n") > max_items).limit(1).count()
-    if big:
-        raise ValueError(f"a group holds more than {max_items} items; use set_fingerprint")
-    joined = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                                     F.md5(F.array_join(F.array_sort(F.collect_list("value")), "|")).alias("h"))
-    return joined.select(*by, "n", F.concat(F.lit("1."), F.col("n").cast("string"), F.lit("."),
-                                            F.substring("h", 1, 6)).alias("version"),
-                         F.substring("h", 1, 8).alias("hash"))
+    bits = F.conv(F.substring(F.md5("value"), 1, 15), 16, 10).cast("bigint")
+    g = values.select(*by, "value").where(F.col("value").isNotNull()).distinct().groupBy(*by) \
+        .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(bits).alias("_x"))
+    h = F.lpad(F.lower(F.hex(F.coalesce("_x", F.lit(0).cast("bigint")))), 15, "0")
+    return g.select(*by, "n", F.concat(F.lit("1."), F.col("n").cast("string"), F.lit("."), F.substring(h, 1, 6)).alias("version"),
+                    F.substring(h, 1, 8).alias("hash"))
 
 
 # --- lookups ---------------------------------------------------------------------
@@ -148,7 +148,7 @@ def set_version(values: DataFrame, by: list[str] | None = None, max_items: int =
 def exact_lookup(values: DataFrame, col: str, items: DataFrame) -> DataFrame:
     """Rows whose ``col`` is in the item set (case-sensitive)."""
     it = items.select(F.col("value").alias(col)).distinct()
-    return values.join(jn.broadcast_if_small(it), col, "left_semi")
+    return values.join(it, col, "left_semi")
 
 
 def safe_domain_lookup(values: DataFrame, col: str, items: DataFrame, anti: bool = False) -> DataFrame:
@@ -156,7 +156,7 @@ def safe_domain_lookup(values: DataFrame, col: str, items: DataFrame, anti: bool
     '.' + item. Distinct values are exploded into label suffixes and
     equi-joined with the items; the rows are then semi- (or anti-) joined on
     the matched values."""
-    it = jn.broadcast_if_small(items.select(F.col("value").alias("_m")).distinct())
+    it = items.select(F.col("value").alias("_m")).distinct()
     d = values.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
     cand = d.select("_v", F.explode(F.array_union(F.array(F.col("_v")), dom.suffixes(F.lower(F.col("_v"))))).alias("_m"))
     hit = cand.join(it, "_m").select(F.col("_v").alias(col)).distinct()
@@ -165,12 +165,11 @@ def safe_domain_lookup(values: DataFrame, col: str, items: DataFrame, anti: bool
 
 def prefix_lookup(values: DataFrame, col: str, items: DataFrame) -> DataFrame:
     """Rows whose ``col`` starts with some item. Every prefix of a distinct
-    value up to the longest item is exploded, so the match is an equi-join."""
+    value is exploded, so the match is an equi-join."""
     it = items.select(F.col("value").alias("_p")).where(F.col("_p") != "").distinct()
-    longest = it.agg(F.max(F.length("_p"))).first()[0] or 0
     d = values.select(F.col(col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    cand = d.select("_v", F.explode(jn.prefixes(F.col("_v"), max_len=longest)).alias("_p"))
-    hit = cand.join(jn.broadcast_if_small(it), "_p").select(F.col("_v").alias(col)).distinct()
+    cand = d.select("_v", F.explode(jn.prefixes(F.col("_v"))).alias("_p"))
+    hit = cand.join(it, "_p").select(F.col("_v").alias(col)).distinct()
     return values.join(hit, col, "left_semi")
 
 
@@ -226,4 +225,4 @@ def threat_url_matches(urls: DataFrame, threat_urls: DataFrame, col: str = "url"
     """J13 [EXT]: URLs present in the threat-URL set after normalisation."""
     t = threat_urls.select(normalize_url(F.col("value")).alias("_n")).distinct()
     return (urls.withColumn("_n", normalize_url(F.col(col)))
-            .join(jn.broadcast_if_small(t), "_n", "left_semi").drop("_n"))
+            .join(t, "_n", "left_semi").drop("_n"))

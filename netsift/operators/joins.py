@@ -1,11 +1,8 @@
-"""Join helpers: size-checked broadcast, prefix / substring / CIDR joins.
-
-A ``broadcast()`` hint forces a broadcast whatever the size, so it is only
-applied after the side has been counted (the count is bounded with a limit,
-so the check itself never scans more than ``max_rows + 1`` rows). Above the
-bound the plain DataFrame is returned and Spark shuffles (sort-merge or
-shuffle-hash), with AQE still free to broadcast at run time when the
-measured size is small.
+"""Join helpers: prefix / substring / CIDR joins.
+
+All matches are equi-joins on keys cut from the values. No side is hinted:
+Spark broadcasts a side only within its own size threshold, at planning time
+or by the measured size under AQE, and shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -15,59 +12,40 @@ from pyspark.sql import functions as F
 
 from netsift.functions import ip as ipf
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def prefixes(c: Column, max_len: int = 45) -> Column:
-    """All non-empty prefixes of a string (bounded by ``max_len``, the longest
-    textual IP address), so ``value.startswith(item)`` becomes an equi-join."""
-    n = F.least(F.length(c), F.lit(max_len))
+def prefixes(c: Column) -> Column:
+    """All non-empty prefixes of a string, so ``value.startswith(item)`` becomes an equi-join."""
+    n = F.length(c)
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: c.substr(F.lit(1), i))) \
         .otherwise(F.array().cast("array<string>"))
 
 
-def substrings_of_lengths(c: Column, lengths: list[int]) -> Column:
-    """Every substring of ``c`` whose length is in ``lengths``."""
-    n = F.length(c)
+#: Characters of an item that serve as its join key.
+ANCHOR = 3
 
-    def take(length: int):
-        return lambda i: c.substr(i, F.lit(length))  # one-argument lambda: i is the element
 
-    parts = []
-    for L in sorted(set(lengths)):
-        parts.append(F.when(n >= L, F.transform(F.sequence(F.lit(1), n - L + 1), take(L)))
-                     .otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.flatten(F.array(*parts))) if parts else F.array().cast("array<string>")
+def anchors(c: Column) -> Column:
+    """The distinct substrings of 1 to ``ANCHOR`` characters."""
+    n = F.length(c)
+    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(
+        at, lambda i: F.array(*[F.substr(c, i, F.lit(k)) for k in range(1, ANCHOR + 1)]))))
 
 
-def contains_any_join(values: DataFrame, value_col: str, items: DataFrame, item_col: str = "value",
-                      max_broadcast_rows: int = 10_000) -> DataFrame:
+def contains_any_join(values: DataFrame, value_col: str, items: DataFrame, item_col: str = "value") -> DataFrame:
     """Rows of ``values`` whose lower-cased ``value_col`` contains some item.
 
-    Small item lists (the usual tens) are inlined as an array and tested with
-    ``exists(instr)``; large lists switch to an exact equi-join on the
-    substrings of the value whose lengths occur among the items.
+    An item's first characters must occur in the value: distinct values and
+    items meet on that key and are then compared, whatever the number of items.
     Returns ``values`` plus ``matched`` (array of matched items, sorted).
     """
-    low_items = items.select(F.lower(F.col(item_col)).alias("item")).where(F.col("item") != "").distinct()
-    bounded = low_items.limit(max_broadcast_rows + 1).collect()
-    if len(bounded) <= max_broadcast_rows:
-        pats = sorted(r["item"] for r in bounded)
-        low = F.lower(F.col(value_col))
-        hits = F.filter(F.array(*[F.lit(p) for p in pats]) if pats else F.array().cast("array<string>"),
-                        lambda p: F.instr(low, p) > 0)
-        return values.withColumn("matched", hits).where(F.size("matched") > 0)
-    lengths = [r["L"] for r in low_items.select(F.length("item").alias("L")).distinct().collect()]
-    d = values.select(F.col(value_col).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    subs = d.select("_v", F.explode(substrings_of_lengths(F.lower(F.col("_v")), lengths)).alias("item"))
-    hit = (subs.join(low_items, "item").groupBy("_v")
-           .agg(F.array_sort(F.collect_set("item")).alias("matched")).withColumnRenamed("_v", value_col))
-    return values.join(hit, value_col)
+    low_items = items.select(F.lower(F.col(item_col)).alias("item")).where(F.col("item") != "").distinct() \
+        .withColumn("_a", F.substring("item", 1, ANCHOR))
+    d = values.select(F.col(value_col).alias("_v")).where(F.col("_v").isNotNull()).distinct() \
+        .withColumn("_low", F.lower(F.col("_v")))
+    keyed = d.select("_v", "_low", F.explode_outer(anchors(F.col("_low"))).alias("_a"))
+    hit = (keyed.join(low_items, "_a").where(F.instr(F.col("_low"), F.col("item")) > 0).groupBy("_v")
+           .agg(F.array_sort(F.collect_set("item")).alias("matched")).withColumnRenamed("_v", "_hit"))
+    return values.join(hit, F.col(value_col) == F.col("_hit")).drop("_hit")
 
 
 def cidr_table(cidrs: DataFrame, value_col: str = "value", bucket_bits: int = 16) -> DataFrame:
@@ -90,6 +68,6 @@ def match_cidr(df: DataFrame, ip_col: str, cidrs: DataFrame, bucket_bits: int =
     v = ipf.ipv4_to_long(ip_col)
     keyed = df.withColumn("_ipv", v).where(F.col("_ipv").isNotNull()) \
         .withColumn("_bucket", F.shiftright("_ipv", 32 - bucket_bits))
-    r = broadcast_if_small(ranges.withColumnRenamed("bucket", "_bucket"))
+    r = ranges.withColumnRenamed("bucket", "_bucket")
     return (keyed.join(r, (keyed["_bucket"] == r["_bucket"]) & keyed["_ipv"].between(r["start"], r["end"]))
             .drop(r["_bucket"]))

@@ -20,7 +20,6 @@ from netsift.functions import ip as ipf
 from netsift.operators import detectors as det
 from netsift.operators.alerts import to_alerts
 from netsift.operators.flows import distinct_values
-from netsift.operators.joins import broadcast_if_small
 
 # --- fixed values -------------------------------------------------------------
 WHITELIST_SCORE = 0        # score that may qualify for the permanent tier
@@ -181,7 +180,7 @@ def ip_lookup(flows: DataFrame, cache: DataFrame, service: DataFrame) -> DataFra
     """J7 → service: classified results ``(ip, abuse_score, isp, level)`` for the
     pending IPs the service knows (the snapshot is broadcast after a size check)."""
     svc = service.select("ip", "abuse_score", "isp")
-    return (pending_ips(flows, cache).join(broadcast_if_small(svc), "ip")
+    return (pending_ips(flows, cache).join(svc, "ip")
             .select("ip", "abuse_score", "isp", reputation_level(F.col("abuse_score"), "isp").alias("level")))
 
 

@@ -144,8 +144,7 @@ def graph_queries() -> dict[str, Query]:
 
     def threat_sets(t: Tables):
         rep = rp.cache_from_snapshot(t.ip_reputation)
-        ips = rep.where((F.col("level") == "malicious") & (F.col("abuse_score") >= rp.HIGH_AT)) \
-            .select(F.col("key").alias("value"))
+        ips = rep.where(F.col("level") == "malicious").select(F.col("key").alias("value"))
         return ips, t.threat_domains
 
     def threat_graph(t: Tables):
@@ -321,13 +320,13 @@ def alert_queries() -> dict[str, Query]:
 
     q: dict[str, Query] = {}
     q["alerts_all_detectors"] = _q(lambda t: flat(all_alerts(t)))
-    q["alerts_fused_scan"] = _q(lambda t: flat(all_alerts(t, fused_scan=True)).drop("priority"))
+    q["alerts_fused_scan"] = _q(lambda t: flat(all_alerts(t, fused_scan=True)))
     q["alerts_per_flow_fused"] = _q(lambda t: flat(fused.per_flow_alerts(t.flows)))
     q["alert_severity_counts"] = _q(lambda t: al.severity_counts(all_alerts(t)))
     q["alert_counts_by_type"] = _q(lambda t: al.counts_by(all_alerts(t), "threat_type"))
     q["alert_counts_by_engine"] = _q(lambda t: al.counts_by(all_alerts(t), "engine_name"))
-    q["alert_bundle_by_type"] = _q(lambda t: al.alert_bundle(all_alerts(t)).select(
-        "threat_type", "alert_count", F.size("alerts").alias("bundled")))
+    q["alert_bundle_by_type"] = _q(lambda t: al.alert_bundle(all_alerts(t)).groupBy("threat_type").agg(
+        F.count(F.lit(1)).alias("alert_count"), F.count("description").alias("bundled")))
     return q
 
 
@@ -347,28 +346,16 @@ def metering_queries() -> dict[str, Query]:
 
 # --- learned operators (M4/M5, M8-M10) — rows-only checks -----------------------------------
 
-_MODELS: dict = {}
-
-
-def _memo(kind: str, t: Tables, build):
-    key = (kind, t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = build()
-    return _MODELS[key]
-
-
 def ml_queries() -> dict[str, Query]:
     from netsift.operators import domain_model as dm
     from netsift.operators import iforest as ifo
 
     def forest(t: Tables):
-        return _memo("iforest", t, lambda: ifo.fit(t.flows))
+        return ifo.fit(t.flows)
 
     def gbt(t: Tables):
-        def build():
-            train, test = dm.split(dm.labelled_domains(t.flows))
-            return dm.train(train), test
-        return _memo("gbt", t, build)
+        train, test = dm.split(dm.labelled_domains(t.flows))
+        return dm.train(train), test
 
     q: dict[str, Query] = {}
     q["isolation_forest_scores"] = _q(lambda t: ifo.predict(t.flows, forest(t)).select(
@@ -472,10 +459,10 @@ def streaming_queries() -> dict[str, Query]:
         t, "t2c", sd.tumbling_unknown_tls, ["window_start_ms", "dst_ip"],
         "window_start_ms long, dst_ip string, flows long"))
     # flow start times in the test data are whole days, so the sliding window is sized in days
-    q["stream_port_scan_sliding"] = _q(lambda t: upsert(
+    q["stream_port_scan_sliding"] = _q(lambda t: sd.scan_windows(upsert(
         t, "t3", lambda f: sd.sliding_port_scan(f, window="365 days", slide="30 days", watermark="1 day"),
         ["window_start_ms", "src_ip"],
-        "window_start_ms long, src_ip string, ports long, targets long, packets long"))
+        "window_start_ms long, src_ip string, ports long, targets long, packets long")))
     q["stream_packet_sessions"] = _q(sessions)
     q["stream_threat_domains"] = _q(threat_hits)
     return q

@@ -493,20 +493,18 @@ def graph_sql() -> dict[str, str]:
         "SELECT source, target, value, label, false AS is_highlighted, 'ip' AS kind, "
         "round(least(value / 1e6 + 1.0, 6.0), 6) AS width FROM kept", base + ", " + full)
     q["graph_nodes_full"] = with_flows(_ip_nodes_sql("kept", None), base + ", " + full)
-    from netsift.operators import reputation as rp
     thr = (f"rep AS ({fx.ip_reputation_sql('duckdb')}), "
-           f"hip AS (SELECT DISTINCT ip AS value FROM rep WHERE {level_sql('abuse_score', 'isp')} = 'malicious' "
-           f"AND abuse_score >= {rp.HIGH_AT}), "
+           f"hip AS (SELECT DISTINCT ip AS value FROM rep WHERE {level_sql('abuse_score', 'isp')} = 'malicious'), "
            f"hd AS (SELECT DISTINCT lower(value) AS domain FROM ({fx.values_sql(fx.THREAT_DOMAINS, 'value')}) "
            f"WHERE lower(value) <> ''), "
            "names AS (SELECT DISTINCT src_ip AS source, dst_ip AS target, lower(requested_server_name) AS sni FROM clean "
            "WHERE requested_server_name IS NOT NULL AND requested_server_name <> ''), "
            "nm AS (SELECT n.source, n.target, n.sni, arg_max(hd.domain, length(hd.domain)) AS domain FROM names n "
            "JOIN hd ON n.sni = hd.domain OR ends_with(n.sni, '.' || hd.domain) GROUP BY n.source, n.target, n.sni), "
-           "matches AS (SELECT DISTINCT source, target, domain FROM nm), "
+           "matches AS (SELECT source, target, domain FROM nm), "
            "ipe AS (SELECT e.* FROM edges e WHERE e.source IN (SELECT value FROM hip) OR e.target IN (SELECT value FROM hip) "
            "OR EXISTS (SELECT 1 FROM matches m WHERE m.source = e.source AND m.target = e.target)), "
-           "de AS (SELECT DISTINCT m.source, m.domain AS target, e.value FROM matches m JOIN edges e "
+           "de AS (SELECT m.source, m.domain AS target, e.value FROM matches m JOIN edges e "
            "ON m.source = e.source AND m.target = e.target), "
            "badset AS (SELECT source AS id FROM de UNION SELECT value FROM hip)")
     q["graph_edges_threat"] = with_flows(
@@ -639,9 +637,9 @@ def indicator_sql() -> dict[str, str]:
         "SELECT category, count(*) AS items FROM (SELECT DISTINCT b.category, b.value FROM base b JOIN feeds f "
         "USING (source) WHERE f.enabled) GROUP BY category", base)
     q["indicator_set_version"] = with_flows(
-        "SELECT source, count(*) AS n, '1.' || CAST(count(*) AS VARCHAR) || '.' || substr(md5(string_agg(value, '|' "
-        "ORDER BY value)), 1, 6) AS version, substr(md5(string_agg(value, '|' ORDER BY value)), 1, 8) AS hash "
-        "FROM base GROUP BY source", base)
+        "SELECT source, n, '1.' || CAST(n AS VARCHAR) || '.' || substr(h, 1, 6) AS version, substr(h, 1, 8) AS hash FROM ("
+        "SELECT source, count(*) AS n, format('{:015x}', bit_xor(CAST('0x' || substr(md5(value), 1, 15) AS BIGINT))) AS h "
+        "FROM (SELECT DISTINCT source, value FROM base) GROUP BY source)", base)
     cidr = (f"c AS (SELECT value AS cidr, trim(string_split(value, ';')[1]) AS t FROM ({fx.values_sql(fx.THREAT_CIDRS, 'value')})), "
             f"c2 AS (SELECT cidr, {ipv4_long_sql(chr(115) + 'plit_part(t, ' + chr(39) + '/' + chr(39) + ', 1)')} AS base, "
             "coalesce(TRY_CAST(NULLIF(split_part(t, '/', 2), '') AS INTEGER), 32) AS plen FROM c), "
@@ -702,18 +700,17 @@ def alert_sql(q: dict[str, str]) -> dict[str, str]:
     rows = _alert_rows(q)
     union = " UNION ALL ".join(f"SELECT *, {p} AS priority FROM ({s})" for _, s, p in rows)
     per_flow = " UNION ALL ".join(f"SELECT * FROM ({s})" for _, s, p in rows if any(f"'{t}'" in s for t in PER_FLOW))
-    grouped_first = " UNION ALL ".join(f"SELECT * FROM ({s})" for _, s, p in rows)
     out = {}
     out["alerts_all_detectors"] = f"SELECT * FROM ({union})"
     out["alerts_per_flow_fused"] = f"SELECT * FROM ({per_flow})"
-    out["alerts_fused_scan"] = f"SELECT * FROM ({grouped_first})"
+    out["alerts_fused_scan"] = f"SELECT * FROM ({union})"
     out["alert_severity_counts"] = (f"SELECT count(*) FILTER (WHERE severity = 'HIGH') AS high_count, "
                                     f"count(*) FILTER (WHERE severity = 'MEDIUM') AS medium_count, "
                                     f"count(*) FILTER (WHERE severity = 'LOW') AS low_count FROM ({union})")
     out["alert_counts_by_type"] = f"SELECT threat_type, count(*) AS alert_count FROM ({union}) GROUP BY threat_type"
     out["alert_counts_by_engine"] = (f"SELECT coalesce(engine_name, 'unknown') AS engine_name, count(*) AS alert_count "
                                      f"FROM ({union}) GROUP BY 1")
-    out["alert_bundle_by_type"] = (f"SELECT threat_type, count(*) AS alert_count, CAST(least(count(*), 100) AS INTEGER) "
+    out["alert_bundle_by_type"] = (f"SELECT threat_type, count(*) AS alert_count, count(*) "
                                    f"AS bundled FROM ({union}) GROUP BY threat_type")
     return out
 

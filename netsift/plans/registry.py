@@ -13,6 +13,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ class Context:
     suspicious_ua: DataFrame | None = None
     phishing_keywords: DataFrame | None = None
     domain_scores: DataFrame | None = None
+    #: Columns of the flow source before ``conform`` added the missing ones; None: those of the flows.
+    source_columns: list[str] | None = None
     extra: dict = field(default_factory=dict)
 
 
@@ -54,6 +57,8 @@ class Detector:
     tags: list[str] = field(default_factory=list)
     enabled: bool = True
     config: dict = field(default_factory=dict)
+    #: The detector without its per-flow rules, for registries that run those of all engines in one scan.
+    grouped_fn: DetectorFn | None = None
 
     def run(self, flows: DataFrame, ctx: Context) -> DataFrame:
         return self.fn(flows, ctx, self.config)
@@ -70,8 +75,9 @@ class RunReport:
 class Registry:
     """Register (re-registering replaces), unregister, enable, disable, configure."""
 
-    def __init__(self) -> None:
+    def __init__(self, fused_scan: bool = False) -> None:
         self._d: dict[str, Detector] = {}
+        self.fused_scan = fused_scan
 
     def register(self, d: Detector) -> None:
         self._d[d.name] = d
@@ -103,21 +109,37 @@ class Registry:
 
     def run_all(self, flows: DataFrame, ctx: Context) -> tuple[DataFrame, list[RunReport]]:
         """Every enabled detector in priority order, as one lazy union with
-        a ``priority`` column. Failures are reported, not raised."""
+        a ``priority`` column. A detector whose plan doesn't analyse is reported
+        and skipped; any other error (a lost executor, say) is raised, so that no
+        detector's alerts can be missing unnoticed.
+
+        With ``fused_scan`` the per-flow rules of all enabled engines run in one
+        scan; each alert keeps its engine's name and priority.
+        """
         frames, prios, reports = [], [], []
+        shared: dict[str, int] = {}
         for d in self.ordered():
             if not d.enabled:
                 reports.append(RunReport(d.name, d.priority, "disabled"))
                 continue
             try:
-                out = d.run(flows, ctx).select(*ALERT_COLUMNS)
+                split = self.fused_scan and d.grouped_fn is not None
+                out = (d.grouped_fn if split else d.fn)(flows, ctx, d.config).select(*ALERT_COLUMNS)
                 out.schema  # forces analysis so broken plans surface here
                 frames.append(out)
                 prios.append(d.priority)
+                if split:
+                    shared[d.name] = d.priority
                 reports.append(RunReport(d.name, d.priority, "ok"))
-            except Exception as e:  # noqa: BLE001 - a failing detector is skipped
+            except AnalysisException as e:
                 log.warning("detector %s failed: %s", d.name, e)
                 reports.append(RunReport(d.name, d.priority, "error", str(e)[:500]))
+        if shared:
+            engine = F.col("engine_name")
+            priority = F.coalesce(*[F.when(engine == name, F.lit(p)) for name, p in shared.items()])
+            per_flow = fused.per_flow_alerts(flows).where(engine.isin(*shared)).select(*ALERT_COLUMNS, priority.alias("priority"))
+            rest = union_alerts(frames, prios)
+            return rest.unionByName(per_flow), reports
         if not frames:
             return empty_alerts(ctx.spark).withColumn("priority", F.lit(0)), reports
         return union_alerts(frames, prios), reports
@@ -133,7 +155,7 @@ class Registry:
             try:
                 n = d.run(flows, ctx).count()
                 rows.append((d.name, d.priority, int(n), time.time() - t0, "healthy", None))
-            except Exception as e:  # noqa: BLE001
+            except AnalysisException as e:
                 rows.append((d.name, d.priority, 0, time.time() - t0, "error", str(e)[:500]))
         return ctx.spark.createDataFrame(
             rows, "name string, priority int, detections bigint, duration_s double, health string, last_error string")
@@ -167,9 +189,23 @@ def _http_engine(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
                          det.suspicious_user_agents_alerts(flows)])
 
 
+def _http_grouped(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
+    return det.uncommon_ports_alerts(flows)
+
+
+def _tls(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
+    """Without the confidence column in the source every TLS flow counts, unless the config says otherwise."""
+    present = "application_confidence" in (flows.columns if ctx.source_columns is None else ctx.source_columns)
+    return det.unknown_tls_alerts(flows, cfg.get("require_confidence", present))
+
+
 def _covert_engine(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
     return union_alerts([det.icmp_tunnel_alerts(flows), det.dns_exfiltration_alerts(flows),
-                         det.unknown_tls_alerts(flows), det.one_way_transfer_alerts(flows)])
+                         _tls(flows, ctx, cfg), det.one_way_transfer_alerts(flows)])
+
+
+def _covert_grouped(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
+    return _tls(flows, ctx, cfg)
 
 
 def _behavior_engine(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
@@ -177,21 +213,8 @@ def _behavior_engine(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
                          det.port_scan_alerts(flows)])
 
 
-def _grouped_engine(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
-    """Fused layout: every grouped / per-name detector (per-flow ones are in ``_per_flow_engine``)."""
-    parts = []
-    safe = _safe(ctx, cfg)
-    if ctx.threat_domains is not None:
-        parts.append(det.threat_domains_alerts(flows, ctx.threat_domains, safe))
-    parts += [det.unknown_domains_alerts(flows, ctx.domain_scores, safe),
-              det.dns_tunnel_alerts(flows, cfg.get("dns_tunnel_threshold", det.DNS_TUNNEL_PACKETS)),
-              det.dga_domains_alerts(flows, safe), det.uncommon_ports_alerts(flows), det.unknown_tls_alerts(flows),
-              det.port_scan_alerts(flows)]
-    return union_alerts(parts)
-
-
-def _per_flow_engine(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
-    return fused.per_flow_alerts(flows)
+def _behavior_grouped(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
+    return det.port_scan_alerts(flows)
 
 
 def _plugin_port_scan(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
@@ -201,17 +224,12 @@ def _plugin_port_scan(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
 def default_registry(fused_scan: bool = False, with_plugin: bool = False) -> Registry:
     """The reference's four engines at priorities 10/20/30/40. With
     ``fused_scan`` the seven per-flow rules run in one scan instead."""
-    r = Registry()
-    if fused_scan:
-        r.register(Detector("grouped_detectors", _grouped_engine, priority=10, version="1.0.0"))
-        r.register(Detector("per_flow_detectors", _per_flow_engine, priority=20, version="1.0.0"))
-    else:
-        r.register(Detector(det.DNS_ENGINE, _dns_engine, priority=10, version="3.0.0",
-                            config={"dns_tunnel_threshold": det.DNS_TUNNEL_PACKETS,
-                                    "suppress_safe_domains": False}))
-        r.register(Detector(det.HTTP_ENGINE, _http_engine, priority=20, version="2.0.0"))
-        r.register(Detector(det.COVERT_ENGINE, _covert_engine, priority=30, version="2.0.0"))
-        r.register(Detector(det.BEHAVIOR_ENGINE, _behavior_engine, priority=40, version="2.0.0"))
+    r = Registry(fused_scan)
+    r.register(Detector(det.DNS_ENGINE, _dns_engine, priority=10, version="3.0.0",
+                        config={"dns_tunnel_threshold": det.DNS_TUNNEL_PACKETS, "suppress_safe_domains": False}))
+    r.register(Detector(det.HTTP_ENGINE, _http_engine, priority=20, version="2.0.0", grouped_fn=_http_grouped))
+    r.register(Detector(det.COVERT_ENGINE, _covert_engine, priority=30, version="2.0.0", grouped_fn=_covert_grouped))
+    r.register(Detector(det.BEHAVIOR_ENGINE, _behavior_engine, priority=40, version="2.0.0", grouped_fn=_behavior_grouped))
     if with_plugin:
         r.register(Detector(det.PLUGIN_SCAN_ENGINE, _plugin_port_scan, priority=50,
                             config={"port_threshold": 15}))

@@ -45,13 +45,16 @@ def get_spark(master: str | None = None, app: str = "netsift",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is always used when present. Only when it is unset
-    (local tests) a private folder is created and registered.
+    The cluster's setting is always used. Only a local master without it gets
+    a private folder; a cluster without it is an error, since executors could
+    not read what the driver writes to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="netsift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -66,8 +69,6 @@ def scratch_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     path = f"{root}/{name}"
     if unique:
         path = f"{path}/{uuid.uuid4().hex}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
     return path
 
 

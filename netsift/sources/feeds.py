@@ -45,11 +45,13 @@ def read_hosts_feed(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv_feed(spark: SparkSession, path: str, column: int = 0, skip_header: bool = False) -> DataFrame:
     """Column ``column`` of a CSV feed, optionally skipping the first row
-    of each file; values are stripped and blank / '#' values dropped."""
-    df = spark.read.option("header", str(bool(skip_header)).lower()).option("mode", "PERMISSIVE").csv(path)
-    if column >= len(df.columns):
-        return spark.createDataFrame([], "value string")
-    v = strip(F.col(df.columns[column]))
+    of each file; values are stripped and blank / '#' values dropped. The
+    schema is as wide as the column needs, so the width of the first line
+    (a comment, a short header) decides nothing; shorter rows have no value."""
+    schema = ", ".join(f"c{i} string" for i in range(column + 1))
+    df = spark.read.schema(schema).option("header", str(bool(skip_header)).lower()).option("enforceSchema", "true") \
+        .option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    v = strip(F.col(f"c{column}"))
     return df.select(v.alias("value")).where(F.col("value").isNotNull() & (F.col("value") != "")
                                              & ~F.col("value").startswith("#")).distinct()
 

@@ -69,16 +69,15 @@ PACKET_EXPRS = [
     ("ts_ms", "CAST(FLOOR({US:ts}/1000) AS BIGINT)"),
     ("len", "CAST(ROUND(value*100) AS BIGINT)"),
 ]
-# B.5 ip_reputation, from customer WHERE c_custkey < 750
-IP_REPUTATION_FILTER = "c_custkey < 750"
+# B.5 ip_reputation, from customer: every customer has an address of its own
 IP_REPUTATION_EXPRS = [
-    ("ip", "concat('45.33.',CAST(c_custkey%3 AS STRING),'.',CAST(c_custkey%250 AS STRING))"),
+    ("ip", "concat(CAST(45+CAST(FLOOR(c_custkey/150000) AS BIGINT) AS STRING),'.',"
+           "CAST(33+CAST(FLOOR(c_custkey/750) AS BIGINT)%200 AS STRING),'.',CAST(c_custkey%3 AS STRING),'.',CAST(c_custkey%250 AS STRING))"),
     ("abuse_score", "CAST((c_custkey*7)%101 AS INT)"),
     ("isp", "CASE c_custkey%4 WHEN 0 THEN 'Google LLC' WHEN 1 THEN 'Fastly' ELSE c_mktsegment END"),
     ("age_days", "CAST(c_custkey%120 AS INT)"),
 ]
-# B.6 domain_reputation, from part WHERE p_partkey % 24 = 0
-DOMAIN_REPUTATION_FILTER = "p_partkey % 24 = 0"
+# B.6 domain_reputation, from part
 DOMAIN_REPUTATION_EXPRS = [
     ("domain", "concat(substr(md5(CAST(p_partkey AS STRING)),1,26),'.xyz')"),
     ("severity", "CASE p_partkey%5 WHEN 0 THEN 'malicious' WHEN 1 THEN 'suspicious' ELSE 'info' END"),
@@ -124,12 +123,12 @@ def packets_sql(dialect: str = "duckdb") -> str:
 
 def ip_reputation_sql(dialect: str = "duckdb") -> str:
     return (f"SELECT {', '.join(select_list(IP_REPUTATION_EXPRS, dialect))} "
-            f"FROM customer WHERE {IP_REPUTATION_FILTER}")
+            "FROM customer")
 
 
 def domain_reputation_sql(dialect: str = "duckdb") -> str:
     return (f"SELECT {', '.join(select_list(DOMAIN_REPUTATION_EXPRS, dialect))} "
-            f"FROM part WHERE {DOMAIN_REPUTATION_FILTER}")
+            "FROM part")
 
 
 def values_sql(values: list[str], col: str) -> str:

@@ -83,13 +83,11 @@ def packets_from_events(events: DataFrame) -> DataFrame:
 
 
 def ip_reputation_from_customer(customer: DataFrame) -> DataFrame:
-    return (customer.where(fx.IP_REPUTATION_FILTER)
-            .selectExpr(*fx.select_list(fx.IP_REPUTATION_EXPRS, "spark")))
+    return (customer.selectExpr(*fx.select_list(fx.IP_REPUTATION_EXPRS, "spark")))
 
 
 def domain_reputation_from_part(part: DataFrame) -> DataFrame:
-    return (part.where(fx.DOMAIN_REPUTATION_FILTER)
-            .selectExpr(*fx.select_list(fx.DOMAIN_REPUTATION_EXPRS, "spark")))
+    return (part.selectExpr(*fx.select_list(fx.DOMAIN_REPUTATION_EXPRS, "spark")))
 
 
 @dataclass

@@ -21,13 +21,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netsift.functions import domain as dom
 from netsift.operators import detectors as det
 from netsift.operators import fused
-from netsift.operators.joins import broadcast_if_small
 
 DEFAULT_WATERMARK = "10 minutes"
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -85,17 +85,26 @@ def tumbling_unknown_tls(flows: DataFrame, window: str = "5 minutes", watermark:
 
 def sliding_port_scan(flows: DataFrame, window: str = "10 minutes", slide: str = "1 minute",
                       watermark: str = DEFAULT_WATERMARK) -> DataFrame:
-    """D14 per sliding window with sketch-based distinct counts."""
+    """The distinct counts of D14 per sliding window and source, by sketches.
+
+    Every window goes out: its target count can still grow past the limit, and
+    an update stream never takes back a row that a filter lets drop out. The
+    rule is applied to the latest version of each window (``scan_windows``).
+    """
     f = with_event_time(flows).withWatermark("event_time", watermark)
     return (f.where(F.col("src_ip").isNotNull())
             .groupBy(F.window("event_time", window, slide).alias("w"), "src_ip")
             .agg(F.approx_count_distinct("dst_port").alias("ports"),
                  F.approx_count_distinct("dst_ip").alias("targets"),
                  F.sum("bidirectional_packets").cast("bigint").alias("packets"))
-            .where((F.col("ports") > det.SCAN_MIN_PORTS) & (F.col("targets") < det.SCAN_MAX_TARGETS))
             .select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "src_ip", "ports", "targets", "packets"))
 
 
+def scan_windows(latest: DataFrame) -> DataFrame:
+    """The windows that are scans now."""
+    return latest.where((F.col("ports") > det.SCAN_MIN_PORTS) & (F.col("targets") < det.SCAN_MAX_TARGETS))
+
+
 def packet_sessions(packets: DataFrame, gap: str = "120 seconds", watermark: str = "1 hour") -> DataFrame:
     """T4: bidirectional sessions of packets (idle gap only) with ``session_window``."""
     from netsift.operators.metering import KEY, canonical
@@ -150,10 +159,10 @@ def read_latest(spark: SparkSession, path: str, key: list[str], schema: str | No
     """The last version of every key written by ``run_upsert``."""
     try:
         df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet (no updates)
-        if schema is None:
+    except AnalysisException as e:
+        if schema is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)  # the stream has written nothing
     w = Window.partitionBy(*key).orderBy(F.desc("batch_id"))
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "batch_id")
 
@@ -177,7 +186,7 @@ def threat_domain_hits(batch: DataFrame, indicators: DataFrame) -> DataFrame:
         .select(F.col("requested_server_name").alias("domain")).distinct()
     ind = indicators.select(dom.normalize("value").alias("matched")).where(F.col("matched") != "").distinct()
     sfx = names.select("domain", F.explode(dom.suffixes(dom.normalize("domain"))).alias("matched"))
-    return (sfx.join(broadcast_if_small(ind), "matched").groupBy("domain")
+    return (sfx.join(ind, "matched").groupBy("domain")
             .agg(F.max_by("matched", F.length("matched")).alias("matched_threat_domain")))
 
 

@@ -79,8 +79,9 @@ def test_alert_counts(spark):
         "x": 1, "y": 1, "unknown": 1}
     assert al.select_alerts(a, severity="HIGH").count() == 2
     assert al.select_alerts(a, threat_type="DNS_TUNNEL").count() == 1
-    b = {r.threat_type: (r.alert_count, len(r.alerts)) for r in al.alert_bundle(a, max_per_type=1).collect()}
-    assert b["MALICIOUS_IP"] == (1, 1)
+    many = a.crossJoin(spark.range(250)).drop("id")
+    assert {r.threat_type: r["count"] for r in al.alert_bundle(many).groupBy("threat_type").count().collect()} == {
+        "MALICIOUS_IP": 250, "UNKNOWN_DOMAIN": 250, "DNS_TUNNEL": 250}
 
 
 def test_registry_failures_and_toggles(spark):
@@ -112,10 +113,50 @@ def test_fused_equals_union(spark):
     ctx = Context(spark, threat_domains=t.threat_domains)
     a, _ = default_registry().run_all(t.flows, ctx)
     b, _ = default_registry(fused_scan=True).run_all(t.flows, ctx)
-    cols = ["engine_name", "threat_type", "severity", "description", "confidence"]
+    cols = ["engine_name", "threat_type", "severity", "description", "confidence", "priority"]
     assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
     assert b.select(*cols).exceptAll(a.select(*cols)).count() == 0
     assert fused.per_flow_alerts(t.flows).count() > 0
+    reg = default_registry(fused_scan=True)
+    assert reg.disable("http_threat_detector")
+    c, _ = reg.run_all(t.flows, ctx)
+    assert c.where("engine_name = 'http_threat_detector'").count() == 0
+    assert c.select(*cols).exceptAll(a.select(*cols)).count() == 0
+
+
+def test_tls_rule_without_the_confidence_column(spark):
+    """A source without the column: every TLS flow counts; with it and NULLs: none does."""
+    from netsift.sources.flows import conform
+    rows = [("9.9.9.9", "TLS", None)] * 5
+    plain = spark.createDataFrame([r[:2] for r in rows], "dst_ip string, application_name string")
+    nulls = spark.createDataFrame(rows, "dst_ip string, application_name string, application_confidence int")
+    for fused_scan in (False, True):
+        run = lambda f, s=fused_scan: default_registry(s).run_all(conform(f), Context(spark, source_columns=f.columns))[0]
+        assert run(plain).where("threat_type = 'UNKNOWN_TLS'").count() == 1
+        assert run(nulls).where("threat_type = 'UNKNOWN_TLS'").count() == 0
+
+
+def test_other_errors_are_not_swallowed(spark):
+    import pytest
+
+    def lost(df, c, cfg):
+        raise RuntimeError("executor lost")
+    reg = default_registry()
+    reg.register(Detector("lost", lost))
+    with pytest.raises(RuntimeError):
+        reg.run_all(_flows(spark), Context(spark))
+
+
+def test_empty_highlight_sets_give_the_whole_graph(spark):
+    from conftest import SF0001
+    from netsift.operators import graph as g
+    from netsift.sources.flows import load_tables
+    flows = load_tables(spark, SF0001).flows
+    none = spark.createDataFrame([], "value string")
+    whole = g.build_graph(flows, min_bytes=0)["edges"].count()
+    assert whole > 0 and g.build_graph(flows, highlight_ips=none, highlight_domains=none)["edges"].count() == whole
+    one = spark.createDataFrame([("no.such.name",)], "value string")
+    assert g.build_graph(flows, highlight_ips=none, highlight_domains=one)["edges"].count() == 0
 
 
 def test_top_k_per_group_is_exact_under_a_hot_group(spark):

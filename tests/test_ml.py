@@ -29,6 +29,12 @@ def _anomaly_flows(spark, n=400, outliers=4):
     return flows_df(spark, rows)
 
 
+def test_every_tree_gets_rows_of_repeated_vectors(spark):
+    rows = [dict(src_ip="10.0.0.1", dst_ip="8.8.8.8", bidirectional_packets=i % 6, bidirectional_bytes=100 * (i % 6)) for i in range(6000)]
+    m = ifo.fit(flows_df(spark, rows), seed=3)
+    assert m.nodes["tree"].nunique() == 100 and m.nodes.groupby("tree").size().min() > 1
+
+
 def test_isolation_forest_properties(spark):
     df = _anomaly_flows(spark)
     m = ifo.fit(df, n_estimators=50, seed=7)

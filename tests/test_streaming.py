@@ -41,6 +41,38 @@ def test_tumbling_window_upsert_equals_batch(spark):
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
 
 
+def test_sliding_scan_takes_back_a_window_that_stops_being_one(spark):
+    """First 200 ports on one target (a scan), then 60 more targets in the same window (none any more)."""
+    import time
+
+    from conftest import flows_df
+    base = 1_700_000_000_000
+    flow = lambda port, dst, ms: dict(src_ip="10.0.0.1", dst_ip=dst, dst_port=port, bidirectional_packets=1,
+                                      bidirectional_first_seen_ms=base + ms)
+    src, out, ck = _dirs()
+    parts = [[flow(1000 + i, "9.9.9.9", i) for i in range(200)], [flow(80, f"9.9.8.{i}", 300 + i) for i in range(60)],
+             [flow(81, "9.9.7.1", 400)]]
+    key = ["window_start_ms", "src_ip"]
+    scans = []
+    for part in parts:
+        flows_df(spark, part).coalesce(1).write.mode("append").parquet(src)
+        sd.run_upsert(sd.sliding_port_scan(read_flow_stream(spark, src)), out, ck)
+        scans.append(sd.scan_windows(sd.read_latest(spark, out, key)).count())
+        time.sleep(1.1)
+    assert scans[0] > 0 and scans[1:] == [0, 0]
+
+
+def test_read_latest_lets_errors_out(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+    assert sd.read_latest(spark, f"{tmp_path}/none", ["a"], "a int, batch_id long").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception) as e:
+        sd.read_latest(spark, f"{tmp_path}/bad", ["a"], "a int").count()
+    assert not (isinstance(e.value, AnalysisException) and e.value.getCondition() == "PATH_NOT_FOUND")
+
+
 def test_static_join_each_batch(spark):
     t = load_tables(spark, SF0001)
     src, out, ck = _dirs()
