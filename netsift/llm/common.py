@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,15 +50,19 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The step's shuffle files are then of no use; Spark deletes them once the
-    driver's JVM has collected what refers to them, so that is asked for here.
+    ``large``: the step has shuffled much of the input. Its shuffle files are
+    then of no use, and Spark deletes them once the driver's JVM has collected
+    what refers to them; that is asked for here, after the moment that the
+    finished query still waits in the listeners' queue.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/netsift-llm/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.java.lang.System.gc()
+    if large:
+        time.sleep(0.5)
+        spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.schema(schema).parquet(path)

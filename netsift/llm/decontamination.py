@@ -79,7 +79,7 @@ def benchmark_spans(docs: DataFrame, named: DataFrame, benchmark: DataFrame, sho
         marks = marks.unionAll(whole)
     hits = named.select("doc_id", "digest", F.explode("fingerprints").alias("mark")) \
         .join(marks.distinct(), "mark", "left_semi").groupBy("doc_id", "digest").agg(F.collect_set("mark").alias("marks"))
-    hits = stored(hits, "fingerprint-hits").select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), "marks")
+    hits = stored(hits, "fingerprint-hits", large=True).select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), "marks")
     again = docs.withColumn("digest", F.xxhash64("text")).join(
         hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest"))) \
         .select("doc_id", "digest", "marks", words_of(F.col("text")).alias("words"))
@@ -121,7 +121,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Da
     named = with_fingerprints(named, short).select("doc_id", "digest", F.size("words").cast("bigint").alias("n_words"), "fingerprints")
     named = stored(named, "fingerprints")
     spans, of_items = benchmark_spans(docs, named, benchmark, short)
-    return named.select("doc_id", "digest", "n_words"), stored(spans, "benchmark-spans"), of_items
+    return named.select("doc_id", "digest", "n_words"), stored(spans, "benchmark-spans", large=True), of_items
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:

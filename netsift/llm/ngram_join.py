@@ -203,9 +203,9 @@ def similarity_links(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     entries = prefix_entries(docs, hashed_counts(rows), words).repartition("token") \
         .groupBy("token", "key").agg(F.min("n").alias("n"), F.min("p").alias("p"))
     entries = with_mates(entries).withColumn("label", F.col("key"))
-    entries = stored(entries, "entries")
+    entries = stored(entries, "entries", large=True)
     size = entries.count()
-    sets = stored(sets_of(docs, rows, entries.select("key").distinct(), words), "sets")
+    sets = stored(sets_of(docs, rows, entries.select("key").distinct(), words), "sets", large=True)
     links = None
     for round_no in range(MAX_ROUNDS + 1):
         counts = entries.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")) \

@@ -4,22 +4,22 @@ A byte goes when a 50-byte string covering it also starts in a document with a
 smaller id. Suffixes only have to be told apart to a depth of 50 bytes, so the
 suffix sort stops there, and it runs as a few shuffles instead of one sort.
 
-1. A suffix's bucket is the name of its first 16 bytes. Every 50-byte window
-   points to the smallest bucket among the 35 that lie inside it; windows that
-   share the pointer make one run (18 suffixes in the mean). Equal windows
+1. A suffix's bucket is the name of its first 12 bytes. Every 50-byte window
+   points to the smallest bucket among the 39 that lie inside it; windows that
+   share the pointer make one run (20 suffixes in the mean). Equal windows
    point to equal buckets at equal distance, so only runs in one bucket are
    ever compared.
 2. Inside a bucket runs are refined by the names of their first and last
-   window, each made of the bucket names at later offsets (0, 16, 32, 34).
+   window, each made of the bucket names at later offsets (0, 12, 24, 36, 38).
    Runs that stay equal share all their windows: all but the smallest
-   document's are done, and the result holds for all 18 suffixes at once.
-3. Runs of different documents that also agree in the 17 bytes before or after
-   the pointer may share a part of their windows: the ends of repeats. Only
-   their windows are refined to the full depth one by one.
+   document's are done, and the result holds for all suffixes of the run at once.
+3. Runs of different documents that also agree in the 19 bytes before (or
+   after) the pointer may share the windows that reach as far: the ends of
+   repeats. Only these windows are refined to the full depth one by one.
 
 Equal runs meet inside each block of text first, so a passage that a third of
-all documents holds enters a shuffle once per block. Names are 64-bit hashes,
-two of which have to agree. Texts over 2 MB are cut into overlapping blocks.
+all documents holds enters a shuffle once per block. Names are hashes; what
+counts as equal agrees in 96 bits or more. Texts over 2 MB are cut into overlapping blocks.
 
 Null and empty texts have no bytes. A null id counts as larger than any other;
 equal ids never remove each other, so repeated rows keep what a row alone would.
@@ -35,13 +35,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.llm.common import column_index, narrow, stored, with_plain_names
 
 DEPTH = 50
-GRAM = 16
+GRAM = 12
 PER_WINDOW = DEPTH - GRAM + 1
 SIDE = (DEPTH - GRAM + 1) // 2
 BLOCK = 1 << 21
@@ -77,7 +77,7 @@ class Names:
 
     def __post_init__(self):
         self.word = eights(self.raw)
-        self.bucket = join_names(self.word[:-8], self.word[8:])
+        self.bucket = join_names(self.word[:8 - GRAM], self.word[GRAM - 8:])
 
     def pointers(self) -> np.ndarray:
         """For each window start, the first position of its smallest bucket."""
@@ -92,7 +92,7 @@ class Names:
 
     def windows(self, start: np.ndarray) -> np.ndarray:
         b = self.bucket
-        return join_names(b[start], b[start + GRAM], b[start + 2 * GRAM], b[start + DEPTH - GRAM])
+        return join_names(*[b[start + k] for k in (*range(0, DEPTH - GRAM, GRAM), DEPTH - GRAM)])
 
     def side(self, start: np.ndarray) -> np.ndarray:
         """16-bit names of SIDE bytes, never 0."""
@@ -117,8 +117,9 @@ def blocks(frame: pd.DataFrame) -> Iterator[list[tuple[int, int, int, bytes]]]:
         yield out
 
 
-RUN = [("bucket", "<u8"), ("ends", "<u8"), ("before", "<u2"), ("after", "<u2"), ("doc_id", "<i8"), ("digest", "<i8"),
-       ("start", "<i4"), ("length", "u1")]
+RUN = [("bucket", "<u8"), ("ends", "<u4"), ("ends_more", "u1"), ("before", "<u2"), ("after", "<u2"), ("offset", "u1"),
+       ("doc_id", "<i8"), ("digest", "<i4"), ("start", "<i4"), ("length", "u1")]
+START = [name for name, _ in RUN].index("start")
 
 
 def runs_of(block: list[tuple[int, int, int, bytes]]) -> np.ndarray:
@@ -138,14 +139,15 @@ def runs_of(block: list[tuple[int, int, int, bytes]]) -> np.ndarray:
     s, d, p = start[first], doc[first], pointer[first].astype(np.int64)
     out = np.zeros(len(first), RUN)
     out["bucket"] = names.bucket[p]
-    out["ends"] = join_names(names.windows(s), names.windows(s + length - 1), (p - s).astype(np.uint64), length.astype(np.uint64))
+    ends = join_names(names.windows(s), names.windows(s + length - 1), (p - s).astype(np.uint64), length.astype(np.uint64))
+    out["ends"], out["ends_more"], out["offset"] = ends >> np.uint64(32), ends >> np.uint64(24) & np.uint64(255), p - s
     limit = (begin + size)[d]
     room = p - begin[d] >= SIDE
     out["before"][room] = names.side(p[room] - SIDE)
     room = p + GRAM + SIDE <= limit
     out["after"][room] = names.side(p[room] + GRAM)
     out["doc_id"] = np.array([x[0] for x in block], np.int64)[d]
-    out["digest"] = np.array([x[1] for x in block], np.int64)[d]
+    out["digest"] = np.array([x[1] for x in block], np.int32)[d]
     out["start"] = s - begin[d] + np.array([x[2] for x in block], np.int64)[d]
     out["length"] = length
     return out
@@ -162,19 +164,24 @@ def group_starts(*keys: np.ndarray) -> np.ndarray:
 
 def settled(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(runs equal to one of a smaller document, the others), by sorting on bucket, then on the later names."""
-    runs = runs[np.lexsort((runs["doc_id"], runs["ends"], runs["bucket"]))]
+    runs = runs[np.lexsort((runs["doc_id"], runs["ends_more"], runs["ends"], runs["bucket"]))]
     if not len(runs):
         return runs, runs
-    first = group_starts(runs["bucket"], runs["ends"])
+    first = group_starts(runs["bucket"], runs["ends"], runs["ends_more"])
     least = np.repeat(runs["doc_id"][first], np.diff(np.append(first, len(runs))))
     done = runs["doc_id"] > least
     return runs[done], runs[~done]
 
 
 def unsettled(runs: np.ndarray) -> np.ndarray:
-    """Runs that another document's run may share a part with: same bucket, same bytes before or after."""
-    keep = np.zeros(len(runs), bool)
-    for side in ("before", "after"):
+    """The parts of runs that another document's run may share: same bucket, same bytes before or after the pointer.
+
+    A window that starts SIDE bytes or more before the pointer holds the bytes
+    before it, any other the bytes after it.
+    """
+    early = np.zeros(len(runs), bool)
+    late = np.zeros(len(runs), bool)
+    for side, keep in (("before", early), ("after", late)):
         some = np.flatnonzero(runs[side])
         if not len(some):
             continue
@@ -183,14 +190,21 @@ def unsettled(runs: np.ndarray) -> np.ndarray:
         ids, counts = runs["doc_id"][some], np.diff(np.append(first, len(some)))
         several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
         keep[some[np.repeat(several, counts)]] = True
-    return runs[keep]
+    offset, length = runs["offset"].astype(np.int64), runs["length"].astype(np.int64)
+    n_early = np.clip(offset - SIDE + 1, 0, length)
+    a, b = runs[early & (n_early > 0)], runs[late & (n_early < length)]
+    a["length"] = n_early[early & (n_early > 0)]
+    cut = n_early[late & (n_early < length)]
+    b["start"] += cut
+    b["length"] -= cut.astype(np.uint8)
+    return np.concatenate([a, b])
 
 
 def packed(runs: np.ndarray) -> bytes:
     """Column by column, starts as differences: compresses better than rows."""
     runs = runs[np.lexsort((runs["start"], runs["digest"], runs["doc_id"]))]
     columns = [np.ascontiguousarray(runs[name]) for name, _ in RUN]
-    columns[6] = np.diff(columns[6], prepend=np.int32(0)).astype("<i4")
+    columns[START] = np.diff(columns[START], prepend=np.int32(0)).astype("<i4")
     return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
 
 
@@ -209,14 +223,14 @@ def per_document(runs: np.ndarray, kind: int) -> pd.DataFrame:
     """(doc_id, digest, kind, marks): the runs' places as packed (start, length) pairs."""
     runs = runs[np.lexsort((runs["start"], runs["digest"], runs["doc_id"]))]
     if not len(runs):
-        return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "digest": np.zeros(0, np.int64), "kind": np.zeros(0, np.int32), "marks": []})
+        return pd.DataFrame({"doc_id": np.zeros(0, np.int64), "digest": np.zeros(0, np.int32), "kind": np.zeros(0, np.int32), "marks": []})
     first = group_starts(runs["doc_id"], runs["digest"])
     pairs = np.stack([runs["start"].astype("<i4"), runs["length"].astype("<i4")], axis=1)
     marks = [pairs[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(runs)))]
     return pd.DataFrame({"doc_id": runs["doc_id"][first], "digest": runs["digest"][first], "kind": kind, "marks": marks})
 
 
-MARKS = "doc_id bigint, digest bigint, kind int, marks binary"
+MARKS = "doc_id bigint, digest int, kind int, marks binary"
 DONE, OPEN = 0, 1
 
 
@@ -262,17 +276,20 @@ def window_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
                     if len(own):
                         part = Names(raw[base:base + BLOCK + DEPTH - 1])
                         at = own - base
-                        yield pd.DataFrame({"a": part.windows(at).view(np.int64), "doc_id": doc_id, "digest": digest, "start": own,
-                                            "b": join_names(*[part.word[at + k] for k in (0, 8, 16, 24, 32, 40, 42)]).view(np.int64)})
+                        other = join_names(*[part.word[at + k] for k in (0, 8, 16, 24, 32, 40, 42)]) >> np.uint64(32)
+                        yield pd.DataFrame({"a": part.windows(at).view(np.int64), "b": other.astype(np.uint32).view(np.int32),
+                                            "doc_id": doc_id, "digest": digest, "start": own})
 
-    def pack(f: pd.DataFrame) -> pd.DataFrame:
-        pairs = np.stack([np.sort(f["start"].to_numpy()).astype("<i4"), np.ones(len(f), "<i4")], axis=1)
-        return pd.DataFrame({"doc_id": [f["doc_id"].iloc[0]], "digest": [f["digest"].iloc[0]], "kind": [DONE], "marks": [pairs.tobytes()]})
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            marks = [np.stack([np.sort(x).astype("<i4"), np.ones(len(x), "<i4")], axis=1).tobytes() for x in f["starts"]]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "digest": f["digest"], "kind": DONE, "marks": marks})
 
     found = with_lists(docs, marks.filter(F.col("kind") == OPEN), "inner")
-    rows = found.mapInPandas(name, "a bigint, b bigint, doc_id bigint, digest bigint, start int")
+    rows = found.mapInPandas(name, "a bigint, b int, doc_id bigint, digest int, start int")
     least = F.min("doc_id").over(Window.partitionBy("a", "b"))
-    return rows.withColumn("least", least).filter("doc_id > least").groupBy("doc_id", "digest").applyInPandas(pack, MARKS)
+    return rows.withColumn("least", least).filter("doc_id > least").groupBy("doc_id", "digest") \
+        .agg(F.collect_list("start").alias("starts")).mapInPandas(pack, MARKS)
 
 
 def with_lists(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -285,8 +302,8 @@ def with_lists(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
 def repeat_marks(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, kind, marks) of all window starts to remove; ``docs``: (doc_id, digest, text)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    marks = stored(run_marks(docs, max(64, size // GROUP_BYTES)), "runs")
-    more = stored(window_marks(docs, marks), "windows")
+    marks = stored(run_marks(docs, max(64, size // GROUP_BYTES)), "runs", large=True)
+    more = stored(window_marks(docs, marks), "windows", large=True)
     return marks.filter(F.col("kind") == DONE).unionByName(more)
 
 
@@ -302,7 +319,12 @@ def removed_mask(n: int, lists) -> np.ndarray:
 
 def narrowed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     rows = narrow(docs, doc_id=(doc_id, "bigint"), text=(text, "string"))
-    return rows.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    return rows.select("doc_id", digest_of(F.col("text")).alias("digest"), "text")
+
+
+def digest_of(text: Column) -> Column:
+    """Tells apart rows of the same id: a non-negative 32-bit hash of the text."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
 
 def repeat_digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -335,7 +357,7 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     plain, names = with_plain_names(docs)
     t, i = f"c{column_index(docs, text)}", f"c{column_index(docs, doc_id)}"
     plain = plain.withColumn(t, F.col(t).cast("string"))
-    same = (F.coalesce(F.col(i).cast("bigint"), F.lit(int(NO_ID))) == F.col("m_id")) & (F.xxhash64(t) == F.col("m_digest"))
+    same = (F.coalesce(F.col(i).cast("bigint"), F.lit(int(NO_ID))) == F.col("m_id")) & (digest_of(F.col(t)) == F.col("m_digest"))
 
     columns = plain.columns
 
