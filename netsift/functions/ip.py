@@ -4,8 +4,8 @@ Range predicates use one regex per special-range table, derived from the CIDR
 tables of Python's standard ``ipaddress`` module (the IANA special
 registries, which the reference consults): a handful of codegen'd regex
 matches per row, no parsing, no higher-order functions. ``ipv4_to_long`` is
-kept for range joins (CIDR matching). IPv6 is handled by textual prefix rules
-on the lower-cased address.
+kept for range joins (CIDR matching). IPv6 text is parsed to its 32 hex digits
+and tested the same way; IPv4-mapped addresses count as their IPv4 address.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_STRICT = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
-IPV6_LOOSE = r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$"
 
 # --- fixed values -------------------------------------------------------------
 # P5: the detector's private-address pattern (textual, not the IANA table).
@@ -76,6 +75,31 @@ RX_LOOPBACK_OR_LINK_LOCAL = networks_regex([_C4._loopback_network, _C4._linkloca
 RX_GRAPH_EXCLUDED = networks_regex([_C4._multicast_network, _C4._linklocal_network, _C4._reserved_network])
 
 
+_C6 = ipaddress.IPv6Address._constants
+
+
+def cidr6_regex(net) -> str:
+    """A regex on the 32 hex digits of an address: inside the IPv6 network."""
+    full, rem = divmod(net.prefixlen, 4)
+    digits = f"{int(net.network_address):032x}"
+    if not rem:
+        return "^" + digits[:full]
+    base = int(digits[full], 16)
+    return f"^{digits[:full]}[{''.join(f'{v:x}' for v in range(base, base + (1 << (4 - rem))))}]"
+
+
+def networks6_regex(nets) -> str:
+    return "|".join(f"(?:{cidr6_regex(n)})" for n in nets) or "(?!)"
+
+
+RX6_PRIVATE = networks6_regex(_C6._private_networks)
+RX6_PRIVATE_EXCEPT = networks6_regex(getattr(_C6, "_private_networks_exceptions", []))
+RX6_LOOPBACK_OR_LINK_LOCAL = networks6_regex([ipaddress.ip_network("::1/128"), _C6._linklocal_network])
+RX6_GRAPH_EXCLUDED = networks6_regex([_C6._multicast_network, _C6._linklocal_network, ipaddress.ip_network("::/128"),
+                                      *_C6._reserved_networks])
+MAPPED = "0" * 20 + "ffff"
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -95,16 +119,35 @@ def in_ranges(v: Column, ranges: list[tuple[int, int]]) -> Column:
     return reduce(lambda a, b: a | b, [v.between(lo, hi) for lo, hi in ranges])
 
 
-def is_ipv6_text(c) -> Column:
-    c = _col(c)
-    return c.rlike(IPV6_LOOSE) & (F.length(c) >= 2)
+def ipv6_hex(c) -> Column:
+    """IPv6 text → its 32 hex digits; NULL when it isn't an IPv6 address."""
+    t = F.regexp_replace(F.lower(_col(c)), "%[^%/]+$", "")
+    tail = F.regexp_extract(t, rf":({_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET})$", 1)
+    octet = F.transform(F.split(tail, r"\."), lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0"))
+    quads = F.concat(F.array_join(F.slice(octet, 1, 2), ""), F.lit(":"), F.array_join(F.slice(octet, 3, 2), ""))
+    t = F.when(tail != "", F.concat(F.substr(t, F.lit(1), F.length(t) - F.length(tail)), quads)).otherwise(t)
+    short = F.instr(t, "::") > 0
+    left = F.when(short, F.substring_index(t, "::", 1)).otherwise(t)
+    right = F.when(short, F.substr(t, F.instr(t, "::") + 2)).otherwise(F.lit(""))
+    groups = "^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$"
 
+    def padded(part: Column) -> Column:
+        return F.transform(F.array_remove(F.split(part, ":"), ""), lambda g: F.lpad(g, 4, "0"))
 
-def _v6_private(c: Column) -> Column:
-    s = F.lower(c)
-    return (s.isin("::1", "::") | s.startswith("::ffff:") | s.startswith("fc") | s.startswith("fd")
-            | s.rlike("^fe[89ab]") | s.startswith("2001:db8:") | s.startswith("2002:")
-            | s.startswith("64:ff9b:1:") | s.startswith("100::"))
+    n = F.size(padded(left)) + F.size(padded(right))
+    good = left.rlike(groups) & right.rlike(groups) & ((short & (n <= 7)) | (~short & (n == 8)))
+    whole = F.concat(F.array_join(padded(left), ""), F.repeat(F.lit("0000"), 8 - n), F.array_join(padded(right), ""))
+    return F.when(_col(c).contains(":"), F.when(good, whole))
+
+
+def _parsed(c) -> tuple[Column, Column]:
+    """(IPv4 text, IPv6 hex digits): one of them set for an address, none for anything else."""
+    c = _col(c)
+    six = ipv6_hex(c)
+    byte = lambda i: F.conv(F.substring(six, 25 + 2 * i, 2), 16, 10)
+    mapped = six.startswith(MAPPED)
+    four = F.when(c.rlike(IPV4_STRICT), c).when(mapped, F.concat_ws(".", *[byte(i) for i in range(4)]))
+    return four, F.when(~mapped, six)
 
 
 def is_private_pattern(c) -> Column:
@@ -119,27 +162,25 @@ def is_external_ip(c) -> Column:
     ranges are tested with regexes derived from the CIDR tables, so the
     predicate is a few codegen'd regex matches per row.
     """
-    c = _col(c)
-    v4 = (c.rlike(IPV4_STRICT) & ~(c.rlike(RX_PRIVATE) & ~c.rlike(RX_PRIVATE_EXCEPT))
-          & ~c.rlike(RX_LOOPBACK_OR_LINK_LOCAL))
-    v6 = ~c.rlike(IPV4_STRICT) & is_ipv6_text(c) & ~_v6_private(c)
-    return F.coalesce(v4 | v6, F.lit(False))
+    four, six = _parsed(c)
+    v4 = (~(four.rlike(RX_PRIVATE) & ~four.rlike(RX_PRIVATE_EXCEPT)) & ~four.rlike(RX_LOOPBACK_OR_LINK_LOCAL))
+    v6 = (~(six.rlike(RX6_PRIVATE) & ~six.rlike(RX6_PRIVATE_EXCEPT)) & ~six.rlike(RX6_LOOPBACK_OR_LINK_LOCAL))
+    return F.coalesce(v4, v6, F.lit(False))
 
 
 def is_ip_private(c) -> Column:
     """Python ``ip_address(x).is_private`` (NULL when unparsable)."""
-    c = _col(c)
-    return (F.when(c.rlike(IPV4_STRICT), c.rlike(RX_PRIVATE) & ~c.rlike(RX_PRIVATE_EXCEPT))
-            .when(is_ipv6_text(c), _v6_private(c)))
+    four, six = _parsed(c)
+    return F.coalesce(four.rlike(RX_PRIVATE) & ~four.rlike(RX_PRIVATE_EXCEPT), six.rlike(RX6_PRIVATE) & ~six.rlike(RX6_PRIVATE_EXCEPT))
 
 
 def is_graph_valid_ip(c) -> Column:
     """Endpoint kept in the communication graph."""
     s = F.trim(_col(c))
-    v4_ok = s.rlike(IPV4_STRICT) & ~s.rlike(RX_GRAPH_EXCLUDED) & (s != "0.0.0.0")
-    v6_ok = ~s.rlike(IPV4_STRICT) & is_ipv6_text(s) & ~(F.lower(s).startswith("ff") | F.lower(s).rlike("^fe[89ab]")
-                                                         | (F.lower(s) == "::"))
-    ok = (s != "") & ~s.isin(*GRAPH_DROP) & ~s.endswith(".255") & (v4_ok | v6_ok)
+    four = F.when(s.rlike(IPV4_STRICT), s)
+    # The standard library calls a mapped address reserved by its IPv6 form, so the digits decide here.
+    parsed_ok = F.coalesce(~ipv6_hex(s).rlike(RX6_GRAPH_EXCLUDED), ~four.rlike(RX_GRAPH_EXCLUDED) & (four != "0.0.0.0"))
+    ok = (s != "") & ~s.isin(*GRAPH_DROP) & ~s.endswith(".255") & parsed_ok
     return F.coalesce(ok, F.lit(False))
 
 
