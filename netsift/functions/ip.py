@@ -119,35 +119,67 @@ def in_ranges(v: Column, ranges: list[tuple[int, int]]) -> Column:
     return reduce(lambda a, b: a | b, [v.between(lo, hi) for lo, hi in ranges])
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+_GROUPS = "^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$"
+_DOTTED_TAIL = rf":{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
+
+
+def _with_hex_tail(t: Column) -> Column:
+    """The address with a dotted IPv4 ending written as two groups."""
+    octet = lambda i: F.lpad(F.lower(F.hex(F.regexp_extract(t, _DOTTED_TAIL, i).cast("int"))), 2, "0")
+    return F.when(t.rlike(_DOTTED_TAIL), F.concat(F.regexp_replace(t, "[^:]+$", ""), octet(1), octet(2), F.lit(":"), octet(3), octet(4))) \
+        .otherwise(t)
+
+
+def _padded(part: Column) -> Column:
+    return F.transform(F.array_remove(F.split(part, ":"), ""), lambda g: F.lpad(g, 4, "0"))
+
+
+def _joined_halves(halves: Column) -> Column:
+    """32 hex digits from (left, right, short); NULL unless the groups make an address."""
+    def join(groups: Column) -> Column:
+        left, right = groups["left"], groups["right"]
+        n = F.size(left) + F.size(right)
+        return F.when((halves["short"] & (n <= 7)) | (~halves["short"] & (n == 8)),
+                      F.concat(F.array_join(left, ""), F.repeat(F.lit("0000"), 8 - n), F.array_join(right, "")))
+
+    good = halves["left"].rlike(_GROUPS) & halves["right"].rlike(_GROUPS)
+    return F.when(good, bound(F.struct(_padded(halves["left"]).alias("left"), _padded(halves["right"]).alias("right")), join))
+
+
 def ipv6_hex(c) -> Column:
     """IPv6 text → its 32 hex digits; NULL when it isn't an IPv6 address."""
-    t = F.regexp_replace(F.lower(_col(c)), "%[^%/]+$", "")
-    tail = F.regexp_extract(t, rf":({_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET})$", 1)
-    octet = F.transform(F.split(tail, r"\."), lambda o: F.lpad(F.lower(F.hex(o.cast("int"))), 2, "0"))
-    quads = F.concat(F.array_join(F.slice(octet, 1, 2), ""), F.lit(":"), F.array_join(F.slice(octet, 3, 2), ""))
-    t = F.when(tail != "", F.concat(F.substr(t, F.lit(1), F.length(t) - F.length(tail)), quads)).otherwise(t)
-    short = F.instr(t, "::") > 0
-    left = F.when(short, F.substring_index(t, "::", 1)).otherwise(t)
-    right = F.when(short, F.substr(t, F.instr(t, "::") + 2)).otherwise(F.lit(""))
-    groups = "^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$"
-
-    def padded(part: Column) -> Column:
-        return F.transform(F.array_remove(F.split(part, ":"), ""), lambda g: F.lpad(g, 4, "0"))
-
-    n = F.size(padded(left)) + F.size(padded(right))
-    good = left.rlike(groups) & right.rlike(groups) & ((short & (n <= 7)) | (~short & (n == 8)))
-    whole = F.concat(F.array_join(padded(left), ""), F.repeat(F.lit("0000"), 8 - n), F.array_join(padded(right), ""))
-    return F.when(_col(c).contains(":"), F.when(good, whole))
-
-
-def _parsed(c) -> tuple[Column, Column]:
-    """(IPv4 text, IPv6 hex digits): one of them set for an address, none for anything else."""
-    c = _col(c)
-    six = ipv6_hex(c)
-    byte = lambda i: F.conv(F.substring(six, 25 + 2 * i, 2), 16, 10)
-    mapped = six.startswith(MAPPED)
-    four = F.when(c.rlike(IPV4_STRICT), c).when(mapped, F.concat_ws(".", *[byte(i) for i in range(4)]))
-    return four, F.when(~mapped, six)
+    def halves(t: Column) -> Column:
+        at = F.instr(t, "::")
+        return F.struct(F.when(at > 0, F.substring_index(t, "::", 1)).otherwise(t).alias("left"),
+                        F.when(at > 0, F.substr(t, at + 2)).otherwise(F.lit("")).alias("right"), (at > 0).alias("short"))
+
+    plain = F.regexp_replace(F.lower(_col(c)), "%[^%/]+$", "")
+    parsed = bound(plain, lambda p: bound(_with_hex_tail(p), lambda t: bound(halves(t), _joined_halves)))
+    return F.when(_col(c).contains(":"), parsed)
+
+
+def _dotted(six: Column) -> Column:
+    """The IPv4 text of an IPv4-mapped address."""
+    return F.concat_ws(".", *[F.conv(F.substring(six, 25 + 2 * i, 2), 16, 10) for i in range(4)])
+
+
+def _by_kind(c: Column, four, six) -> Column:
+    """``four(text)`` for an IPv4 or IPv4-mapped address, ``six(hex digits)`` for any other IPv6 one, else NULL."""
+    return F.when(c.rlike(IPV4_STRICT), four(c)).when(c.contains(":"), bound(
+        ipv6_hex(c), lambda h: F.when(h.startswith(MAPPED), bound(_dotted(h), four)).otherwise(six(h))))
+
+
+def _private4(t: Column) -> Column:
+    return t.rlike(RX_PRIVATE) & ~t.rlike(RX_PRIVATE_EXCEPT)
+
+
+def _private6(h: Column) -> Column:
+    return h.rlike(RX6_PRIVATE) & ~h.rlike(RX6_PRIVATE_EXCEPT)
 
 
 def is_private_pattern(c) -> Column:
@@ -162,24 +194,21 @@ def is_external_ip(c) -> Column:
     ranges are tested with regexes derived from the CIDR tables, so the
     predicate is a few codegen'd regex matches per row.
     """
-    four, six = _parsed(c)
-    v4 = (~(four.rlike(RX_PRIVATE) & ~four.rlike(RX_PRIVATE_EXCEPT)) & ~four.rlike(RX_LOOPBACK_OR_LINK_LOCAL))
-    v6 = (~(six.rlike(RX6_PRIVATE) & ~six.rlike(RX6_PRIVATE_EXCEPT)) & ~six.rlike(RX6_LOOPBACK_OR_LINK_LOCAL))
-    return F.coalesce(v4, v6, F.lit(False))
+    return F.coalesce(_by_kind(_col(c), lambda t: ~_private4(t) & ~t.rlike(RX_LOOPBACK_OR_LINK_LOCAL),
+                               lambda h: ~_private6(h) & ~h.rlike(RX6_LOOPBACK_OR_LINK_LOCAL)), F.lit(False))
 
 
 def is_ip_private(c) -> Column:
     """Python ``ip_address(x).is_private`` (NULL when unparsable)."""
-    four, six = _parsed(c)
-    return F.coalesce(four.rlike(RX_PRIVATE) & ~four.rlike(RX_PRIVATE_EXCEPT), six.rlike(RX6_PRIVATE) & ~six.rlike(RX6_PRIVATE_EXCEPT))
+    return _by_kind(_col(c), _private4, _private6)
 
 
 def is_graph_valid_ip(c) -> Column:
     """Endpoint kept in the communication graph."""
     s = F.trim(_col(c))
-    four = F.when(s.rlike(IPV4_STRICT), s)
     # The standard library calls a mapped address reserved by its IPv6 form, so the digits decide here.
-    parsed_ok = F.coalesce(~ipv6_hex(s).rlike(RX6_GRAPH_EXCLUDED), ~four.rlike(RX_GRAPH_EXCLUDED) & (four != "0.0.0.0"))
+    parsed_ok = F.when(s.rlike(IPV4_STRICT), ~s.rlike(RX_GRAPH_EXCLUDED) & (s != "0.0.0.0")) \
+        .when(s.contains(":"), bound(ipv6_hex(s), lambda h: ~h.rlike(RX6_GRAPH_EXCLUDED)))
     ok = (s != "") & ~s.isin(*GRAPH_DROP) & ~s.endswith(".255") & parsed_ok
     return F.coalesce(ok, F.lit(False))
 
