@@ -62,7 +62,7 @@ def stored(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     path = f"{shared_root(spark)}/netsift-llm/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    if large:
-        time.sleep(0.5)
+    for _ in range(2 if large else 0):  # the first collection only frees what the shuffles hang on
+        time.sleep(0.4)
         spark.sparkContext._jvm.java.lang.System.gc()
     return spark.read.schema(schema).parquet(path)

@@ -262,23 +262,36 @@ def run_marks(docs: DataFrame, groups: int) -> DataFrame:
     return docs.mapInPandas(name, f"part bigint, runs binary, {MARKS}").groupBy("part").applyInPandas(refine, MARKS)
 
 
+def window_names(raw: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit and a 32-bit name of the windows at ``start``, from the 8-byte names at offsets 0, 8, ... and the last 8 bytes."""
+    window = raw[start[:, None] + np.arange(DEPTH)]
+    words = [np.ascontiguousarray(window[:, k:k + 8]).view("<u8").ravel() for k in (*range(0, DEPTH - 8, 8), DEPTH - 8)]
+    other = join_names(*words[::-1], words[3]) >> np.uint64(32)
+    return join_names(*words), other.astype(np.uint32).view(np.int32)
+
+
 def window_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Refines the OPEN runs window by window; the windows that start in a smaller document, as DONE marks."""
 
     def name(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for doc_id, digest, text, lists in zip(f["id"], f["digest"], f["text"], f["lists"]):
-                pairs = np.concatenate([np.frombuffer(x, "<i4").reshape(-1, 2) for x in lists])
+            a, b, starts, rows = [], [], [], []
+            for row, (text, lists) in enumerate(zip(f["text"], f["lists"])):
+                pairs = np.concatenate([np.frombuffer(x, "<i4").reshape(-1, 2) for x in lists]).astype(np.int64)
+                before = np.cumsum(pairs[:, 1]) - pairs[:, 1]
+                start = np.unique(np.repeat(pairs[:, 0] - before, pairs[:, 1]) + np.arange(pairs[:, 1].sum()))
                 raw = np.frombuffer(text.encode(), np.uint8)
-                start = np.unique(np.repeat(pairs[:, 0], pairs[:, 1]) + np.concatenate([np.arange(k) for k in pairs[:, 1]]))
-                for base in range(0, len(raw), BLOCK):
-                    own = start[(start >= base) & (start < base + BLOCK)]
-                    if len(own):
-                        part = Names(raw[base:base + BLOCK + DEPTH - 1])
-                        at = own - base
-                        other = join_names(*[part.word[at + k] for k in (0, 8, 16, 24, 32, 40, 42)]) >> np.uint64(32)
-                        yield pd.DataFrame({"a": part.windows(at).view(np.int64), "b": other.astype(np.uint32).view(np.int32),
-                                            "doc_id": doc_id, "digest": digest, "start": own})
+                for k in range(0, len(start), BLOCK // DEPTH):
+                    part = start[k:k + BLOCK // DEPTH]
+                    one, other = window_names(raw, part)
+                    a.append(one)
+                    b.append(other)
+                starts.append(start)
+                rows.append(np.full(len(start), row))
+            if rows:
+                row = np.concatenate(rows)
+                yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b), "doc_id": f["id"].to_numpy()[row],
+                                    "digest": f["digest"].to_numpy()[row], "start": np.concatenate(starts).astype(np.int32)})
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
