@@ -82,14 +82,18 @@ def domain_query_stats(dns: DataFrame, domains: DataFrame, key: Column | None =
     distinct source IPs (in IP order, comma-joined).
 
     ``key`` maps a flow to the name it is counted under (raw name by default,
-    normalised name for D17). Only flows of the wanted names are touched: a
-    left-semi join (AQE broadcasts the name list when it is small).
+    normalised name for D17). Flows are combined by (name, source) on the map
+    side first, so a hot name enters the join with its sources, not its flows;
+    count and sample both come from that one aggregate (Spark reuses its
+    exchange). An inner join on distinct names: a semi join would be pushed
+    below the aggregate, back to the flows.
     """
     key = key if key is not None else F.col("requested_server_name")
     base = (dns.select(key.alias("domain"), "src_ip").where(F.col("domain").isNotNull())
-            .join(domains.select("domain").distinct(), "domain", "left_semi"))
-    counts = base.groupBy("domain").agg(F.count(F.lit(1)).alias("query_count"))
-    pairs = base.where(F.col("src_ip").isNotNull()).select("domain", "src_ip").distinct()
+            .groupBy("domain", "src_ip").agg(F.count(F.lit(1)).alias("n"))
+            .join(domains.select("domain").distinct(), "domain"))
+    counts = base.groupBy("domain").agg(F.sum("n").alias("query_count"))
+    pairs = base.where(F.col("src_ip").isNotNull()).select("domain", "src_ip")
     sample = (top_k_per_group(pairs, ["domain"], [F.col("src_ip")], k)
               .groupBy("domain")
               .agg(F.array_join(F.array_sort(F.collect_list("src_ip")), ",").alias("source_ips")))

@@ -310,7 +310,7 @@ def alert_queries() -> dict[str, Query]:
     from netsift.operators import fused
     from netsift.plans.registry import Context, default_registry
 
-    def all_alerts(t: Tables, fused_scan: bool = False) -> DataFrame:
+    def all_alerts(t: Tables, fused_scan: bool = True) -> DataFrame:
         ctx = Context(t.spark, threat_domains=t.threat_domains)
         alerts, _ = default_registry(fused_scan=fused_scan).run_all(t.flows, ctx)
         return alerts
@@ -319,7 +319,7 @@ def alert_queries() -> dict[str, Query]:
         return al.ioc_string(a)
 
     q: dict[str, Query] = {}
-    q["alerts_all_detectors"] = _q(lambda t: flat(all_alerts(t)))
+    q["alerts_all_detectors"] = _q(lambda t: flat(all_alerts(t, fused_scan=False)))
     q["alerts_fused_scan"] = _q(lambda t: flat(all_alerts(t, fused_scan=True)))
     q["alerts_per_flow_fused"] = _q(lambda t: flat(fused.per_flow_alerts(t.flows)))
     q["alert_severity_counts"] = _q(lambda t: al.severity_counts(all_alerts(t)))
