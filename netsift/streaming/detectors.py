@@ -229,18 +229,12 @@ def _meter_fn(idle_ms: int, active_ms: int):
 
     cols = [f.split()[0] for f in METER_OUT.split(", ")]
 
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            st = dict(zip(_ST_FIELDS, state.get))
-            state.remove()
-            yield pd.DataFrame([_emit(key, st)], columns=cols)
-            return
-        pdf = pd.concat(list(pdfs)).sort_values(["ts_ms", "packet_id"])
+    def pieces(key, pdf, st):
+        """(finished pieces, the open one) of packets in time order that follow the state ``st``, if any."""
+        have = st is not None
         ts = pdf["ts_ms"].to_numpy(dtype=np.int64)
         ln = pdf["len"].to_numpy(dtype=float)
         ab = pdf["a_to_b"].to_numpy(dtype=bool)
-        have = state.exists
-        st = dict(zip(_ST_FIELDS, state.get)) if have else None
         prev = np.empty_like(ts)
         prev[1:] = ts[:-1]
         prev[0] = st["last_ts"] if have else 0
@@ -275,12 +269,30 @@ def _meter_fn(idle_ms: int, active_ms: int):
                           "sum_piat", "sumsq_piat"):
                     cur[k] = st[k] + cur[k]
                 cur.update(flow_start=st["flow_start"], init_a=st["init_a"], first_ms=st["first_ms"])
-            if p == last_pid:
-                state.update(tuple(cur[f] for f in _ST_FIELDS))
-                wm = state.getCurrentWatermarkMs()
-                state.setTimeoutTimestamp(max(cur["last_ts"] + idle_ms, wm + 1))
-            else:
+            if p != last_pid:
                 out.append(_emit(key, cur))
+        return out, cur
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            st = dict(zip(_ST_FIELDS, state.get))
+            state.remove()
+            yield pd.DataFrame([_emit(key, st)], columns=cols)
+            return
+        pdf = pd.concat(list(pdfs)).sort_values(["ts_ms", "packet_id"])
+        st = dict(zip(_ST_FIELDS, state.get)) if state.exists else None
+        out = []
+        if st is not None:
+            late = pdf["ts_ms"] < st["last_ts"]
+            if late.any():  # they lie before the open piece's last packet: flows of their own, done at once
+                done, last = pieces(key, pdf[late], None)
+                out += [*done, _emit(key, last)]
+                pdf = pdf[~late]
+        if len(pdf):
+            done, st = pieces(key, pdf, st)
+            out += done
+        state.update(tuple(st[f] for f in _ST_FIELDS))
+        state.setTimeoutTimestamp(max(st["last_ts"] + idle_ms, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=cols)
 
@@ -294,9 +306,9 @@ def stateful_metering(packets: DataFrame, idle_ms: int, active_ms: int, watermar
     sums and squared sums, so deviations merge across micro-batches); each
     micro-batch's packets of a key are processed with vectorised numpy; a
     piece is emitted when the next one starts or, through an event-time
-    timeout, when the watermark passes its idle deadline. Packets of a key are
-    assumed to arrive in time order across micro-batches (late ones start new
-    flows).
+    timeout, when the watermark passes its idle deadline. Packets that arrive
+    in a later micro-batch than newer packets of their key form flows of their
+    own, emitted at once; the open piece stays as it is.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 

@@ -113,3 +113,27 @@ def test_stateful_metering_equals_batch(spark):
            "src2dst_bytes", "dst2src_bytes", "bidirectional_mean_piat_ms"]
     assert sorted(tuple(r) for r in got.select(*key).collect()) == sorted(tuple(r) for r in exp.select(*key).collect())
     assert got.count() == 4
+
+
+def test_stateful_metering_late_packets_are_flows_of_their_own(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from netsift.schema import PACKET_SCHEMA
+    base = 1_700_000_000_000
+    row = lambda i, ts: (i, "10.0.0.1", "8.8.8.8", 5000, 53, 17, base + ts, 10)
+    src, out, ck = _dirs()
+    for part in ([row(0, 5000), row(1, 5500)], [row(2, 5200)], [row(3, 5600)]):
+        spark.createDataFrame(part, PACKET_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+
+    def drain():
+        s = spark.readStream.schema(PACKET_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+        sd.run_append(sd.stateful_metering(s, idle_ms=1000, active_ms=100_000, watermark="10 seconds"), out, ck)
+    drain()
+    sd.flush_sessions(spark, src, base + 6000, 1000, 10_000)
+    drain()
+    got = spark.read.parquet(out).where(F.col("src_ip") != sd.HEARTBEAT_IP).collect()
+    assert sorted((r.bidirectional_first_seen_ms - base, r.bidirectional_last_seen_ms - base, r.bidirectional_packets) for r in got) == [
+        (5000, 5600, 3), (5200, 5200, 1)]
