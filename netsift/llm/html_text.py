@@ -194,10 +194,8 @@ def first_pass(blocks: list[Block], rules: BlockRules) -> None:
             b.label = BAD
 
 
-def second_pass(blocks: list[Block]) -> None:
-    """Open blocks look to both sides; in a marked article only at blocks inside it."""
-    article = any(b.place == MAIN for b in blocks)
-    area = [b for b in blocks if b.place == MAIN or b.place == WEAK and b.heading and b.label == OPEN] if article else blocks
+def decided_neighbours(area: list[Block]) -> list[tuple[tuple[int, str], tuple[int, str]]]:
+    """For each block (distance, label) of the nearest decided block before and after it."""
     n = len(area)
     before, after = [(n + 1, OPEN)] * n, [(n + 1, OPEN)] * n
     for order, found in ((range(n), before), (range(n - 1, -1, -1), after)):
@@ -207,19 +205,38 @@ def second_pass(blocks: list[Block]) -> None:
             found[i] = (far, label)
             if area[i].label != OPEN:
                 far, label = 0, area[i].label
-    for i, b in enumerate(area):
+    return list(zip(before, after))
+
+
+def second_pass(blocks: list[Block]) -> None:
+    """Open blocks look to both sides; in a marked article only at blocks inside it.
+
+    Elsewhere a block with good blocks on both sides is good even beside an
+    advert or another container inside the text.
+    """
+    article = any(b.place == MAIN for b in blocks)
+    area = [b for b in blocks if b.place == MAIN or b.place == WEAK and b.heading and b.label == OPEN] if article else blocks
+    plain = [b for b in blocks if b.place == PLAIN]
+    inside = {id(b) for b, (one, two) in zip(plain, decided_neighbours(plain)) if one[1] == two[1] == GOOD}
+    labels = []
+    for b, ((d1, l1), (d2, l2)) in zip(area, decided_neighbours(area)):
         if b.label != OPEN:
-            continue
-        (d1, l1), (d2, l2) = before[i], after[i]
-        if l1 == OPEN and l2 == OPEN:
+            near = b.label
+        elif id(b) in inside:
+            near = GOOD
+        elif l1 == OPEN and l2 == OPEN:
             near = GOOD if article else BAD
         elif l1 == OPEN or l2 == OPEN:
             near = l2 if l1 == OPEN else l1
-        elif b.heading or d1 == d2:
-            near = l2 if b.heading else (GOOD if GOOD in (l1, l2) else BAD)
+        elif b.heading:
+            near = l2
+        elif d1 == d2:
+            near = GOOD if GOOD in (l1, l2) else BAD
         else:
             near = l1 if d1 < d2 else l2
-        b.label = f"{near} by neighbour"
+        labels.append(near)
+    for b, label in zip(area, labels):
+        b.label = label
 
 
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
@@ -228,7 +245,7 @@ def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     blocks = blocks_of(page)
     first_pass(blocks, rules)
     second_pass(blocks)
-    return " ".join(b.text for b in blocks if b.label.startswith(GOOD))
+    return " ".join(b.text for b in blocks if b.label == GOOD)
 
 
 def extract_text(pages: DataFrame, rules: BlockRules = BlockRules()) -> DataFrame:
