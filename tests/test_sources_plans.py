@@ -65,7 +65,7 @@ def test_full_analysis(spark):
     res = analyze(t.flows, Context(spark, threat_domains=t.threat_domains), registry=default_registry(fused_scan=True),
                   domain_reputation=t.domain_reputation, ip_cache=rp.cache_from_snapshot(t.ip_reputation),
                   ip_service=t.ip_reputation, materialize=True)
-    assert {r.name for r in res["reports"]} == {"grouped_detectors", "per_flow_detectors"}
+    assert {r.name for r in res["reports"]} == {"dns_threat_detector", "http_threat_detector", "covert_channel_detector", "behavioral_anomaly_detector"}
     types = {r.threat_type: r.alert_count for r in res["type_counts"].collect()}
     assert types.get("PORT_SCAN") == 1 and "DNS_TUNNEL" in types
     sev = res["severity_counts"].collect()[0]
