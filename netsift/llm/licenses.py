@@ -10,6 +10,9 @@ Sentences are cut twice: once at line ends too (notices on a line of their
 own), once with lines joined (wrapped licence texts). A rule counts when either
 sequence matches.
 
+A colon ends a sentence, but a sentence that is only a tag (``License:``,
+``SPDX-License-Identifier:``) also counts with its value as one sentence.
+
 Everything is a projection of the row: no shuffle, so a frequent licence or
 source makes no hot task. Null and empty texts have no licences. Repeated rows
 each get their result.
@@ -117,20 +120,31 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 CUES = ("licens", "permission", "warrant", "redistribut", "copyright", "compliance with", "rights reserved", "unencumbered")
 SENTENCE_END = r"[.!?;:]+(?:\s+|$)"
 LINE_END = r"[.!?;:]*\s*(?:\n\s*|$)|[.!?;:]+\s+"
+#: A tag's colon becomes TAG_MARK; a sentence that is only a tag then starts the next one too, after VALUE_MARK.
+TAG_MARK, VALUE_MARK = "\x01", "\x02"
+TAG = r"(license(?:[ -]identifier)?)\s*:\s+"
+TAG_NAMES = "(license|spdx license identifier)"
 
 
 def normalised(text: Column, end: str) -> Column:
     """Array of the text's sentences as lower-case words (letters and digits) with single spaces."""
-    marked = F.regexp_replace(text, end, "|")
-    plain = F.regexp_replace(marked, r"[^a-z0-9|]+", " ")
-    return F.transform(F.split(plain, r"\|"), lambda s: F.trim(s))
+    marked = F.regexp_replace(F.regexp_replace(text, TAG, "$1" + TAG_MARK), end, "|")
+    plain = F.regexp_replace(marked, f"[^a-z0-9|{TAG_MARK}]+", " ")
+    tagged = F.regexp_replace(plain, f"(?<=^|[|{TAG_MARK}]|[|{TAG_MARK}] |^ ){TAG_NAMES} ?{TAG_MARK} ?", f"$1|{VALUE_MARK}$1 ")
+    return F.transform(F.split(F.translate(tagged, TAG_MARK, "|"), r"\|"), lambda s: F.trim(s))
 
 
 def identifiers(sentences: Column) -> Column:
     """The known sentences' numbers in order, each written ``,number;``."""
     number = {name: i for i, name in enumerate(SENTENCES)}
     known = F.create_map(*[F.lit(x) for name, texts in SENTENCES.items() for t in texts for x in (t, f",{number[name]};")])
-    return F.array_join(F.transform(sentences, lambda s: F.coalesce(F.try_element_at(known, s), F.lit(""))), "")
+
+    def found(s: Column) -> Column:
+        value = F.regexp_replace(s, f"^{VALUE_MARK}{TAG_NAMES} ", "")
+        return F.when(F.startswith(s, F.lit(VALUE_MARK)), F.coalesce(F.try_element_at(known, F.translate(s, VALUE_MARK, "")),
+                                                                     F.try_element_at(known, value))).otherwise(F.try_element_at(known, s))
+
+    return F.array_join(F.transform(sentences, lambda s: F.coalesce(found(s), F.lit(""))), "")
 
 
 def rule_pattern(names: tuple[str, ...]) -> str:
@@ -157,7 +171,7 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     ``licenses`` and ``kinds``: sorted, comma-joined, empty if none.
     """
     rows = narrow(docs, doc_id=(doc_id, "bigint"), text=(text, "string"))
-    lowered = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    lowered = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase + TAG_MARK + VALUE_MARK, string.ascii_lowercase + "  ")
     rows = rows.select("doc_id", lowered.alias("text"))
     cued = F.lit(False)
     for cue in CUES:

@@ -182,6 +182,26 @@ def test_known_sentences_hold_a_cue_and_are_normalised():
             assert any(c in t for c in licenses.CUES)
 
 
+SPDX = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0",
+        "GPL-2.0-or-later": "GPL-2.0", "LGPL-3.0-only": "LGPL", "LGPL-2.1-only": "LGPL", "AGPL-3.0-only": "AGPL-3.0", "BSD-3-Clause": "BSD",
+        "BSD-2-Clause": "BSD", "MPL-2.0": "MPL-2.0"}
+
+
+def test_license_tags_in_their_standard_spelling(spark):
+    import re
+    known = {t for texts in licenses.SENTENCES.values() for t in texts if t.startswith("spdx ")}
+    assert known == {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", i.lower()) for i in SPDX}
+    rows = [(i, form.format(tag)) for i, (form, tag) in enumerate(
+        (form, tag) for tag in SPDX for form in ("SPDX-License-Identifier: {}", "#!/bin/sh\n# SPDX-License-Identifier: {}\nset -e\n",
+                                                 "/* SPDX-License-Identifier:\t{} */\nint x;", "License: SPDX-License-Identifier: {}"))]
+    rows += [(100, "Name: x\nLicense: MIT\nAuthor: y"), (101, "License: Released under the MIT License. More"), (102, "MIT License: see below"),
+             (103, "The old license: MIT"), (104, "License: mine")]
+    got = H.by_id(licenses.license_scan(H.docs(spark, rows)))
+    assert [got[i].licenses for i in range(4 * len(SPDX))] == [name for name in SPDX.values() for _ in range(4)]
+    assert [got[i].licenses for i in range(100, 105)] == ["MIT", "MIT", "MIT", "", ""]
+    assert all(r.n_sentences == (r.licenses != "") for r in got.values())
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 def near_copies(seed, groups=6, copies=12, words=80):
