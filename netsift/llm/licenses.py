@@ -118,6 +118,8 @@ RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 
 #: Every known sentence holds one of these, so texts without any need no cutting.
 CUES = ("licens", "permission", "warrant", "redistribut", "copyright", "compliance with", "rights reserved", "unencumbered")
+#: What the operator looks for: one word of each cue, since a notice may be wrapped or hyphenated between words.
+CUE_WORDS = tuple(max(cue.split(), key=len) for cue in CUES)
 SENTENCE_END = r"[.!?;:]+(?:\s+|$)"
 LINE_END = r"[.!?;:]*\s*(?:\n\s*|$)|[.!?;:]+\s+"
 #: A tag's colon becomes TAG_MARK; a sentence that is only a tag then starts the next one too, after VALUE_MARK.
@@ -174,8 +176,8 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     lowered = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase + TAG_MARK + VALUE_MARK, string.ascii_lowercase + "  ")
     rows = rows.select("doc_id", lowered.alias("text"))
     cued = F.lit(False)
-    for cue in CUES:
-        cued |= F.contains("text", F.lit(cue))
+    for word in CUE_WORDS:
+        cued |= F.contains("text", F.lit(word))
     rows = rows.select("doc_id", F.when(cued, F.col("text")).otherwise(F.lit("")).alias("text"))
     rows = rows.select("doc_id", *[F.when(F.col("text") == "", F.lit("")).otherwise(identifiers(normalised(F.col("text"), end))).alias(name)
                                    for name, end in (("lines", LINE_END), ("joined", SENTENCE_END))])

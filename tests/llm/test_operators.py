@@ -202,6 +202,14 @@ def test_license_tags_in_their_standard_spelling(spark):
     assert all(r.n_sentences == (r.licenses != "") for r in got.values())
 
 
+def test_license_cues_are_single_words(spark):
+    assert all(" " not in w for w in licenses.CUE_WORDS)
+    assert all(any(w in t for w in licenses.CUE_WORDS) for texts in licenses.SENTENCES.values() for t in texts)
+    rows = [(1, "Text.\nAll rights\nreserved."), (2, "All rights  reserved"), (3, "all-rights-reserved"), (4, "All rights\n * reserved.\n"), (5, "reserved")]
+    got = H.by_id(licenses.license_scan(H.docs(spark, rows)))
+    assert [got[i].licenses for i in range(1, 6)] == ["all-rights-reserved"] * 4 + [""]
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 
 def near_copies(seed, groups=6, copies=12, words=80):
