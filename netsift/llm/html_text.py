@@ -9,6 +9,13 @@ neighbour on either side, good when the two are equally near and differ.
 Where the page marks an article, blocks outside it are bad and the neighbours
 are those inside it; an article without decided blocks is good.
 
+A class or id name is a hint when, without structural words at its end, it ends
+in a hint word ('site-footer', 'comment-body'); names that negate, say how a
+page is laid out, or file a post ('no-sidebar', 'has-menu', 'tag-search') say
+nothing. A name never speaks against ``main``, nor against an element that
+holds most of the page's text outside links; comments and articles need also
+that the page has no text otherwise.
+
 Null and empty html, and pages without a good block: empty text. Broken markup
 is read as far as it goes: unclosed elements end with their container. Every
 input row gives one output row.
@@ -54,6 +61,15 @@ breadcrumbs footer sidebar ad ads advert adverts advertisement advertising spons
 WEAK_HINTS = frozenset("""aside banner promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay side
 header masthead topbar toolbar share sharing social related recommended recommendations newsletter subscribe subscription login signup
 signin search widget widgets pagination pager legal copyright disclaimer tags tagcloud skip paywall hidden""".split())
+COMMENT_HINTS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+#: Words that may follow the hint in a name.
+ENDINGS = frozenset("""area bar block body bottom box button buttons card column container content dropdown element entry fixed form
+frame group holder icons info inner item items law left link links list main media message outer page panel post posts primary respond
+right row secondary section slot sticky text thread top unit wrap wrapper""".split())
+#: Names with one of these tell what a page is like, not what an element holds.
+LAYOUT_WORDS = frozenset("""closed collapsed disabled enabled expanded free has layout no non none not open overflow responsive with
+without""".split())
+FILED = re.compile(r"(?:post[-_])?(?:tag|category|cat|term|topic|taxonomy|type|format|status)[-_]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(
@@ -66,7 +82,8 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)(?
 HINT_WORD = re.compile(r"[a-z]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
-PLAIN, MAIN, WEAK, STRONG = range(4)
+#: STRONG and COMMENT come from names, HARD from tags, roles and hidden elements.
+PLAIN, MAIN, WEAK, STRONG, COMMENT, HARD = range(6)
 GOOD, BAD, OPEN = "good", "bad", "open"
 
 
@@ -88,16 +105,42 @@ class Block:
     label: str = field(default=OPEN)
 
 
-def place_of(tag: str, attributes: str, outer: int) -> int:
-    """What an element says about its content, given what surrounds it."""
+@dataclass
+class Hinted:
+    """An element that names alone keep out of the text: its number on the page, tag, place, and characters outside links."""
+
+    number: int
+    tag: str
+    place: int
+    chars: int
+
+
+def hints_of(value: str) -> set[str]:
+    """The hint words of class or id names."""
+    out: set[str] = set()
+    for name in value.split():
+        words = HINT_WORD.findall(name)
+        if FILED.match(name) or not LAYOUT_WORDS.isdisjoint(words):
+            continue
+        while len(words) > 1 and (words[-1] in ENDINGS or len(words[-1]) == 1):
+            words.pop()
+        out.update(words[-1:])
+    return out
+
+
+def place_of(tag: str, attributes: str, outer: int, names: bool = True) -> int:
+    """What an element says about its content, given what surrounds it; ``names``: by its class and id names too."""
     words: set[str] = set()
+    roles: set[str] = set()
     hidden = main = False
     if attributes.strip():
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
-            if name in ("class", "id", "role"):
-                words.update(HINT_WORD.findall(value))
-                main |= name == "role" and value == "main"
+            if name == "role":
+                roles.update(HINT_WORD.findall(value))
+                main |= value == "main"
+            elif name in ("class", "id"):
+                words |= hints_of(value)
             elif name == "itemprop":
                 main |= value == "articlebody"
             elif name == "style":
@@ -106,18 +149,30 @@ def place_of(tag: str, attributes: str, outer: int) -> int:
                 hidden |= name == "hidden" or value == "true"
     if tag in ("html", "body"):
         return PLAIN
-    if outer == STRONG or tag in STRONG_TAGS or hidden or words & STRONG_HINTS:
-        return STRONG
-    if tag in ("article", "main") or main:
-        return WEAK if words & WEAK_HINTS and tag != "main" else MAIN
-    if tag == "header" or words & WEAK_HINTS:
+    if outer == HARD or tag in STRONG_TAGS or hidden or roles & STRONG_HINTS:
+        return HARD
+    if tag == "main" or main or tag == "article" and not names:
+        return MAIN
+    if names:
+        words |= roles
+        if outer == COMMENT or words & COMMENT_HINTS:
+            return COMMENT
+        if outer == STRONG or words & STRONG_HINTS:
+            return STRONG
+        if tag == "article":
+            return WEAK if words & WEAK_HINTS else MAIN
+    if tag == "header" or names and words & WEAK_HINTS:
         return WEAK
     return outer
 
 
-def blocks_of(page: str) -> list[Block]:
+def blocks_of(page: str, over: frozenset[int] = frozenset()) -> tuple[list[Block], list[Hinted], int]:
+    """(blocks, hinted elements, characters outside links); the names of the elements ``over`` don't count."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = [("", PLAIN)]
+    hinted: list[Hinted] = []
+    running: list[tuple[int, Hinted]] = []  # (its depth, element)
+    seen = elements = 0
     parts: list[str] = []
     link_parts: list[str] = []
     linked = heading = False
@@ -129,14 +184,21 @@ def blocks_of(page: str) -> list[Block]:
                 link_parts.append(raw)
 
     def close() -> None:
-        nonlocal parts, link_parts
+        nonlocal parts, link_parts, seen
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 links = len(" ".join(html.unescape("".join(link_parts)).split())) if link_parts else 0
                 out.append(Block(text, links, stack[-1][1], heading))
+                seen += len(text) - links if stack[-1][1] != HARD else 0
             parts, link_parts = [], []
 
+    def leave(depth: int) -> None:
+        while running and running[-1][0] >= depth:
+            element = running.pop()[1]
+            element.chars += seen
+        del stack[depth:]
+
     at = 0
     for m in TOKEN.finditer(page):
         add(page[at:m.start()])
@@ -164,18 +226,24 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[k][0] == tag:
                     if any(stack[j][1] != stack[k - 1][1] for j in range(k, len(stack))):
                         close()
-                    del stack[k:]
+                    leave(k)
                     break
         elif tag == "body":
-            del stack[1:]
+            leave(1)
         elif not attributes.rstrip().endswith("/"):
-            place = place_of(tag, attributes, stack[-1][1])
-            if place != stack[-1][1]:
+            outer = stack[-1][1]
+            place = place_of(tag, attributes, outer, elements not in over)
+            if place != outer:
                 close()
+            if place in (WEAK, STRONG, COMMENT) and (place != outer or tag == "article") and place != place_of(tag, attributes, outer, False):
+                hinted.append(Hinted(elements, tag, place, -seen))
+                running.append((len(stack), hinted[-1]))
+            elements += 1
             stack.append((tag, place))
     add(page[at:])
     close()
-    return out
+    leave(1)
+    return out, hinted, seen
 
 
 def first_pass(blocks: list[Block], rules: BlockRules) -> None:
@@ -184,7 +252,7 @@ def first_pass(blocks: list[Block], rules: BlockRules) -> None:
         words = LETTERS.findall(b.text.lower())
         stop = sum(w in STOP_WORDS for w in words)
         links = b.link_chars / len(b.text)
-        if b.place == STRONG or b.place == WEAK and not (article and b.heading) or article and b.place == PLAIN:
+        if b.place >= STRONG or b.place == WEAK and not (article and b.heading) or article and b.place == PLAIN:
             b.label = BAD
         elif links > rules.link_density:
             b.label = BAD
@@ -242,7 +310,18 @@ def second_pass(blocks: list[Block]) -> None:
 def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     if not page:
         return ""
-    blocks = blocks_of(page)
+    blocks, hinted, chars = blocks_of(page)
+    over = frozenset(h.number for h in hinted if h.place != COMMENT and 2 * h.chars > chars)
+    if over:
+        blocks, hinted, chars = blocks_of(page, over)
+    text = good_text(blocks, rules)
+    if not text:
+        more = frozenset(h.number for h in hinted if 2 * h.chars > chars or h.tag == "article" and h.place == WEAK)
+        text = good_text(blocks_of(page, over | more)[0], rules) if more else ""
+    return text
+
+
+def good_text(blocks: list[Block], rules: BlockRules) -> str:
     first_pass(blocks, rules)
     second_pass(blocks)
     return " ".join(b.text for b in blocks if b.label == GOOD)

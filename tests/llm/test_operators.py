@@ -304,6 +304,22 @@ def test_html_main_text(spark):
     assert texts[1] == want and texts[5] == want and texts[2] == texts[3] == ""
 
 
+def test_html_names_of_wrappers_and_articles():
+    want = html_text.main_text(PAGE)
+    plain = PAGE.replace("<article><h1>", "<div id=content><h1>").replace("</article>\n<section", "</div>\n<section")
+    wrap = lambda page, tag: page.replace("<nav>", f"<{tag}><nav>", 1).replace("</body>", f"</{tag.split()[0]}></body>")
+    for names in ("site has-sidebar", "no-sidebar", "ad-free", "page with-menu", "comments-open", "overflow-hidden", "sidebar", "page social"):
+        for page in (PAGE, plain, PAGE.replace("<article><h1>", "<main><h1>").replace("</article>\n<section", "</main>\n<section")):
+            assert html_text.main_text(wrap(page, f'div class="{names}"')) == want, names
+    for names in ("post category-legal", "post tag-search", "social", "type-post hentry tag-cookies"):
+        assert html_text.main_text(PAGE.replace("<article><h1>", f'<article class="{names}"><h1>')) == want, names
+    assert html_text.main_text(PAGE.replace('class="comments"', 'class="post-comments-list"').replace('"ad"', '"acme-ad-slot"')) == want
+    assert html_text.hints_of("site-footer nav-left comment-body social-science x") == {"footer", "nav", "comment", "science", "x"}
+    long = "<p>I think that this is the best of all the articles I have read.</p>" * 20
+    for page in (PAGE, plain):
+        assert html_text.main_text(page.replace("<section class=\"comments\"><article>", '<section class="comments"><article>' + long)) == want
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------
 
 def test_bpe_equals_library(spark, library):
