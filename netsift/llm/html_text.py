@@ -9,6 +9,10 @@ neighbour on either side, good when the two are equally near and differ.
 Where the page marks an article, blocks outside it are bad and the neighbours
 are those inside it; an article without decided blocks is good.
 
+Stop words can't tell in other scripts than Latin, nor on a page without any
+block dense in them: there a block of enough words is good; in scripts without
+spaces two characters count as a word.
+
 A class or id name is a hint when, without structural words at its end, it ends
 in a hint word ('site-footer', 'comment-body'); names that negate, say how a
 page is laid out, or file a post ('no-sidebar', 'has-menu', 'tag-search') say
@@ -80,6 +84,10 @@ TOKEN = re.compile(
     r"|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 HINT_WORD = re.compile(r"[a-z]+")
+#: Chinese, Japanese, Thai, Lao, Burmese and Khmer are written without spaces.
+UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+                      "\uff66-\uff9f\U00020000-\U0003ffff]")
+LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u024f\u1e00-\u1eff]")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 #: STRONG and COMMENT come from names, HARD from tags, roles and hidden elements.
@@ -246,8 +254,20 @@ def blocks_of(page: str, over: frozenset[int] = frozenset()) -> tuple[list[Block
     return out, hinted, seen
 
 
+def length_of(text: str) -> int:
+    """Words between spaces that hold a letter; in scripts without spaces half the characters."""
+    spaced = UNSPACED.sub(" ", text)
+    return sum(LETTERS.search(w) is not None for w in spaced.split()) + (len(UNSPACED.findall(text)) + 1) // 2
+
+
+def other_script(text: str) -> bool:
+    """Most letters aren't Latin."""
+    return not text.isascii() and 2 * len(LATIN.findall(text)) < sum(map(str.isalpha, text))
+
+
 def first_pass(blocks: list[Block], rules: BlockRules) -> None:
     article = any(b.place == MAIN for b in blocks)
+    long = []
     for b in blocks:
         words = LETTERS.findall(b.text.lower())
         stop = sum(w in STOP_WORDS for w in words)
@@ -256,10 +276,18 @@ def first_pass(blocks: list[Block], rules: BlockRules) -> None:
             b.label = BAD
         elif links > rules.link_density:
             b.label = BAD
+        elif other_script(b.text):
+            b.label = GOOD if length_of(b.text) >= rules.min_words else OPEN
         elif len(words) >= rules.min_words and stop >= rules.stop_density * len(words):
             b.label = GOOD
-        elif b.place != MAIN and len(words) >= rules.long_words and not stop:
-            b.label = BAD
+        else:
+            if length_of(b.text) >= rules.min_words:
+                long.append(b)
+            if b.place != MAIN and len(words) >= rules.long_words and not stop:
+                b.label = BAD
+    if all(b.label != GOOD for b in blocks):
+        for b in long:
+            b.label = GOOD
 
 
 def decided_neighbours(area: list[Block]) -> list[tuple[tuple[int, str], tuple[int, str]]]:

@@ -320,6 +320,25 @@ def test_html_names_of_wrappers_and_articles():
         assert html_text.main_text(page.replace("<section class=\"comments\"><article>", '<section class="comments"><article>' + long)) == want
 
 
+OTHER = {"Chinese": ("春天来了，山上的花都开了，孩子们在河边玩耍，老人们在树下喝茶。", "完。"), "Thai": ("ในวันที่อากาศดีเด็กและผู้ใหญ่ออกไปเดินเล่นริมแม่น้ำ", "จบ"),
+         "Russian": ("Весной дети играют у реки, а старики пьют чай под высокими деревьями сада.", "Конец."),
+         "Hindi": ("वसंत में बच्चे नदी के किनारे खेलते हैं और बूढ़े लोग पेड़ के नीचे चाय पीते हैं।", "अंत"),
+         "Finnish": ("Keväällä lapset leikkivät joen rannalla, kun vanhukset juovat teetä suurten puiden alla. " * 4, "Loppu.")}
+
+
+@pytest.mark.parametrize("language_name", OTHER)
+def test_html_languages_without_known_stop_words(language_name):
+    long, short = OTHER[language_name]
+    links = "<ul>" + "".join(f'<li><a href="/{i}">{long}</a></li>' for i in range(3)) + "</ul>"
+    body = f"<h1>{short}</h1><p>{long}</p><p>{short}</p><p>{long}</p>"
+    want = " ".join([short, long.strip(), short, long.strip()])
+    notice = f'<div class="cookie-notice">{long}</div>'
+    for page in (f"<body>{notice}{links}<div id=content>{body}</div><footer>{long}</footer></body>",
+                 f"<body>{notice}{links}<article>{body}{links}</article><footer>{long}</footer></body>"):
+        assert html_text.main_text(page) == want
+    assert html_text.main_text(f"<body>{links}</body>") == ""
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------
 
 def test_bpe_equals_library(spark, library):
