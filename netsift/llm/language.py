@@ -6,9 +6,11 @@ known. The document's language has the largest sum; its score is the share of
 words whose own best language it is.
 
 Learning uses a bounded sample: of more than ``max_docs`` labelled documents,
-those whose hashed id falls below the matching share (so about ``max_docs``).
+those whose hashed id falls below their language's share (so about ``max_docs``).
 The tables keep words seen twice or more, at most ``max_entries`` of each kind
 by count, so the model that every task loads is bounded whatever the corpus.
+Both totals are dealt to the languages alike: one that needs less than an equal
+part keeps all it has, and the others share the rest.
 
 Null text or text without a letter: ``und`` and score 0; so is everything when
 nothing could be learned. Rows without an id are not held out and not learned from.
@@ -114,13 +116,27 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def equal_part(sizes: list[int], total: int) -> int:
+    """The largest limit for each of the sizes with which all together stay within the total."""
+    left, limit = total, 0
+    for i, size in enumerate(sorted(sizes)):
+        limit = left // (len(sizes) - i)
+        if size > limit:
+            return limit
+        left -= size
+    return max(sizes, default=limit)
+
+
 def learn(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
     """Fit on rows (doc_id, text, lang); the tables that come to the driver are bounded by ``params``."""
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = rows.count()
-    if n > params.max_docs:
-        share = int(params.max_docs / n * (1 << 30))
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    n_docs = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if sum(n_docs.values()) > params.max_docs:
+        part = max(1, equal_part(list(n_docs.values()), params.max_docs))
+        shares = [x for lang, n in n_docs.items() if n > part for x in (F.lit(lang), F.lit(int(part / n * (1 << 30))))]
+        if shares:
+            rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+                               < F.coalesce(F.try_element_at(F.create_map(*shares), F.col("lang")), F.lit(1 << 30)))
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -146,13 +162,20 @@ def learn(labelled: DataFrame, params: LanguageParams = LanguageParams()) -> Lan
         .groupBy("size", "gram", "lang").agg(F.sum("n").alias("n")).persist()
     try:
         totals: dict[str, list[float]] = {}
-        for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect():
+        entries: dict[int, dict[str, int]] = defaultdict(dict)
+        for r in grams.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("entries")).collect():
             totals.setdefault(r["lang"], [0.0] * (params.longest_gram + 1))[r["size"]] = float(r["n"])
-        kept = None
-        for size in range(params.longest_gram + 1):
-            top = grams.filter((F.col("size") == size) & (F.col("n") > 1)) \
-                .orderBy(F.desc("n"), "gram", "lang").limit(params.max_entries)
-            kept = top if kept is None else kept.unionAll(top)
+            entries[r["size"]][r["lang"]] = r["entries"]
+        limits = {size: equal_part(list(held.values()), params.max_entries) for size, held in entries.items()}
+        repeated = grams.filter(F.col("n") > 1)
+        over = [(size, lang) for size, held in entries.items() for lang, n in held.items() if n > limits[size]]
+        is_over = F.lit(False)
+        for size in limits:
+            is_over |= (F.col("size") == size) & F.col("lang").isin([lang for its, lang in over if its == size])
+        kept = repeated.filter(~is_over)
+        for size, lang in over:
+            kept = kept.unionAll(repeated.filter((F.col("size") == size) & (F.col("lang") == lang))
+                                 .orderBy(F.desc("n"), "gram").limit(limits[size]))
         counts = kept.select("size", "gram", "lang", "n").toPandas()
     finally:
         grams.unpersist()

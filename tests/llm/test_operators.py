@@ -121,6 +121,21 @@ def test_language_backs_off_to_ngrams(spark):
     assert language.Scorer(language.learn(d.select("doc_id", "text", "lang").limit(0))).predict("the") == ("und", 0.0)
 
 
+def test_language_bounds_keep_rare_languages(spark):
+    rare = [f"ñandu{a}{b}" for a in "abcdef" for b in "ghijkl"]
+    rows = [(i, " ".join(f"the{chr(97 + (i + k) % 26)}{chr(97 + k % 26)}" for k in range(30)), "en") for i in range(600)]
+    rows += [(1000 + i, " ".join(rare * 2), "gn") for i in range(3)]
+    d = H.docs(spark, rows, H.PLAIN).select("doc_id", "text", "lang")
+    params = language.LanguageParams(max_docs=60, max_entries=80)
+    model = language.learn(d, params)
+    assert model.languages == ["en", "gn"]
+    assert all(language.Scorer(model).predict(w)[0] == "gn" for w in rare) and language.Scorer(model).predict(rows[0][1])[0] == "en"
+    assert all(w in model.tables[0] for w in rare)
+    assert all(len(t) <= params.max_entries for t in model.tables)
+    assert language.equal_part([3, 600], 60) == 57 and language.equal_part([1, 2], 60) == 2 and language.equal_part([], 5) == 0
+    assert language.equal_part([50, 50, 50], 60) == 20
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 
 def test_quality_base_counts():
