@@ -2,8 +2,9 @@
 
 A document is rejected when the base counts fail, when the zstandard ratio of
 the whole text (compressed / raw bytes) leaves the band of its length, or when
-too large a part of its fixed chunks leaves the chunk band. Short texts
-compress badly whatever they hold, so each length has its own limits.
+too large a part of its bytes lies in fixed chunks outside their band. Short
+texts compress badly whatever they hold, so each length has its own limits: a
+last partial chunk is judged by the band of a whole text of its length.
 
 Null and empty text: all counts 0, ``base_failed`` (fewer than 20 words), not
 kept, ratios null. Every input row gives one output row, repeated rows too.
@@ -41,7 +42,7 @@ class CompressionBands:
         (2048, 0.28, 0.71), (4096, 0.27, 0.68), (8192, 0.25, 0.66), (65536, 0.20, 0.64)))
     chunk_bytes: int = 1024
     chunk: tuple[float, float] = (0.28, 0.76)
-    #: Rejected when more than this share of the full chunks leaves the chunk band.
+    #: Rejected when chunks with more than this share of the bytes leave their band.
     bad_chunks: float = 0.3
     level: int = 3
     min_words: int = 20
@@ -83,19 +84,23 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), len(SYMBOL.findall(text)), dup, repeated_words(words)
 
 
+def whole_band(n: int, bands: CompressionBands) -> tuple[float, float]:
+    """(lowest, highest) ratio of a text of n bytes."""
+    return [b for b in bands.whole if b[0] <= n][-1][1:]
+
+
 def compression(raw: bytes, bands: CompressionBands, zstd: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """(ratio of the whole, share of full chunks outside the chunk band, verdict)."""
+    """(ratio of the whole, share of bytes in chunks outside their band, verdict)."""
     n, size = len(raw), bands.chunk_bytes
     whole = len(zstd.compress(raw)) / n
-    _, low, high = [b for b in bands.whole if b[0] <= n][-1]
-    full = n // size
-    if full < 2:
-        return whole, 0.0, low <= whole <= high
+    low, high = whole_band(n, bands)
     bad = 0
-    for i in range(full):
-        ratio = len(zstd.compress(raw[i * size:(i + 1) * size])) / size
-        bad += not bands.chunk[0] <= ratio <= bands.chunk[1]
-    return whole, bad / full, low <= whole <= high and bad <= bands.bad_chunks * full
+    for i in range(0, n, size):
+        chunk = raw[i:i + size]
+        least, most = bands.chunk if len(chunk) == size else whole_band(len(chunk), bands)
+        ratio = len(zstd.compress(chunk)) / len(chunk)
+        bad += len(chunk) * (not least <= ratio <= most)
+    return whole, bad / n, low <= whole <= high and bad <= bands.bad_chunks * n
 
 
 def judge(text: str | None, bands: CompressionBands, zstd: zstandard.ZstdCompressor) -> tuple:

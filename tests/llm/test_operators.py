@@ -165,6 +165,21 @@ def test_quality_bands():
     assert quality.judge("word other " * 400, bands, z)[-1] is False
 
 
+def test_quality_judges_every_chunk():
+    """Noise of less than a chunk at the end, and noise in a text of less than two chunks."""
+    import zstandard
+    rng, z, bands = random.Random(3), zstandard.ZstdCompressor(level=3), quality.CompressionBands()
+    noise = "".join(chr(rng.randrange(33, 127)) + " " * (i % 9 == 8) for i in range(2000))
+    prose = " ".join(rng.choice("the of and to in is was he for it with as his on be at by had not are".split()) + rng.choice(["", "ing", "ed", "ly"])
+                     + rng.choice("abcdefgh") for _ in range(900))
+    for text in (prose[:1024] + noise[:700], prose[:2048] + noise[:1000], noise[:1024] + prose[:1000]):
+        low, high = quality.whole_band(len(text), bands)
+        assert low <= quality.compression(text.encode(), bands, z)[0] <= high and not quality.judge(text, bands, z)[-1]
+    for n in (300, 1023, 1024, 1500, 2047, 2048, 3000):
+        whole, share, good = quality.compression(prose[:n].encode(), bands, z)
+        assert share == 0 and good
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 
 def test_licenses(spark):
