@@ -5,7 +5,8 @@ judged by their host's template tree: path segments that vary (numbers, hex
 names, dates, or a level with very many different names) become wildcards,
 sibling branches of the same shape whose labelled share doesn't differ are
 merged, and a template is rejected when its smoothed labelled purity reaches the
-limit. The labels are the urls that a rule decided.
+limit and enough of its urls are labelled: a few labels don't speak for the rest,
+however many urls there are. The labels are the urls that a rule decided.
 
 Null urls and urls without ``://`` have an empty host and path, no rule, and
 are allowed. Repeated urls count as often as they occur. Urls are first
@@ -39,10 +40,12 @@ WILDCARDS = (
 )
 
 
+#: So many levels in one query plan, which names its input several times a level.
+LEVELS_A_PLAN = 2
+
+
 @dataclass(frozen=True)
 class TemplateParams:
-    #: Deeper path levels are one tail.
-    depth: int = 6
     #: A level is variable with this many names of which this share are different.
     min_names: int = 20
     variable_share: float = 0.3
@@ -54,6 +57,8 @@ class TemplateParams:
     weight: float = 4.0
     prior: float = 0.1
     reject_at: float = 0.8
+    #: At least this share of a template's urls is labelled before it is rejected.
+    labelled_share: float = 0.5
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -73,16 +78,15 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def shaped(path: Column, depth: int) -> Column:
-    """Array of the path's segments with lexical wildcards; levels beyond ``depth`` are one ``**``."""
+def shaped(path: Column) -> Column:
+    """Array of the path's segments with lexical wildcards."""
     def wild(s: Column) -> Column:
         out = s
         for pattern, instead in reversed(WILDCARDS):
             out = F.when(s.rlike(pattern), F.regexp_replace(s, pattern, instead) if "$" in instead else F.lit(instead)).otherwise(out)
         return out
 
-    parts = F.transform(F.array_remove(F.split(path, "/"), ""), lambda s: wild(s))
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(F.array_remove(F.split(path, "/"), ""), lambda s: wild(s))
 
 
 def joined(parts: Column) -> Column:
@@ -92,7 +96,7 @@ def joined(parts: Column) -> Column:
 def with_level(rows: DataFrame, level: int) -> DataFrame:
     """Adds the segment of the level and the parts before and after it."""
     return rows.withColumn("up", joined(F.slice("t", 1, level))).withColumn("name", F.get("t", level)) \
-        .withColumn("down", joined(F.slice("t", level + 2, 99)))
+        .withColumn("down", joined(F.slice("t", F.lit(level + 2), F.size("t") + 1)))
 
 
 def replaced(rows: DataFrame, level: int, change: Column, mark: str) -> DataFrame:
@@ -130,25 +134,34 @@ def merge_siblings(rows: DataFrame, level: int, params: TemplateParams) -> DataF
     return replaced(at, level, F.coalesce("merged", F.lit(False)), "*").select("host", "shape", "t", "n", "labelled", "blocked")
 
 
+def shared_levels(rows: DataFrame) -> int:
+    """The levels that two shapes of one host reach; on deeper ones no name has another beside it."""
+    sizes = rows.groupBy("host", F.size("t").alias("size")).agg(F.count(F.lit(1)).alias("shapes")) \
+        .groupBy("host").agg(F.max(F.when(F.col("shapes") > 1, F.col("size"))).alias("twice"),
+                             F.sort_array(F.collect_set("size"), asc=False).alias("sizes"))
+    return sizes.agg(F.max(F.greatest(F.coalesce("twice", F.lit(0)), F.coalesce(F.get("sizes", F.lit(1)), F.lit(0))))).first()[0] or 0
+
+
 def template_verdicts(urls: DataFrame, params: TemplateParams) -> DataFrame:
     """(host, shape, template, labelled, purity, rejected) from rows (host, shape array, verdict or null)."""
     rows = urls.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.count("verdict").alias("labelled"),
         F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("blocked"))
     rows = stored(rows.select("host", "shape", F.col("shape").alias("t"), "n", "labelled", "blocked"), "shapes")
-    levels = rows.agg(F.max(F.size("t"))).first()[0] or 0  # at most params.depth + 1
-    for level in range(min(levels, params.depth)):
-        rows = generalise(rows, level, params)
-    rows = stored(rows, "templates")
-    for level in range(min(levels, params.depth)):
-        rows = merge_siblings(rows, level, params)
+    levels = shared_levels(rows)
+    for step, name in ((generalise, "templates"), (merge_siblings, "siblings")):
+        for level in range(levels):
+            rows = step(rows, level, params)
+            if level % LEVELS_A_PLAN == LEVELS_A_PLAN - 1 or level == levels - 1:
+                rows = stored(rows, name)
     rows = stored(rows.withColumn("template", F.concat(F.lit("/"), joined(F.col("t")))), "merged")
     smooth = lambda b, n, prior: (b + params.weight * prior) / (n + params.weight)
     hosts = rows.groupBy("host").agg(smooth(F.sum("blocked"), F.sum("labelled"), F.lit(params.prior)).alias("host_share"))
-    templates = rows.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")) \
+    templates = rows.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.sum("n").alias("n")) \
         .join(hosts, "host") \
         .withColumn("purity", smooth(F.col("blocked"), F.col("labelled"), F.col("host_share"))) \
-        .withColumn("rejected", (F.col("labelled") > 0) & (F.col("purity") >= params.reject_at))
+        .withColumn("rejected", (F.col("labelled") > 0) & (F.col("labelled") >= params.labelled_share * F.col("n"))
+                    & (F.col("purity") >= params.reject_at))
     return rows.select("host", "shape", "template") \
         .join(templates.select("host", "template", "labelled", "purity", "rejected"), ["host", "template"])
 
@@ -159,7 +172,7 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, param
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), shaped(F.col("path"), params.depth).alias("shape"))
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), shaped(F.col("path")).alias("shape"))
     judged = template_verdicts(rows.filter("host <> ''").select("host", "shape", "verdict"), params)
     judged = stored(judged.select("host", "shape", "template", "purity", "rejected"), "template-verdicts")
     own = F.when(F.coalesce("rejected", F.lit(False)), "block").otherwise("allow")

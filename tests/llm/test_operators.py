@@ -81,6 +81,24 @@ def test_url_templates_learn_from_labels(spark):
     assert out[0].template == "/x/{n}/*" and out[100].template == "/x/{n}/b"
 
 
+@pytest.mark.parametrize("size", [1, 10])
+def test_url_few_labels_do_not_reject_the_rest(spark, size):
+    """3 of 100 urls blocked leave the others allowed at every size."""
+    rows = [(i, f"http://h.net/{'es' if i % 100 < 3 else 'x' + chr(97 + i % 26) + chr(97 + i // 26 % 26)}/{i}") for i in range(100 * size)]
+    out = url_filter.url_filter(spark.createDataFrame(rows, "page_id bigint, url string")).collect()
+    assert {(r.rule, r.verdict) for r in out} == {("net/es/", "block"), (None, "allow")} and {r.template for r in out} == {"/*/{n}"}
+
+
+def test_url_levels_beyond_six(spark):
+    deep = "a/b/c/d/e/f/g"
+    rows = [(i, f"http://h.org/{deep}/{i}/a{i}") for i in range(30)] + [(100 + i, f"http://h.org/{deep}/{i}/b") for i in range(30)]
+    rows += [(200, "http://one.org/" + "x/" * 300)]
+    rules = [(f"h.org/{deep}/{i}/a", "block") for i in range(25)] + [(f"h.org/{deep}/{i}/b", "allow") for i in range(25)]
+    out = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id bigint, url string"), rules).collect()}
+    assert out[0].template == f"/{deep}/{{n}}/*" and out[100].template == f"/{deep}/{{n}}/b"
+    assert all(out[i].verdict == "block" and out[i].rule is None for i in range(25, 30)) and out[200].template == "/" + "/".join("x" * 300)
+
+
 # -- 2 ---------------------------------------------------------------------------------------------------------------
 
 def test_token_counts(spark, library):
