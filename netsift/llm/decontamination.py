@@ -70,6 +70,12 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return benchmark.filter(n > 0).select("item_id", n.alias("n"), F.explode_outer(of_item).alias("window")).distinct()
 
 
+def marked_starts(size: int) -> Column:
+    """Where ``size`` words of ``words`` have a hash among ``marks``."""
+    return F.filter(from_one_to(F.col("n") - (size - 1)),
+                    lambda i: F.array_contains(F.col("marks"), F.xxhash64(F.slice("words", i, size), F.lit(size))))
+
+
 def benchmark_spans(docs: DataFrame, named: DataFrame, benchmark: DataFrame, short: list[int]) -> tuple[DataFrame, DataFrame]:
     """Spans (doc_id, digest, start, length, window), starts counted in words from 1, and item windows (item_id, window)."""
     items = benchmark.withColumn("words", words_of(F.col("text"))).select("item_id", "words")
@@ -91,9 +97,8 @@ def benchmark_spans(docs: DataFrame, named: DataFrame, benchmark: DataFrame, sho
     found = again.withColumn("at", at).withColumn("starts", starts) \
         .withColumn("found", windows(F.col("words"), F.col("starts"), SPAN))
     for size in short:
-        here = F.filter(from_one_to(F.col("n") - (size - 1)), lambda i, k=size: F.array_contains(
-            F.col("marks"), F.xxhash64(F.slice("words", i, k), F.lit(k))))
-        found = found.withColumn("short_at", here).withColumn("found", F.concat("found", windows(F.col("words"), F.col("short_at"), size)))
+        found = found.withColumn("short_at", marked_starts(size)) \
+            .withColumn("found", F.concat("found", windows(F.col("words"), F.col("short_at"), size)))
     windows_of_items = item_windows(items).select("item_id", "window")
     # The outer form: a filter inferred for explode() would be pushed below and repeat all the expressions above.
     spans = found.select("doc_id", "digest", F.explode_outer("found").alias("f")).select("doc_id", "digest", "f.*") \

@@ -453,3 +453,14 @@ def test_winnowing_keeps_a_hash_of_every_span(spark):
     for s in range(1, 52):
         part = row.select(F.slice("words", s, 10).alias("words"))
         assert marks & set(part.select(decontamination.gram_hashes(F.col("words"), 5).alias("g")).first().g)
+
+
+@pytest.mark.parametrize("size", [1, 3, 9])
+def test_short_items_are_found_wherever_they_start(spark, size):
+    item = " ".join(f"item{i}" for i in range(size))
+    rows = [(1, item), (2, f"a {item} b"), (3, f"a b c {item}"), (4, " ".join(["x"] * 30) + f" {item.upper()}, y"),
+            (5, "item0 x item1" if size > 1 else "xitem0"), (6, f"{item} {item}")]
+    d = spark.createDataFrame([("q", item)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontamination.decontaminate(H.docs(spark, rows), d).collect()}
+    assert got == {1: (size, 1), 2: (size, 1), 3: (size, 1), 4: (size, 1), 5: (0, 0), 6: (2 * size, 1)}
+    assert [r.doc_id for r in decontamination.without_contaminated(H.docs(spark, rows), d).collect()] == [5]
