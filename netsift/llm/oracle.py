@@ -25,6 +25,35 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+OP11 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase
+  FROM words, (VALUES (1), (2), (3), (4), (5)) AS sizes(k), unnest(range(1, len(w) - k + 2)) AS r(s)),
+counted AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS first_part,
+         array_to_string(string_split(phrase, ' ')[c + 1:k], ' ') AS rest FROM counted, unnest(range(1, k)) AS r(c)),
+scores AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, x.f AS l, y.f AS r, n, c,
+         (CAST(1000 AS HUGEINT) * a * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts JOIN counted x ON x.lang = cuts.lang AND x.phrase = first_part
+  JOIN counted y ON y.lang = cuts.lang AND y.phrase = rest JOIN totals ON totals.lang = cuts.lang),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+kept AS (
+  SELECT * FROM best WHERE NOT EXISTS (
+    SELECT 1 FROM best longer WHERE longer.lang = best.lang AND longer.k > best.k AND longer.a >= best.a
+    AND contains(' ' || longer.phrase || ' ', ' ' || best.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
 
 def op5() -> str:
     """The sentence and rule tables spelled out as SQL values; the steps are SQL's own."""
