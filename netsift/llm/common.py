@@ -50,9 +50,10 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, large: bool = False, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
 
+    ``by``: a column with few values that later steps filter on; it names the folders.
     ``large``: the step has shuffled much of the input. Its shuffle files are
     then of no use, and Spark deletes them once the driver's JVM has collected
     what refers to them; that is asked for here, after the moment that the
@@ -61,7 +62,8 @@ def stored(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/netsift-llm/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     for _ in range(2 if large else 0):  # the first collection only frees what the shuffles hang on
         time.sleep(0.4)
         spark.sparkContext._jvm.java.lang.System.gc()

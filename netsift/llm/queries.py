@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netsift.llm import bpe, decontamination, html_text, language, licenses, ngram_join, oracle, quality, suffix_dedup, token_counts, url_filter
+from netsift.llm import bpe, collocations, decontamination, graph_search, html_text, language, licenses, ngram_join, oracle, quality, spelling, suffix_dedup, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_filter, op2_token_counts, op3_language_id, op4_quality_rules, op5_license_scan,
                                     op6_ngram_jaccard, op7_suffix_dedup, op8_html_text, op9_bpe_round_trip,
-                                    op10_decontamination)}
+                                    op10_decontamination, op11_collocations, op12_nearest_neighbours,
+                                    op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": oracle.op5(), "op10_decontamination": oracle.OP10}
+    return {"op5_license_scan": oracle.op5(), "op10_decontamination": oracle.OP10, "op11_collocations": oracle.OP11}
