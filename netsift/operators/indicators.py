@@ -126,21 +126,47 @@ def set_fingerprint(values: DataFrame, by: list[str] | None = None) -> DataFrame
     return g.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("value")).alias("fingerprint"))
 
 
-def set_version(values: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """version ``1.<n>.<6 hex>`` and an 8-digit change hash of a set.
+#: Items of a source up to which its version is the md5 of all items joined (the documented limit of a source).
+MAX_JOINED_ITEMS = 1_000_000
+DIGEST_PREFIX = 3  # hex digits: 4,096 buckets
 
-    The hash is the XOR of the first 60 bits of each distinct item's md5, as
-    15 hex digits: it merges across partitions, so a set of any size is
-    combined on the map side and never gathered into one task. (The md5 of the
-    sorted, joined items would need exactly that.)
+
+def set_version(values: DataFrame, by: list[str] | None = None, max_joined: int = MAX_JOINED_ITEMS) -> DataFrame:
+    """``(n, version, hash, digest)`` of the distinct non-null values, per ``by`` group.
+
+    ``hash``: first 8 digits of the md5 of the sorted items joined by a bar;
+    ``version``: ``1.<n>.<its first 6>``. That needs a group's items in one
+    place, so beyond ``max_joined`` items both are taken from the digest.
+
+    ``digest``: the md5 over 4,096 buckets of items (by their own md5) in order,
+    each with the md5 of its sorted items. No task holds more than a bucket, and
+    it depends on the set alone.
     """
     by = by or []
-    bits = F.conv(F.substring(F.md5("value"), 1, 15), 16, 10).cast("bigint")
-    g = values.select(*by, "value").where(F.col("value").isNotNull()).distinct().groupBy(*by) \
-        .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(bits).alias("_x"))
-    h = F.lpad(F.lower(F.hex(F.coalesce("_x", F.lit(0).cast("bigint")))), 15, "0")
-    return g.select(*by, "n", F.concat(F.lit("1."), F.col("n").cast("string"), F.lit("."), F.substring(h, 1, 6)).alias("version"),
-                    F.substring(h, 1, 8).alias("hash"))
+    items = values.select(*by, "value").where(F.col("value").isNotNull()).distinct()
+    joined = F.md5(F.concat_ws("|", F.sort_array(F.collect_list("value"))))
+    buckets = items.groupBy(*by, F.substring(F.md5("value"), 1, DIGEST_PREFIX).alias("_b")) \
+        .agg(F.count(F.lit(1)).alias("_n"), joined.alias("_h"))
+    named = F.sort_array(F.collect_list(F.concat("_b", F.lit(":"), F.col("_h"))))
+    groups = buckets.groupBy(*by).agg(F.sum("_n").alias("n"), F.md5(F.concat_ws("|", named)).alias("digest"))
+    small = groups.where(F.col("n") <= max_joined).select(*by)
+    same = F.lit(True)
+    for c in by:
+        same &= items[c].eqNullSafe(small[c])
+    if by:
+        exact = items.join(small, same, "left_semi").groupBy(*by).agg(joined.alias("_m"))
+        same = F.lit(True)
+        for c in by:
+            same &= groups[c].eqNullSafe(exact[c])
+        out = groups.join(exact, same, "left").select(*[groups[c] for c in by], "n", "digest", "_m")
+    else:
+        (size,) = groups.select("n").collect() or [(0,)]
+        exact = items.groupBy().agg(joined.alias("_m")) if (size[0] or 0) <= max_joined else \
+            items.sparkSession.range(1).select(F.lit(None).cast("string").alias("_m"))
+        out = groups.where("n > 0").crossJoin(exact)  # one row each
+    h = F.coalesce("_m", "digest")
+    return out.select(*by, "n", F.concat(F.lit("1."), F.col("n").cast("string"), F.lit("."), F.substring(h, 1, 6)).alias("version"),
+                      F.substring(h, 1, 8).alias("hash"), "digest")
 
 
 # --- lookups ---------------------------------------------------------------------

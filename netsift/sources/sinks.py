@@ -74,12 +74,10 @@ def write_alerts(alerts: DataFrame, path: str) -> str:
 def write_indicators(indicators: DataFrame, path: str, sources: list[str] | None = None) -> str:
     """Persist the items partitioned by source. With ``sources`` only
     those partitions are replaced (dynamic partition overwrite)."""
-    w = indicators.write.partitionBy("source")
     if sources is not None:
-        indicators.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        indicators.where(F.col("source").isin(*sources)).write.mode("overwrite").partitionBy("source").parquet(path)
-        return path
-    w.mode("overwrite").parquet(path)
+        indicators = indicators.where(F.col("source").isin(*sources))
+    mode = "static" if sources is None else "dynamic"
+    indicators.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("source").parquet(path)
     return path
 
 

@@ -115,24 +115,39 @@ def test_category_view_enable_disable_counts(spark):
     assert ind.category_view(t3, f3, "threat_ips").count() == 0
 
 
-def xor_hash(items):
-    """The first 60 bits of the items' md5s, XORed, as 15 hex digits."""
-    total = 0
+def joined_hash(items):
+    return hashlib.md5("|".join(sorted(items)).encode()).hexdigest()
+
+
+def bucket_digest(items):
+    buckets = {}
     for i in items:
-        total ^= int(hashlib.md5(i.encode()).hexdigest()[:15], 16)
-    return f"{total:015x}"
+        buckets.setdefault(hashlib.md5(i.encode()).hexdigest()[:3], []).append(i)
+    return hashlib.md5("|".join(f"{b}:{joined_hash(v)}" for b, v in sorted(buckets.items())).encode()).hexdigest()
 
 
 def test_set_version(spark):
     t = _table(spark)
-    got = {r.source: (r.version, r.hash) for r in ind.set_version(t, by=["source"]).collect()}
-    h = xor_hash(["a.com", "b.com"])
-    assert got["s1"] == (f"1.2.{h[:6]}", h[:8])
-    assert {r.source: r.hash for r in ind.set_version(t.unionAll(t), by=["source"]).collect()}["s1"] == h[:8]
+    h = joined_hash(["a.com", "b.com"])
+    for rows in (t, t.unionAll(t)):
+        got = {r.source: (r.version, r.hash, r.digest) for r in ind.set_version(rows, by=["source"]).collect()}
+        assert got["s1"] == (f"1.2.{h[:6]}", h[:8], bucket_digest(["a.com", "b.com"]))
     fp = ind.set_fingerprint(t, by=["source"]).collect()
     assert len(fp) == 3
 
 
+def test_set_version_of_large_and_empty_sets(spark):
+    items = [f"host{i}.example" for i in range(5000)]
+    rows = spark.createDataFrame([("big", i) for i in items] + [("small", "x"), ("none", None), (None, "y")], "source string, value string")
+    got = {r.source: r for r in ind.set_version(rows, by=["source"], max_joined=100).collect()}
+    digest = bucket_digest(items)
+    assert got["big"].digest == digest and got["big"].version == f"1.5000.{digest[:6]}" and got["big"].hash == digest[:8]
+    assert got["small"].hash == joined_hash(["x"])[:8] and got[None].hash == joined_hash(["y"])[:8] and "none" not in got
+    assert ind.set_version(rows.where("source = 'big'")).first().hash == joined_hash(items)[:8]
+    assert ind.set_version(rows.where("source = 'big'"), max_joined=10).first().hash == digest[:8]
+    assert ind.set_version(rows.where("source = 'none'")).collect() == []
+
+
 def test_lookups(spark):
     safe = builtin_indicators(spark).where("category = 'whitelist_domains'").select("value")
     vals = spark.createDataFrame([("google.com",), ("mail.google.com",), ("evil-api.malware.com",),
@@ -177,5 +192,5 @@ def test_set_version_non_ascii_matches_python(spark):
     df = builtin_indicators(spark).where("category = 'phishing_keywords'").select("value")
     got = ind.set_version(df).collect()[0]
     items = set(BUILTIN_PHISHING_KEYWORDS)
-    h = xor_hash(items)
+    h = joined_hash(items)
     assert (got.version, got.hash) == (f"1.{len(items)}.{h[:6]}", h[:8])
