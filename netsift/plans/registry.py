@@ -3,18 +3,21 @@
 A detector is a function ``(flows, context, config) -> DataFrame[ALERT_SCHEMA]``.
 Running all detectors builds one lazy plan (``unionByName`` in priority
 order); a detector that fails while its plan is built or analysed is skipped
-and reported, as the reference skips a failing plugin.
+and reported. ``commit_all`` writes the alerts and also isolates detectors that
+fail in a task, as the reference skips a failing plugin.
 """
 
 from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from netsift.operators import detectors as det
@@ -70,6 +73,11 @@ class RunReport:
     priority: int
     status: str
     error: str | None = None
+    detections: int = 0
+    duration_s: float = 0.0
+
+
+REPORT_SCHEMA = "name string, priority int, status string, error string, detections bigint, duration_s double"
 
 
 class Registry:
@@ -144,21 +152,106 @@ class Registry:
             return empty_alerts(ctx.spark).withColumn("priority", F.lit(0)), reports
         return union_alerts(frames, prios), reports
 
-    def run_statistics(self, flows: DataFrame, ctx: Context) -> DataFrame:
-        """Per detector: detections, wall time of its job, status, last error."""
-        rows = []
+    def commit_all(self, flows: DataFrame, ctx: Context, path: str) -> list[RunReport]:
+        """Every enabled detector's alerts under ``path``, those of a detector that fails left out and reported.
+
+        All detectors run in one job that counts each one's alerts as they are
+        written (``DataFrame.observe``). If it fails in a task, each detector is
+        run and written by itself, so the error stays with the one that raised
+        it: ``error`` in its report, none of its alerts in the table, all of the
+        others'. The manifest, written last, names what counts; ``read_run``
+        goes by it. An error that is no detector's own (storage that can't be
+        written, say) shows up in every report, and then the first is raised.
+        """
+        path = path.rstrip("/")
+        frames, reports = {}, []
         for d in self.ordered():
+            report = RunReport(d.name, d.priority, "ok" if d.enabled else "disabled")
+            reports.append(report)
             if not d.enabled:
-                rows.append((d.name, d.priority, 0, 0.0, "disabled", None))
                 continue
-            t0 = time.time()
             try:
-                n = d.run(flows, ctx).count()
-                rows.append((d.name, d.priority, int(n), time.time() - t0, "healthy", None))
-            except AnalysisException as e:
-                rows.append((d.name, d.priority, 0, time.time() - t0, "error", str(e)[:500]))
-        return ctx.spark.createDataFrame(
-            rows, "name string, priority int, detections bigint, duration_s double, health string, last_error string")
+                frames[d.name] = d.run(flows, ctx).select(*ALERT_COLUMNS, F.lit(d.priority).alias("priority"), F.lit(d.name).alias("detector"))
+                frames[d.name].schema  # forces analysis
+            except Exception as e:  # a detector is foreign code: whatever it raises is its own failure
+                frames.pop(d.name, None)
+                report.status, report.error = "error", str(e)[:500]
+        run = f"{path}/run={uuid.uuid4().hex}"
+        good = [r for r in reports if r.name in frames]
+        if not self._commit_together(frames, good, f"{run}/together"):
+            errors = [e for r in good if (e := self._commit_alone(frames[r.name], r, f"{run}/alone-{r.name}"))]
+            if errors and len(errors) == len(good):
+                raise errors[0]
+        rows = [(r.name, r.priority, r.status, r.error, r.detections, r.duration_s) for r in reports]
+        ctx.spark.createDataFrame(rows, REPORT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{run}/manifest")
+        ctx.spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").parquet(f"{path}/latest")
+        return reports
+
+    def _commit_together(self, frames: dict[str, DataFrame], reports: list[RunReport], path: str) -> bool:
+        if not frames:
+            return True
+        seen = {name: Observation(f"detections-{i}") for i, name in enumerate(frames)}
+        watched = [f.observe(seen[name], F.count(F.lit(1)).alias("n")) for name, f in frames.items()]
+        t0 = time.time()
+        try:
+            reduce(DataFrame.unionByName, watched).write.mode("overwrite").partitionBy("detector").parquet(path)
+        except Exception as e:
+            log.warning("the joint run failed, detectors run one by one: %s", str(e)[:500])
+            return False
+        duration = time.time() - t0
+        for r in reports:
+            r.detections, r.duration_s = int(seen[r.name].get["n"]), duration
+        return True
+
+    def _commit_alone(self, frame: DataFrame, report: RunReport, path: str) -> Exception | None:
+        count = Observation()
+        t0 = time.time()
+        try:
+            frame.observe(count, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("detector").parquet(path)
+            report.detections = int(count.get["n"])
+        except Exception as e:
+            report.status, report.error = "error", str(e)[:500]
+            log.warning("detector %s failed: %s", report.name, report.error)
+            return e
+        finally:
+            report.duration_s = time.time() - t0
+        return None
+
+    def run_statistics(self, flows: DataFrame, ctx: Context, path: str) -> DataFrame:
+        """Per detector its detections, wall time, health and last error, from the one job of ``commit_all``.
+
+        The wall time is that of the job a detector ran in, together with others or alone.
+        """
+        self.commit_all(flows, ctx, path)
+        return run_reports(ctx.spark, path)
+
+
+def _latest_run(spark: SparkSession, path: str) -> str:
+    return spark.read.parquet(f"{path.rstrip('/')}/latest").first()["run"]
+
+
+def run_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(name, priority, detections, duration_s, health, last_error) of the latest run under ``path``."""
+    health = F.when(F.col("status") == "ok", "healthy").otherwise(F.col("status"))
+    return spark.read.parquet(f"{_latest_run(spark, path)}/manifest") \
+        .select("name", "priority", "detections", "duration_s", health.alias("health"), F.col("error").alias("last_error"))
+
+
+def read_run(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts of the latest run that ``commit_all`` wrote, with ``priority``: only detectors whose status is ``ok``."""
+    run = _latest_run(spark, path)
+    found = [r for r in spark.read.parquet(f"{run}/manifest").collect() if r["status"] == "ok"]  # a row per detector
+    schema = empty_alerts(spark).withColumn("priority", F.lit(0)).withColumn("detector", F.lit("")).schema
+    frames = []
+    for folder in ("together", *[f"alone-{r['name']}" for r in found]):
+        try:
+            frames.append(spark.read.schema(schema).parquet(f"{run}/{folder}"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    if not frames:
+        return spark.createDataFrame([], schema).drop("detector")
+    return reduce(DataFrame.unionByName, frames).where(F.col("detector").isin([r["name"] for r in found])).drop("detector")
 
 
 def detections_by_engine(alerts: DataFrame) -> DataFrame:

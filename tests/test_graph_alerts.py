@@ -84,7 +84,7 @@ def test_alert_counts(spark):
         "MALICIOUS_IP": 250, "UNKNOWN_DOMAIN": 250, "DNS_TUNNEL": 250}
 
 
-def test_registry_failures_and_toggles(spark):
+def test_registry_failures_and_toggles(spark, tmp_path):
     flows = _flows(spark)
     ctx = Context(spark, threat_domains=spark.createDataFrame([("bad.com",)], "value string"))
     reg = default_registry()
@@ -101,7 +101,7 @@ def test_registry_failures_and_toggles(spark):
     assert {r.name: r.status for r in reports2}["dns_threat_detector"] == "disabled"
     assert alerts2.where("engine_name = 'dns_threat_detector'").count() == 0
     assert reg.unregister("broken") and not reg.unregister("broken")
-    stats = {r.name: r.health for r in reg.run_statistics(flows, ctx).collect()}
+    stats = {r.name: r.health for r in reg.run_statistics(flows, ctx, str(tmp_path)).collect()}
     assert stats["dns_threat_detector"] == "disabled" and stats["http_threat_detector"] == "healthy"
 
 
