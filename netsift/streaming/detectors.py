@@ -2,8 +2,10 @@
 
 - T1: per-flow detectors are one projection, unchanged on a stream.
 - T2: tumbling D3 / D6 / D10 with a watermark on the flow start time.
-- T3: sliding D14 with ``approx_count_distinct`` (exact distinct counts are
-  not supported on streams).
+- T3: sliding D14 with exact distinct counts: state that lets each (window,
+  source, port) and (window, source, target) through once, then a count, in
+  append mode (``exact_port_scan``); ``sliding_port_scan`` shows windows that
+  are still open, by sketches.
 - T4: packet sessions with ``session_window`` (idle gap); the active-time
   cap of batch metering needs timers and is only in the batch form.
 - T5: rows later than the watermark are dropped by Spark; re-running the
@@ -22,7 +24,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netsift.functions import domain as dom
@@ -100,9 +102,36 @@ def sliding_port_scan(flows: DataFrame, window: str = "10 minutes", slide: str =
             .select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "src_ip", "ports", "targets", "packets"))
 
 
+def exact_port_scan(flows: DataFrame, window: str = "10 minutes", slide: str = "1 minute",
+                    watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+    """Exact ports, targets and packets of D14 per closed sliding window and source (append mode).
+
+    Two stateful steps: one keeps what each (window, source) has met, keyed by
+    the port or target too, so a busy source is spread over all tasks; the other
+    sums ones. Both drop a window once the watermark has passed its end. A
+    window goes out then, once, and is final; the rule is ``scan_windows``.
+    """
+    f = with_event_time(flows.where(F.col("src_ip").isNotNull())).withWatermark("event_time", watermark)
+    f = f.select(F.window("event_time", window, slide).alias("w"), "src_ip", "dst_port", "dst_ip", "bidirectional_packets")
+    port = F.struct(F.lit("port").alias("kind"), F.col("dst_port").cast("string").alias("value"))
+    target = F.struct(F.lit("target").alias("kind"), F.col("dst_ip").alias("value"))
+    met = f.select("w", "src_ip", F.explode(F.array(port, target)).alias("m")).select("w", "src_ip", "m.kind", "m.value") \
+        .where(F.col("value").isNotNull()).dropDuplicates(["w", "src_ip", "kind", "value"])
+    one = lambda kind: (F.col("kind") == kind).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    parts = met.select("w", "src_ip", one("port").alias("ports"), one("target").alias("targets"), none.alias("packets")) \
+        .unionByName(f.select("w", "src_ip", none.alias("ports"), none.alias("targets"), F.col("bidirectional_packets").cast("bigint").alias("packets")))
+    return parts.groupBy("w", "src_ip").agg(*[F.sum(c).alias(c) for c in ("ports", "targets", "packets")]) \
+        .select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "src_ip", "ports", "targets", "packets")
+
+
+def is_scan() -> Column:
+    return (F.col("ports") > det.SCAN_MIN_PORTS) & (F.col("targets") < det.SCAN_MAX_TARGETS)
+
+
 def scan_windows(latest: DataFrame) -> DataFrame:
     """The windows that are scans now."""
-    return latest.where((F.col("ports") > det.SCAN_MIN_PORTS) & (F.col("targets") < det.SCAN_MAX_TARGETS))
+    return latest.where(is_scan())
 
 
 def packet_sessions(packets: DataFrame, gap: str = "120 seconds", watermark: str = "1 hour") -> DataFrame:

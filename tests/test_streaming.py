@@ -137,3 +137,34 @@ def test_stateful_metering_late_packets_are_flows_of_their_own(spark):
     got = spark.read.parquet(out).where(F.col("src_ip") != sd.HEARTBEAT_IP).collect()
     assert sorted((r.bidirectional_first_seen_ms - base, r.bidirectional_last_seen_ms - base, r.bidirectional_packets) for r in got) == [
         (5000, 5600, 3), (5200, 5200, 1)]
+
+
+def test_exact_scan_counts_equal_the_batch(spark):
+    """Ports and targets that come again, in one file or a later one, count once; closed windows go out once."""
+    import random
+    import time
+
+    from conftest import flows_df
+    rng = random.Random(3)
+    base = 1_699_999_980_000  # a whole minute
+    rows = [dict(src_ip=rng.choice(["10.0.0.1", "10.0.0.2", None]), dst_ip=f"9.9.9.{rng.randint(0, 6)}" if rng.random() < .9 else None,
+                 dst_port=rng.randint(1, 60) if rng.random() < .9 else None, bidirectional_packets=rng.randint(1, 5),
+                 bidirectional_first_seen_ms=base + i * 500) for i in range(1200)]
+    src, out, ck = _dirs()
+    for part in (rows[:600], rows[600:]):
+        flows_df(spark, part).coalesce(1).write.mode("append").parquet(src)
+        sd.run_append(sd.exact_port_scan(read_flow_stream(spark, src), "2 minutes", "1 minute", "30 seconds"), out, ck)
+        time.sleep(1.1)
+    want = {}
+    closed = max(r["bidirectional_first_seen_ms"] for r in rows if r["src_ip"]) - 30_000
+    for r in rows:
+        ts = r["bidirectional_first_seen_ms"]
+        for w in (ts - ts % 60_000, ts - ts % 60_000 - 60_000):
+            if r["src_ip"] and w + 120_000 <= closed:
+                ports, targets, packets = want.setdefault((w, r["src_ip"]), (set(), set(), []))
+                ports.add(r["dst_port"])
+                targets.add(r["dst_ip"])
+                packets.append(r["bidirectional_packets"])
+    want = sorted((*k, len(p - {None}), len(t - {None}), sum(n)) for k, (p, t, n) in want.items())
+    got = [tuple(r) for r in spark.read.parquet(out).select("window_start_ms", "src_ip", "ports", "targets", "packets").collect()]
+    assert sorted(got) == want and len(want) >= 14
