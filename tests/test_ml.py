@@ -62,3 +62,25 @@ def test_domain_classifier_small(spark):
     assert ev.auc >= 0.9 and len(ev.importances) == 5
     s = dm.score(model, lab)
     assert set(s.columns) == {"domain", "probability", "is_suspicious"} and s.count() == 80
+
+
+def test_split_is_exact_in_each_label(spark):
+    lab = spark.createDataFrame([(f"a{i}.com", 0.0) for i in range(503)] + [(f"b{i}.xyz", 1.0) for i in range(7)], "domain string, label double")
+    train, test = dm.split(lab)
+    counts = lambda d: {r.label: r["count"] for r in d.groupBy("label").count().collect()}
+    assert counts(train) == {0.0: 402, 1.0: 5} and counts(test) == {0.0: 101, 1.0: 2}
+    assert train.intersect(test).isEmpty() and train.unionAll(test).exceptAll(lab).isEmpty()
+    again, _ = dm.split(lab.repartition(3))
+    assert again.exceptAll(train).isEmpty() and not dm.split(lab, seed=7)[0].exceptAll(train).isEmpty()
+
+
+def test_area_under_curve_equals_all_pairs(spark):
+    rnd = random.Random(4)
+    for scores in ([rnd.random() for _ in range(300)], [rnd.choice([-1.0, 0.25, 3.5]) for _ in range(200)], [0.5] * 20):
+        rows = [(float(rnd.random() < .3), s) for s in scores]
+        pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+        want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+        r = dm.area_under_curve(spark.createDataFrame([*rows, (None, 1.0), (1.0, None)], "label double, score double")).first()
+        assert abs(r.auc - want) < 1e-12 and (r.positives, r.negatives) == (len(pos), len(neg))
+    one = spark.createDataFrame([(1.0, 0.5)], "label double, score double")
+    assert dm.area_under_curve(one).first().auc is None and dm.area_under_curve(one.limit(0)).first().positives == 0
