@@ -216,6 +216,7 @@ def indicator_queries() -> dict[str, Query]:
     from netsift.sources import feeds as fd
     from netsift.sources import fixtures as fx
     from netsift.sources import sinks
+    from netsift.sources.feed_state import FeedState
     from netsift.sources.builtin import BUILTIN_PHISHING_KEYWORDS, BUILTIN_SAFE_DOMAINS, BUILTIN_SUSPICIOUS_UA
 
     def now():
@@ -261,6 +262,20 @@ def indicator_queries() -> dict[str, Query]:
                .unionByName(t.literal(fx.FEED_OPS, "value")))
         return ops
 
+    def updated_feeds(t: Tables):
+        """Three sources are loaded; then one comes again unchanged and fails, one comes changed, one adds items."""
+        base = base_indicators(t)
+        state = FeedState(t.spark, scratch_dir(t.spark, "feed-state"))
+        first = now() - F.expr("INTERVAL 1 DAY")
+        for source, category in (("domain_feed", "threat_domains"), ("reputation_feed", "threat_ips"), ("url_feed", "threat_urls")):
+            state.apply_update(source, category, base.where(F.col("source") == source), first)
+        state.apply_update("domain_feed", "threat_domains", _flow_names(t).unionByName(_flow_names(t)), now())
+        state.record_failure("domain_feed", "HTTP 503", now())
+        some = base.where((F.col("source") == "reputation_feed") & F.col("value").endswith("1")).select("value")
+        state.apply_update("reputation_feed", "threat_ips", some.unionByName(_page_hosts(t)), now())
+        state.apply_update("url_feed", "threat_urls", _flow_names(t), now(), incremental=True)
+        return FeedState(t.spark, state.root)  # as a later run finds it
+
     q: dict[str, Query] = {}
     q["feed_text_items"] = _q(lambda t: text_feed(t))
     q["feed_gzip_items"] = _q(lambda t: text_feed(t, "gzip"))
@@ -294,6 +309,8 @@ def indicator_queries() -> dict[str, Query]:
                                             "reputation_feed", False)))
     q["indicator_category_counts"] = _q(lambda t: ind.category_counts(base_indicators(t), base_feeds(t)))
     q["indicator_set_version"] = _q(lambda t: ind.set_version(base_indicators(t), by=["source"]))
+    q["feed_state_versions"] = _q(lambda t: updated_feeds(t).state().drop("generations", "updated_at"))
+    q["feed_state_items"] = _q(lambda t: _out(updated_feeds(t).items()))
     q["threat_cidr_matches"] = _q(lambda t: ind.threat_ip_matches(t.flows, t.threat_cidrs))
     q["threat_url_matches"] = _q(lambda t: ind.threat_url_matches(t.urls, t.threat_urls))
     return q
@@ -308,7 +325,23 @@ WHITELIST_IP_PREFIXES = ["10.0.0.1", "172.16.", "203.0.113.", "10.66."]
 def alert_queries() -> dict[str, Query]:
     from netsift.operators import alerts as al
     from netsift.operators import fused
-    from netsift.plans.registry import Context, default_registry
+    from netsift.plans.registry import Context, Detector, default_registry, read_run, run_reports
+    from netsift.session import scratch_dir
+
+    def per_packet(flows: DataFrame, ctx: Context, cfg: dict) -> DataFrame:
+        """A detector that divides by zero in its tasks, whatever the session's ANSI setting."""
+        none = F.col("bidirectional_packets") - F.col("bidirectional_packets")
+        rate = F.when(none == 0, F.raise_error(F.lit("division by zero")).cast("bigint")).otherwise(F.col("bidirectional_bytes"))
+        return al.to_alerts(flows.where(rate > 0), engine="per_packet", threat_type="RATE", severity="LOW", confidence=0.5,
+                            description=F.concat(F.lit("rate "), rate.cast("string")), evidence={"rate": rate}, ioc=[F.col("dst_ip")])
+
+    def isolated(t: Tables) -> str:
+        """The four engines and one that fails in its tasks, alerts committed under a fresh folder."""
+        registry = default_registry()
+        registry.register(Detector("per_packet", per_packet, priority=25))
+        path = scratch_dir(t.spark, "run")
+        registry.commit_all(t.flows, Context(t.spark, threat_domains=t.threat_domains), path)
+        return path
 
     def all_alerts(t: Tables, fused_scan: bool = True) -> DataFrame:
         ctx = Context(t.spark, threat_domains=t.threat_domains)
@@ -325,6 +358,8 @@ def alert_queries() -> dict[str, Query]:
     q["alert_severity_counts"] = _q(lambda t: al.severity_counts(all_alerts(t)))
     q["alert_counts_by_type"] = _q(lambda t: al.counts_by(all_alerts(t), "threat_type"))
     q["alert_counts_by_engine"] = _q(lambda t: al.counts_by(all_alerts(t), "engine_name"))
+    q["alerts_isolated_run"] = _q(lambda t: flat(read_run(t.spark, isolated(t))))
+    q["run_statistics"] = _q(lambda t: run_reports(t.spark, isolated(t)).select("name", "priority", "detections", "health"))
     q["alert_bundle_by_type"] = _q(lambda t: al.alert_bundle(all_alerts(t)).groupBy("threat_type").agg(
         F.count(F.lit(1)).alias("alert_count"), F.count("description").alias("bundled")))
     return q
@@ -347,12 +382,29 @@ def metering_queries() -> dict[str, Query]:
 # --- learned operators (M4/M5, M8-M10) — rows-only checks -----------------------------------
 
 def ml_queries() -> dict[str, Query]:
+    from netsift.functions import domain as dom
     from netsift.operators import domain_model as dm
     from netsift.operators import iforest as ifo
 
     def forest(t: Tables):
         return ifo.fit(t.flows)
 
+    def parts(t: Tables) -> DataFrame:
+        train, test = dm.split(dm.labelled_domains(t.flows))
+        return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+    def rule_evaluation(t: Tables) -> DataFrame:
+        """M9 over the rule scores of all names."""
+        scores = dom.rule_score("domain")
+        rated = dm.labelled_domains(t.flows).select("label", scores.alias("score"))
+        return dm.area_under_curve(rated).select("positives", "negatives", F.round("auc", 9).alias("auc"))
+
+    def evaluation(t: Tables) -> DataFrame:
+        model, test = gbt(t)
+        e = dm.evaluate(model, test)
+        top = F.lit(", ".join(name for name, _ in e.importances))
+        return e.summary.select("*", F.lit(e.auc).alias("auc"), top.alias("top_features"))
+
     def gbt(t: Tables):
         train, test = dm.split(dm.labelled_domains(t.flows))
         return dm.train(train), test
@@ -360,6 +412,9 @@ def ml_queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q["isolation_forest_scores"] = _q(lambda t: ifo.predict(t.flows, forest(t)).select(
         "src_ip", "dst_ip", "dst_port", "bidirectional_bytes", "anomaly_score", "is_anomaly"))
+    q["domain_model_split"] = _q(lambda t: parts(t))
+    q["domain_rule_evaluation"] = _q(lambda t: rule_evaluation(t))
+    q["domain_model_evaluation"] = _q(lambda t: evaluation(t))
     q["domain_model_scores"] = _q(lambda t: dm.score(gbt(t)[0], dm.labelled_domains(t.flows)))
     q["domain_model_confusion"] = _q(lambda t: dm.evaluate(*gbt(t)).confusion)
     q["detect_unknown_domains_model"] = _q(lambda t: det.unknown_domains(
@@ -413,6 +468,11 @@ def streaming_queries() -> dict[str, Query]:
         drain()
         return t.spark.read.parquet(out).where(F.col("a_ip") != sd.HEARTBEAT_IP)
 
+    def scans(t: Tables) -> DataFrame:
+        out, ck = dirs(t, "t3")
+        sd.run_append(sd.exact_port_scan(flow_stream(t), window="365 days", slide="30 days", watermark="1 day"), out, ck)
+        return t.spark.read.parquet(out)
+
     def threat_hits(t: Tables) -> DataFrame:
         out, ck = dirs(t, "t6")
         doms = t.threat_domains
@@ -459,10 +519,7 @@ def streaming_queries() -> dict[str, Query]:
         t, "t2c", sd.tumbling_unknown_tls, ["window_start_ms", "dst_ip"],
         "window_start_ms long, dst_ip string, flows long"))
     # flow start times in the test data are whole days, so the sliding window is sized in days
-    q["stream_port_scan_sliding"] = _q(lambda t: sd.scan_windows(upsert(
-        t, "t3", lambda f: sd.sliding_port_scan(f, window="365 days", slide="30 days", watermark="1 day"),
-        ["window_start_ms", "src_ip"],
-        "window_start_ms long, src_ip string, ports long, targets long, packets long")))
+    q["stream_port_scan_sliding"] = _q(lambda t: scans(t).withColumn("is_scan", sd.is_scan()))
     q["stream_packet_sessions"] = _q(sessions)
     q["stream_threat_domains"] = _q(threat_hits)
     return q
@@ -497,6 +554,13 @@ def surface_queries() -> dict[str, Query]:
         sinks.write_indicators(base_indicators(t), path)
         return _out(sinks.read_indicators(t.spark, path, ["domain_feed", "reputation_feed"]))
 
+    def overwrite(t: Tables) -> DataFrame:
+        path = sinks.write_indicators(base_indicators(t), scratch_dir(t.spark, "indicators"))
+        new = _page_hosts(t).select(F.lit("domain_feed").alias("source"), F.lit("threat_domains").alias("category"), "value",
+                                    _stamp(F.lit(0)).alias("added_at"))
+        sinks.write_indicators(new, path, sources=["domain_feed"])
+        return _out(sinks.read_indicators(t.spark, path, ["domain_feed", "reputation_feed"]))
+
     def analysis(t: Tables) -> DataFrame:
         res = analyze(t.flows, Context(t.spark, threat_domains=t.threat_domains),
                       domain_reputation=t.domain_reputation, ip_cache=rp.cache_from_snapshot(t.ip_reputation),
@@ -511,6 +575,7 @@ def surface_queries() -> dict[str, Query]:
     q["alerts_first_100"] = _q(lambda t: al.ioc_string(all_alerts(t)).orderBy(*first_order).limit(100))
     q["report_findings"] = _q(report)
     q["indicator_snapshot_roundtrip"] = _q(snapshot)
+    q["indicator_snapshot_partition_overwrite"] = _q(overwrite)
     q["analysis_counts_by_type"] = _q(analysis)
     return q
 

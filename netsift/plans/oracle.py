@@ -213,6 +213,16 @@ def oracle_sql() -> dict[str, str]:
         f"WHERE rn <= {det.PLUGIN_SCAN_SAMPLE} GROUP BY src_ip)")
     q["domain_features"] = domain_feature_sql()
     q["domain_rule_score"] = rule_score_sql()
+    labelled = ("SELECT DISTINCT requested_server_name AS domain, CASE WHEN ends_with(requested_server_name, '.xyz') THEN 1.0::DOUBLE "
+                "ELSE 0.0::DOUBLE END AS label FROM flows WHERE requested_server_name IS NOT NULL")
+    q["domain_model_split"] = with_flows(
+        "SELECT domain, label, CASE WHEN r <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY label ORDER BY md5('42:' || domain), domain) AS r, count(*) OVER (PARTITION BY label) AS n FROM d)", f"d AS ({labelled})")
+    q["domain_rule_evaluation"] = (
+        "SELECT CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives, round(sum(p * (below + n / 2.0)) / "
+        "(sum(p) * sum(n)), 9) AS auc FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND "
+        "1 PRECEDING), 0) AS below FROM (SELECT rule_score AS score, count(*) FILTER (ends_with(domain, '.xyz')) AS p, "
+        f"count(*) FILTER (NOT ends_with(domain, '.xyz')) AS n FROM ({q['domain_rule_score']}) GROUP BY rule_score))")
     q.update(anomaly_sql())
     q.update(reputation_sql())
     q.update(graph_sql())
@@ -636,10 +646,36 @@ def indicator_sql() -> dict[str, str]:
     q["indicator_category_counts"] = with_flows(
         "SELECT category, count(*) AS items FROM (SELECT DISTINCT b.category, b.value FROM base b JOIN feeds f "
         "USING (source) WHERE f.enabled) GROUP BY category", base)
-    q["indicator_set_version"] = with_flows(
-        "SELECT source, n, '1.' || CAST(n AS VARCHAR) || '.' || substr(h, 1, 6) AS version, substr(h, 1, 8) AS hash FROM ("
-        "SELECT source, count(*) AS n, format('{:015x}', bit_xor(CAST('0x' || substr(md5(value), 1, 15) AS BIGINT))) AS h "
-        "FROM (SELECT DISTINCT source, value FROM base) GROUP BY source)", base)
+    versions = ("(SELECT source, count(*) AS n, md5(string_agg(value, '|' ORDER BY value)) AS h FROM {0} GROUP BY source) x JOIN "
+                "(SELECT source, md5(string_agg(b || ':' || h, '|' ORDER BY b)) AS digest FROM (SELECT source, "
+                "substr(md5(value), 1, 3) AS b, md5(string_agg(value, '|' ORDER BY value)) AS h FROM {0} GROUP BY source, b) "
+                "GROUP BY source) y USING (source)")
+    version = "n, '1.' || CAST(n AS VARCHAR) || '.' || substr(h, 1, 6) AS version, substr(h, 1, 8) AS hash, digest"
+    distinct = "(SELECT DISTINCT source, value FROM base)"
+    q["indicator_set_version"] = with_flows(f"SELECT source, {version} FROM {versions.format(distinct)}", base)
+    q["indicator_snapshot_roundtrip"] = with_flows(
+        "SELECT * FROM base WHERE source IN ('domain_feed', 'reputation_feed')", base)
+    replaced = ("SELECT * FROM base WHERE source = 'reputation_feed' UNION ALL "
+                f"SELECT 'domain_feed', 'threat_domains', value, CAST({N} AS BIGINT) FROM hosts")
+    q["indicator_snapshot_partition_overwrite"] = with_flows(replaced, base)
+    # The feed state after its updates: an equal feed, a changed one, one that adds, one that fails.
+    later = (f"{base}, later AS (SELECT source, category, value, added_epoch FROM base WHERE source = 'domain_feed' UNION ALL "
+             f"SELECT 'reputation_feed', 'threat_ips', value, CAST({N} AS BIGINT) FROM (SELECT value FROM base WHERE source = "
+             "'reputation_feed' AND ends_with(value, '1') UNION SELECT value FROM hosts) UNION ALL "
+             "SELECT source, category, value, added_epoch FROM base WHERE source = 'url_feed' UNION ALL "
+             f"SELECT 'url_feed', 'threat_urls', value, CAST({N} AS BIGINT) FROM names), "
+             "stamped AS (SELECT source, category, value, CASE WHEN source = 'domain_feed' OR (source = 'url_feed' AND value NOT IN "
+             f"(SELECT value FROM names)) THEN CAST({N} - 86400 AS BIGINT) ELSE added_epoch END AS added_epoch FROM later)")
+    q["feed_state_items"] = with_flows("SELECT * FROM stamped", later)
+    counts = ("(SELECT count(*) FROM base WHERE source = '{0}')")
+    q["feed_state_versions"] = with_flows(
+        f"SELECT source, category, {version}, changes, added, removed, health, error_message FROM {versions.format('stamped')} JOIN ("
+        f"SELECT 'domain_feed' AS source, 'threat_domains' AS category, CAST(1 AS BIGINT) AS changes, {counts.format('domain_feed')} AS added, "
+        "CAST(0 AS BIGINT) AS removed, 'degraded' AS health, 'HTTP 503' AS error_message UNION ALL "
+        "SELECT 'reputation_feed', 'threat_ips', 2, (SELECT count(*) FROM stamped s WHERE source = 'reputation_feed' AND value NOT IN "
+        "(SELECT value FROM base WHERE source = 'reputation_feed')), (SELECT count(*) FROM base WHERE source = 'reputation_feed' AND "
+        "value NOT IN (SELECT value FROM stamped WHERE source = 'reputation_feed')), 'healthy', NULL UNION ALL "
+        "SELECT 'url_feed', 'threat_urls', 2, (SELECT count(*) FROM names), 0, 'healthy', NULL) z USING (source)", later)
     cidr = (f"c AS (SELECT value AS cidr, trim(string_split(value, ';')[1]) AS t FROM ({fx.values_sql(fx.THREAT_CIDRS, 'value')})), "
             f"c2 AS (SELECT cidr, {ipv4_long_sql(chr(115) + 'plit_part(t, ' + chr(39) + '/' + chr(39) + ', 1)')} AS base, "
             "coalesce(TRY_CAST(NULLIF(split_part(t, '/', 2), '') AS INTEGER), 32) AS plen FROM c), "
@@ -710,6 +746,10 @@ def alert_sql(q: dict[str, str]) -> dict[str, str]:
     out["alert_counts_by_type"] = f"SELECT threat_type, count(*) AS alert_count FROM ({union}) GROUP BY threat_type"
     out["alert_counts_by_engine"] = (f"SELECT coalesce(engine_name, 'unknown') AS engine_name, count(*) AS alert_count "
                                      f"FROM ({union}) GROUP BY 1")
+    out["alerts_isolated_run"] = out["alerts_all_detectors"]
+    engines = " UNION ALL ".join(f"SELECT '{e}' AS name, {p} AS priority, (SELECT count(*) FROM ({union}) WHERE engine_name = '{e}') AS "
+                                 "detections, 'healthy' AS health" for e, p in sorted({(e, p) for e, _, p in rows}))
+    out["run_statistics"] = f"{engines} UNION ALL SELECT 'per_packet', 25, 0, 'error'"
     out["alert_bundle_by_type"] = (f"SELECT threat_type, count(*) AS alert_count, count(*) "
                                    f"AS bundled FROM ({union}) GROUP BY threat_type")
     return out
@@ -763,6 +803,14 @@ def streaming_sql(q: dict[str, str]) -> dict[str, str]:
         f"SELECT {ws} AS window_start_ms, dst_ip, CAST(sum(bidirectional_packets) AS BIGINT) AS packet_count FROM flows "
         f"WHERE application_name = 'DNS' AND dst_ip IS NOT NULL GROUP BY 1, 2 "
         f"HAVING sum(bidirectional_packets) > {det.DNS_TUNNEL_PACKETS}")
+    day = 86_400_000
+    size, slide = 365 * day, 30 * day
+    out["stream_port_scan_sliding"] = with_flows(
+        f"SELECT *, ports > {det.SCAN_MIN_PORTS} AND targets < {det.SCAN_MAX_TARGETS} AS is_scan FROM (SELECT w AS window_start_ms, src_ip, "
+        "count(DISTINCT dst_port) AS ports, count(DISTINCT dst_ip) AS targets, CAST(sum(bidirectional_packets) AS BIGINT) AS packets FROM ("
+        f"SELECT *, ts - ts % {slide} - k * {slide} AS w FROM (SELECT *, bidirectional_first_seen_ms AS ts FROM flows WHERE src_ip IS NOT NULL), "
+        f"range(0, {size // slide + 1}) AS r(k)) WHERE w + {size} > ts AND w + {size} <= (SELECT max(bidirectional_first_seen_ms) - {day} "
+        "FROM flows WHERE src_ip IS NOT NULL) GROUP BY w, src_ip)")
     out["stream_uncommon_port_windows"] = with_flows(
         f"SELECT {ws} AS window_start_ms, dst_port AS port, count(*) AS count FROM flows WHERE dst_port IS NOT NULL "
         f"AND dst_port NOT IN {_in(det.COMMON_PORTS)} GROUP BY 1, 2 HAVING count(*) > {det.UNCOMMON_PORT_FLOWS}")
@@ -803,12 +851,6 @@ def surface_sql(q: dict[str, str]) -> dict[str, str]:
     out["alerts_high_severity"] = f"SELECT * FROM ({union}) WHERE severity = 'HIGH'"
     out["alerts_first_100"] = (f"SELECT * FROM ({union}) ORDER BY priority, engine_name, threat_type, severity, "
                                f"confidence, ioc LIMIT 100")
-    base = q["indicator_set_version"]
-    out["indicator_snapshot_roundtrip"] = base.replace(
-        "SELECT source, count(*) AS n, '1.' || CAST(count(*) AS VARCHAR) || '.' || substr(md5(string_agg(value, '|' "
-        "ORDER BY value)), 1, 6) AS version, substr(md5(string_agg(value, '|' ORDER BY value)), 1, 8) AS hash "
-        "FROM base GROUP BY source",
-        "SELECT * FROM base WHERE source IN ('domain_feed', 'reputation_feed')")
     types = (f"SELECT threat_type FROM ({union}) UNION ALL SELECT 'PHISHING' FROM ({q['detect_domain_threats']}) "
              f"UNION ALL SELECT 'MALICIOUS_IP' FROM ({q['detect_malicious_ips']})")
     out["analysis_counts_by_type"] = f"SELECT threat_type, count(*) AS alert_count FROM ({types}) GROUP BY threat_type"
