@@ -16,9 +16,12 @@ spaces two characters count as a word.
 A class or id name is a hint when, without structural words at its end, it ends
 in a hint word ('site-footer', 'comment-body'); names that negate, say how a
 page is laid out, or file a post ('no-sidebar', 'has-menu', 'tag-search') say
-nothing. A name never speaks against ``main``, nor against an element that
-holds most of the page's text outside links; comments and articles need also
-that the page has no text otherwise.
+nothing. A name never speaks against ``main``. On a page without a marked article
+it doesn't speak against a wrapper either: an element that holds most of the
+page's text outside links and a ``main``, ``article`` or ``h1``; on a page that
+has no text otherwise, any heading or several containers will do, and a hinted
+article counts. Comment sections and blocks that hold plain text alone (a long
+notice, a sidebar, an advert) stay out whatever their share of the page.
 
 Null and empty html, and pages without a good block: empty text. Broken markup
 is read as far as it goes: unclosed elements end with their container. Every
@@ -90,8 +93,8 @@ UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u30
 LATIN = re.compile("[A-Za-z\u00aa\u00ba\u00c0-\u024f\u1e00-\u1eff]")
 LETTERS = re.compile(r"[^\W\d_]+")
 
-#: STRONG and COMMENT come from names, HARD from tags, roles and hidden elements.
-PLAIN, MAIN, WEAK, STRONG, COMMENT, HARD = range(6)
+#: WEAK, STRONG and COMMENT come from names, TOP from ``header``, HARD from other tags, roles and hidden elements.
+PLAIN, MAIN, TOP, WEAK, STRONG, COMMENT, HARD = range(7)
 GOOD, BAD, OPEN = "good", "bad", "open"
 
 
@@ -115,12 +118,18 @@ class Block:
 
 @dataclass
 class Hinted:
-    """An element that names alone keep out of the text: its number on the page, tag, place, and characters outside links."""
+    """An element that names alone keep out of the text: its number on the page, tag, place, and characters outside links.
+
+    Inside it: ``main``, ``article`` and ``h1`` elements; headings; containers.
+    """
 
     number: int
     tag: str
     place: int
     chars: int
+    marks: int = 0
+    headings: int = 0
+    containers: int = 0
 
 
 def hints_of(value: str) -> set[str]:
@@ -169,9 +178,9 @@ def place_of(tag: str, attributes: str, outer: int, names: bool = True) -> int:
             return STRONG
         if tag == "article":
             return WEAK if words & WEAK_HINTS else MAIN
-    if tag == "header" or names and words & WEAK_HINTS:
+    if names and words & WEAK_HINTS:
         return WEAK
-    return outer
+    return TOP if tag == "header" and outer < TOP else outer
 
 
 def blocks_of(page: str, over: frozenset[int] = frozenset()) -> tuple[list[Block], list[Hinted], int]:
@@ -226,6 +235,9 @@ def blocks_of(page: str, over: frozenset[int] = frozenset()) -> tuple[list[Block
             heading = tag in HEADINGS and not closing
             if closing:
                 linked = False
+            for _, element in running if heading else ():
+                element.headings += 1
+                element.marks += tag == "h1"
         if tag not in CONTAINERS or tag in VOID:
             continue
         attributes = m.group(4) or m.group(7) or ""
@@ -240,6 +252,9 @@ def blocks_of(page: str, over: frozenset[int] = frozenset()) -> tuple[list[Block
             leave(1)
         elif not attributes.rstrip().endswith("/"):
             outer = stack[-1][1]
+            for _, element in running:
+                element.containers += 1
+                element.marks += tag in ("main", "article")
             place = place_of(tag, attributes, outer, elements not in over)
             if place != outer:
                 close()
@@ -272,7 +287,7 @@ def first_pass(blocks: list[Block], rules: BlockRules) -> None:
         words = LETTERS.findall(b.text.lower())
         stop = sum(w in STOP_WORDS for w in words)
         links = b.link_chars / len(b.text)
-        if b.place >= STRONG or b.place == WEAK and not (article and b.heading) or article and b.place == PLAIN:
+        if b.place >= STRONG or b.place == WEAK or b.place == TOP and not (article and b.heading) or article and b.place == PLAIN:
             b.label = BAD
         elif links > rules.link_density:
             b.label = BAD
@@ -311,7 +326,7 @@ def second_pass(blocks: list[Block]) -> None:
     advert or another container inside the text.
     """
     article = any(b.place == MAIN for b in blocks)
-    area = [b for b in blocks if b.place == MAIN or b.place == WEAK and b.heading and b.label == OPEN] if article else blocks
+    area = [b for b in blocks if b.place == MAIN or b.place == TOP and b.heading and b.label == OPEN] if article else blocks
     plain = [b for b in blocks if b.place == PLAIN]
     inside = {id(b) for b, (one, two) in zip(plain, decided_neighbours(plain)) if one[1] == two[1] == GOOD}
     labels = []
@@ -339,12 +354,14 @@ def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     if not page:
         return ""
     blocks, hinted, chars = blocks_of(page)
-    over = frozenset(h.number for h in hinted if h.place != COMMENT and 2 * h.chars > chars)
+    most = [h for h in hinted if h.place != COMMENT and 2 * h.chars > chars]
+    over = frozenset(h.number for h in most if h.marks) if all(b.place != MAIN for b in blocks) else frozenset()
     if over:
         blocks, hinted, chars = blocks_of(page, over)
     text = good_text(blocks, rules)
     if not text:
-        more = frozenset(h.number for h in hinted if 2 * h.chars > chars or h.tag == "article" and h.place == WEAK)
+        more = frozenset(h.number for h in hinted if h.tag == "article" and h.place == WEAK
+                         or h.place != COMMENT and 2 * h.chars > chars and (h.headings or h.containers > 1))
         text = good_text(blocks_of(page, over | more)[0], rules) if more else ""
     return text
 
