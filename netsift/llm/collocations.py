@@ -14,9 +14,10 @@ two phrases of k words inside it both passed a bitmap of the frequent ones.
 The bitmap has a fixed size (16 MB), so it may let others through, which the
 exact counts then drop; it never holds one back.
 
-Word ids need no dictionary in the tasks: every chunk lists its own words, the
-list is joined with the table of frequent words, and the chunk's sequence is
-renumbered. Blocks hold distinct phrases, so a phrase that makes up a third of
+Every chunk lists its own words, and its sequence is renumbered by the ids of
+the frequent ones: a counted dictionary of at most ``dictionary`` words (about
+100 bytes each) goes to the tasks; a larger one stays a table, with which the
+chunks' lists are joined. Either way the numbers are the same. Blocks hold distinct phrases, so a phrase that makes up a third of
 all words is one entry per filter.
 
 Null text is empty; a null language is ``und``. Repeated rows count each time.
@@ -37,8 +38,10 @@ from netsift.llm.common import narrow, stored
 
 MAX_WORDS = 5
 #: Words of one language that a chunk holds at least, unless its task ends or holds HELD words over all languages.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 HELD = 1 << 22
+#: Frequent words that a task holds as a dictionary.
+DICTIONARY = 1 << 20
 #: Entries that a task's filter gathers before it is handed on.
 FILTER = 1 << 21
 #: Word occurrences per block of quotients.
@@ -272,8 +275,32 @@ def numbered(frequent: DataFrame, parts: int = 64) -> DataFrame:
     return f.join(sizes, ["lang", "part"]).select("lang", "word", "f", (inside + F.col("before")).cast("bigint").alias("id"))
 
 
-def sequences(texts: DataFrame, words: DataFrame) -> DataFrame:
+def sequences(texts: DataFrame, words: DataFrame, dictionary: int = DICTIONARY) -> DataFrame:
     """(lang, ids) of the chunks, renumbered by the frequent words' ids; 0 for all other words and ends of pieces."""
+    if words.count() <= dictionary:
+        return by_dictionary(texts, words)
+    return by_join(texts, words)
+
+
+def by_dictionary(texts: DataFrame, words: DataFrame) -> DataFrame:
+    known: dict[str, dict[bytes, int]] = {}
+    for r in words.select("lang", "word", "id").toLocalIterator():
+        known.setdefault(r["lang"], {})[bytes(r["word"])] = r["id"]
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for lang, own, ids in zip(f["lang"], f["words"], f["ids"]):
+                table = shared.value.get(lang, {})
+                to = np.fromiter((table.get(w, 0) for w in (b"", *own)), np.uint32, len(own) + 1)
+                out.append(to[np.frombuffer(ids, "<u4")].astype("<u4").tobytes())
+            yield pd.DataFrame({"lang": f["lang"], "ids": out})
+
+    return texts.select("lang", "words", "ids").mapInPandas(run, "lang string, ids binary")
+
+
+def by_join(texts: DataFrame, words: DataFrame) -> DataFrame:
     own = texts.select("chunk", "lang", F.posexplode("words").alias("at", "word"))
     table = own.join(words.select("lang", "word", "id"), ["lang", "word"]) \
         .groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("ids_of"))  # as long as the chunk's word list at most
@@ -283,9 +310,8 @@ def sequences(texts: DataFrame, words: DataFrame) -> DataFrame:
             out = []
             for n, ids, known in zip(f["n"], f["ids"], f["ids_of"]):
                 to = np.zeros(n + 1, np.uint32)
-                if known is not None and len(known):
-                    pairs = np.array([(r["at"], r["id"]) for r in known])
-                    to[pairs[:, 0] + 1] = pairs[:, 1]
+                pairs = np.array([(r["at"], r["id"]) for r in known])
+                to[pairs[:, 0] + 1] = pairs[:, 1]
                 out.append(to[np.frombuffer(ids, "<u4")].astype("<u4").tobytes())
             yield pd.DataFrame({"lang": f["lang"], "ids": out})
 

@@ -61,7 +61,8 @@ def test_other_blocks_and_widths_give_the_same(spark):
     want = [tuple(r) for r in C.collocations(docs, 4, 30).collect()]
     phrases, words, totals = C.frequent_phrases(docs.select("text", "lang"), 4)
     for blocks in (1, 7):
-        ids = C.stored(C.sequences(C.stored(C.chunks(docs.select("text", "lang").repartition(5)), "c"), words), "s")
+        chunks = C.stored(C.chunks(docs.select("text", "lang").repartition(5)), "c")
+        ids = C.stored(C.sequences(chunks, words, dictionary=0 if blocks == 1 else C.DICTIONARY), "s")
         bits = {r["lang"]: 9 for r in words.select("lang").distinct().collect()}  # any width that the ids fit
         for k in (2, 5):
             got = C.phrase_counts(ids, k, bits, blocks, 4, None).collect()
