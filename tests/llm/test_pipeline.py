@@ -47,5 +47,5 @@ def test_stages_on_odd_rows(spark, tmp_path, rows):
 def test_entry_registers_the_queries():
     import __spark_entry__ as entry
     names = set(entry.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
     assert set(entry.oracle_sql()) <= names
