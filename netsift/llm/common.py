@@ -50,9 +50,20 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, large: bool = False, by: str | None = None) -> DataFrame:
+def step_folder(spark: SparkSession) -> str:
+    """A new folder for the step tables of one operator; ``clear`` it once the operator's result is stored elsewhere."""
+    return f"{shared_root(spark)}/netsift-llm/steps-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession, folder: str) -> None:
+    """Replace the folder and all its tables by one table without rows."""
+    spark.range(0).write.mode("overwrite").parquet(folder)
+
+
+def stored(df: DataFrame, name: str, large: bool = False, by: str | None = None, folder: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
 
+    ``folder``: where (see ``step_folder``); by itself it stays.
     ``by``: a column with few values that later steps filter on; it names the folders.
     ``large``: the step has shuffled much of the input. Its shuffle files are
     then of no use, and Spark deletes them once the driver's JVM has collected
@@ -60,7 +71,7 @@ def stored(df: DataFrame, name: str, large: bool = False, by: str | None = None)
     finished query still waits in the listeners' queue.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/netsift-llm/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_root(spark) + '/netsift-llm'}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)

@@ -1,19 +1,22 @@
 """N-gram Jaccard self-join by a blocked sparse matrix product (operator 6).
 
 Rows of the incidence matrix are distinct shingle sets (copies share a row),
-columns are shingles. Columns are ordered by rarity, and two rows that reach
-the similarity must share one of their first ``n - ceil(0.8 n) + 1`` columns;
-only these enter the product, block by block (a block is a shuffle partition
-of columns). Cells below the bounds that the two sizes and the positions of
-the shared column imply are dropped; the full overlap is accumulated for the
-rest.
+columns are shingles. Columns are ordered by rarity. Two rows that reach the
+similarity share at least ``n // SPARE + 1`` of their first ``n // 5 + 1 +
+n // SPARE`` columns, n being the smaller size for the first number and each
+row's own for the second; only these entries enter the product, block by block
+(a block is a shuffle partition of columns). A row with fewer columns in
+common with other rows than its smallest possible partner requires is dropped
+whole, before any pairing. Cells whose accumulated count is below the bound of
+their two sizes, or whose sizes and positions don't fit, are dropped; the full
+overlap is computed for the rest.
 
 Rows sharing a column are not paired one by one with each other: first each is
-paired with the row of the column that has the fewest rare shingles, and links
-merge rows into components. Only columns that still hold several components go
-on; once their cross-component cells are few (in proportion to the entries),
-or after ``MAX_ROUNDS`` such rounds, all of these cells are computed. So every
-link either is computed or lies inside one component.
+paired with one row of the column, and links merge rows into components. Only
+columns that still hold several components go on, and only rows that still have
+enough of them; once the cross-component cells are few (in proportion to the
+entries), or after ``MAX_ROUNDS`` such rounds, all of these cells are
+accumulated. So every link either is computed or lies inside one component.
 
 Rarity comes from a fixed table of 2^20 hashed counts (4 MB whatever the
 corpus); any order is right, rarity makes it quick. Shingles and sets are
@@ -35,12 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsift.llm.common import column_index, narrow, stored, with_plain_names
+from netsift.llm.common import clear, column_index, narrow, step_folder, stored, with_plain_names
 from netsift.llm.components import components
 
 WORDS = 5
 #: Similarity of at least 4/5: 9 * overlap >= 4 * (size + size).
 MAX_ROUNDS = 4
+#: One further prefix column for every SPARE shingles, and one more column that two linked rows must share.
+SPARE = 10
 SLOTS = 1 << 20
 BLOCK = 4096
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +130,7 @@ def prefix_entries(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
-                first = np.lexsort((s, table[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))[:len(s) // 5 + 1]
+                first = np.lexsort((s, table[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))[:len(s) // 5 + 1 + len(s) // SPARE]
                 out.append((s[first].view(np.int64), key, len(s)))
             if out:
                 sizes = [len(x[0]) for x in out]
@@ -136,33 +141,45 @@ def prefix_entries(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame
     return docs.mapInPandas(run, "token bigint, key bigint, n int, p int")
 
 
+def spare(n):
+    """Column: prefix columns beyond the first that two rows share if ``n`` is the smaller size."""
+    return F.floor(n / SPARE)
+
+
 def reachable(n1, p1, n2, p2):
-    """Column: sizes and positions of the shared column still allow the similarity."""
+    """Column: sizes and positions of the shared column, at most the (spare + 1)-th one, still allow the similarity."""
     total = n1 + n2
-    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * F.least(n1 - p1, n2 - p2) >= 4 * total)
+    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) \
+        & (9 * (F.least(n1 - p1, n2 - p2) + spare(F.least(n1, n2))) >= 4 * total)
 
 
 def with_mates(entries: DataFrame) -> DataFrame:
     """Entries whose column holds a row of a size that fits: the next smaller or larger one decides.
 
-    A row at least as large needs ``9 (n - p) >= 8 n``; the prefix itself allows every smaller one of fitting size.
+    A row at least as large leaves a bound on the position; the prefix itself allows every smaller one of fitting size.
     """
     by_size = Window.partitionBy("token").orderBy("n", "key")
     e = entries.withColumn("under", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
     smaller = 5 * F.col("under") >= 4 * F.col("n")
-    larger = (5 * F.col("n") >= 4 * F.col("above")) & (9 * (F.col("n") - F.col("p")) >= 4 * (F.col("n") + F.col("above")))
-    e = e.filter(F.coalesce(smaller, F.lit(False)) | F.coalesce(larger, F.lit(False)))
-    return e.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1").select("token", "key", "n", "p")
+    larger = (5 * F.col("n") >= 4 * F.col("above")) \
+        & (9 * (F.col("n") - F.col("p") + spare(F.col("n"))) >= 4 * (F.col("n") + F.col("above")))
+    return e.filter(F.coalesce(smaller, F.lit(False)) | F.coalesce(larger, F.lit(False))).select("token", "key", "n", "p")
+
+
+def with_enough(entries: DataFrame) -> DataFrame:
+    """Entries of rows that keep as many columns as a link with a partner of the smallest fitting size needs."""
+    rows = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")) \
+        .filter(F.col("c") > spare(F.ceil(4 * F.col("n") / 5)))
+    return entries.join(rows.select("key"), "key", "left_semi")
 
 
 def pivot_pairs(entries: DataFrame, round_no: int) -> DataFrame:
-    """Each row of a column with the column's pivot: the row with the fewest rarer shingles, later rows by turn."""
-    by_turn = F.col("p") / F.col("n") if round_no == 0 else F.xxhash64("key", F.lit(round_no))
-    w = Window.partitionBy("token")
-    best = F.min(F.struct(by_turn.alias("o"), "key", "n", "p", "label")).over(w)
+    """Each row of a column with the column's pivot, the least by a hash that is new in each round."""
+    best = F.min(F.struct(F.xxhash64("key", F.lit(round_no)).alias("o"), "key", "n", "p", "label")).over(Window.partitionBy("token"))
     e = entries.withColumn("v", best)
-    return e.filter((F.col("label") != F.col("v.label")) & reachable(F.col("n"), F.col("p"), F.col("v.n"), F.col("v.p"))) \
-        .select(F.least("key", "v.key").alias("a"), F.greatest("key", "v.key").alias("b")).distinct()
+    e = e.filter((F.col("label") != F.col("v.label")) & reachable(F.col("n"), F.col("p"), F.col("v.n"), F.col("v.p")))
+    return accumulated(e.select(F.least("key", "v.key").alias("a"), F.greatest("key", "v.key").alias("b"),
+                                F.least("n", "v.n").alias("n")))
 
 
 def cross_pairs(entries: DataFrame) -> DataFrame:
@@ -170,9 +187,16 @@ def cross_pairs(entries: DataFrame) -> DataFrame:
     x = entries.select("token", *[F.col(c).alias(f"{c}1") for c in ("key", "n", "p", "label")])
     y = entries.select("token", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "p", "label")])
     first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("key1") < F.col("key2")))
-    return x.join(y, "token").filter(first & (F.col("label1") != F.col("label2"))
-                                     & reachable(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"))) \
-        .select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b")).distinct()
+    cells = x.join(y, "token").filter(first & (F.col("label1") != F.col("label2"))
+                                      & reachable(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2")))
+    return accumulated(cells.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b"),
+                                    F.col("n1").alias("n")))
+
+
+def accumulated(cells: DataFrame) -> DataFrame:
+    """(a, b) of the cells (a, b, n: smaller size) that occur in enough columns."""
+    return cells.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")) \
+        .filter(F.col("c") > spare(F.col("n"))).select("a", "b")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,14 +222,14 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) ->
     return found.mapInPandas(run, "key bigint, tokens array<bigint>")
 
 
-def similarity_links(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """(node, root): the components of the linked sets (``rows`` as stored from set_rows)."""
+def similarity_links(docs: DataFrame, rows: DataFrame, words: int, folder: str) -> DataFrame:
+    """(node, root): the components of the linked sets (``rows`` as stored from set_rows); steps go to ``folder``."""
     entries = prefix_entries(docs, hashed_counts(rows), words).repartition("token") \
         .groupBy("token", "key").agg(F.min("n").alias("n"), F.min("p").alias("p"))
-    entries = with_mates(entries).withColumn("label", F.col("key"))
-    entries = stored(entries, "entries", large=True)
+    entries = stored(with_mates(entries), "mated", large=True, folder=folder)
+    entries = stored(with_enough(entries).withColumn("label", F.col("key")), "entries", folder=folder)
     size = entries.count()
-    sets = stored(sets_of(docs, rows, entries.select("key").distinct(), words), "sets", large=True)
+    sets = stored(sets_of(docs, rows, entries.select("key").distinct(), words), "sets", large=True, folder=folder)
     links = None
     for round_no in range(MAX_ROUNDS + 1):
         counts = entries.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")) \
@@ -213,29 +237,33 @@ def similarity_links(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
         cells = counts.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
         last = round_no == MAX_ROUNDS or cells <= 2 * size
         new = linked(cross_pairs(entries) if last else pivot_pairs(entries, round_no), sets)
-        links = stored(new if links is None else links.unionAll(new), "similar")
-        roots = components(links)
+        links = stored(new if links is None else links.unionAll(new), "similar", folder=folder)
+        roots = components(links, folder=folder)
         if last:
             return roots
         labelled = entries.drop("label").join(roots.select(F.col("node").alias("key"), "root"), "key", "left") \
             .select("token", "key", "n", "p", F.coalesce("root", "key").alias("label"))
         several = labelled.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h")
-        entries = stored(labelled.join(several.select("token"), "token", "left_semi"), "entries")
+        entries = stored(with_enough(labelled.join(several.select("token"), "token", "left_semi")), "entries", folder=folder)
     return roots
 
 
 def grouped_rows(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, digest, n, key, component) for each row of (doc_id, text); no component without shingles."""
     docs = docs.withColumn("digest", F.xxhash64("text"))
-    everything = stored(set_rows(docs, words), "sets-named")
-    roots = similarity_links(docs, everything, words).toDF("key", "component")
-    return everything.filter("slot_block is null").select("doc_id", "digest", "n", "key") \
+    folder = step_folder(docs.sparkSession)
+    everything = stored(set_rows(docs, words), "sets-named", folder=folder)
+    roots = similarity_links(docs, everything, words, folder).toDF("key", "component")
+    grouped = everything.filter("slot_block is null").select("doc_id", "digest", "n", "key") \
         .join(roots, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    grouped = stored(grouped, "grouped")
+    clear(docs.sparkSession, folder)
+    return grouped
 
 
 def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: the smallest id reachable over links of similarity >= 0.8."""
-    rows = stored(grouped_rows(narrow(docs, doc_id=(doc_id, "bigint"), text=(text, "string")), words), "grouped")
+    rows = grouped_rows(narrow(docs, doc_id=(doc_id, "bigint"), text=(text, "string")), words)
     least = rows.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "component", "left") \
         .select("doc_id", F.col("n").alias("n_shingles"),
@@ -244,7 +272,7 @@ def ngram_jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
     """One row of ``docs`` per component, of the smallest id (null ids last), and all rows without shingles; all columns stay."""
-    rows = stored(grouped_rows(narrow(docs, doc_id=(doc_id, "bigint"), text=(text, "string")), words), "grouped")
+    rows = grouped_rows(narrow(docs, doc_id=(doc_id, "bigint"), text=(text, "string")), words)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("v")
     kept = rows.filter("component is not null").groupBy("component").agg(first) \
         .select(F.col("v.doc_id").alias("kept_id"), F.col("v.digest").alias("kept_digest"), F.lit(True).alias("once"))

@@ -287,6 +287,32 @@ def test_ngram_join_rest_pass_and_rounds(spark, monkeypatch):
         assert H.order([tuple(r) for r in got]) == H.order(H.brute_components(rows))
 
 
+def test_ngram_join_near_the_bound(spark):
+    """Pairs on both sides of 0.8, of many sizes, in texts that also share passages with strangers."""
+    rng, rows = random.Random(31), []
+    passage = [[f"p{j}w{i}" for i in range(25)] for j in range(3)]
+    for g in range(60):
+        n = rng.choice((20, 45, 90, 180, 320))
+        base = [f"b{g}w{i}" for i in range(n)] + (passage[g % 3] if g % 2 else [])
+        other = list(base)
+        for k in range(max(1, round(len(base) * rng.choice((0.018, 0.02, 0.022, 0.024, 0.03))))):
+            other[(k * 37 + 11) % len(other)] = f"o{g}k{k}"
+        cut = base[:int(len(base) * rng.choice((0.79, 0.8, 0.81, 0.82, 0.85)))]
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, " ".join(other)), (3 * g + 2, " ".join(cut))]
+    got = ngram_join.ngram_jaccard_join(H.docs(spark, rows)).collect()
+    want = H.brute_components(rows)
+    assert len({c for _, _, c in want}) not in (60, 180)  # some pairs link, some don't
+    assert H.order([tuple(r) for r in got]) == H.order(want)
+
+
+def test_ngram_join_leaves_no_step_tables(spark, tmp_path, monkeypatch):
+    root = tmp_path.as_uri()
+    monkeypatch.setattr(ngram_join, "step_folder", lambda s: f"{root}/steps")
+    ngram_join.ngram_jaccard_join(H.docs(spark, near_copies(3, groups=2, copies=4))).collect()
+    assert not [p for p in (tmp_path / "steps").iterdir() if p.is_dir()]
+    assert spark.read.parquet(f"{root}/steps").count() == 0
+
+
 def test_one_of_each_group(spark):
     rows = near_copies(11, groups=3) + [(4, "same text of five words"), (4, "same text of five words"), (90000, None), (90001, "")]
     kept = ngram_join.one_of_each_group(H.docs(spark, rows, H.PLAIN))
