@@ -15,8 +15,8 @@ Rows sharing a column are not paired one by one with each other: first each is
 paired with one row of the column, and links merge rows into components. Only
 columns that still hold several components go on, and only rows that still have
 enough of them; once the cross-component cells are few (in proportion to the
-entries), or after ``MAX_ROUNDS`` such rounds, all of these cells are
-accumulated. So every link either is computed or lies inside one component.
+entries), when a round leaves nearly all entries, or after ``MAX_ROUNDS`` such
+rounds, all of these cells are accumulated. So every link either is computed or lies inside one component.
 
 Rarity comes from a fixed table of 2^20 hashed counts (4 MB whatever the
 corpus); any order is right, rarity makes it quick. Shingles and sets are
@@ -174,12 +174,15 @@ def with_enough(entries: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(entries: DataFrame, round_no: int) -> DataFrame:
-    """Each row of a column with the column's pivot, the least by a hash that is new in each round."""
-    best = F.min(F.struct(F.xxhash64("key", F.lit(round_no)).alias("o"), "key", "n", "p", "label")).over(Window.partitionBy("token"))
+    """Each row of a column with the column's pivot: the row with the fewest rarer shingles, later rows by turn.
+
+    A row meets different pivots in its columns, so what a pair accumulates here is no bound; all pairs are verified.
+    """
+    by_turn = F.col("p") / F.col("n") if round_no == 0 else F.xxhash64("key", F.lit(round_no))
+    best = F.min(F.struct(by_turn.alias("o"), "key", "n", "p", "label")).over(Window.partitionBy("token"))
     e = entries.withColumn("v", best)
-    e = e.filter((F.col("label") != F.col("v.label")) & reachable(F.col("n"), F.col("p"), F.col("v.n"), F.col("v.p")))
-    return accumulated(e.select(F.least("key", "v.key").alias("a"), F.greatest("key", "v.key").alias("b"),
-                                F.least("n", "v.n").alias("n")))
+    return e.filter((F.col("label") != F.col("v.label")) & reachable(F.col("n"), F.col("p"), F.col("v.n"), F.col("v.p"))) \
+        .select(F.least("key", "v.key").alias("a"), F.greatest("key", "v.key").alias("b")).distinct()
 
 
 def cross_pairs(entries: DataFrame) -> DataFrame:
@@ -230,12 +233,12 @@ def similarity_links(docs: DataFrame, rows: DataFrame, words: int, folder: str)
     entries = stored(with_enough(entries).withColumn("label", F.col("key")), "entries", folder=folder)
     size = entries.count()
     sets = stored(sets_of(docs, rows, entries.select("key").distinct(), words), "sets", large=True, folder=folder)
-    links = None
+    links, left, stalled = None, size, False
     for round_no in range(MAX_ROUNDS + 1):
         counts = entries.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c")) \
             .groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         cells = counts.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-        last = round_no == MAX_ROUNDS or cells <= 2 * size
+        last = stalled or round_no == MAX_ROUNDS or cells <= 2 * size
         new = linked(cross_pairs(entries) if last else pivot_pairs(entries, round_no), sets)
         links = stored(new if links is None else links.unionAll(new), "similar", folder=folder)
         roots = components(links, folder=folder)
@@ -245,6 +248,8 @@ def similarity_links(docs: DataFrame, rows: DataFrame, words: int, folder: str)
             .select("token", "key", "n", "p", F.coalesce("root", "key").alias("label"))
         several = labelled.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h")
         entries = stored(with_enough(labelled.join(several.select("token"), "token", "left_semi")), "entries", folder=folder)
+        before, left = left, entries.count()
+        stalled = round_no > 0 and left > 0.9 * before
     return roots
 
 
