@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from netsift.functions import domain as dom
 from netsift.functions import ip as ipf
+from netsift.session import scratch_dir
 
 # --- fixed values -------------------------------------------------------------
 DEFAULT_MIN_BYTES = 1000
@@ -201,3 +202,19 @@ def alert_iocs(alerts: DataFrame) -> dict[str, DataFrame]:
     ips = ip_text.unionByName(ioc_ip).distinct()
     domains = dom_text.unionByName(ev_dom).unionByName(ioc_dom).distinct()
     return {"ips": ips, "domains": domains}
+
+
+# --- G2 from alerts ---------------------------------------------------------------
+
+def anomaly_graph(flows: DataFrame, alerts: DataFrame, severities: tuple[str, ...] = ("HIGH", "MEDIUM")) -> dict[str, DataFrame]:
+    """G2 of the detectors' results: the edges that touch an address or carry a name which an alert of one of the
+    ``severities`` mentions (G5), with the nodes. Without such alerts: every valid edge, as with empty sets.
+
+    The detectors run once: what their alerts mention is stored below the shared folder before the graph reads it.
+    """
+    found = alert_iocs(alerts.where(F.col("severity").isin(*severities)))
+    path = scratch_dir(flows.sparkSession, "alert-iocs")
+    found["ips"].withColumn("kind", F.lit("ip")).unionByName(found["domains"].withColumn("kind", F.lit("domain"))).write.parquet(path)
+    stored = flows.sparkSession.read.schema("value string, kind string").parquet(path)
+    ips, domains = (stored.where(F.col("kind") == kind).select("value") for kind in ("ip", "domain"))
+    return build_graph(flows, min_bytes=0, highlight_ips=ips, highlight_domains=domains)

@@ -113,7 +113,21 @@ def reputation_queries() -> dict[str, Query]:
     def cache(t: Tables) -> DataFrame:
         return rp.cache_from_snapshot(t.ip_reputation)
 
+    def domain_lists(t: Tables) -> tuple[DataFrame, DataFrame]:
+        """The whitelisted names and the safe list with its ages, from the reputation snapshot."""
+        listed = F.col("judgment") == "Whitelist"
+        rep = t.domain_reputation.withColumnRenamed("domain", "key")
+        safe = rep.where(~listed & (F.col("severity") == "info")).select("key", (F.ascii("key") * 7 % 60).alias("age_days"))
+        return rep.where(listed).select("key"), safe
+
+    def external_keys(t: Tables) -> DataFrame:
+        return t.flows.select(F.col("dst_ip").alias("key"))
+
     q: dict[str, Query] = {}
+    q["reputation_cache_remove"] = _q(lambda t: rp.cache_remove(cache(t), external_keys(t)).select("key", "level", "age_days"))
+    q["reputation_cache_remove_level"] = _q(lambda t: rp.cache_remove(cache(t), external_keys(t), "malicious")
+                                            .select("key", "level", "age_days"))
+    q["reputation_cache_clear_level"] = _q(lambda t: rp.cache_clear(cache(t), "safe").select("key", "level", "age_days"))
     q["ip_reputation_tiers"] = _q(lambda t: rp.ip_tiers(t.flows, cache(t)).select("ip", "tier", "abuse_score", "age_days"))
     q["ip_pending_lookups"] = _q(lambda t: rp.pending_ips(t.flows, cache(t)))
     q["detect_malicious_ips"] = _q(lambda t: rp.malicious_ips(t.flows, cache(t), t.ip_reputation))
@@ -129,6 +143,8 @@ def reputation_queries() -> dict[str, Query]:
     q["reputation_lookup_stats"] = _q(lambda t: rp.lookup_stats(t.flows, cache(t), t.ip_reputation))
     q["domain_candidates"] = _q(lambda t: rp.candidate_domains(t.flows, det.unknown_domain_names(t.flows)))
     q["domain_gate"] = _q(lambda t: rp.gate_domains(rp.candidate_domains(t.flows, det.unknown_domain_names(t.flows))))
+    q["domain_gate_lists"] = _q(lambda t: rp.gate_domains(
+        rp.candidate_domains(t.flows, det.unknown_domain_names(t.flows)), *domain_lists(t)))
     q["domain_triage"] = _q(lambda t: rp.triage_domains(t.flows, t.domain_reputation,
                                                         flagged=det.unknown_domain_names(t.flows))
                             .select("domain", "severity", "judgment", "outcome"))
@@ -160,6 +176,8 @@ def graph_queries() -> dict[str, Query]:
     q["graph_nodes_full"] = _q(lambda t: gr.build_graph(t.flows)["nodes"])
     q["graph_edges_threat"] = _q(lambda t: threat_graph(t)["edges"])
     q["graph_nodes_threat"] = _q(lambda t: threat_graph(t)["nodes"])
+    q["graph_edges_anomaly"] = _q(lambda t: gr.anomaly_graph(t.flows, some_alerts(t))["edges"])
+    q["graph_nodes_anomaly"] = _q(lambda t: gr.anomaly_graph(t.flows, some_alerts(t))["nodes"])
     q["alert_ioc_ips"] = _q(lambda t: gr.alert_iocs(some_alerts(t))["ips"])
     q["alert_ioc_domains"] = _q(lambda t: gr.alert_iocs(some_alerts(t))["domains"])
     return q
@@ -276,6 +294,12 @@ def indicator_queries() -> dict[str, Query]:
         state.apply_update("url_feed", "threat_urls", _flow_names(t), now(), incremental=True)
         return FeedState(t.spark, state.root)  # as a later run finds it
 
+    def added(t: Tables) -> tuple[DataFrame, DataFrame]:
+        """A source of page hosts is added, and domain_feed again with other items."""
+        feeds, items = ind.add_source(base_feeds(t), base_indicators(t), "host_feed", "threat_domains", _page_hosts(t), now=now())
+        return ind.add_source(feeds, items, "domain_feed", "threat_domains",
+                              _flow_names(t).where(F.col("value").endswith(".xyz")), now=now())
+
     q: dict[str, Query] = {}
     q["feed_text_items"] = _q(lambda t: text_feed(t))
     q["feed_gzip_items"] = _q(lambda t: text_feed(t, "gzip"))
@@ -308,6 +332,10 @@ def indicator_queries() -> dict[str, Query]:
         base_indicators(t), ind.set_enabled(ind.set_enabled(base_feeds(t), "url_feed", True),
                                             "reputation_feed", False)))
     q["indicator_category_counts"] = _q(lambda t: ind.category_counts(base_indicators(t), base_feeds(t)))
+    q["indicator_source_counts"] = _q(lambda t: ind.source_counts(ind.set_enabled(added(t)[0], "domain_feed", False)))
+    q["indicator_add_source"] = _q(lambda t: _out(added(t)[1]))
+    q["indicator_add_source_view"] = _q(lambda t: ind.category_view(added(t)[1], added(t)[0]))
+    q["indicator_remove_source"] = _q(lambda t: _out(ind.remove_source(base_feeds(t), base_indicators(t), "domain_feed")[1]))
     q["indicator_set_version"] = _q(lambda t: ind.set_version(base_indicators(t), by=["source"]))
     q["feed_state_versions"] = _q(lambda t: updated_feeds(t).state().drop("generations", "updated_at"))
     q["feed_state_items"] = _q(lambda t: _out(updated_feeds(t).items()))

@@ -385,6 +385,11 @@ def reputation_sql() -> dict[str, str]:
             f"AS severity, CASE WHEN abuse_score >= {rp.HIGH_AT} THEN 0.95 ELSE 0.7 END AS confidence "
             f"FROM lookup WHERE level = 'malicious')")
     q = {}
+    seen = "key IN (SELECT dst_ip FROM flows WHERE dst_ip IS NOT NULL)"
+    q["reputation_cache_remove"] = with_flows(f"SELECT key, level, age_days FROM cache WHERE NOT ({seen})", base)
+    q["reputation_cache_remove_level"] = with_flows(
+        f"SELECT key, level, age_days FROM cache WHERE NOT (level = 'malicious' AND {seen})", base)
+    q["reputation_cache_clear_level"] = with_flows("SELECT key, level, age_days FROM cache WHERE level <> 'safe'", base)
     q["ip_reputation_tiers"] = with_flows("SELECT ip, tier, abuse_score, age_days FROM tiers", base)
     q["ip_pending_lookups"] = with_flows("SELECT ip FROM pending", base)
     q["detect_malicious_ips"] = with_flows(
@@ -443,6 +448,11 @@ def reputation_sql() -> dict[str, str]:
              + domain_stats_cte("dst", "dnsn", "thr", key="nname"))
     q["domain_candidates"] = with_flows("SELECT domain FROM cand", dbase)
     q["domain_gate"] = with_flows("SELECT domain FROM gated", dbase)
+    drep = f"({fx.domain_reputation_sql('duckdb')})"
+    q["domain_gate_lists"] = with_flows(
+        f"SELECT domain FROM gated WHERE domain NOT IN (SELECT domain FROM {drep} WHERE judgment = 'Whitelist') "
+        f"AND domain NOT IN (SELECT domain FROM {drep} WHERE judgment <> 'Whitelist' AND severity = 'info' "
+        f"AND ascii(domain) * 7 % 60 < {rp.SAFE_DOMAIN_TTL_DAYS})", dbase)
     q["domain_triage"] = with_flows("SELECT domain, severity, judgment, outcome FROM tri", dbase)
     q["detect_domain_threats"] = with_flows(
         "SELECT t.domain, t.severity, t.judgment, CASE WHEN t.is_malicious THEN 'HIGH' ELSE 'MEDIUM' END AS alert_severity, "
@@ -503,27 +513,28 @@ def graph_sql() -> dict[str, str]:
         "SELECT source, target, value, label, false AS is_highlighted, 'ip' AS kind, "
         "round(least(value / 1e6 + 1.0, 6.0), 6) AS width FROM kept", base + ", " + full)
     q["graph_nodes_full"] = with_flows(_ip_nodes_sql("kept", None), base + ", " + full)
-    thr = (f"rep AS ({fx.ip_reputation_sql('duckdb')}), "
-           f"hip AS (SELECT DISTINCT ip AS value FROM rep WHERE {level_sql('abuse_score', 'isp')} = 'malicious'), "
-           f"hd AS (SELECT DISTINCT lower(value) AS domain FROM ({fx.values_sql(fx.THREAT_DOMAINS, 'value')}) "
-           f"WHERE lower(value) <> ''), "
-           "names AS (SELECT DISTINCT src_ip AS source, dst_ip AS target, lower(requested_server_name) AS sni FROM clean "
-           "WHERE requested_server_name IS NOT NULL AND requested_server_name <> ''), "
-           "nm AS (SELECT n.source, n.target, n.sni, arg_max(hd.domain, length(hd.domain)) AS domain FROM names n "
-           "JOIN hd ON n.sni = hd.domain OR ends_with(n.sni, '.' || hd.domain) GROUP BY n.source, n.target, n.sni), "
-           "matches AS (SELECT source, target, domain FROM nm), "
-           "ipe AS (SELECT e.* FROM edges e WHERE e.source IN (SELECT value FROM hip) OR e.target IN (SELECT value FROM hip) "
-           "OR EXISTS (SELECT 1 FROM matches m WHERE m.source = e.source AND m.target = e.target)), "
-           "de AS (SELECT m.source, m.domain AS target, e.value FROM matches m JOIN edges e "
-           "ON m.source = e.source AND m.target = e.target), "
-           "badset AS (SELECT source AS id FROM de UNION SELECT value FROM hip)")
-    q["graph_edges_threat"] = with_flows(
-        "SELECT source, target, value, label, true AS is_highlighted, 'ip' AS kind, "
-        "round(least(value / 1e6 + 1.0, 6.0), 6) AS width FROM ipe UNION ALL "
-        f"SELECT source, target, value, '{gr.DOMAIN_EDGE_LABEL}', true, 'domain', 3.0 FROM de", base + ", " + thr)
-    q["graph_nodes_threat"] = with_flows(
-        _ip_nodes_sql("ipe", "badset") + " UNION ALL SELECT DISTINCT target, 'domain', 'Domain', CAST(0 AS BIGINT), "
-        f"{float(gr.DOMAIN_NODE_SIZE)}, true, false FROM de", base + ", " + thr)
+    def highlighted(sets: str) -> tuple[str, str]:
+        """SQL of edges and nodes for CTEs hip(value) and hd(domain)."""
+        thr = (sets + ", names AS (SELECT DISTINCT src_ip AS source, dst_ip AS target, lower(requested_server_name) AS sni FROM clean "
+               "WHERE requested_server_name IS NOT NULL AND requested_server_name <> ''), "
+               "nm AS (SELECT n.source, n.target, n.sni, arg_max(hd.domain, length(hd.domain)) AS domain FROM names n "
+               "JOIN hd ON n.sni = hd.domain OR ends_with(n.sni, '.' || hd.domain) GROUP BY n.source, n.target, n.sni), "
+               "matches AS (SELECT source, target, domain FROM nm), "
+               "ipe AS (SELECT e.* FROM edges e WHERE e.source IN (SELECT value FROM hip) OR e.target IN (SELECT value FROM hip) "
+               "OR EXISTS (SELECT 1 FROM matches m WHERE m.source = e.source AND m.target = e.target)), "
+               "de AS (SELECT m.source, m.domain AS target, e.value FROM matches m JOIN edges e "
+               "ON m.source = e.source AND m.target = e.target), "
+               "badset AS (SELECT source AS id FROM de UNION SELECT value FROM hip)")
+        return (with_flows("SELECT source, target, value, label, true AS is_highlighted, 'ip' AS kind, "
+                           "round(least(value / 1e6 + 1.0, 6.0), 6) AS width FROM ipe UNION ALL "
+                           f"SELECT source, target, value, '{gr.DOMAIN_EDGE_LABEL}', true, 'domain', 3.0 FROM de", base + ", " + thr),
+                with_flows(_ip_nodes_sql("ipe", "badset") + " UNION ALL SELECT DISTINCT target, 'domain', 'Domain', "
+                           f"CAST(0 AS BIGINT), {float(gr.DOMAIN_NODE_SIZE)}, true, false FROM de", base + ", " + thr))
+
+    q["graph_edges_threat"], q["graph_nodes_threat"] = highlighted(
+        f"rep AS ({fx.ip_reputation_sql('duckdb')}), "
+        f"hip AS (SELECT DISTINCT ip AS value FROM rep WHERE {level_sql('abuse_score', 'isp')} = 'malicious'), "
+        f"hd AS (SELECT DISTINCT lower(value) AS domain FROM ({fx.values_sql(fx.THREAT_DOMAINS, 'value')}) WHERE lower(value) <> '')")
     # G5 over the alerts of D1, D3 and D14
     d1 = ("SELECT [domain, matched_threat_domain, CAST(query_count AS VARCHAR), source_ips] AS ev, "
           "printf('Access to threat domain %s (matches %s)', domain, matched_threat_domain) AS descr, "
@@ -550,6 +561,9 @@ def graph_sql() -> dict[str, str]:
         f"FROM texts WHERE t IS NOT NULL) WHERE {valid('d')} "
         f"UNION ALL SELECT evdom FROM alerts WHERE evdom IS NOT NULL AND {valid('evdom')} "
         f"UNION ALL SELECT lower(v) FROM iocs WHERE v IS NOT NULL AND NOT {looks_ip('v')} AND {valid('v')})", al)
+    # all alerts of D1, D3 and D14 are HIGH, so the anomaly graph highlights all that they mention
+    q["graph_edges_anomaly"], q["graph_nodes_anomaly"] = highlighted(
+        f"hip AS ({q['alert_ioc_ips']}), hd AS (SELECT value AS domain FROM ({q['alert_ioc_domains']}))")
     return q
 
 
@@ -646,6 +660,17 @@ def indicator_sql() -> dict[str, str]:
     q["indicator_category_counts"] = with_flows(
         "SELECT category, count(*) AS items FROM (SELECT DISTINCT b.category, b.value FROM base b JOIN feeds f "
         "USING (source) WHERE f.enabled) GROUP BY category", base)
+    again = (f"SELECT 'domain_feed' AS source, 'threat_domains' AS category, value, CAST({N} AS BIGINT) AS added_epoch FROM names "
+             "WHERE ends_with(value, '.xyz')")
+    after = (f"SELECT * FROM base WHERE source <> 'domain_feed' UNION ALL {again} UNION ALL "
+             f"SELECT 'host_feed', 'threat_domains', value, CAST({N} AS BIGINT) FROM hosts")
+    q["indicator_add_source"] = with_flows(after, base)
+    q["indicator_add_source_view"] = with_flows(
+        f"SELECT DISTINCT category, value FROM ({after}) WHERE source NOT IN (SELECT source FROM feeds WHERE NOT enabled)", base)
+    q["indicator_remove_source"] = with_flows("SELECT * FROM base WHERE source <> 'domain_feed'", base)
+    q["indicator_source_counts"] = with_flows(
+        "SELECT count(*) + 1 AS total_sources, count(*) FILTER (WHERE enabled AND source <> 'domain_feed') + 1 AS enabled_sources, "
+        "count(*) FILTER (WHERE source <> 'url_feed') + 1 AS healthy_sources FROM feeds", base)
     versions = ("(SELECT source, count(*) AS n, md5(string_agg(value, '|' ORDER BY value)) AS h FROM {0} GROUP BY source) x JOIN "
                 "(SELECT source, md5(string_agg(b || ':' || h, '|' ORDER BY b)) AS digest FROM (SELECT source, "
                 "substr(md5(value), 1, 3) AS b, md5(string_agg(value, '|' ORDER BY value)) AS h FROM {0} GROUP BY source, b) "
