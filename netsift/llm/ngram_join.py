@@ -7,9 +7,10 @@ n // SPARE`` columns, n being the smaller size for the first number and each
 row's own for the second; only these entries enter the product, block by block
 (a block is a shuffle partition of columns). A row with fewer columns in
 common with other rows than its smallest possible partner requires is dropped
-whole, before any pairing. Cells whose accumulated count is below the bound of
-their two sizes, or whose sizes and positions don't fit, are dropped; the full
-overlap is computed for the rest.
+whole, before any pairing. In the product itself a cell needs a column early
+enough in both rows to be the first that a linked pair shares, and a pair whose
+accumulated count cannot reach the bound of its two sizes with the columns that
+follow is dropped; the full overlap is computed for the rest.
 
 Rows sharing a column are not paired one by one with each other: first each is
 paired with one row of the column, and links merge rows into components. Only
@@ -146,11 +147,10 @@ def spare(n):
     return F.floor(n / SPARE)
 
 
-def reachable(n1, p1, n2, p2):
-    """Column: sizes and positions of the shared column, at most the (spare + 1)-th one, still allow the similarity."""
-    total = n1 + n2
+def reachable(n1, p1, n2, p2, before):
+    """Column: sizes and positions of the shared column, with ``before`` shared ones ahead of it, still allow the similarity."""
     return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) \
-        & (9 * (F.least(n1 - p1, n2 - p2) + spare(F.least(n1, n2))) >= 4 * total)
+        & (9 * (F.least(n1 - p1, n2 - p2) + before) >= 4 * (n1 + n2))
 
 
 def with_mates(entries: DataFrame) -> DataFrame:
@@ -181,25 +181,33 @@ def pivot_pairs(entries: DataFrame, round_no: int) -> DataFrame:
     by_turn = F.col("p") / F.col("n") if round_no == 0 else F.xxhash64("key", F.lit(round_no))
     best = F.min(F.struct(by_turn.alias("o"), "key", "n", "p", "label")).over(Window.partitionBy("token"))
     e = entries.withColumn("v", best)
-    return e.filter((F.col("label") != F.col("v.label")) & reachable(F.col("n"), F.col("p"), F.col("v.n"), F.col("v.p"))) \
+    fits = reachable(F.col("n"), F.col("p"), F.col("v.n"), F.col("v.p"), spare(F.least("n", "v.n")))
+    return e.filter((F.col("label") != F.col("v.label")) & fits) \
         .select(F.least("key", "v.key").alias("a"), F.greatest("key", "v.key").alias("b")).distinct()
 
 
 def cross_pairs(entries: DataFrame) -> DataFrame:
-    """All cells between different components that the bounds leave."""
+    """Pairs of different components whose accumulated cells allow the similarity.
+
+    The first column that a linked pair shares leaves the overlap's bound in both rows,
+    so only columns that do make cells: rows that share a passage later on, after what is
+    rarer in each, never meet. Such columns lie in both prefixes and lose no entry on the way here.
+    """
     x = entries.select("token", *[F.col(c).alias(f"{c}1") for c in ("key", "n", "p", "label")])
     y = entries.select("token", *[F.col(c).alias(f"{c}2") for c in ("key", "n", "p", "label")])
     first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("key1") < F.col("key2")))
     cells = x.join(y, "token").filter(first & (F.col("label1") != F.col("label2"))
-                                      & reachable(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2")))
-    return accumulated(cells.select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b"),
-                                    F.col("n1").alias("n")))
+                                      & reachable(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"), 0))
+    return accumulated(cells)
 
 
 def accumulated(cells: DataFrame) -> DataFrame:
-    """(a, b) of the cells (a, b, n: smaller size) that occur in enough columns."""
-    return cells.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")) \
-        .filter(F.col("c") > spare(F.col("n"))).select("a", "b")
+    """(a, b) of the pairs whose count of cells, with the columns after the last one, can reach the overlap of their sizes."""
+    after = F.least(F.min(F.col("n1") - F.col("p1")), F.min(F.col("n2") - F.col("p2"))) - 1
+    return cells.groupBy("key1", "key2") \
+        .agg(F.count(F.lit(1)).alias("c"), after.alias("after"), F.min(F.col("n1") + F.col("n2")).alias("total")) \
+        .filter(9 * (F.col("c") + F.col("after")) >= 4 * F.col("total")) \
+        .select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

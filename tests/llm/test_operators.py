@@ -305,6 +305,25 @@ def test_ngram_join_near_the_bound(spark):
     assert H.order([tuple(r) for r in got]) == H.order(want)
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_ngram_join_strangers_with_a_long_passage_do_not_meet(spark, monkeypatch, rounds):
+    """A passage that is two thirds of each text makes no pairs of strangers, and no link beside it is lost."""
+    passage, rows = [f"p{i}" for i in range(100)], []
+    for g in range(60):
+        own = [f"u{g}x{i}" for i in range(30)]
+        rows.append((2 * g, " ".join(own[:15] + passage + own[15:])))
+        if g % 6 == 0:
+            rows.append((2 * g + 1, " ".join(own[:15] + passage + own[15:28])))
+    seen, verify = [], ngram_join.linked
+    monkeypatch.setattr(ngram_join, "MAX_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "linked", lambda pairs, sets: seen.append(pairs.count()) or verify(pairs, sets))
+    got = ngram_join.ngram_jaccard_join(H.docs(spark, rows)).collect()
+    want = H.brute_components(rows)
+    assert len({c for _, _, c in want}) == 60
+    assert H.order([tuple(r) for r in got]) == H.order(want)
+    assert sum(seen) < 100  # of 2,415 pairs
+
+
 def test_ngram_join_leaves_no_step_tables(spark, tmp_path, monkeypatch):
     root = tmp_path.as_uri()
     monkeypatch.setattr(ngram_join, "step_folder", lambda s: f"{root}/steps")
