@@ -84,7 +84,7 @@ class Pieces(dict):
 class ByteBpe:
     """One vocabulary: encoder tables and the decoder's offset table."""
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, cache: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         unmask = byte_alphabet()
