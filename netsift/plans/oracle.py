@@ -678,8 +678,7 @@ def indicator_sql() -> dict[str, str]:
     version = "n, '1.' || CAST(n AS VARCHAR) || '.' || substr(h, 1, 6) AS version, substr(h, 1, 8) AS hash, digest"
     distinct = "(SELECT DISTINCT source, value FROM base)"
     q["indicator_set_version"] = with_flows(f"SELECT source, {version} FROM {versions.format(distinct)}", base)
-    q["indicator_snapshot_roundtrip"] = with_flows(
-        "SELECT * FROM base WHERE source IN ('domain_feed', 'reputation_feed')", base)
+    q["indicator_snapshot_roundtrip"] = with_flows("SELECT * FROM base", base)
     replaced = ("SELECT * FROM base WHERE source = 'reputation_feed' UNION ALL "
                 f"SELECT 'domain_feed', 'threat_domains', value, CAST({N} AS BIGINT) FROM hosts")
     q["indicator_snapshot_partition_overwrite"] = with_flows(replaced, base)
