@@ -498,7 +498,9 @@ def streaming_queries() -> dict[str, Query]:
 
     def scans(t: Tables) -> DataFrame:
         out, ck = dirs(t, "t3")
-        sd.run_append(sd.exact_port_scan(flow_stream(t), window="365 days", slide="30 days", watermark="1 day"), out, ck)
+        used = t.flows.select("src_ip", "dst_ip", "dst_port", "bidirectional_packets", "bidirectional_first_seen_ms")
+        flows = read_flow_stream(t.spark, land(t, used, "scan_flows_in"))
+        sd.run_append(sd.exact_port_scan(flows, window="365 days", slide="30 days", watermark="1 day"), out, ck)
         return t.spark.read.parquet(out)
 
     def threat_hits(t: Tables) -> DataFrame:

@@ -2,10 +2,10 @@
 
 - T1: per-flow detectors are one projection, unchanged on a stream.
 - T2: tumbling D3 / D6 / D10 with a watermark on the flow start time.
-- T3: sliding D14 with exact distinct counts: state that lets each (window,
-  source, port) and (window, source, target) through once, then a count, in
-  append mode (``exact_port_scan``); ``sliding_port_scan`` shows windows that
-  are still open, by sketches.
+- T3: sliding D14 with exact distinct counts: state with the windows in which
+  each (source, port) and (source, target) was met, then a sum, in append mode
+  (``exact_port_scan``); ``sliding_port_scan`` shows windows that are still
+  open, by sketches.
 - T4: packet sessions with ``session_window`` (idle gap); the active-time
   cap of batch metering needs timers and is only in the batch form.
 - T5: rows later than the watermark are dropped by Spark; re-running the
@@ -20,12 +20,16 @@ of every key, which equals the batch result once the stream is drained.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from netsift.functions import domain as dom
 from netsift.operators import detectors as det
@@ -102,27 +106,165 @@ def sliding_port_scan(flows: DataFrame, window: str = "10 minutes", slide: str =
             .select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "src_ip", "ports", "targets", "packets"))
 
 
+_UNIT_MS = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000}
+#: Scan rows that a task combines at a time, and parts of the scan state.
+SCAN_ROWS = 200_000
+SCAN_PARTS = 512
+
+
+def interval_ms(text: str) -> int:
+    """Milliseconds of an interval like ``1 hour 30 minutes``."""
+    found = re.findall(r"(\d+)\s+([a-z]+?)s?\b", text.lower())
+    return sum(int(n) * _UNIT_MS[unit] for n, unit in found)
+
+
+def _scan_rows(size: int, slide: int):
+    """Flows to (src_ip, kind, value, first, last, packets, known): a row per port and one per target, with the
+    windows that the flow lies in (``first`` to ``last``, as multiples of the slide). Equal rows are combined,
+    so a pair that makes up much of the traffic reaches its task as few rows; packets go with the target."""
+    keys = ["src_ip", "kind", "value", "first", "last"]
+
+    def combined(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        f = pd.concat(frames)
+        t = f["t"].to_numpy(np.int64)
+        f = f.assign(first=(t - size) // slide + 1, last=t // slide)
+        target = f.rename(columns={"dst_ip": "value"}).assign(kind="target")
+        port = f[f["dst_port"].notna()].rename(columns={"dst_port": "value"}).assign(kind="port", packets=0, known=0)
+        both = pd.concat([x[[*keys, "packets", "known"]] for x in (target, port)])
+        return both.groupby(keys, dropna=False, sort=False, as_index=False).sum().replace({"value": {np.nan: None}})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for f in frames:
+            held.append(f)
+            n += len(f)
+            if n >= SCAN_ROWS:
+                yield combined(held)
+                held, n = [], 0
+        if n:
+            yield combined(held)
+
+    return run
+
+
+def _covered(met: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of spans of windows sorted by (id, first): for each span its first window that no earlier span of its id
+    holds, how many windows it adds, and whether it starts apart from them."""
+    ids, first, last = (met[c].to_numpy(np.int64) for c in ("id", "first", "last"))
+    if not len(ids):
+        return first, first, first.astype(bool)
+    wide = int(last.max() - first.min()) + 3
+    reach = np.maximum.accumulate(ids * wide + (last - first.min()))  # the furthest window so far; an id starts above all before
+    before = np.append(-2, reach[:-1]) - ids * wide + first.min()
+    new_id = np.append(True, ids[1:] != ids[:-1])
+    start = np.where(new_id, first, np.maximum(first, before + 1))
+    return start, np.maximum(last - start + 1, 0), new_id | (first > before + 1)
+
+
+def _spread(rows: pd.DataFrame, start: np.ndarray, n: np.ndarray, **values) -> pd.DataFrame:
+    """(src_ip, window, values) summed: each row's values for its ``n`` windows from ``start`` on."""
+    at = np.repeat(np.arange(len(rows)), n)
+    window = start[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    out = pd.DataFrame({"src_ip": rows["src_ip"].to_numpy()[at], "window": window, **{k: np.asarray(v, np.int64)[at] for k, v in values.items()}})
+    return out.groupby(["src_ip", "window"], sort=False, as_index=False).sum()
+
+
+class ScanCounts(StatefulProcessor):
+    """What each part adds to the (window, source) counts: ports and targets not met in that window before, and packets.
+
+    A part holds the (source, port or target) pairs of one hash range, each with the spans of windows it was met in.
+    Windows that the watermark has passed are closed: they leave the state and take no more rows.
+    """
+
+    MET = ["src_ip", "kind", "value", "first", "last"]
+
+    def __init__(self, size: int, slide: int):
+        self.size, self.slide = size, slide
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("met", "rows binary")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues):
+        open_from = (timerValues.getCurrentWatermarkInMs() - self.size) // self.slide + 1
+        met = pd.DataFrame(columns=self.MET)
+        if self.state.exists():
+            met = pa.ipc.open_stream(self.state.get()[0]).read_all().to_pandas()
+            met = met[met["last"] >= open_from]
+            met["first"] = met["first"].clip(lower=open_from)
+        out, held, n = [], [], 0
+        for f in rows:
+            held.append(f)
+            n += len(f)
+            if n >= SCAN_ROWS:
+                met = self.absorb(met, pd.concat(held), open_from, out)
+                held, n = [], 0
+        if n:
+            met = self.absorb(met, pd.concat(held), open_from, out)
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(met[self.MET].astype({"first": "int64", "last": "int64"}), preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(table)
+        self.state.update((sink.getvalue().to_pybytes(),))
+        if out:
+            counts = ["ports", "targets", "packets", "known"]
+            total = pd.concat(out).groupby(["src_ip", "window"], sort=False, as_index=False)[counts].sum()
+            ends = total.pop("window").to_numpy(np.int64) * self.slide + self.size
+            total["closes"] = pd.to_datetime(ends * 1000 - 1, unit="us", utc=True)  # inside the window, past a watermark before its end
+            yield total[["closes", "src_ip", *counts]]
+
+    def absorb(self, met: pd.DataFrame, rows: pd.DataFrame, open_from: int, out: list[pd.DataFrame]) -> pd.DataFrame:
+        """Appends what ``rows`` add to ``out``; the state with them."""
+        rows = rows[rows["last"] >= open_from]
+        rows = rows.assign(first=rows["first"].clip(lower=open_from))
+        first, n = rows["first"].to_numpy(np.int64), (rows["last"] - rows["first"] + 1).to_numpy(np.int64)
+        flows = (rows["kind"] == "target").to_numpy()
+        part = [_spread(rows[flows], first[flows], n[flows], packets=rows["packets"][flows], known=rows["known"][flows])]
+        both = pd.concat([met.assign(sign=-1), rows.loc[rows["value"].notna(), self.MET].assign(sign=1)], ignore_index=True)
+        both["id"] = both.groupby(["src_ip", "kind", "value"], sort=False).ngroup()
+        both = both.sort_values(["id", "first"], kind="stable")
+        start, more, apart = _covered(both)
+        old = both[both["sign"] < 0]
+        for these, start_, n_, sign in ((both, start, more, 1), (old, *_covered(old)[:2], -1)):
+            port = (these["kind"] == "port").to_numpy()
+            part.append(_spread(these, start_, n_, ports=sign * port, targets=sign * ~port))
+        out.append(pd.concat(part).fillna(0).groupby(["src_ip", "window"], sort=False, as_index=False).sum()
+                   .astype({c: "int64" for c in ("ports", "targets", "packets", "known")}))
+        span = np.cumsum(apart)
+        return both.assign(span=span).groupby("span", sort=False).agg(
+            src_ip=("src_ip", "first"), kind=("kind", "first"), value=("value", "first"), first=("first", "min"), last=("last", "max"))
+
+
 def exact_port_scan(flows: DataFrame, window: str = "10 minutes", slide: str = "1 minute",
-                    watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+                    watermark: str = DEFAULT_WATERMARK, parts: int = SCAN_PARTS) -> DataFrame:
     """Exact ports, targets and packets of D14 per closed sliding window and source (append mode).
 
-    Two stateful steps: one keeps what each (window, source) has met, keyed by
-    the port or target too, so a busy source is spread over all tasks; the other
-    sums ones. Both drop a window once the watermark has passed its end. A
-    window goes out then, once, and is final; the rule is ``scan_windows``.
+    Two stateful steps. The first (``ScanCounts``) keeps, for each source and
+    port or target, the spans of windows it was met in, and hands on what
+    a micro-batch adds; a flow is shuffled twice, not once per window, and a
+    pair that comes all the time is one span. Its keys are hash parts of these
+    pairs, so a busy source is spread over all tasks. The second sums. Both
+    drop a window once the watermark has passed its end. A window goes out
+    then, once, and is final; the rule is ``scan_windows``.
     """
+    size, step = interval_ms(window), interval_ms(slide)
+    packets = F.col("bidirectional_packets").cast("bigint")
     f = with_event_time(flows.where(F.col("src_ip").isNotNull())).withWatermark("event_time", watermark)
-    f = f.select(F.window("event_time", window, slide).alias("w"), "src_ip", "dst_port", "dst_ip", "bidirectional_packets")
-    port = F.struct(F.lit("port").alias("kind"), F.col("dst_port").cast("string").alias("value"))
-    target = F.struct(F.lit("target").alias("kind"), F.col("dst_ip").alias("value"))
-    met = f.select("w", "src_ip", F.explode(F.array(port, target)).alias("m")).select("w", "src_ip", "m.kind", "m.value") \
-        .where(F.col("value").isNotNull()).dropDuplicates(["w", "src_ip", "kind", "value"])
-    one = lambda kind: (F.col("kind") == kind).cast("bigint")
-    none = F.lit(0).cast("bigint")
-    parts = met.select("w", "src_ip", one("port").alias("ports"), one("target").alias("targets"), none.alias("packets")) \
-        .unionByName(f.select("w", "src_ip", none.alias("ports"), none.alias("targets"), F.col("bidirectional_packets").cast("bigint").alias("packets")))
-    return parts.groupBy("w", "src_ip").agg(*[F.sum(c).alias(c) for c in ("ports", "targets", "packets")]) \
-        .select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "src_ip", "ports", "targets", "packets")
+    f = f.where(F.col("event_time").isNotNull()).select(
+        "src_ip", F.col("dst_port").cast("string").alias("dst_port"), "dst_ip", F.unix_millis("event_time").alias("t"),
+        F.coalesce(packets, F.lit(0).cast("bigint")).alias("packets"), packets.isNotNull().cast("bigint").alias("known"))
+    rows = f.mapInPandas(_scan_rows(size, step), "src_ip string, kind string, value string, first bigint, last bigint, packets bigint, known bigint")
+    spread = F.when(F.col("value").isNull(), F.col("first"))  # rows without a value need no state: anywhere
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("src_ip", "kind", "value", spread), F.lit(parts)).cast("int"))
+    added = rows.groupBy("part").transformWithStateInPandas(
+        ScanCounts(size, step), "closes timestamp, src_ip string, ports bigint, targets bigint, packets bigint, known bigint",
+        "append", "EventTime", eventTimeColumnName="closes")
+    closing = F.window("closes", f"{step} milliseconds", f"{step} milliseconds", f"{size % step} milliseconds")  # ends as the scan's window does
+    total = added.groupBy(closing.alias("w"), "src_ip").agg(*[F.sum(c).alias(c) for c in ("ports", "targets", "packets", "known")])
+    return total.select((F.unix_millis(F.col("w.end")) - size).alias("window_start_ms"), "src_ip", "ports", "targets",
+                        F.when(F.col("known") > 0, F.col("packets")).alias("packets"))
 
 
 def is_scan() -> Column:
