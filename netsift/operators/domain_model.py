@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.functions import domain as dom
+from netsift.session import stored
 
 # --- fixed values (training configuration) ------------------------------------------
 TREES = 200
@@ -34,10 +35,13 @@ def feature_frame(names: DataFrame, col: str = "domain") -> DataFrame:
 
 
 def labelled_domains(flows: DataFrame) -> DataFrame:
-    """Training set over the test tables: distinct server names, label 1 for '.xyz'."""
-    return (flows.where(F.col("requested_server_name").isNotNull())
-            .select(F.col("requested_server_name").alias("domain")).distinct()
-            .withColumn("label", F.col("domain").endswith(".xyz").cast("double")))
+    """Training set over the test tables: distinct server names, label 1 for '.xyz'.
+
+    The names are stored: training, scores and curves go over them many times,
+    and a filter on a score would else be pushed below the distinct, to every flow.
+    """
+    names = flows.where(F.col("requested_server_name").isNotNull()).select(F.col("requested_server_name").alias("domain")).distinct()
+    return stored(names, "domain-model", "names").withColumn("label", F.col("domain").endswith(".xyz").cast("double"))
 
 
 #: Hex digits of the hash that name a bucket of the distributed rank, and buckets of scores.
@@ -72,6 +76,7 @@ def area_under_curve(rated: DataFrame) -> DataFrame:
     positive = F.col("label") == 1
     per_score = rated.where(F.col("score").isNotNull() & F.col("label").isNotNull()).groupBy(F.col("score").cast("double").alias("score")) \
         .agg(F.count(F.when(positive, 1)).alias("p"), F.count(F.when(~positive, 1)).alias("n"))
+    per_score = stored(per_score, "domain-model", "per-score")
     low, high = per_score.agg(F.min("score"), F.max("score")).first()
     span = (high - low) if low is not None and high > low else 1.0
     bucket = F.floor((F.col("score") - F.lit(low or 0.0)) / F.lit(span) * SCORE_BUCKETS)
@@ -96,8 +101,8 @@ def pipeline(trees: int = TREES, depth: int = MAX_DEPTH, step: float = STEP_SIZE
 
 
 def train(labelled: DataFrame, **kw) -> PipelineModel:
-    """M8: fit the pipeline on ``labelled(domain, label)``."""
-    return pipeline(**kw).fit(feature_frame(labelled))
+    """M8: fit the pipeline on ``labelled(domain, label)``; the features are computed once, for all passes."""
+    return pipeline(**kw).fit(stored(feature_frame(labelled), "domain-model", "features"))
 
 
 def score(model: PipelineModel, names: DataFrame, threshold: float = SCORE_THRESHOLD) -> DataFrame:

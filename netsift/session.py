@@ -72,6 +72,14 @@ def scratch_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     return path
 
 
+def stored(df, *parts: str):
+    """``df`` as a Parquet table in a fresh folder: later steps read it instead of computing it again."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, *parts)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df, spark: SparkSession | None = None):
     """Materialise ``df`` reliably (survives executor loss) and cut its lineage."""
     spark = spark or df.sparkSession
