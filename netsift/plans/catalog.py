@@ -428,14 +428,19 @@ def ml_queries() -> dict[str, Query]:
         return dm.area_under_curve(rated).select("positives", "negatives", F.round("auc", 9).alias("auc"))
 
     def evaluation(t: Tables) -> DataFrame:
-        model, test = gbt(t)
+        model, test, _ = gbt(t)
         e = dm.evaluate(model, test)
         top = F.lit(", ".join(name for name, _ in e.importances))
         return e.summary.select("*", F.lit(e.auc).alias("auc"), top.alias("top_features"))
 
     def gbt(t: Tables):
-        train, test = dm.split(dm.labelled_domains(t.flows))
-        return dm.train(train), test
+        labelled = dm.labelled_domains(t.flows)
+        train, test = dm.split(labelled)
+        return dm.train(train), test, labelled
+
+    def scores(t: Tables) -> DataFrame:
+        model, _, labelled = gbt(t)
+        return dm.score(model, labelled)
 
     q: dict[str, Query] = {}
     q["isolation_forest_scores"] = _q(lambda t: ifo.predict(t.flows, forest(t)).select(
@@ -443,8 +448,8 @@ def ml_queries() -> dict[str, Query]:
     q["domain_model_split"] = _q(lambda t: parts(t))
     q["domain_rule_evaluation"] = _q(lambda t: rule_evaluation(t))
     q["domain_model_evaluation"] = _q(lambda t: evaluation(t))
-    q["domain_model_scores"] = _q(lambda t: dm.score(gbt(t)[0], dm.labelled_domains(t.flows)))
-    q["domain_model_confusion"] = _q(lambda t: dm.evaluate(*gbt(t)).confusion)
+    q["domain_model_scores"] = _q(scores)
+    q["domain_model_confusion"] = _q(lambda t: dm.evaluate(*gbt(t)[:2]).confusion)
     q["detect_unknown_domains_model"] = _q(lambda t: det.unknown_domains(
         t.flows, dm.score(gbt(t)[0], dm.labelled_domains(t.flows))))
     return q
