@@ -77,6 +77,8 @@ class RunReport:
     duration_s: float = 0.0
 
 
+#: Flows on which each detector is tried before the joint job.
+PROBE_ROWS = 1000
 REPORT_SCHEMA = "name string, priority int, status string, error string, detections bigint, duration_s double"
 
 
@@ -159,7 +161,9 @@ class Registry:
         written (``DataFrame.observe``). If it fails in a task, each detector is
         run and written by itself, so the error stays with the one that raised
         it: ``error`` in its report, none of its alerts in the table, all of the
-        others'. The manifest, written last, names what counts; ``read_run``
+        others'. A detector that fails on the first ``PROBE_ROWS`` flows runs by
+        itself at once, over all flows like the others, so that it doesn't
+        take the others' job down late. The manifest, written last, names what counts; ``read_run``
         goes by it. An error that is no detector's own (storage that can't be
         written, say) shows up in every report, and then the first is raised.
         """
@@ -178,15 +182,30 @@ class Registry:
                 report.status, report.error = "error", str(e)[:500]
         run = f"{path}/run={uuid.uuid4().hex}"
         good = [r for r in reports if r.name in frames]
-        if not self._commit_together(frames, good, f"{run}/together"):
-            errors = [e for r in good if (e := self._commit_alone(frames[r.name], r, f"{run}/alone-{r.name}"))]
-            if errors and len(errors) == len(good):
-                raise errors[0]
+        alone = self._failing_on_few(flows, ctx, good)
+        others = [r for r in good if r not in alone]
+        if not self._commit_together({r.name: frames[r.name] for r in others}, others, f"{run}/together"):
+            alone = good
+        errors = [e for r in alone if (e := self._commit_alone(frames[r.name], r, f"{run}/alone-{r.name}"))]
+        if errors and len(errors) == len(good):
+            raise errors[0]
         rows = [(r.name, r.priority, r.status, r.error, r.detections, r.duration_s) for r in reports]
         ctx.spark.createDataFrame(rows, REPORT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{run}/manifest")
         ctx.spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").parquet(f"{path}/latest")
         return reports
 
+    def _failing_on_few(self, flows: DataFrame, ctx: Context, reports: list[RunReport]) -> list[RunReport]:
+        """Those whose detector fails on a few flows: a guess which ones to keep out of the joint job, no verdict."""
+        few = ctx.spark.createDataFrame(flows.limit(PROBE_ROWS).collect(), flows.schema)
+        failing = []
+        for r in reports:
+            try:
+                self._d[r.name].run(few, ctx).write.format("noop").mode("overwrite").save()
+            except Exception as e:
+                log.warning("detector %s fails on %d flows, it runs by itself: %s", r.name, PROBE_ROWS, str(e)[:500])
+                failing.append(r)
+        return failing
+
     def _commit_together(self, frames: dict[str, DataFrame], reports: list[RunReport], path: str) -> bool:
         if not frames:
             return True
