@@ -450,8 +450,7 @@ def ml_queries() -> dict[str, Query]:
     q["domain_model_evaluation"] = _q(lambda t: evaluation(t))
     q["domain_model_scores"] = _q(scores)
     q["domain_model_confusion"] = _q(lambda t: dm.evaluate(*gbt(t)[:2]).confusion)
-    q["detect_unknown_domains_model"] = _q(lambda t: det.unknown_domains(
-        t.flows, dm.score(gbt(t)[0], dm.labelled_domains(t.flows))))
+    q["detect_unknown_domains_model"] = _q(lambda t: det.unknown_domains(t.flows, scores(t)))
     return q
 
 
